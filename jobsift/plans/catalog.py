@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from . import page_queries as pq
 from . import text_queries as tq
-from .oracle import TEXT_SQL
+from .oracle import PAGE_SQL, TEXT_SQL
 
 QUERIES = {
     "clean_text": tq.q_clean_text,
@@ -22,9 +23,19 @@ QUERIES = {
     "smart_trim": tq.q_smart_trim,
     "labelled_fields": tq.q_labelled_fields,
     "slug_snippet": tq.q_slug_snippet,
+    "url_source": pq.q_url_source,
+    "url_domain": pq.q_url_domain,
+    "url_single": pq.q_url_single,
+    "pagination": pq.q_pagination,
+    "usable_blocked": pq.q_usable_blocked,
+    "page_headings": pq.q_page_headings,
+    "page_links": pq.q_page_links,
+    "link_histogram": pq.q_link_histogram,
+    "link_sample": pq.q_link_sample,
+    "page_type": pq.q_page_type,
 }
 
-ORACLE = dict(TEXT_SQL)
+ORACLE = {**TEXT_SQL, **PAGE_SQL}
 
 
 def queries():

@@ -214,3 +214,104 @@ TEXT_SQL = {
         f"{snippet('text')} AS snippet FROM documents"
     ),
 }
+
+
+# ---------------------------------------------------------------------------
+# pages
+# ---------------------------------------------------------------------------
+def decode(x: str) -> str:
+    """The four entities present in the supplied pages, ``&amp;`` last."""
+    return f"replace(replace(replace(replace({x}, '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
+
+
+def source_sql(u: str) -> str:
+    lu = f"lower({nz(u)})"
+    return (
+        f"CASE WHEN contains({lu}, 'indeed.com') THEN 'Indeed' WHEN contains({lu}, 'linkedin.com') AND contains({lu}, 'jobs') "
+        f"THEN 'LinkedIn' WHEN contains({lu}, 'naukri.com') THEN 'Naukri' ELSE 'Generic' END"
+    )
+
+
+HOST = "regexp_extract(coalesce(url, ''), '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)', 1)"
+
+
+def page_url_sql(u: str, s: str) -> str:
+    return (
+        f"CASE WHEN page_no = 0 THEN {u} "
+        f"WHEN contains({u}, 'start=') THEN regexp_replace({u}, 'start={ND}+', 'start=' || CAST(page_no * 10 AS VARCHAR), 'g') "
+        f"WHEN contains({u}, 'page=') THEN regexp_replace({u}, 'page={ND}+', 'page=' || CAST(page_no + 1 AS VARCHAR), 'g') "
+        f"WHEN {s} = 'Indeed' THEN {u} || CASE WHEN contains({u}, '?') THEN '&' ELSE '?' END || 'start=' || CAST(page_no * 10 AS VARCHAR) END"
+    )
+
+
+USABLE_PAGES = "(SELECT * FROM pages WHERE html IS NOT NULL AND length(html) >= 500)"
+PAGE_LINKS = (
+    "SELECT page_id, CAST(unnest(generate_series(1, len(h))) AS INTEGER) AS pos, unnest(h) AS href, unnest(t) AS link_text FROM ("
+    f"SELECT page_id, list_transform(regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1), lambda x: {decode('x')}) AS h, "
+    f"list_transform(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1), lambda x: {decode('x')}) AS t FROM {USABLE_PAGES})"
+)
+LINK_PATTERN = (
+    "CASE WHEN contains(href, '/job-listings') THEN 'job-listings' WHEN contains(href, '/ai-jobs') OR ends_with(href, '-jobs') "
+    "THEN 'filter-jobs' WHEN contains(lower(href), 'company') THEN 'company' WHEN length(href) > 5 AND starts_with(href, '/') "
+    "THEN 'other' END"
+)
+
+
+def first_tag_text(tag: str) -> str:
+    inner = f"regexp_extract(html, '(?s)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>', 1)"
+    return clean(decode(f"regexp_replace({inner}, '<[^>]*>', '', 'g')"))
+
+
+JOB_LINK_COUNT = (
+    "len(list_filter(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), lambda h: contains(h, '/job') OR contains(h, '/career') "
+    "OR contains(h, '/position') OR contains(h, '/vacancy')))"
+)
+GENERIC_IS_JOB = (
+    "((regexp_matches(html, '<h1[\\s>]') OR regexp_matches(html, '<h2[^>]*class=\"[^\"]*title')) AND "
+    "(regexp_matches(html, 'class=\"[^\"]*description') OR regexp_matches(html, 'class=\"[^\"]*job-detail') "
+    "OR regexp_matches(html, 'id=\"jobDescriptionText\"')))"
+)
+
+PAGE_SQL = {
+    "url_source": (
+        f"SELECT page_id, {source_sql('url')} AS source, (starts_with(coalesce(url, ''), 'http://') OR starts_with(coalesce(url, ''), 'https://')) AS valid, "
+        "(url IS NOT NULL AND url <> '' AND NOT starts_with(url, 'chrome://') AND NOT starts_with(url, 'about:')) AS batch_ok, "
+        "NOT contains(lower(coalesce(url, '')), 'indeed.com') AS indeed_mismatch FROM pages"
+    ),
+    "url_domain": (
+        f"SELECT page_id, {HOST} AS host, contains(lower({HOST}), 'indeed.com') AS is_indeed, "
+        f"contains(lower({HOST}), 'linkedin.com') AS is_linkedin, contains(lower({HOST}), 'naukri.com') AS is_naukri FROM pages"
+    ),
+    "url_single": (
+        "SELECT page_id, (contains(lower(coalesce(url, '')), '/viewjob') OR contains(lower(coalesce(url, '')), 'jk=') "
+        "OR contains(lower(coalesce(url, '')), '/rc/clk')) AS indeed_single, (contains(lower(coalesce(url, '')), '/jobs/view') "
+        "OR contains(lower(coalesce(url, '')), '/jobs/collections')) AS linkedin_single FROM pages"
+    ),
+    "pagination": (
+        "SELECT * FROM (SELECT page_id, CAST(page_no AS INTEGER) AS page_no, "
+        f"{page_url_sql('u', 'source')} AS page_url, {page_url_sql('u', chr(39) + 'Indeed' + chr(39))} AS indeed_url "
+        f"FROM (SELECT page_id, coalesce(url, '') AS u, {source_sql('url')} AS source FROM pages) p, range(0, 3) r(page_no)) "
+        "WHERE page_url IS NOT NULL OR indeed_url IS NOT NULL"
+    ),
+    "usable_blocked": (
+        "SELECT page_id, (html IS NOT NULL AND length(html) >= 500) AS usable, (contains(lower(html), 'captcha') OR "
+        "contains(lower(html), 'verify you are human') OR contains(lower(html), 'blocked')) AS blocked, "
+        "(contains(lower(html), 'captcha') OR contains(lower(html), 'verify')) AS blocked_v2 FROM pages"
+    ),
+    "page_headings": f"SELECT page_id, {first_tag_text('title')} AS title, {first_tag_text('h1')} AS h1 FROM {USABLE_PAGES}",
+    "page_links": PAGE_LINKS,
+    "link_histogram": (
+        f"SELECT pattern, CAST(count(*) AS BIGINT) AS n FROM (SELECT {LINK_PATTERN} AS pattern FROM ({PAGE_LINKS})) "
+        "WHERE pattern IS NOT NULL GROUP BY pattern ORDER BY n DESC, pattern"
+    ),
+    "link_sample": (
+        f"SELECT page_id, CAST(rk AS INTEGER) AS rank, {py_strip('substring(link_text, 1, 60)')} AS text60, substring(href, 1, 90) AS href90 "
+        f"FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rk FROM ({PAGE_LINKS}) "
+        "WHERE href <> '' AND NOT starts_with(href, '#') AND NOT starts_with(href, 'javascript')) WHERE rk <= 20"
+    ),
+    "page_type": (
+        f"SELECT page_id, CASE WHEN contains(lower({HOST}), 'naukri.com') THEN 'naukri' ELSE 'generic' END AS site, "
+        f"CASE WHEN {GENERIC_IS_JOB} THEN 'job' WHEN {JOB_LINK_COUNT} >= 3 THEN 'listing' ELSE 'unknown' END AS page_type, "
+        f"CAST({JOB_LINK_COUNT} AS INTEGER) AS job_links FROM {USABLE_PAGES}"
+    ),
+}
