@@ -156,10 +156,21 @@ def inside(n: Column, scope: Column) -> Column:
     return (n["pre"] > scope["pre"]) & (n["pre"] <= scope["last"])
 
 
+def subtree(nodes: Column, scope: Column) -> Column:
+    """The descendants of ``scope``: a contiguous slice in pre-order (empty for NULL scope)."""
+    return F.coalesce(F.slice(nodes, scope["pre"] + 2, scope["last"] - scope["pre"]), F.array().cast(nodes_type_hint(nodes)))
+
+
+def nodes_type_hint(nodes: Column) -> str:
+    from ..sources.shred import NODE_DDL
+
+    return f"array<struct<{NODE_DDL}>>"
+
+
 def select_all(nodes: Column, css: str, scope: Column | None = None) -> Column:
     if scope is None:
         return F.filter(nodes, lambda n: matches(css, n, nodes))
-    return F.filter(nodes, lambda n: inside(n, scope) & matches(css, n, nodes))
+    return F.filter(subtree(nodes, scope), lambda n: matches(css, n, nodes))
 
 
 def select_one(nodes: Column, css: str, scope: Column | None = None) -> Column:
@@ -195,9 +206,8 @@ def find_pred(n: Column, tags=None, cls_re: str | None = None, attrs: dict | Non
 
 
 def find_all(nodes: Column, tags=None, cls_re=None, attrs=None, ignore_case=False, scope: Column | None = None) -> Column:
-    if scope is None:
-        return F.filter(nodes, lambda n: find_pred(n, tags, cls_re, attrs, ignore_case))
-    return F.filter(nodes, lambda n: inside(n, scope) & find_pred(n, tags, cls_re, attrs, ignore_case))
+    src = nodes if scope is None else subtree(nodes, scope)
+    return F.filter(src, lambda n: find_pred(n, tags, cls_re, attrs, ignore_case))
 
 
 def find(nodes: Column, tags=None, cls_re=None, attrs=None, ignore_case=False, scope: Column | None = None) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from . import extract_queries as xq
 from . import page_queries as pq
 from . import text_queries as tq
-from .oracle import PAGE_SQL, TEXT_SQL
+from .oracle import EXTRACT_SQL, PAGE_SQL, TEXT_SQL
 
 QUERIES = {
     "clean_text": tq.q_clean_text,
@@ -33,9 +34,13 @@ QUERIES = {
     "link_histogram": pq.q_link_histogram,
     "link_sample": pq.q_link_sample,
     "page_type": pq.q_page_type,
+    "extract_indeed": xq.q_extract_indeed,
+    "extract_linkedin": xq.q_extract_linkedin,
+    "extract_naukri": xq.q_extract_naukri,
+    "naukri_single": xq.q_naukri_single,
 }
 
-ORACLE = {**TEXT_SQL, **PAGE_SQL}
+ORACLE = {**TEXT_SQL, **PAGE_SQL, **EXTRACT_SQL}
 
 
 def queries():

@@ -315,3 +315,66 @@ PAGE_SQL = {
         f"CAST({JOB_LINK_COUNT} AS INTEGER) AS job_links FROM {USABLE_PAGES}"
     ),
 }
+
+
+# ---------------------------------------------------------------------------
+# round-trip extraction: expected rows straight from part ⋈ supplier ⋈ nation
+# ---------------------------------------------------------------------------
+LISTING_JOBS = (
+    "SELECT p.p_partkey AS job_id, s.s_suppkey, s.s_name AS company, p.p_name AS role, p.p_type, p.p_brand, p.p_size, "
+    "n.n_name AS nation, n.n_regionkey AS region FROM part p JOIN supplier s ON s.s_suppkey = "
+    "(SELECT min(s_suppkey) FROM supplier) + p.p_partkey % (SELECT count(*) FROM supplier) "
+    "JOIN nation n ON s.s_nationkey = n.n_nationkey"
+)
+CARD_POS = "CAST(row_number() OVER (PARTITION BY s_suppkey ORDER BY job_id) AS INTEGER)"
+
+
+def dedup_rc(rows: str, cols: str) -> str:
+    return first_per_key(f"SELECT *, {fp('job_role || company')} AS fp FROM ({rows})", "fp", "page_id, pos", cols)
+
+
+def card_site(prefix: str, default_company: str, link: str) -> str:
+    rows = (
+        f"SELECT page_id, pos, coalesce(comp, {lit(default_company)}) AS company, job_role, "
+        f"{lit(prefix)} || job_role || ' at ' || coalesce(comp, 'company') || '.' AS description, "
+        f"'Location: ' || nation AS description_bullets, nation AS location, {link} AS link FROM ("
+        f"SELECT CAST(s_suppkey AS BIGINT) AS page_id, {CARD_POS} AS pos, CASE WHEN p_type = 'SMALL' THEN NULL ELSE {clean('company')} END AS comp, "
+        f"{clean('role')} AS job_role, {clean('nation')} AS nation, job_id FROM ({LISTING_JOBS}))"
+    )
+    return dedup_rc(rows, "page_id, pos, company, job_role, description, description_bullets, location, link")
+
+
+NAUKRI_PLACE = f"{lst(K.PLACES)}[region + 1]"
+NAUKRI_CARD_TEXT = (
+    "concat_ws(' ', role, CASE WHEN p_type = 'SMALL' THEN NULL ELSE company END, "
+    "CAST(p_size // 10 AS VARCHAR) || '-' || CAST(p_size // 10 + 3 AS VARCHAR) || ' Yrs', "
+    f"nation || ', ' || {NAUKRI_PLACE}, p_brand, lower(p_type))"
+)
+NAUKRI_CARD_ROWS = (
+    f"SELECT page_id, pos, company, job_role, description, array_to_string({bullets_engine('description')}, chr(10)) AS description_bullets, "
+    f"skills, {location_lookup('all_text')} AS location, {experience('all_text')} AS experience FROM ("
+    f"SELECT page_id, pos, all_text, company, job_role, {clean('substring(all_text, 1, 280)')} AS description, skills FROM ("
+    f"SELECT CAST(s_suppkey AS BIGINT) AS page_id, 2 * {CARD_POS} - 1 AS pos, "
+    f"regexp_replace({NAUKRI_CARD_TEXT}, '{WS}+', ' ', 'g') AS all_text, "
+    f"CASE WHEN p_type = 'SMALL' THEN {lit(K.NAUKRI_CARD_COMPANY)} ELSE {clean('company')} END AS company, {clean('role')} AS job_role, "
+    f"array_to_string(list_filter([{clean('p_brand || lower(p_type)')}, {clean('p_brand')}, {clean('lower(p_type)')}], lambda x: x <> '')[1:10], chr(10)) AS skills "
+    f"FROM ({LISTING_JOBS})))"
+)
+NAUKRI_SINGLE_ROWS = (
+    f"SELECT CAST(s_suppkey AS BIGINT) AS page_id, 1 AS pos, {clean('min(company)')} AS company, {lit(K.NAUKRI_SINGLE_ROLE)} AS job_role, "
+    f"{lit(K.NAUKRI_SINGLE_DESCRIPTION)} AS description, '' AS description_bullets, "
+    f"string_agg({clean('p_brand')}, chr(10) ORDER BY job_id) AS skills, {lit(K.NAUKRI_SINGLE_LOCATION)} AS location, "
+    f"{lit(K.NAUKRI_SINGLE_EXPERIENCE)} AS experience FROM ({LISTING_JOBS}) GROUP BY s_suppkey HAVING bool_or(p_type <> 'SMALL')"
+)
+NAUKRI_COLS = "page_id, pos, company, job_role, description, description_bullets, skills, location, experience"
+
+EXTRACT_SQL = {
+    "extract_indeed": card_site("Job posting for ", K.INDEED_CARD_COMPANY, "'https://www.indeed.com/rc/clk?jk=' || CAST(job_id AS VARCHAR)"),
+    "extract_linkedin": card_site("Job posting position for ", K.LINKEDIN_CARD_COMPANY, "'https://www.linkedin.com/jobs/view/' || CAST(job_id AS VARCHAR)"),
+    "extract_naukri": dedup_rc(NAUKRI_CARD_ROWS, NAUKRI_COLS),
+    "naukri_single": dedup_rc(
+        f"{NAUKRI_SINGLE_ROWS} UNION ALL SELECT * FROM ({NAUKRI_CARD_ROWS}) WHERE page_id NOT IN "
+        f"(SELECT s_suppkey FROM ({LISTING_JOBS}) GROUP BY s_suppkey HAVING bool_or(p_type <> 'SMALL'))",
+        NAUKRI_COLS,
+    ),
+}
