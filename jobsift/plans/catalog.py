@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from . import extract_queries as xq
+from . import generic_queries as gq
 from . import page_queries as pq
 from . import text_queries as tq
-from .oracle import EXTRACT_SQL, PAGE_SQL, TEXT_SQL
+from .oracle import EXTRACT_SQL, GENERIC_SQL, PAGE_SQL, TEXT_SQL
 
 QUERIES = {
     "clean_text": tq.q_clean_text,
@@ -38,9 +39,14 @@ QUERIES = {
     "extract_linkedin": xq.q_extract_linkedin,
     "extract_naukri": xq.q_extract_naukri,
     "naukri_single": xq.q_naukri_single,
+    "extract_jsonld": gq.q_extract_jsonld,
+    "extract_tables": gq.q_extract_tables,
+    "extract_cards": gq.q_extract_cards,
+    "extract_text_patterns": gq.q_extract_text_patterns,
+    "heuristic_cascade": gq.q_heuristic_cascade,
 }
 
-ORACLE = {**TEXT_SQL, **PAGE_SQL, **EXTRACT_SQL}
+ORACLE = {**TEXT_SQL, **PAGE_SQL, **EXTRACT_SQL, **GENERIC_SQL}
 
 
 def queries():

@@ -378,3 +378,51 @@ EXTRACT_SQL = {
         NAUKRI_COLS,
     ),
 }
+
+
+# ---------------------------------------------------------------------------
+# generic strategies
+# ---------------------------------------------------------------------------
+DESC = (
+    "'Build ' || lower(p_type) || ' products for the ' || p_brand || ' line. - Own size ' || CAST(p_size AS VARCHAR) "
+    "|| ' assemblies end to end - Work with the ' || nation || ' team every week'"
+)
+
+
+def generic_post(items: str) -> str:
+    """items(page_id, pos, company, role, description) → post-processed, O-D2-deduplicated rows."""
+    rows = (
+        f"SELECT page_id, pos, company, CASE WHEN role = '' THEN {lit(K.GENERIC_DEFAULT_ROLE)} ELSE role END AS job_role, description, "
+        f"array_to_string(CASE WHEN description = '' THEN []::VARCHAR[] WHEN len(b) > 0 THEN b ELSE [description] END, chr(10)) AS description_bullets "
+        f"FROM (SELECT *, CASE WHEN description = '' THEN []::VARCHAR[] ELSE {bullets_base('description')} END AS b FROM ("
+        f"SELECT page_id, pos, {py_strip('company')} AS company, {py_strip('role')} AS role, {py_strip('description')} AS description FROM ({items}))) "
+        f"WHERE length(company) >= 2 AND lower(company) NOT IN ({', '.join(lit(w) for w in K.GENERIC_REJECTED_COMPANIES)})"
+    )
+    return first_per_key(
+        f"SELECT *, {description_key('description', 'company')} AS fp FROM ({rows})", "fp", "page_id, pos",
+        "page_id, pos, company, job_role, description, description_bullets",
+    )
+
+
+def _items(company: str, role: str, desc: str, where: str = "TRUE", region: str | None = None) -> str:
+    reg = "" if region is None else f" AND region {region}"
+    return (
+        f"SELECT CAST(s_suppkey AS BIGINT) AS page_id, CAST(row_number() OVER (PARTITION BY s_suppkey ORDER BY job_id) AS INTEGER) AS pos, "
+        f"{company} AS company, {role} AS role, {desc} AS description FROM ({LISTING_JOBS}) WHERE {where}{reg}"
+    )
+
+
+JSONLD_ITEMS = lambda reg=None: _items("company", "role", DESC, region=reg)
+TABLE_ITEMS = lambda reg=None: _items(clean("company"), clean("role"), clean(DESC), region=reg)
+CARD_ITEMS = lambda reg=None: _items(clean("company"), clean("role"), clean(DESC), "p_type <> 'SMALL'", region=reg)
+TEXT_ITEMS = lambda reg=None: _items(clean("replace(company, '#', ' ')"), clean("role"), "''", region=reg)
+
+GENERIC_SQL = {
+    "extract_jsonld": generic_post(JSONLD_ITEMS()),
+    "extract_tables": generic_post(TABLE_ITEMS()),
+    "extract_cards": generic_post(CARD_ITEMS()),
+    "extract_text_patterns": generic_post(TEXT_ITEMS()),
+    "heuristic_cascade": generic_post(
+        f"{JSONLD_ITEMS('IN (0, 4)')} UNION ALL {TABLE_ITEMS('= 1')} UNION ALL {CARD_ITEMS('= 2')} UNION ALL {TEXT_ITEMS('= 3')}"
+    ),
+}

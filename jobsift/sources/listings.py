@@ -168,3 +168,50 @@ def text_pattern_pages(spark, sf_dir) -> DataFrame:
     card = F.concat(F.lit("<p>Join "), esc(company), F.lit(" as a "), esc("role"), F.lit(". </p>"))
     url = F.concat(F.lit("https://news.example.net/hiring/"), F.col("s_suppkey").cast("string"))
     return _pages(j, card, url, wrap=("<article>", "</article>"))
+
+
+def _jsonld_card() -> Column:
+    def posting(org: Column) -> Column:
+        return F.to_json(F.struct(
+            F.lit("https://schema.org").alias("@context"), F.lit("JobPosting").alias("@type"), F.col("role").alias("title"),
+            org.alias("hiringOrganization"), description().alias("description"),
+        ))
+
+    doc = F.when(no_company(), posting(F.col("company"))).otherwise(
+        posting(F.struct(F.lit("Organization").alias("@type"), F.col("company").alias("name")))
+    )
+    return F.concat(F.lit('<script type="application/ld+json">'), doc, F.lit("</script>"))
+
+
+def _table_card() -> Column:
+    return F.concat(
+        F.lit("<table><thead><tr><th>Company Name</th><th>Job Title</th><th>Description</th></tr></thead><tbody><tr><td>"),
+        esc("company"), F.lit("</td><td>"), esc("role"), F.lit("</td><td>"), esc(description()), F.lit("</td></tr></tbody></table>"),
+    )
+
+
+def _generic_card() -> Column:
+    company = F.when(no_company(), F.lit("")).otherwise(F.concat(F.lit('<h3 class="company-name">'), esc("company"), F.lit("</h3>")))
+    return F.concat(
+        F.lit('<div class="company-card">'), company, F.lit('<span class="job-title">'), esc("role"), F.lit("</span>"),
+        F.lit('<p class="description">'), esc(description()), F.lit("</p></div>"),
+    )
+
+
+def _text_card() -> Column:
+    return F.concat(F.lit("<p>Join "), esc(F.replace(F.col("company"), F.lit("#"), F.lit(" "))), F.lit(" as a "), esc("role"), F.lit(". </p>"))
+
+
+def mixed_pages(spark, sf_dir) -> DataFrame:
+    """Pages whose layout depends on the supplier's region: 0 JSON-LD, 1 tables,
+    2 cards, 3 text, 4 JSON-LD + tables + cards (JSON-LD must win)."""
+    j = job_rows(spark, sf_dir)
+    card = (
+        F.when(F.col("region") == 0, _jsonld_card())
+        .when(F.col("region") == 1, _table_card())
+        .when(F.col("region") == 2, _generic_card())
+        .when(F.col("region") == 3, _text_card())
+        .otherwise(F.concat(_jsonld_card(), _table_card(), _generic_card()))
+    )
+    url = F.concat(F.lit("https://www.example-jobs.com/company/"), F.col("s_suppkey").cast("string"))
+    return _pages(j, card, url, wrap=("<section>", "</section>"))
