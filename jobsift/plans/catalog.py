@@ -5,8 +5,9 @@ from __future__ import annotations
 from . import extract_queries as xq
 from . import generic_queries as gq
 from . import page_queries as pq
+from . import report_queries as rq
 from . import text_queries as tq
-from .oracle import EXTRACT_SQL, GENERIC_SQL, PAGE_SQL, TEXT_SQL
+from .oracle import EXTRACT_SQL, GENERIC_SQL, PAGE_SQL, REPORT_SQL, TEXT_SQL
 
 QUERIES = {
     "clean_text": tq.q_clean_text,
@@ -44,9 +45,17 @@ QUERIES = {
     "extract_cards": gq.q_extract_cards,
     "extract_text_patterns": gq.q_extract_text_patterns,
     "heuristic_cascade": gq.q_heuristic_cascade,
+    "summary": rq.q_summary,
+    "outcomes": rq.q_outcomes,
+    "preview": rq.q_preview,
+    "export_sheet": rq.q_export_sheet,
+    "export_csv": rq.q_export_csv,
+    "export_json": rq.q_export_json,
 }
 
-ORACLE = {**TEXT_SQL, **PAGE_SQL, **EXTRACT_SQL, **GENERIC_SQL}
+flagship = rq.flagship
+
+ORACLE = {**TEXT_SQL, **PAGE_SQL, **EXTRACT_SQL, **GENERIC_SQL, **REPORT_SQL}
 
 
 def queries():

@@ -426,3 +426,59 @@ GENERIC_SQL = {
         f"{JSONLD_ITEMS('IN (0, 4)')} UNION ALL {TABLE_ITEMS('= 1')} UNION ALL {CARD_ITEMS('= 2')} UNION ALL {TEXT_ITEMS('= 3')}"
     ),
 }
+
+
+# ---------------------------------------------------------------------------
+# reports and exports over the mixed-layout run
+# ---------------------------------------------------------------------------
+RUN = GENERIC_SQL["heuristic_cascade"]
+
+
+def bullet_lines_sql(arr: str) -> str:
+    return f"array_to_string(list_transform({arr}, lambda x: '• ' || x), chr(10))"
+
+
+def export_desc(d: str, b: str, role: str, company: str) -> str:
+    return f"CASE WHEN {d} <> '' THEN {d} WHEN {b} <> '' THEN {b} ELSE {role} || ' position at ' || {company} || '.' END"
+
+
+MIXED_FOUND = (
+    "SELECT CAST(s_suppkey AS BIGINT) AS page_id, CAST(CASE WHEN min(region) = 2 THEN count(*) FILTER (WHERE p_type <> 'SMALL') "
+    f"ELSE count(*) END AS INTEGER) AS total_found FROM ({LISTING_JOBS}) GROUP BY s_suppkey"
+)
+
+REPORT_SQL = {
+    "summary": (
+        "SELECT CAST(count(*) AS BIGINT) AS total_entries, CAST(count(DISTINCT company) AS BIGINT) AS companies, "
+        f"CAST(count(DISTINCT job_role) AS BIGINT) AS job_roles, 'Generic' AS sources FROM ({RUN})"
+    ),
+    "outcomes": (
+        "SELECT f.page_id, 'Generic' AS source, coalesce(k.n, 0) > 0 AS success, f.total_found, CAST(coalesce(k.n, 0) AS INTEGER) AS total_new, "
+        f"CASE WHEN coalesce(k.n, 0) > 0 THEN '' ELSE {lit('Could not automatically detect company/job data on this page. Try using the ' + chr(39) + 'Custom CSS Selectors' + chr(39) + ' option in Advanced Settings.')} END AS error_message "
+        f"FROM ({MIXED_FOUND}) f LEFT JOIN (SELECT page_id, count(*) AS n FROM ({RUN}) GROUP BY page_id) k ON f.page_id = k.page_id"
+    ),
+    "preview": f"SELECT page_id, pos, company, job_role FROM ({RUN}) ORDER BY page_id, pos LIMIT 10",
+    "export_sheet": (
+        "SELECT CAST(row_number() OVER (ORDER BY page_id, pos) AS BIGINT) AS s_no, company AS company_name, job_role, "
+        "CASE WHEN description_bullets <> '' THEN array_to_string(list_transform(string_split(description_bullets, chr(10)), lambda x: '• ' || x), chr(10)) "
+        "WHEN description <> '' THEN '• ' || description ELSE 'No description available' END AS job_description, "
+        f"CASE WHEN description <> '' THEN {bullet_lines_sql(skills_tag('description'))} ELSE '• N/A' END AS key_skills, "
+        f"'N/A' AS location, 'N/A' AS experience, 'Generic' AS source FROM ({RUN})"
+    ),
+    "export_csv": (
+        "SELECT CAST(row_number() OVER (ORDER BY page_id, pos) AS BIGINT) AS s_no, company AS company_name, job_role, "
+        "CASE WHEN description_bullets <> '' THEN array_to_string(list_transform(string_split(description_bullets, chr(10)), lambda x: '• ' || x), chr(10)) "
+        "ELSE description END AS job_description, '' AS key_skills, '' AS education, '' AS employment_type, '' AS department, "
+        f"'' AS industry, 'Generic' AS source FROM ({RUN})"
+    ),
+    "export_json": (
+        "SELECT id, file_name, company, title, location, url, descriptionSnippet, requiredSkills, fullDescription FROM ("
+        "SELECT *, row_number() OVER (PARTITION BY id ORDER BY page_id DESC, pos DESC) AS rk FROM ("
+        f"SELECT page_id, pos, 'scraped-' || {slug('company', 'scraped')} || '-' || {slug('job_role', 'job')} AS id, "
+        f"{slug('company', 'scraped')} || '_' || {slug('job_role', 'job')} || '.json' AS file_name, "
+        f"CASE WHEN company = '' THEN {lit(K.JSON_SHEET_COMPANY)} ELSE company END AS company, "
+        f"CASE WHEN job_role = '' THEN {lit(K.JSON_SHEET_ROLE)} ELSE job_role END AS title, {lit(K.JSON_LOCATION)} AS location, '#' AS url, "
+        f"{snippet('d')} AS descriptionSnippet, array_to_string({skills_tag('d')}, '|') AS requiredSkills, d AS fullDescription FROM ("
+        f"SELECT *, {export_desc('description', 'description_bullets', 'job_role', 'company')} AS d FROM ({RUN})))) WHERE rk = 1"
+    ),
+}
