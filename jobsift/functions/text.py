@@ -209,13 +209,15 @@ def smart_trim(x) -> Column:
 
 def choose_description(css: Column, fallback: Column) -> Column:
     """O-S11: CSS text vs page-text fallback (then smart-trimmed)."""
-    css, fallback = nz(css), nz(fallback)
-    trimmed = smart_trim(fallback)
-    return (
-        F.when((F.length(css) > 50) & (F.length(css) >= F.length(fallback) * 0.8), css)
-        .when(F.length(fallback) >= 30, F.when(F.length(trimmed) >= 30, trimmed).otherwise(fallback))
-        .otherwise(F.when(css != "", css).otherwise(fallback))
-    )
+    def body(pair):
+        c, fb = pair["c"], pair["f"]
+        return (
+            F.when((F.length(c) > 50) & (F.length(c) >= F.length(fb) * 0.8), c)
+            .when(F.length(fb) >= 30, let(smart_trim(fb), lambda t: F.when(F.length(t) >= 30, t).otherwise(fb)))
+            .otherwise(F.when(c != "", c).otherwise(fb))
+        )
+
+    return let(F.struct(nz(css).alias("c"), nz(fallback).alias("f")), body)
 
 
 _TERM = "(?:\\n|•|·|\\||\\z)"

@@ -113,7 +113,9 @@ def _strip_text(buf: Column, n: Column) -> Column:
 
 def table_items(buf: Column, nodes: Column) -> Column:
     def per_table(t):
-        rows = S.find_all(nodes, "tr", scope=t)
+        return let(S.find_all(nodes, "tr", scope=t), lambda rows: table_body(t, rows))
+
+    def table_body(t, rows):
         thead = S.find(nodes, "thead", scope=t)
         head_cells = F.when(thead.isNotNull(), S.find_all(nodes, "th", scope=thead)).otherwise(S.find_all(nodes, "th", scope=F.get(rows, 0)))
         headers = F.transform(head_cells, lambda th: F.lower(_strip_text(buf, th)))
@@ -134,22 +136,29 @@ def table_items(buf: Column, nodes: Column) -> Column:
                 F.transform(sample_cells, lambda c: F.exists(T.lit_array(K.TABLE_COMPANY_CELL_HINTS), lambda s: F.instr(F.lower(_strip_text(buf, c)), s) > 0)),
                 True,
             ).cast("int") - 1
-            ccol = F.when(ccol >= 0, ccol).otherwise(hint)
-
-            def per_row(r):
-                cells = S.find_all(nodes, ["td", "th"], scope=r)
-                cell_text = lambda i: T.clean_text(S.text(buf, F.get(cells, i)))
-                first = T.clean_text(S.text(buf, F.get(cells, 0)))
-                company = F.when((ccol >= 0) & (ccol < F.size(cells)), cell_text(ccol)).otherwise(
-                    F.when(T.looks_like_company(first), first).otherwise(F.lit(""))
-                )
-                role = F.when((rcol >= 0) & (rcol < F.size(cells)), cell_text(rcol)).otherwise(F.lit(""))
-                desc = F.when((dcol >= 0) & (dcol < F.size(cells)), cell_text(dcol)).otherwise(F.lit(""))
-                return F.when(F.size(cells) > 0, item(company, T.default_if_empty(role, K.GENERIC_DEFAULT_ROLE), desc))
-
-            data_rows = F.slice(rows, start + 1, F.greatest(F.size(rows) - start, F.lit(0)))
-            out = F.transform(data_rows, per_row)
-            return F.filter(out, lambda x: x.isNotNull() & (x["company"] != ""))
+            cols = F.struct(F.when(ccol >= 0, ccol).otherwise(hint).alias("c"), rcol.alias("r"), dcol.alias("d"))
+
+            def rows_with(cc):
+                ccol_, rcol_, dcol_ = cc["c"], cc["r"], cc["d"]
+
+                def per_row(r):
+                    def with_cells(cells):
+                        cell_text = lambda i: T.clean_text(S.text(buf, F.get(cells, i)))
+                        first = cell_text(F.lit(0))
+                        company = F.when((ccol_ >= 0) & (ccol_ < F.size(cells)), cell_text(ccol_)).otherwise(
+                            let(first, lambda f: F.when(T.looks_like_company(f), f).otherwise(F.lit("")))
+                        )
+                        role = F.when((rcol_ >= 0) & (rcol_ < F.size(cells)), cell_text(rcol_)).otherwise(F.lit(""))
+                        desc = F.when((dcol_ >= 0) & (dcol_ < F.size(cells)), cell_text(dcol_)).otherwise(F.lit(""))
+                        return F.when(F.size(cells) > 0, item(company, T.default_if_empty(role, K.GENERIC_DEFAULT_ROLE), desc))
+
+                    return let(S.find_all(nodes, ["td", "th"], scope=r), with_cells)
+
+                data_rows = F.slice(rows, start + 1, F.greatest(F.size(rows) - start, F.lit(0)))
+                out = F.transform(data_rows, per_row)
+                return F.filter(out, lambda x: x.isNotNull() & (x["company"] != ""))
+
+            return let(cols, rows_with)
 
         return F.when(F.size(rows) < 2, _no_items()).otherwise(let(headers, with_headers))
 

@@ -70,18 +70,21 @@ def indeed_card(buf: Column, nodes: Column, c: Column) -> Column:
         S.find(nodes, "div", cls_re="companyLocation|location", scope=c),
     )
     link_el = S.find(nodes, "a", attrs={"href": "/company/|/pagead/|/rc/|/viewjob"}, scope=c)
+    loc = _txt(buf, loc_el)
 
     def build(t_el):
         span = S.find(nodes, "span", scope=t_el)
-        title = F.when(t_el.isNotNull(), T.clean_text(S.text(buf, F.coalesce(span, t_el))))
+        return let(F.when(t_el.isNotNull(), T.clean_text(S.text(buf, F.coalesce(span, t_el)))), lambda title: build2(title))
+
+    def build2(title):
         return let(_txt(buf, company_el), lambda company: F.when(
             (T.nz(title) != "") | (T.nz(company) != ""),
             job(
                 company=F.coalesce(company, F.lit(K.INDEED_CARD_COMPANY)),
                 job_role=F.coalesce(title, F.lit(K.DEFAULT_ROLE_ENGINEER)),
                 description=F.concat(F.lit("Job posting for "), F.coalesce(title, F.lit("role")), F.lit(" at "), F.coalesce(company, F.lit("company")), F.lit(".")),
-                description_bullets=F.array(F.concat(F.lit("Location: "), F.coalesce(_txt(buf, loc_el), F.lit("N/A")))),
-                location=_txt(buf, loc_el),
+                description_bullets=F.array(F.concat(F.lit("Location: "), F.coalesce(loc, F.lit("N/A")))),
+                location=loc,
                 source=F.lit("Indeed"),
                 link=F.when(link_el.isNotNull(), U.urljoin_base(S.attr(link_el, "href"), K.INDEED_BASE_URL)),
             ),
@@ -99,14 +102,18 @@ def indeed_single(buf: Column, nodes: Column) -> Column:
 
 
 def _single(title, company, desc, d_company, d_role, d_desc, source) -> Column:
-    row = job(
-        company=T.default_if_empty(company, d_company),
-        job_role=T.default_if_empty(title, d_role),
-        description=T.default_if_empty(desc, d_desc),
-        description_bullets=T.bullets_or_description(T.bullets_base(desc), desc),
-        source=F.lit(source),
-    )
-    return F.when((title != "") | (company != "") | (desc != ""), F.array(row)).otherwise(empty_jobs())
+    def body(v):
+        t, c, d = v["t"], v["c"], v["d"]
+        row = job(
+            company=T.default_if_empty(c, d_company),
+            job_role=T.default_if_empty(t, d_role),
+            description=T.default_if_empty(d, d_desc),
+            description_bullets=T.bullets_or_description(T.bullets_base(d), d),
+            source=F.lit(source),
+        )
+        return F.when((t != "") | (c != "") | (d != ""), F.array(row)).otherwise(empty_jobs())
+
+    return let(F.struct(title.alias("t"), company.alias("c"), desc.alias("d")), body)
 
 
 def indeed_jobs(url: Column, buf: Column, nodes: Column) -> Column:
@@ -146,6 +153,7 @@ def linkedin_card(buf: Column, nodes: Column, c: Column) -> Column:
     company_el = _first(*[S.select_one(nodes, s, scope=c) for s in LINKEDIN_COMPANY])
     loc_el = _first(*[S.select_one(nodes, s, scope=c) for s in LINKEDIN_LOCATION])
     link_el = _first(S.select_one(nodes, "a[href*='/jobs/view']", scope=c), S.find(nodes, "a", attrs={"href": "/jobs/view"}, scope=c))
+    loc = _txt(buf, loc_el)
 
     def build(title):
         return let(_txt(buf, company_el), lambda company: F.when(
@@ -154,8 +162,8 @@ def linkedin_card(buf: Column, nodes: Column, c: Column) -> Column:
                 company=F.coalesce(company, F.lit(K.LINKEDIN_CARD_COMPANY)),
                 job_role=F.coalesce(title, F.lit(K.DEFAULT_ROLE_ENGINEER)),
                 description=F.concat(F.lit("Job posting position for "), F.coalesce(title, F.lit("role")), F.lit(" at "), F.coalesce(company, F.lit("company")), F.lit(".")),
-                description_bullets=F.array(F.concat(F.lit("Location: "), F.coalesce(_txt(buf, loc_el), F.lit("N/A")))),
-                location=_txt(buf, loc_el),
+                description_bullets=F.array(F.concat(F.lit("Location: "), F.coalesce(loc, F.lit("N/A")))),
+                location=loc,
                 source=F.lit("LinkedIn"),
                 link=F.when(link_el.isNotNull(), U.strip_query(S.attr(link_el, "href"))),
             ),
@@ -241,17 +249,21 @@ def naukri_single(buf: Column, nodes: Column) -> Column:
         F.filter(F.transform(S.select_all(nodes, s), lambda e: T.clean_text(S.text(buf, e))), lambda x: x != "")
         for s in NAUKRI_SKILL_SELECTORS
     ]
-    row = job(
-        company=T.default_if_empty(company, K.NAUKRI_SINGLE_COMPANY),
-        job_role=T.default_if_empty(title, K.NAUKRI_SINGLE_ROLE),
-        description=T.default_if_empty(desc, K.NAUKRI_SINGLE_DESCRIPTION),
-        description_bullets=T.bullets_or_description(T.bullets_engine(desc), desc),
-        skills=first_nonempty(*skill_lists),
-        location=F.lit(K.NAUKRI_SINGLE_LOCATION),
-        experience=F.lit(K.NAUKRI_SINGLE_EXPERIENCE),
-        source=F.lit("Naukri"),
-    )
-    return F.when((title != "") | (company != "") | (desc != ""), F.array(row)).otherwise(empty_jobs())
+    def body(v):
+        t, c, d = v["t"], v["c"], v["d"]
+        row = job(
+            company=T.default_if_empty(c, K.NAUKRI_SINGLE_COMPANY),
+            job_role=T.default_if_empty(t, K.NAUKRI_SINGLE_ROLE),
+            description=T.default_if_empty(d, K.NAUKRI_SINGLE_DESCRIPTION),
+            description_bullets=T.bullets_or_description(T.bullets_engine(d), d),
+            skills=first_nonempty(*skill_lists),
+            location=F.lit(K.NAUKRI_SINGLE_LOCATION),
+            experience=F.lit(K.NAUKRI_SINGLE_EXPERIENCE),
+            source=F.lit("Naukri"),
+        )
+        return F.when((t != "") | (c != "") | (d != ""), F.array(row)).otherwise(empty_jobs())
+
+    return let(F.struct(title.alias("t"), company.alias("c"), desc.alias("d")), body)
 
 
 def naukri_jobs(buf: Column, nodes: Column, prefer: str = "single", max_jobs: int = 50) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 ID_BITS = 33  # monotonically_increasing_id: partition id in the upper 31 bits
 
 
@@ -47,7 +49,7 @@ def more_count(jobs: DataFrame, n: int = 10) -> DataFrame:
     return jobs.agg(F.greatest(F.count("*") - n, F.lit(0)).cast("bigint").alias("more"))
 
 
-def serial_number(df: DataFrame, order: list[str], name: str = "s_no") -> DataFrame:
+def serial_number(df: DataFrame, order: list[str], name: str = "s_no", materialize: bool = True) -> DataFrame:
     """O-W1: 1…n in ``order`` without a single-partition window.
 
     Range-partition and sort by ``order`` (one shuffle), number rows inside
@@ -55,7 +57,14 @@ def serial_number(df: DataFrame, order: list[str], name: str = "s_no") -> DataFr
     partition's offset from a tiny per-partition count table (broadcast: one
     row per partition).  ``order`` must be unique so recomputation after a
     lost executor reproduces the same numbers.
+
+    With ``materialize`` the input is checkpointed first (to the shared
+    ``spark.checkpoint.dir``), so range sampling, the count pass and the
+    numbering pass read stored rows instead of re-running extraction.
     """
+    if materialize:
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
     sorted_df = df.repartitionByRange(*order).sortWithinPartitions(*order)
     with_id = sorted_df.withColumn("_mid", F.monotonically_increasing_id())
     with_id = with_id.withColumn("_pid", F.shiftrightunsigned("_mid", ID_BITS)).withColumn(

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+
+from ..session import tune
+
+from . import extension_queries as eq
 from . import extract_queries as xq
 from . import generic_queries as gq
 from . import page_queries as pq
 from . import report_queries as rq
 from . import text_queries as tq
-from .oracle import EXTRACT_SQL, GENERIC_SQL, PAGE_SQL, REPORT_SQL, TEXT_SQL
+from .oracle import EXTENSION_SQL, EXTRACT_SQL, GENERIC_SQL, PAGE_SQL, REPORT_SQL, TEXT_SQL
 
 QUERIES = {
     "clean_text": tq.q_clean_text,
@@ -51,16 +56,34 @@ QUERIES = {
     "export_sheet": rq.q_export_sheet,
     "export_csv": rq.q_export_csv,
     "export_json": rq.q_export_json,
+    "naukri_links": eq.q_naukri_links,
+    "generic_links": eq.q_generic_links,
+    "script_links": eq.q_script_links,
+    "naukri_job_page": eq.q_naukri_job_page,
+    "script_job_page": eq.q_script_job_page,
+    "enrich_links": eq.q_enrich_links,
+    "enrich_errors": eq.q_enrich_errors,
 }
 
-flagship = rq.flagship
 
-ORACLE = {**TEXT_SQL, **PAGE_SQL, **EXTRACT_SQL, **GENERIC_SQL, **REPORT_SQL}
+ORACLE = {**TEXT_SQL, **PAGE_SQL, **EXTRACT_SQL, **GENERIC_SQL, **REPORT_SQL, **EXTENSION_SQL}
+
+
+def _tuned(fn):
+    @functools.wraps(fn)
+    def run(spark, sf_dir):
+        tune(spark)
+        return fn(spark, sf_dir)
+
+    return run
 
 
 def queries():
-    return dict(QUERIES)
+    return {k: _tuned(v) for k, v in QUERIES.items()}
 
 
 def oracle_sql():
     return {k: v for k, v in ORACLE.items() if k in QUERIES}
+
+
+flagship = _tuned(rq.flagship)

@@ -482,3 +482,60 @@ REPORT_SQL = {
         f"SELECT *, {export_desc('description', 'description_bullets', 'job_role', 'company')} AS d FROM ({RUN})))) WHERE rk = 1"
     ),
 }
+
+
+# ---------------------------------------------------------------------------
+# extension: links, job pages, enrichment
+# ---------------------------------------------------------------------------
+def _link_rows(url_prefix: str, company: str, role: str = "role") -> str:
+    return (
+        f"SELECT CAST(s_suppkey AS BIGINT) AS page_id, {CARD_POS} AS pos, {lit(url_prefix)} || CAST(job_id AS VARCHAR) AS url, "
+        f"{company} AS company, {role} AS role FROM ({LISTING_JOBS})"
+    )
+
+
+CARD_COMPANY = "CASE WHEN p_type = 'SMALL' THEN '' ELSE company END"
+JOB_DESC = (
+    "'Build ' || lower(p_type) || ' products for the ' || p_brand || ' line.' || chr(10) || 'Own size ' || CAST(p_size AS VARCHAR) "
+    "|| ' assemblies end to end' || chr(10) || 'Work with the ' || nation || ' team every week'"
+)
+JOB_PAGE_ROWS = (
+    "SELECT CAST(job_id AS BIGINT) AS page_id, 'https://www.naukri.com/job-listings-r-' || CAST(job_id AS VARCHAR) AS url, 'job' AS page_type, "
+    f"CASE WHEN p_type = 'LARGE' THEN {lit(K.COMPANY_SENTINEL)} ELSE company END AS company, role AS job_role, d AS description, "
+    f"array_to_string({bullets_ext('d')}, chr(10)) AS description_bullets, p_brand || chr(10) || lower(p_type) AS skills, "
+    f"nation || ', ' || {NAUKRI_PLACE} AS location, CAST(p_size // 10 AS VARCHAR) || '-' || CAST(p_size // 10 + 3 AS VARCHAR) || ' Yrs' AS experience, "
+    "'Graduate - ' || lower(p_type) AS education, 'Full Time, Permanent' AS employment_type, 'Engineering - Hardware' AS department, "
+    "upper(substring(p_type, 1, 1)) || lower(substring(p_type, 2)) || ' Goods' AS industry, '' AS highlights, 'naukri-job-page' AS source "
+    f"FROM (SELECT *, {JOB_DESC} AS d FROM ({LISTING_JOBS})) WHERE p_size >= 10"
+)
+NAUKRI_LINKS = _link_rows("https://www.naukri.com/job-listings-r-", CARD_COMPANY)
+BATCH_JOIN = (
+    f"SELECT l.page_id, l.pos, l.url, l.company AS card_company, l.role AS card_role, j.* EXCLUDE (page_id, url) "
+    f"FROM ({NAUKRI_LINKS}) l LEFT JOIN ({JOB_PAGE_ROWS}) j ON l.url = j.url"
+)
+
+EXTENSION_SQL = {
+    "naukri_links": NAUKRI_LINKS,
+    "generic_links": _link_rows("https://careers.example.com/jobs/", CARD_COMPANY),
+    "script_links": _link_rows("https://www.naukri.com/job-listings-r-", "''", "substring(role, 1, 120)"),
+    "naukri_job_page": (
+        "SELECT page_id, page_type, company, job_role, description, description_bullets, skills, location, experience, education, "
+        f"employment_type, department, industry, highlights, source FROM ({JOB_PAGE_ROWS})"
+    ),
+    "script_job_page": (
+        "SELECT CAST(job_id AS BIGINT) AS page_id, CASE WHEN p_type = 'LARGE' THEN '[MISSING]' ELSE substring(company, 1, 100) END AS company, "
+        f"substring(role, 1, 120) AS role, 0 AS desc_len, p_brand || lower(p_type) AS skills FROM ({LISTING_JOBS}) WHERE p_size >= 10"
+    ),
+    "enrich_links": (
+        "SELECT page_id, pos, url, "
+        "CASE WHEN source IS NULL THEN card_company WHEN company <> '' AND NOT starts_with(company, '[COMPANY_') THEN company "
+        "WHEN card_company <> '' THEN card_company ELSE company END AS company, "
+        "CASE WHEN source IS NULL THEN card_role WHEN job_role <> '' AND NOT starts_with(job_role, '[ROLE_') THEN job_role "
+        "WHEN card_role <> '' THEN card_role ELSE job_role END AS job_role, "
+        "coalesce(description, '') AS description, coalesce(description_bullets, '') AS description_bullets, coalesce(skills, '') AS skills, "
+        "coalesce(education, '') AS education, coalesce(employment_type, '') AS employment_type, coalesce(department, '') AS department, "
+        "coalesce(industry, '') AS industry, coalesce(source, 'batch-card-fallback') AS source "
+        f"FROM ({BATCH_JOIN}) WHERE source IS NOT NULL OR card_company <> ''"
+    ),
+    "enrich_errors": f"SELECT page_id, pos, url, 'No data extracted' AS error FROM ({BATCH_JOIN}) WHERE source IS NULL AND card_company = ''",
+}

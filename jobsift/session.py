@@ -41,6 +41,11 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
 def tune(spark: SparkSession) -> None:
     """Settings every job relies on; safe to call on a cluster session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_BATCH_ROWS))
+    # extractor Columns nest many lambda scopes; resolution needs more passes
+    spark.conf.set("spark.sql.analyzer.maxIterations", "1000")
+    spark.conf.set("spark.sql.optimizer.maxIterations", "1000")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     ensure_checkpoint_dir(spark)
 
 

@@ -113,7 +113,7 @@ def naukri_pages(spark, sf_dir) -> DataFrame:
         F.concat(F.lit('<a class="comp-name" href="/c-jobs-careers-'), F.col("s_suppkey").cast("string"), F.lit('">'), esc("company"), F.lit("</a>"))
     )
     card = F.concat(
-        F.lit('<div class="srp-jobtuple-wrapper"><div class="cust-job-tuple"><a class="title" href="/job-listings-r-'), k, F.lit('">'),
+        F.lit('<div class="srp-jobtuple-wrapper"><div class="cust-job-tuple jobTuple"><a class="title" href="/job-listings-r-'), k, F.lit('">'),
         esc("role"), F.lit("</a>"), company,
         F.lit('<span class="exp-wrap"> '), experience_text(), F.lit(' </span><span class="loc-wrap">'), esc("nation"), F.lit(", "),
         esc(place(F.col("region"))), F.lit('</span><div class="key-skills"><span class="skill">'), esc("p_brand"),
@@ -215,3 +215,45 @@ def mixed_pages(spark, sf_dir) -> DataFrame:
     )
     url = F.concat(F.lit("https://www.example-jobs.com/company/"), F.col("s_suppkey").cast("string"))
     return _pages(j, card, url, wrap=("<section>", "</section>"))
+
+
+def has_job_page() -> Column:
+    """Data-driven: parts of size 10 and above have a crawled job page."""
+    return F.col("p_size") >= 10
+
+
+def job_page_url(prefix: str = "https://www.naukri.com/job-listings-r-") -> Column:
+    return F.concat(F.lit(prefix), F.col("job_id").cast("string"))
+
+
+def naukri_job_pages(spark, sf_dir) -> DataFrame:
+    """One crawled Naukri job page per part with ``p_size >= 10`` (``LARGE`` parts omit the company)."""
+    j = job_rows(spark, sf_dir).where(has_job_page())
+    company = F.when(F.col("p_type") == "LARGE", F.lit("")).otherwise(
+        F.concat(F.lit('<a class="jd-header-title-company" href="/c-jobs-careers-'), F.col("s_suppkey").cast("string"), F.lit('">'), esc("company"), F.lit("</a>"))
+    )
+    html = F.concat(
+        F.lit("<!DOCTYPE html><html><head><title>"), esc("role"), F.lit("</title></head><body>"),
+        F.lit('<div class="styles_jd-header"><h1 class="jd-header-title">'), esc("role"), F.lit("</h1>"), company, F.lit("</div>"),
+        F.lit('<div class="styles_details"><span class="location">'), esc("nation"), F.lit(", "), esc(place(F.col("region"))),
+        F.lit('</span><span class="exp">'), experience_text(), F.lit('</span><span class="education">Graduate - '), F.lower(F.col("p_type")), F.lit("</span></div>"),
+        F.lit('<section class="job-desc"><div class="styles_JDC__dang-inner-html__x1"><ul><li>Build '), F.lower(F.col("p_type")),
+        F.lit(" products for the "), esc("p_brand"), F.lit(" line.</li><li>Own size "), F.col("p_size").cast("string"),
+        F.lit(" assemblies end to end</li><li>Work with the "), esc("nation"), F.lit(" team every week</li></ul></div></section>"),
+        F.lit('<div class="key-skill"><a class="chip" href="/skills/b">'), esc("p_brand"), F.lit('</a><a class="chip" href="/skills/t">'),
+        F.lower(F.col("p_type")), F.lit("</a></div>"),
+        F.lit('<div class="other-details"><div>Employment Type: Full Time, Permanent</div><div>Department: Engineering - Hardware</div>'),
+        F.lit("<div>Industry Type: "), F.initcap(F.col("p_type")), F.lit(" Goods</div></div></body></html>"),
+    )
+    return j.select(F.col("job_id").cast("bigint").alias("page_id"), job_page_url().alias("url"), html.alias("html"))
+
+
+def generic_link_pages(spark, sf_dir) -> DataFrame:
+    """Generic listing pages: one job card per part with a ``/jobs/<id>`` link."""
+    j = job_rows(spark, sf_dir)
+    company = F.when(no_company(), F.lit("")).otherwise(F.concat(F.lit('<span class="employer">'), esc("company"), F.lit("</span>")))
+    card = F.concat(
+        F.lit('<div class="job-card"><a href="/jobs/'), F.col("job_id").cast("string"), F.lit('">'), esc("role"), F.lit("</a>"), company, F.lit("</div>"),
+    )
+    url = F.concat(F.lit("https://careers.example.com/openings/"), F.col("s_suppkey").cast("string"))
+    return _pages(j, card, url, wrap=("<section>", "</section>"))
