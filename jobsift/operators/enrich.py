@@ -68,11 +68,12 @@ def upgrade_if_short(captures: DataFrame, key: str = "url", order: str = "captur
     """O-T4 (batch rule): the first capture stands when its description is longer than
     ``threshold``; otherwise the second capture replaces it."""
     w = Window.partitionBy(key).orderBy(order)
+    whole = Window.partitionBy(key)
     ranked = captures.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= 2)
-    first_len = F.first(F.when(F.col("_rn") == 1, F.length(T.nz(F.col("description")))), ignorenulls=True).over(Window.partitionBy(key))
-    has_second = F.max("_rn").over(Window.partitionBy(key)) == 2
-    chosen = F.when((first_len > threshold) | ~has_second, F.col("_rn") == 1).otherwise(F.col("_rn") == 2)
-    return ranked.where(chosen).drop("_rn")
+    ranked = ranked.withColumn("_first_len", F.max(F.when(F.col("_rn") == 1, F.length(T.nz(F.col("description"))))).over(whole))
+    ranked = ranked.withColumn("_n", F.max("_rn").over(whole))
+    keep = F.when((F.col("_first_len") > threshold) | (F.col("_n") == 1), F.col("_rn") == 1).otherwise(F.col("_rn") == 2)
+    return ranked.where(keep).drop("_rn", "_first_len", "_n")
 
 
 def union_runs(*frames: DataFrame) -> DataFrame:

@@ -11,8 +11,9 @@ from . import extract_queries as xq
 from . import generic_queries as gq
 from . import page_queries as pq
 from . import report_queries as rq
+from . import stream_queries as sq
 from . import text_queries as tq
-from .oracle import EXTENSION_SQL, EXTRACT_SQL, GENERIC_SQL, PAGE_SQL, REPORT_SQL, TEXT_SQL
+from .oracle import EXTENSION_SQL, EXTRACT_SQL, GENERIC_SQL, PAGE_SQL, REPORT_SQL, STREAM_SQL, TEXT_SQL
 
 QUERIES = {
     "clean_text": tq.q_clean_text,
@@ -63,10 +64,16 @@ QUERIES = {
     "script_job_page": eq.q_script_job_page,
     "enrich_links": eq.q_enrich_links,
     "enrich_errors": eq.q_enrich_errors,
+    "stream_dedup": sq.q_stream_dedup,
+    "upgrade_longest": sq.q_upgrade_longest,
+    "stream_upgrade": sq.q_stream_upgrade,
+    "upgrade_if_short": sq.q_upgrade_if_short,
+    "sites_summary": sq.q_sites_summary,
+    "batch_status": sq.q_batch_status,
 }
 
 
-ORACLE = {**TEXT_SQL, **PAGE_SQL, **EXTRACT_SQL, **GENERIC_SQL, **REPORT_SQL, **EXTENSION_SQL}
+ORACLE = {**TEXT_SQL, **PAGE_SQL, **EXTRACT_SQL, **GENERIC_SQL, **REPORT_SQL, **EXTENSION_SQL, **STREAM_SQL}
 
 
 def _tuned(fn):

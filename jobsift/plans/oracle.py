@@ -539,3 +539,38 @@ EXTENSION_SQL = {
     ),
     "enrich_errors": f"SELECT page_id, pos, url, 'No data extracted' AS error FROM ({BATCH_JOIN}) WHERE source IS NULL AND card_company = ''",
 }
+
+
+# ---------------------------------------------------------------------------
+# streaming, upgrades, multi-source summary, batch status
+# ---------------------------------------------------------------------------
+UPGRADE_LONGEST = (
+    "SELECT url, capture_no FROM (SELECT source AS url, doc_id AS capture_no, row_number() OVER (PARTITION BY source "
+    "ORDER BY length(coalesce(text, '')) DESC, doc_id ASC) AS rk FROM documents) WHERE rk = 1"
+)
+STREAM_SQL = {
+    "stream_dedup": (
+        f"SELECT DISTINCT {description_key(py_strip(nz('text')), 'source')} AS fp FROM documents"
+    ),
+    "upgrade_longest": UPGRADE_LONGEST,
+    "stream_upgrade": UPGRADE_LONGEST,
+    "upgrade_if_short": (
+        "SELECT url, capture_no FROM (SELECT source AS url, doc_id AS capture_no, row_number() OVER w AS rk, "
+        "first_value(length(coalesce(text, ''))) OVER w AS first_len, count(*) OVER (PARTITION BY source) AS n "
+        "FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)) "
+        "WHERE (rk = 1 AND (first_len > 100 OR n = 1)) OR (rk = 2 AND first_len <= 100)"
+    ),
+    "sites_summary": (
+        "SELECT CAST(count(*) AS BIGINT) AS total_entries, CAST(count(DISTINCT company) AS BIGINT) AS companies, "
+        "CAST(count(DISTINCT job_role) AS BIGINT) AS job_roles, 'Indeed, LinkedIn, Naukri' AS sources FROM ("
+        f"SELECT company, job_role FROM ({EXTRACT_SQL['extract_indeed']}) UNION ALL "
+        f"SELECT company, job_role FROM ({EXTRACT_SQL['extract_linkedin']}) UNION ALL "
+        f"SELECT company, job_role FROM ({EXTRACT_SQL['extract_naukri']}))"
+    ),
+    "batch_status": (
+        "SELECT CAST(count(*) AS BIGINT) AS processed, CAST(count(*) AS BIGINT) AS total, "
+        "CAST(count(*) FILTER (WHERE source IS NOT NULL OR card_company <> '') AS BIGINT) AS results, "
+        "CAST(count(*) FILTER (WHERE source IS NULL AND card_company = '') AS BIGINT) AS errors, "
+        f"CAST(CASE WHEN count(*) > 0 THEN 100 ELSE 0 END AS INTEGER) AS percent FROM ({BATCH_JOIN})"
+    ),
+}
