@@ -130,21 +130,18 @@ EXPERIENCE_RE = f"(?i)({DIGIT}+[-{WS[1:-1]}]to{WS}*{DIGIT}+|{DIGIT}+[-{WS[1:-1]}
 
 def experience(x) -> Column:
     """``"2 to 5 Yrs"`` → ``"2 to 5 Yrs"``; ``"3 Yrs"`` → ``""`` (two digit groups needed)."""
-    t = nz(x)
-    return F.when(t.rlike(EXPERIENCE_RE), F.concat(py_strip(F.regexp_extract(t, EXPERIENCE_RE, 1)), F.lit(" Yrs"))).otherwise(F.lit(""))
+    return let(nz(x), lambda t: F.when(t.rlike(EXPERIENCE_RE), F.concat(py_strip(F.regexp_extract(t, EXPERIENCE_RE, 1)), F.lit(" Yrs"))).otherwise(F.lit("")))
 
 
 def location_lookup(x) -> Column:
     """First place name (in list order) found case-insensitively in the text, else ''."""
-    low = F.lower(nz(x))
-    hits = F.filter(lit_array(K.PLACES), lambda p: F.instr(low, F.lower(p)) > 0)
+    hits = let(F.lower(nz(x)), lambda low: F.filter(lit_array(K.PLACES), lambda p: F.instr(low, F.lower(p)) > 0))
     return F.coalesce(F.get(hits, 0), F.lit(""))
 
 
 def skills_found(x) -> Column:
     """Reference skills whose lower-case form is a substring of the text, in list order."""
-    low = F.lower(nz(x))
-    return F.filter(lit_array(K.SKILLS_REF), lambda s: F.instr(low, F.lower(s)) > 0)
+    return let(F.lower(nz(x)), lambda low: F.filter(lit_array(K.SKILLS_REF), lambda s: F.instr(low, F.lower(s)) > 0))
 
 
 def skills_tag(x) -> Column:
@@ -159,14 +156,19 @@ def skills_tag(x) -> Column:
 # O-S9 company-name test
 # --------------------------------------------------------------------------
 def looks_like_company(x) -> Column:
-    t = nz(x)
-    low = py_strip(F.lower(t))
-    first = F.substring(t, 1, 1)
-    first_upper = (first == F.upper(first)) & (first != F.lower(first))
-    has_suffix = F.exists(lit_array(K.COMPANY_SUFFIXES), lambda s: F.instr(low, s) > 0)
-    caps = F.size(F.regexp_extract_all(t, F.lit("([A-Z][a-z]+)"), 1))
-    single_ok = (caps == 1) & F.length(t).between(4, 30) & ~F.array_contains(lit_array(K.NON_COMPANY_WORDS), low)
-    return (F.length(t) >= 3) & first_upper & (has_suffix | (caps >= 2) | single_ok)
+    def body(v):
+        t, low = v["t"], v["low"]
+        first = F.substring(t, 1, 1)
+        first_upper = (first == F.upper(first)) & (first != F.lower(first))
+        has_suffix = F.exists(lit_array(K.COMPANY_SUFFIXES), lambda s: F.instr(low, s) > 0)
+
+        def rest(caps):
+            single_ok = (caps == 1) & F.length(t).between(4, 30) & ~F.array_contains(lit_array(K.NON_COMPANY_WORDS), low)
+            return has_suffix | (caps >= 2) | single_ok
+
+        return (F.length(t) >= 3) & first_upper & let(F.size(F.regexp_extract_all(t, F.lit("([A-Z][a-z]+)"), 1)), rest)
+
+    return let(nz(x), lambda t: let(F.struct(t.alias("t"), py_strip(F.lower(t)).alias("low")), body))
 
 
 # --------------------------------------------------------------------------
@@ -228,8 +230,7 @@ INDUSTRY_RE = f"(?i)Industry{JWS}*(?:Type)?{JWS}*:?{JWS}*([A-Za-z{JWS[1:-1]},&/-
 
 def labelled_field(x, pattern: str) -> Column:
     """O-S12: first match of a labelled-field pattern in the first 20,000 chars, trimmed."""
-    head = F.substring(nz(x), 1, 20000)
-    return F.when(head.rlike(pattern), js_trim(F.regexp_extract(head, pattern, 1))).otherwise(F.lit(""))
+    return let(F.substring(nz(x), 1, 20000), lambda head: F.when(head.rlike(pattern), js_trim(F.regexp_extract(head, pattern, 1))).otherwise(F.lit("")))
 
 
 def employment_type(x) -> Column:
@@ -250,12 +251,11 @@ def industry(x) -> Column:
 def slug(x, default: str) -> Column:
     """Lower-case, non-alphanumeric runs → '_', strip '_'; empty → default."""
     s = F.regexp_replace(F.regexp_replace(F.lower(nz(x)), "[^a-zA-Z0-9]+", "_"), "^_+|_+$", "")
-    return F.when(s == "", F.lit(default)).otherwise(s)
+    return let(s, lambda v: F.when(v == "", F.lit(default)).otherwise(v))
 
 
 def snippet(x, n: int = 220) -> Column:
-    t = nz(x)
-    return F.concat(F.substring(t, 1, n), F.when(F.length(t) > n, F.lit("...")).otherwise(F.lit("")))
+    return let(nz(x), lambda t: F.concat(F.substring(t, 1, n), F.when(F.length(t) > n, F.lit("...")).otherwise(F.lit(""))))
 
 
 def split_skills(x) -> Column:
@@ -275,12 +275,11 @@ def default_if_empty(x, default: str) -> Column:
 
 def bullets_or_description(bullets: Column, desc: Column) -> Column:
     """O-S18: ``(bullets or [desc]) if desc else []``."""
-    d = nz(desc)
-    return (
-        F.when(d == "", F.array().cast("array<string>"))
-        .when(F.size(bullets) > 0, bullets)
-        .otherwise(F.array(d))
-    )
+    def body(v):
+        d, b = v["d"], v["b"]
+        return F.when(d == "", F.array().cast("array<string>")).when(F.size(b) > 0, b).otherwise(F.array(d))
+
+    return let(F.struct(nz(desc).alias("d"), bullets.alias("b")), body)
 
 
 def export_description(desc: Column, bullets: Column, role: Column, company: Column) -> Column:

@@ -167,26 +167,32 @@ def _link(url, company, role) -> Column:
 
 
 def _distinct_by_url(links: Column) -> Column:
-    """Keep the first link per url (the ``seen`` set), order kept."""
-    def body(ls):
-        idx = F.sequence(F.lit(1), F.greatest(F.size(ls), F.lit(1)))
-        keep = F.filter(
-            F.transform(idx, lambda i: F.struct(i.alias("i"), F.get(ls, i - 1).alias("l"))),
-            lambda x: x["l"].isNotNull() & (x["l"]["url"] != "") & ~F.exists(F.slice(ls, 1, x["i"] - 1), lambda p: p["url"] == x["l"]["url"]),
-        )
-        return F.transform(keep, lambda x: x["l"])
+    """Keep the first link per url (the ``seen`` set), order kept — O(n log n):
+    sort by (url, position), keep each url's first entry, sort back by position."""
+    tagged = F.filter(
+        F.transform(links, lambda l, i: F.struct(T.nz(l["url"]).alias("u"), i.alias("i"), l.alias("l"))),
+        lambda x: x["u"] != "",
+    )
+
+    def body(srt):
+        firsts = F.filter(srt, lambda x, i: (i == 0) | (x["u"] != F.get(srt, i - 1)["u"]))
+        back = F.array_sort(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["l"].alias("l"))))
+        return F.transform(back, lambda x: x["l"])
 
-    return let(links, body)
+    return let(F.array_sort(tagged), body)
 
 
 def naukri_links(url: Column, buf: Column, nodes: Column) -> Column:
     """O-X16: distinct ``/job-listings`` links with the company of their card (or nearby text)."""
     anchors = S.select_all(nodes, 'a[href*="/job-listings"]')
+    return let(S.select_all(nodes, LINK_CARD), lambda cards_all: _naukri_links(url, buf, nodes, anchors, cards_all))
+
 
+def _naukri_links(url, buf, nodes, anchors, cards_all):
     def per_anchor(a):
         href = resolve(S.attr(a, "href"), url)
-        # closest(): the matching ancestor-or-self with the largest pre
-        card = let(F.filter(nodes, lambda c: (c["pre"] <= a["pre"]) & (a["pre"] <= c["last"]) & S.matches(LINK_CARD, c, nodes)),
+        # closest(): among the card-like elements containing the anchor, the one with the largest pre
+        card = let(F.filter(cards_all, lambda c: (c["pre"] <= a["pre"]) & (a["pre"] <= c["last"])),
                    lambda anc: F.get(anc, F.size(anc) - 1))
         card_company = F.when(card.isNotNull(), _tc(buf, S.select_one(nodes, LINK_CARD_COMPANY, scope=card))).otherwise(F.lit(""))
         near = _near_company(buf, nodes, a)

@@ -23,6 +23,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..sources.shred import BLOCK_SEP, TEXT_SEP
 
 
@@ -158,7 +159,8 @@ def inside(n: Column, scope: Column) -> Column:
 
 def subtree(nodes: Column, scope: Column) -> Column:
     """The descendants of ``scope``: a contiguous slice in pre-order (empty for NULL scope)."""
-    return F.coalesce(F.slice(nodes, scope["pre"] + 2, scope["last"] - scope["pre"]), F.array().cast(nodes_type_hint(nodes)))
+    empty = F.array().cast(nodes_type_hint(nodes))
+    return let(scope, lambda sc: F.coalesce(F.slice(nodes, sc["pre"] + 2, sc["last"] - sc["pre"]), empty))
 
 
 def nodes_type_hint(nodes: Column) -> str:
@@ -167,10 +169,45 @@ def nodes_type_hint(nodes: Column) -> str:
     return f"array<struct<{NODE_DDL}>>"
 
 
+def _simple_descendant(chain) -> bool:
+    return len(chain) == 2 and chain[1][0] == " "
+
+
 def select_all(nodes: Column, css: str, scope: Column | None = None) -> Column:
-    if scope is None:
-        return F.filter(nodes, lambda n: matches(css, n, nodes))
-    return F.filter(subtree(nodes, scope), lambda n: matches(css, n, nodes))
+    """Matches of ``css`` in document order.
+
+    For ``A B`` alternatives the candidate ancestors ``A`` are filtered once
+    per page (bound with ``let``), so the containment test is
+    O(|B| × |A|) instead of O(|B| × nodes).
+    """
+    src = nodes if scope is None else subtree(nodes, scope)
+    groups = parse(css)
+    if not any(_simple_descendant(ch) for ch in groups):
+        return F.filter(src, lambda n: matches(css, n, nodes))
+    anc_preds = [(_compound_pred_fn(ch[0][1]) if _simple_descendant(ch) else None) for ch in groups]
+    cand = F.struct(*[
+        (F.filter(nodes, p) if p is not None else F.array().cast(nodes_type_hint(nodes))).alias(f"a{i}")
+        for i, p in enumerate(anc_preds)
+    ])
+
+    def pick(c):
+        def pred(n):
+            out = None
+            for i, ch in enumerate(groups):
+                if _simple_descendant(ch):
+                    p = _compound_pred(ch[1][1], n) & F.exists(c[f"a{i}"], lambda a: (a["pre"] < n["pre"]) & (n["pre"] <= a["last"]))
+                else:
+                    p = _chain_pred(ch, n, nodes)
+                out = p if out is None else (out | p)
+            return out
+
+        return F.filter(src, pred)
+
+    return let(cand, pick)
+
+
+def _compound_pred_fn(c: Compound):
+    return lambda a: _compound_pred(c, a)
 
 
 def select_one(nodes: Column, css: str, scope: Column | None = None) -> Column:
@@ -218,7 +255,8 @@ def find(nodes: Column, tags=None, cls_re=None, attrs=None, ignore_case=False, s
 # O-H9 element text
 # ---------------------------------------------------------------------------
 def raw_text(buf: Column, n: Column) -> Column:
-    return F.when(n.isNotNull(), buf.substr(n["t0"] + 1, F.greatest(n["t1"] - n["t0"], F.lit(0))))
+    """The node's slice of ``buf`` with markers (NULL without a node); ``n`` is bound once."""
+    return let(n, lambda m: F.when(m.isNotNull(), buf.substr(m["t0"] + 1, F.greatest(m["t1"] - m["t0"], F.lit(0)))))
 
 
 def text(buf: Column, n: Column) -> Column:

@@ -11,9 +11,10 @@ from . import extract_queries as xq
 from . import generic_queries as gq
 from . import page_queries as pq
 from . import report_queries as rq
+from . import routed_queries as oq
 from . import stream_queries as sq
 from . import text_queries as tq
-from .oracle import EXTENSION_SQL, EXTRACT_SQL, GENERIC_SQL, PAGE_SQL, REPORT_SQL, STREAM_SQL, TEXT_SQL
+from .oracle import EXTENSION_SQL, EXTRACT_SQL, GENERIC_SQL, PAGE_SQL, REPORT_SQL, ROUTED_SQL, STREAM_SQL, TEXT_SQL
 
 QUERIES = {
     "clean_text": tq.q_clean_text,
@@ -32,6 +33,7 @@ QUERIES = {
     "smart_trim": tq.q_smart_trim,
     "labelled_fields": tq.q_labelled_fields,
     "slug_snippet": tq.q_slug_snippet,
+    "sql_functions": tq.q_sql_functions,
     "url_source": pq.q_url_source,
     "url_domain": pq.q_url_domain,
     "url_single": pq.q_url_single,
@@ -70,10 +72,13 @@ QUERIES = {
     "upgrade_if_short": sq.q_upgrade_if_short,
     "sites_summary": sq.q_sites_summary,
     "batch_status": sq.q_batch_status,
+    "routed_run": oq.q_routed_run,
+    "export_sheet_engine": oq.q_export_sheet_engine,
+    "export_json_engine": oq.q_export_json_engine,
 }
 
 
-ORACLE = {**TEXT_SQL, **PAGE_SQL, **EXTRACT_SQL, **GENERIC_SQL, **REPORT_SQL, **EXTENSION_SQL, **STREAM_SQL}
+ORACLE = {**TEXT_SQL, **PAGE_SQL, **EXTRACT_SQL, **GENERIC_SQL, **REPORT_SQL, **EXTENSION_SQL, **STREAM_SQL, **ROUTED_SQL}
 
 
 def _tuned(fn):

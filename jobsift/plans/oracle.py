@@ -333,15 +333,18 @@ def dedup_rc(rows: str, cols: str) -> str:
     return first_per_key(f"SELECT *, {fp('job_role || company')} AS fp FROM ({rows})", "fp", "page_id, pos", cols)
 
 
-def card_site(prefix: str, default_company: str, link: str) -> str:
-    rows = (
+def card_site_rows(prefix: str, default_company: str, link: str) -> str:
+    return (
         f"SELECT page_id, pos, coalesce(comp, {lit(default_company)}) AS company, job_role, "
         f"{lit(prefix)} || job_role || ' at ' || coalesce(comp, 'company') || '.' AS description, "
         f"'Location: ' || nation AS description_bullets, nation AS location, {link} AS link FROM ("
         f"SELECT CAST(s_suppkey AS BIGINT) AS page_id, {CARD_POS} AS pos, CASE WHEN p_type = 'SMALL' THEN NULL ELSE {clean('company')} END AS comp, "
         f"{clean('role')} AS job_role, {clean('nation')} AS nation, job_id FROM ({LISTING_JOBS}))"
     )
-    return dedup_rc(rows, "page_id, pos, company, job_role, description, description_bullets, location, link")
+
+
+def card_site(prefix: str, default_company: str, link: str) -> str:
+    return dedup_rc(card_site_rows(prefix, default_company, link), "page_id, pos, company, job_role, description, description_bullets, location, link")
 
 
 NAUKRI_PLACE = f"{lst(K.PLACES)}[region + 1]"
@@ -389,15 +392,19 @@ DESC = (
 )
 
 
-def generic_post(items: str) -> str:
-    """items(page_id, pos, company, role, description) → post-processed, O-D2-deduplicated rows."""
-    rows = (
+def generic_rows(items: str) -> str:
+    """items(page_id, pos, company, role, description) → post-processed rows (before dedup)."""
+    return (
         f"SELECT page_id, pos, company, CASE WHEN role = '' THEN {lit(K.GENERIC_DEFAULT_ROLE)} ELSE role END AS job_role, description, "
         f"array_to_string(CASE WHEN description = '' THEN []::VARCHAR[] WHEN len(b) > 0 THEN b ELSE [description] END, chr(10)) AS description_bullets "
         f"FROM (SELECT *, CASE WHEN description = '' THEN []::VARCHAR[] ELSE {bullets_base('description')} END AS b FROM ("
         f"SELECT page_id, pos, {py_strip('company')} AS company, {py_strip('role')} AS role, {py_strip('description')} AS description FROM ({items}))) "
         f"WHERE length(company) >= 2 AND lower(company) NOT IN ({', '.join(lit(w) for w in K.GENERIC_REJECTED_COMPANIES)})"
     )
+
+
+def generic_post(items: str) -> str:
+    rows = generic_rows(items)
     return first_per_key(
         f"SELECT *, {description_key('description', 'company')} AS fp FROM ({rows})", "fp", "page_id, pos",
         "page_id, pos, company, job_role, description, description_bullets",
@@ -574,3 +581,51 @@ STREAM_SQL = {
         f"CAST(CASE WHEN count(*) > 0 THEN 100 ELSE 0 END AS INTEGER) AS percent FROM ({BATCH_JOIN})"
     ),
 }
+
+TEXT_SQL["sql_functions"] = (
+    f"SELECT doc_id, {clean('text')} AS clean, {fp('text')} AS fp, {slug('source', 'scraped')} AS company_slug, "
+    f"{snippet('text')} AS snippet, 'Naukri' AS src FROM documents"
+)
+
+
+# ---------------------------------------------------------------------------
+# routed run over a mixed crawl, listing-engine exports
+# ---------------------------------------------------------------------------
+NAUKRI_APP_ROWS = (
+    f"{NAUKRI_SINGLE_ROWS} UNION ALL SELECT * FROM ({NAUKRI_CARD_ROWS}) WHERE page_id NOT IN "
+    f"(SELECT s_suppkey FROM ({LISTING_JOBS}) GROUP BY s_suppkey HAVING bool_or(p_type <> 'SMALL'))"
+)
+MIXED_ITEMS = (
+    f"{JSONLD_ITEMS('IN (0, 4)')} UNION ALL {TABLE_ITEMS('= 1')} UNION ALL {CARD_ITEMS('= 2')} UNION ALL {TEXT_ITEMS('= 3')}"
+)
+ROUTED_ROWS = (
+    "SELECT page_id * 4 + 0 AS page_id, pos, 'Indeed' AS source, company, job_role, description, "
+    f"'F|' || {fp('job_role || company')} AS k FROM ({card_site_rows('Job posting for ', K.INDEED_CARD_COMPANY, chr(39) + chr(39))}) "
+    "UNION ALL SELECT page_id * 4 + 1, pos, 'LinkedIn', company, job_role, description, "
+    f"'F|' || {fp('job_role || company')} FROM ({card_site_rows('Job posting position for ', K.LINKEDIN_CARD_COMPANY, chr(39) + chr(39))}) "
+    "UNION ALL SELECT page_id * 4 + 2, pos, 'Scrapling-Naukri', company, job_role, description, "
+    "'T|' || concat_ws('|', company, job_role, substring(description, 1, 100)) FROM (" + NAUKRI_APP_ROWS + ") "
+    "UNION ALL SELECT page_id * 4 + 3, pos, 'Generic', company, job_role, description, "
+    f"'F|' || {description_key('description', 'company')} FROM ({generic_rows(MIXED_ITEMS)})"
+)
+NAUKRI_RUN = dedup_rc(NAUKRI_CARD_ROWS, "page_id, pos, company, job_role, description, description_bullets, skills, location, experience")
+
+ROUTED_SQL = {
+    "routed_run": first_per_key(ROUTED_ROWS, "k", "page_id, pos", "CAST(page_id AS BIGINT) AS page_id, pos, source, company, job_role, description"),
+    "export_sheet_engine": (
+        "SELECT CAST(row_number() OVER (ORDER BY page_id, pos) AS BIGINT) AS s_no, company AS company_name, job_role, "
+        "CASE WHEN description_bullets <> '' THEN array_to_string(list_transform(string_split(description_bullets, chr(10)), lambda x: '• ' || x), chr(10)) "
+        "ELSE description END AS job_description, "
+        "CASE WHEN skills <> '' THEN array_to_string(list_transform(string_split(skills, chr(10)), lambda x: '• ' || x), chr(10)) ELSE '• N/A' END AS key_skills, "
+        f"location, experience, 'Naukri' AS source FROM ({NAUKRI_RUN})"
+    ),
+    "export_json_engine": (
+        "SELECT id, file_name, company, title, location, url, descriptionSnippet, requiredSkills, fullDescription FROM ("
+        "SELECT *, row_number() OVER (PARTITION BY id ORDER BY page_id DESC, pos DESC) AS rk FROM ("
+        f"SELECT page_id, pos, 'scraped-' || {slug('company', 'naukri')} || '-' || {slug('job_role', 'job')} AS id, "
+        f"{slug('company', 'naukri')} || '_' || {slug('job_role', 'job')} || '.json' AS file_name, company, job_role AS title, "
+        f"CASE WHEN location = '' THEN {lit(K.JSON_LOCATION)} ELSE location END AS location, '#' AS url, {snippet('d')} AS descriptionSnippet, "
+        "CASE WHEN skills <> '' THEN replace(skills, chr(10), '|') ELSE 'React|TypeScript|Python' END AS requiredSkills, d AS fullDescription FROM ("
+        f"SELECT *, {export_desc('description', 'description_bullets', 'job_role', 'company')} AS d FROM ({NAUKRI_RUN})))) WHERE rk = 1"
+    ),
+}

@@ -140,3 +140,16 @@ def q_slug_snippet(spark, sf_dir):
         T.slug(F.substring("text", 1, 40), "job").alias("role_slug"),
         T.snippet("text").alias("snippet"),
     )
+
+
+def q_sql_functions(spark, sf_dir):
+    """O-E4: the scalar rules called from SQL through registered SQL UDFs."""
+    from ..functions.sql import register_sql_functions
+
+    register_sql_functions(spark)
+    _docs(spark, sf_dir).createOrReplaceTempView("jobsift_documents")
+    return spark.sql(
+        "SELECT doc_id, jobsift_clean_text(text) AS clean, jobsift_fingerprint(text) AS fp, "
+        "jobsift_slug(source, 'scraped') AS company_slug, jobsift_snippet(text) AS snippet, "
+        "jobsift_detect_source(concat('https://www.', source, '.naukri.com/jobs')) AS src FROM jobsift_documents"
+    )
