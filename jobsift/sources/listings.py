@@ -75,7 +75,15 @@ def _pages(jobs: DataFrame, card: Column, url: Column, head: str = "", tail: str
         F.lit("<!DOCTYPE html><html><head><title>Jobs</title></head><body>" + head + wrap[0]), F.col("body"),
         F.lit(wrap[1] + tail + "</body></html>"),
     )
-    return grouped.select(F.col("s_suppkey").cast("bigint").alias("page_id"), "url", html.alias("html"))
+    out = grouped.select(F.col("s_suppkey").cast("bigint").alias("page_id"), "url", html.alias("html"))
+    return _spread_pages(out)
+
+
+def _spread_pages(pages: DataFrame) -> DataFrame:
+    """Give the CPU-heavy page set at least two tasks per core: an explicit
+    partition count, which AQE does not coalesce away for small inputs."""
+    par = pages.sparkSession.sparkContext.defaultParallelism
+    return pages.repartition(max(2 * par, pages.rdd.getNumPartitions()))
 
 
 def indeed_pages(spark, sf_dir) -> DataFrame:
@@ -245,7 +253,7 @@ def naukri_job_pages(spark, sf_dir) -> DataFrame:
         F.lit('<div class="other-details"><div>Employment Type: Full Time, Permanent</div><div>Department: Engineering - Hardware</div>'),
         F.lit("<div>Industry Type: "), F.initcap(F.col("p_type")), F.lit(" Goods</div></div></body></html>"),
     )
-    return j.select(F.col("job_id").cast("bigint").alias("page_id"), job_page_url().alias("url"), html.alias("html"))
+    return _spread_pages(j.select(F.col("job_id").cast("bigint").alias("page_id"), job_page_url().alias("url"), html.alias("html")))
 
 
 def generic_link_pages(spark, sf_dir) -> DataFrame:

@@ -31,8 +31,22 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return df.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
 
 
+def spread(pages: DataFrame) -> DataFrame:
+    """Spread few large files over the cluster before the CPU-heavy shred.
+
+    Parsing and extraction cost CPU per byte, so a crawl stored in fewer
+    splits than the cluster has cores would run on a few cores.  Only then is
+    the input repartitioned (a shuffle bounded by that small split count);
+    a large crawl already arrives in thousands of splits and is left alone.
+    """
+    par = pages.sparkSession.sparkContext.defaultParallelism
+    if pages.rdd.getNumPartitions() < par:
+        return pages.repartition(2 * par)
+    return pages
+
+
 def table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_pages(spark, os.path.join(sf_dir, "pages.parquet"))
+    return spread(read_pages(spark, os.path.join(sf_dir, "pages.parquet")))
 
 
 def usable_pages(pages: DataFrame) -> DataFrame:

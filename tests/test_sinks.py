@@ -75,3 +75,21 @@ def test_summary_and_preview(spark):
     s = R.summary(df).first()
     assert (s.total_entries, s.companies, s.job_roles, s.sources) == (16, 3, 2, "A, B")
     assert [r.pos for r in R.preview(df, 3).collect()] == [0, 1, 2]
+
+
+def test_output_name_and_fanout(spark):
+    """O-S20 name, O-K4 fan-out: one checkpointed input, sheet CSV + JSON documents written and read back."""
+    import re as _re
+
+    from jobsift.functions import text as T
+
+    name = spark.range(1).select(T.output_name(F.lit("Indeed, Naukri!")).alias("n")).first().n
+    assert _re.fullmatch(r"jobs_Indeed Naukri_\d{8}_\d{6}", name)
+    df = jobs(spark, [dict(pos=i, company=f"Co{i}", job_role="Dev", description=f"desc {i}", source="Generic") for i in range(1, 4)])
+    root = tempfile.mkdtemp(prefix="jobsift-export-")
+    out = K.export(df, os.path.join(root, "sheet"), os.path.join(root, "json"))
+    assert out["rows"] == 3
+    sheet = K.read_csv(spark, os.path.join(root, "sheet")).orderBy(F.col("S.No").cast("int")).collect()
+    assert [r["Company Name"] for r in sheet] == ["Co1", "Co2", "Co3"]
+    docs = spark.read.json(os.path.join(root, "json"))
+    assert docs.count() == 3 and "requiredSkills" in docs.columns

@@ -42,3 +42,23 @@ def test_page_stream_extracts(spark):
     batch_nodes = ST.stream_nodes(pages)
     batch = explode_jobs(batch_nodes, G.generic_jobs(G.heuristic_items(F.col("buf"), F.col("nodes")))).count()
     assert streamed == batch > 0
+
+
+def test_running_status_complete_mode(spark):
+    """O-T3: running counts per source over a stream."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source")
+    landing = ST.land_documents(spark, docs, files=4)
+    stream = spark.readStream.schema(docs.schema).parquet(landing)
+    ST.run_available(ST.running_status(stream, "lang"), "t_status", mode="complete")
+    got = {r.lang: r.n for r in spark.table("t_status").collect()}
+    want = {r.lang: r["count"] for r in docs.groupBy("lang").count().collect()}
+    assert got == want
+
+
+def test_cross_run_seen_table(spark):
+    """O-D4 across runs: keys written after run 1 remove rows of run 2."""
+    run1 = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "page_id long, pos int, fp string")
+    run2 = spark.createDataFrame([(2, 1, "b"), (2, 2, "c"), (2, 3, "c")], "page_id long, pos int, fp string")
+    seen = dedup.seen_rows(dedup.first_per_key(run1, "fp", ["page_id", "pos"]), "fp", "page_id", "run-1")
+    kept = dedup.cross_run(run2, seen.withColumnRenamed("fingerprint", "fp"), "fp", ["page_id", "pos"])
+    assert sorted((r.page_id, r.pos) for r in kept.collect()) == [(2, 2)]
