@@ -51,6 +51,19 @@ def js_trim(x) -> Column:
     return F.regexp_replace(_c(x), f"^{JWS}+|{JWS}+$", "")
 
 
+def sql_re(pattern: str) -> str:
+    """A Java regex as a Spark SQL string literal."""
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def clean_sql(x: str) -> str:
+    return f"trim(regexp_replace(coalesce({x}, ''), {sql_re(WS + '+')}, ' '))"
+
+
+def js_trim_sql(x: str) -> str:
+    return f"regexp_replace({x}, {sql_re('^' + JWS + '+|' + JWS + '+$')}, '')"
+
+
 # --------------------------------------------------------------------------
 # O-S1 clean text
 # --------------------------------------------------------------------------

@@ -8,6 +8,8 @@ follow the DOM definitions: ``textContent`` (all text, trimmed) and
 
 from __future__ import annotations
 
+from .memo import cached_column
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,9 @@ def _tc(buf: Column, n: Column) -> Column:
 
 def find_text(buf: Column, nodes: Column, selectors) -> Column:
     """The extension's ``find``: first selector whose first element has non-empty trimmed text."""
+    if S.is_top_pair(buf, nodes):
+        parts = [f"nullif(coalesce({T.js_trim_sql(S.text_sql(S.node_sql(s)))}, ''), '')" for s in selectors]
+        return F.expr("coalesce(" + ", ".join(parts) + ", '')")
     return first_nonempty_text(*[_tc(buf, S.select_one(nodes, s)) for s in selectors])
 
 
@@ -83,6 +88,7 @@ def stripped_inner_text(buf: Column, nodes: Column, root: Column, boiler_css: st
     return F.when(root.isNull(), F.lit("")).otherwise(T.js_trim(text))
 
 
+@cached_column
 def naukri_job_page(url: Column, buf: Column, nodes: Column) -> Column:
     """O-X19: the full Naukri job-page record (with sentinels for a missing company / role)."""
     company = find_text(buf, nodes, NAUKRI_COMPANY)
@@ -122,6 +128,7 @@ def naukri_job_page(url: Column, buf: Column, nodes: Column) -> Column:
     ))
 
 
+@cached_column
 def generic_job_page(url: Column, buf: Column, nodes: Column) -> Column:
     """O-X20: company, role, description, location, experience."""
     return job(
@@ -182,6 +189,7 @@ def _distinct_by_url(links: Column) -> Column:
     return let(F.array_sort(tagged), body)
 
 
+@cached_column
 def naukri_links(url: Column, buf: Column, nodes: Column) -> Column:
     """O-X16: distinct ``/job-listings`` links with the company of their card (or nearby text)."""
     anchors = S.select_all(nodes, 'a[href*="/job-listings"]')
@@ -231,6 +239,7 @@ GENERIC_LINK_CARDS = 'article, div[class*="card"], div[class*="result"], li[clas
 GENERIC_LINK_ANCHOR = 'a[href*="/job"], a[href*="/career"], a[href*="/position"]'
 
 
+@cached_column
 def generic_links(url: Column, buf: Column, nodes: Column) -> Column:
     """O-X17: one link per card; else every job-like link with text of 3–199 chars."""
     cards = S.select_all(nodes, GENERIC_LINK_CARDS)
@@ -247,6 +256,7 @@ def generic_links(url: Column, buf: Column, nodes: Column) -> Column:
     return let(primary, lambda p: F.when(F.size(p) > 0, p).otherwise(fallback))
 
 
+@cached_column
 def script_links(buf: Column, nodes: Column) -> Column:
     """O-X18: cards need ≥ 2 hits; first unseen ``/job-listings`` link per card; company[:80], title[:120]."""
     sels = ['div[class*="jobTuple"]', ".job-tuple", "article", 'div[class*="card"]']
@@ -278,6 +288,7 @@ def script_links(buf: Column, nodes: Column) -> Column:
         F.when(x["href"].startswith("http"), x["href"]).otherwise(F.concat(F.lit(K.NAUKRI_BASE_URL), x["href"])), x["company"], x["role"]))
 
 
+@cached_column
 def script_job_page(buf: Column, nodes: Column) -> Column:
     """O-X22: company[:100], role[:120], description length, first 15 skills; '[MISSING]' defaults."""
     def first_el(sels, n):
@@ -297,6 +308,7 @@ def script_job_page(buf: Column, nodes: Column) -> Column:
     )
 
 
+@cached_column
 def scrape_page(url: Column, buf: Column, nodes: Column) -> Column:
     """The content script on one page: page type, accepted job data, job links (O-C13)."""
     site = C.extension_site(url)

@@ -15,6 +15,8 @@ run-wide dedup, which is a window over all pages (see ``plans``).
 
 from __future__ import annotations
 
+from .memo import cached_column
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -267,11 +269,13 @@ def strategy_items(buf: Column, nodes: Column, name: str, custom: dict | None =
     raise ValueError(name)
 
 
+@cached_column
 def heuristic_items(buf: Column, nodes: Column, custom: dict | None = None, strategies=STRATEGIES) -> Column:
     """O-X5: the first strategy that yields any item supplies all of them."""
     return first_nonempty(*[strategy_items(buf, nodes, s, custom) for s in strategies])
 
 
+@cached_column
 def generic_jobs(items: Column) -> Column:
     """O-X6 per item: strip, drop short / navigation companies, defaults and bullets.
 

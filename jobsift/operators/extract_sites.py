@@ -7,6 +7,8 @@ only run for pages without cards.
 
 from __future__ import annotations
 
+from .memo import cached_column
+
 import re
 
 from pyspark.sql import Column
@@ -35,6 +37,10 @@ def _txt(buf: Column, n: Column) -> Column:
 
 def _cascade_text(buf, nodes, selectors, sep: str | None = None) -> Column:
     """O-H6: first selector whose first element has non-blank text → cleaned text."""
+    if S.is_top_pair(buf, nodes):
+        mode = "text" if sep is None else "sep"
+        parts = [f"nullif({T.clean_sql(S.text_sql(S.node_sql(s), mode, sep or ''))}, '')" for s in selectors]
+        return F.expr("coalesce(" + ", ".join(parts) + ", '')")
     outs = []
     for sel in selectors:
         el = S.select_one(nodes, sel)
@@ -116,6 +122,7 @@ def _single(title, company, desc, d_company, d_role, d_desc, source) -> Column:
     return let(F.struct(title.alias("t"), company.alias("c"), desc.alias("d")), body)
 
 
+@cached_column
 def indeed_jobs(url: Column, buf: Column, nodes: Column) -> Column:
     """O-X11: single-job URL or no cards → single page; else one row per card."""
     return F.when(U.is_single_job_url(url, "Indeed"), indeed_single(buf, nodes)).otherwise(
@@ -185,6 +192,7 @@ def linkedin_single(buf: Column, nodes: Column) -> Column:
     return _single(title, company, desc, K.LINKEDIN_SINGLE_COMPANY, K.DEFAULT_ROLE_ENGINEER, K.LINKEDIN_SINGLE_DESCRIPTION, "LinkedIn")
 
 
+@cached_column
 def linkedin_jobs(url: Column, buf: Column, nodes: Column) -> Column:
     return F.when(U.is_single_job_url(url, "LinkedIn"), linkedin_single(buf, nodes)).otherwise(
         let(linkedin_cards(nodes), lambda cs: F.when(F.size(cs) == 0, linkedin_single(buf, nodes)).otherwise(
@@ -266,6 +274,7 @@ def naukri_single(buf: Column, nodes: Column) -> Column:
     return let(F.struct(title.alias("t"), company.alias("c"), desc.alias("d")), body)
 
 
+@cached_column
 def naukri_jobs(buf: Column, nodes: Column, prefer: str = "single", max_jobs: int = 50) -> Column:
     """O-X14: single page first (the reference rule) or cards first; capped at ``max_jobs`` (O-L2)."""
     cards = F.transform(naukri_cards(nodes), lambda c: naukri_card(buf, nodes, c))

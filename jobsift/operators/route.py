@@ -7,6 +7,8 @@ mixed crawl is processed in a single pass with no per-source scans.
 
 from __future__ import annotations
 
+from .memo import cached_column
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,7 @@ REGISTRY = {
 }
 
 
+@cached_column
 def routed_items(url: Column, buf: Column, nodes: Column, source: Column) -> Column:
     out = REGISTRY["Generic"](url, buf, nodes)
     for name in ("Naukri", "LinkedIn", "Indeed"):

@@ -169,6 +169,113 @@ def nodes_type_hint(nodes: Column) -> str:
     return f"array<struct<{NODE_DDL}>>"
 
 
+# ---------------------------------------------------------------------------
+# SQL-text fast path for page-level selection over the top-level ``nodes``
+# column: one ``expr`` call instead of dozens of Column round trips.
+# ---------------------------------------------------------------------------
+def sql_str(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _is_top(nodes: Column) -> bool:
+    return str(nodes) == "Column<'nodes'>"
+
+
+def _attr_sql(v: str, name: str) -> str:
+    if name == "class":
+        return f"CASE WHEN map_contains_key({v}.attrs, 'class') THEN {v}.cls END"
+    return f"try_element_at({v}.attrs, {sql_str(name)})"
+
+
+def _compound_sql(c: Compound, v: str) -> str:
+    preds = []
+    if c.tag:
+        preds.append(f"{v}.tag = {sql_str(c.tag)}")
+    for k in c.classes:
+        preds.append(f"instr(concat(' ', {v}.cls, ' '), {sql_str(' ' + k + ' ')}) > 0")
+    for i in c.ids:
+        preds.append(f"{_attr_sql(v, 'id')} = {sql_str(i)}")
+    for name, op, val in c.attrs:
+        a = _attr_sql(v, name)
+        if op is None:
+            preds.append(f"map_contains_key({v}.attrs, {sql_str(name)})")
+        elif op == "=":
+            preds.append(f"{a} = {sql_str(val)}")
+        elif val == "":
+            preds.append("false")
+        elif op == "*=":
+            preds.append(f"instr({a}, {sql_str(val)}) > 0")
+        elif op == "^=":
+            preds.append(f"startswith({a}, {sql_str(val)})")
+        elif op == "$=":
+            preds.append(f"endswith({a}, {sql_str(val)})")
+        elif op == "~=":
+            preds.append(f"array_contains(split(trim({a}), ' +'), {sql_str(val)})")
+        elif op == "|=":
+            preds.append(f"({a} = {sql_str(val)} OR startswith({a}, {sql_str(val + '-')}))")
+    if c.nth is not None:
+        preds.append(f"{v}.sib = {c.nth}")
+    return "coalesce(" + (" AND ".join(f"({p})" for p in preds) if preds else "true") + ", false)"
+
+
+def _chain_sql(chain, v: str, depth: int = 0) -> str:
+    comb, last = chain[-1]
+    pred = _compound_sql(last, v)
+    if len(chain) == 1:
+        return pred
+    rest = chain[:-1]
+    if comb == ">":
+        return f"({pred} AND coalesce({_chain_sql(rest, f'get(nodes, {v}.parent)', depth + 1)}, false))"
+    a = f"a{depth}"
+    return f"({pred} AND exists(nodes, {a} -> {a}.pre < {v}.pre AND {v}.pre <= {a}.last AND {_chain_sql(rest, a, depth + 1)}))"
+
+
+def matches_sql(css: str, v: str) -> str:
+    return "(" + " OR ".join(_chain_sql(ch, v) for ch in parse(css)) + ")"
+
+
+def _find_sql(v: str, tags=None, cls_re=None, attrs=None, ignore_case=False) -> str:
+    flag = "(?i)" if ignore_case else ""
+    p = ["true"]
+    if tags:
+        tags = [tags] if isinstance(tags, str) else list(tags)
+        p.append(f"{v}.tag IN ({', '.join(sql_str(t) for t in tags)})")
+    if cls_re is not None:
+        p.append(f"map_contains_key({v}.attrs, 'class') AND {v}.cls RLIKE {sql_str(flag + cls_re)}")
+    for k, val in (attrs or {}).items():
+        if val is True:
+            p.append(f"map_contains_key({v}.attrs, {sql_str(k)})")
+        else:
+            p.append(f"coalesce({_attr_sql(v, k)} RLIKE {sql_str(flag + val)}, false)")
+    return " AND ".join(f"({x})" for x in p)
+
+
+def node_sql(css: str) -> str:
+    """SQL: first page-level match of ``css`` (NULL if none)."""
+    return f"get(filter(nodes, n0 -> {matches_sql(css, 'n0')}), 0)"
+
+
+def raw_text_sql(node: str) -> str:
+    """SQL: the node's slice of ``buf`` (node bound once through a one-element transform)."""
+    return f"get(transform(array({node}), m -> CASE WHEN m IS NULL THEN NULL ELSE substring(buf, m.t0 + 1, greatest(m.t1 - m.t0, 0)) END), 0)"
+
+
+def text_sql(node: str, mode: str = "text", sep: str = "") -> str:
+    """SQL: ``textContent`` (``text``), ``get_text(sep)`` (``sep``) or ``innerText`` (``inner``)."""
+    raw = raw_text_sql(node)
+    if mode == "text":
+        return f"translate({raw}, concat(chr(0), chr(1)), '')"
+    if mode == "sep":
+        return f"regexp_replace({raw}, '[\\\\x00\\\\x01]', {sql_str(sep)})"
+    if mode == "inner":
+        return f"translate({raw}, concat(chr(1), chr(0)), chr(10))"
+    raise ValueError(mode)
+
+
+def is_top_pair(buf: Column, nodes: Column) -> bool:
+    return _is_top(nodes) and str(buf) == "Column<'buf'>"
+
+
 def _simple_descendant(chain) -> bool:
     return len(chain) == 2 and chain[1][0] == " "
 
@@ -180,6 +287,8 @@ def select_all(nodes: Column, css: str, scope: Column | None = None) -> Column:
     per page (bound with ``let``), so the containment test is
     O(|B| × |A|) instead of O(|B| × nodes).
     """
+    if scope is None and _is_top(nodes):
+        return F.expr(f"filter(nodes, n0 -> {matches_sql(css, 'n0')})")
     src = nodes if scope is None else subtree(nodes, scope)
     groups = parse(css)
     if not any(_simple_descendant(ch) for ch in groups):
@@ -243,6 +352,8 @@ def find_pred(n: Column, tags=None, cls_re: str | None = None, attrs: dict | Non
 
 
 def find_all(nodes: Column, tags=None, cls_re=None, attrs=None, ignore_case=False, scope: Column | None = None) -> Column:
+    if scope is None and _is_top(nodes):
+        return F.expr(f"filter(nodes, n0 -> {_find_sql('n0', tags, cls_re, attrs, ignore_case)})")
     src = nodes if scope is None else subtree(nodes, scope)
     return F.filter(src, lambda n: find_pred(n, tags, cls_re, attrs, ignore_case))
 

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import dedup
 from ..session import read_table
+from ..sources.pages import spread
 
 
 def _docs(spark, sf_dir) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    """Documents, column-pruned; few large splits are spread over the cores (regex work is CPU-bound)."""
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
 def _explode(df: DataFrame, key: str, arr, name: str) -> DataFrame:
