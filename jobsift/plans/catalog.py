@@ -66,6 +66,7 @@ QUERIES = {
     "script_job_page": eq.q_script_job_page,
     "enrich_links": eq.q_enrich_links,
     "enrich_errors": eq.q_enrich_errors,
+    "extension_page_types": eq.q_extension_page_types,
     "stream_dedup": sq.q_stream_dedup,
     "upgrade_longest": sq.q_upgrade_longest,
     "stream_upgrade": sq.q_stream_upgrade,

@@ -629,3 +629,10 @@ ROUTED_SQL = {
         f"SELECT *, {export_desc('description', 'description_bullets', 'job_role', 'company')} AS d FROM ({NAUKRI_RUN})))) WHERE rk = 1"
     ),
 }
+
+EXTENSION_SQL["extension_page_types"] = (
+    "SELECT CAST(s_suppkey * 2 AS BIGINT) AS page_id, 'listing-with-links' AS page_type, CAST(count(*) AS INTEGER) AS n_links, 0 AS n_data "
+    f"FROM ({LISTING_JOBS}) GROUP BY s_suppkey UNION ALL "
+    "SELECT CAST(job_id * 2 + 1 AS BIGINT), 'job', 0, 1 "
+    f"FROM ({LISTING_JOBS}) WHERE p_size >= 10"
+)
