@@ -309,10 +309,16 @@ def script_job_page(buf: Column, nodes: Column) -> Column:
 
 
 @cached_column
-def scrape_page(url: Column, buf: Column, nodes: Column) -> Column:
-    """The content script on one page: page type, accepted job data, job links (O-C13)."""
+def scrape_page(url: Column, buf: Column, nodes: Column, with_links: bool = True) -> Column:
+    """The content script on one page: page type, accepted job data, job links (O-C13).
+
+    ``with_links=False`` leaves link extraction out of the expression (for
+    runs that only keep job data); a listing page then reports ``listing``.
+    """
     site = C.extension_site(url)
-    links = F.when(site == "naukri", naukri_links(url, buf, nodes)).otherwise(generic_links(url, buf, nodes))
+    empty = F.filter(F.array(_link(F.lit(""), F.lit(""), F.lit(""))), lambda x: F.lit(False))
+    links = (F.when(site == "naukri", naukri_links(url, buf, nodes)).otherwise(generic_links(url, buf, nodes))
+             if with_links else empty)
     is_job = F.when(site == "naukri", C.naukri_is_job(nodes, url)).otherwise(C.generic_is_job(nodes))
     is_listing = F.when(site == "naukri", C.naukri_is_listing(nodes, url)).otherwise(C.generic_is_listing(nodes))
     data = F.when(site == "naukri", naukri_job_page(url, buf, nodes)).otherwise(generic_job_page(url, buf, nodes))

@@ -33,7 +33,7 @@ def q_script_links(spark, sf_dir):
 def job_page_records(spark, sf_dir):
     """Content script over every crawled job page; accepted records only (one per url)."""
     nodes = shred_pages(L.naukri_job_pages(spark, sf_dir))
-    scraped = nodes.select("page_id", "url", X.scrape_page(F.col(U), F.col(B), F.col(N)).alias("r"))
+    scraped = nodes.select("page_id", "url", X.scrape_page(F.col(U), F.col(B), F.col(N), with_links=False).alias("r"))
     rec = scraped.select("page_id", "url", "r.page_type", F.explode_outer("r.data").alias("d")).where(F.col("d").isNotNull())
     return rec.select("page_id", "url", "page_type", "d.*").drop("link")
 

@@ -82,8 +82,10 @@ def _pages(jobs: DataFrame, card: Column, url: Column, head: str = "", tail: str
 def _spread_pages(pages: DataFrame) -> DataFrame:
     """Give the CPU-heavy page set at least two tasks per core: an explicit
     partition count, which AQE does not coalesce away for small inputs."""
-    par = pages.sparkSession.sparkContext.defaultParallelism
-    return pages.repartition(max(2 * par, pages.rdd.getNumPartitions()))
+    spark = pages.sparkSession
+    par = spark.sparkContext.defaultParallelism
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return pages.repartition(max(2 * par, shuffle))
 
 
 def indeed_pages(spark, sf_dir) -> DataFrame:

@@ -89,7 +89,7 @@ def test_output_name_and_fanout(spark):
     root = tempfile.mkdtemp(prefix="jobsift-export-")
     out = K.export(df, os.path.join(root, "sheet"), os.path.join(root, "json"))
     assert out["rows"] == 3
-    sheet = K.read_csv(spark, os.path.join(root, "sheet")).orderBy(F.col("S.No").cast("int")).collect()
+    sheet = K.read_csv(spark, os.path.join(root, "sheet")).orderBy(F.col("`S.No`").cast("int")).collect()
     assert [r["Company Name"] for r in sheet] == ["Co1", "Co2", "Co3"]
     docs = spark.read.json(os.path.join(root, "json"))
     assert docs.count() == 3 and "requiredSkills" in docs.columns
