@@ -24,7 +24,7 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     elif fmt == "json":
         df = spark.read.schema("page_id BIGINT, url STRING, html STRING").json(path)
     elif fmt == "html":
-        raw = spark.read.option("wholetext", True).text(path).select(F.col("value").alias("html"), F.input_file_name().alias("url"))
+        raw = spark.read.text(path, wholetext=True).select(F.col("value").alias("html"), F.input_file_name().alias("url"))
         df = raw.select(F.xxhash64("url").alias("page_id"), "url", "html")
     else:
         raise ValueError(f"unknown page format {fmt!r}")
@@ -61,3 +61,19 @@ def shred_pages(pages: DataFrame) -> DataFrame:
 def write_nodes(nodes: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Persist the silver node table; readers get column pruning on ``buf``/``nodes``."""
     nodes.write.mode(mode).parquet(path)
+
+
+def read_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """Read a silver node table written by :func:`write_nodes`."""
+    return spark.read.parquet(path)
+
+
+def shred_to_silver(pages: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
+    """Job 1 of a run: URL / length rules → shred → parquet; returns the stored table.
+
+    Extractors then read ``path`` (column-pruned to ``url, buf, nodes``), so
+    the Python step runs once per page however many extractors follow, and a
+    lost executor never re-parses HTML for a later stage.
+    """
+    write_nodes(shred_pages(spread(pages)), path, mode)
+    return read_nodes(pages.sparkSession, path)
