@@ -30,7 +30,10 @@ def cached_column(fn):
     @functools.wraps(fn)
     def wrapper(*args, **kwargs):
         sc = SparkContext._active_spark_context
-        key = (fn.__module__, fn.__qualname__, id(sc), tuple(_key_part(a) for a in args),
+        if sc is None:
+            return fn(*args, **kwargs)
+        # application id + start time: unique per context, unlike id() after a restart
+        key = (fn.__module__, fn.__qualname__, sc.applicationId, sc.startTime, tuple(_key_part(a) for a in args),
                tuple(sorted((k, _key_part(v)) for k, v in kwargs.items())))
         hit = _CACHE.get(key)
         if hit is None:

@@ -48,6 +48,7 @@ QUERIES = {
     "extract_linkedin": xq.q_extract_linkedin,
     "extract_naukri": xq.q_extract_naukri,
     "naukri_single": xq.q_naukri_single,
+    "site_outcomes": xq.q_site_outcomes,
     "extract_jsonld": gq.q_extract_jsonld,
     "extract_tables": gq.q_extract_tables,
     "extract_cards": gq.q_extract_cards,

@@ -55,3 +55,25 @@ def q_naukri_single(spark, sf_dir):
     """The reference rule (single page first) on the same listing pages."""
     jobs = dedup_role_company(site_jobs(L.naukri_pages(spark, sf_dir), "Naukri", prefer="single"))
     return flat(jobs, NAUKRI_COLS)
+
+
+INDEED_EMPTY = "No job cards extracted from Indeed page."
+LINKEDIN_EMPTY = "No job listings extracted from search page."
+
+
+def q_site_outcomes(spark, sf_dir):
+    """O-A2 for the Indeed and LinkedIn runs: cards found, rows kept after the run-wide dedup."""
+    from ..operators import report as R
+
+    out = None
+    for k, (builder, site, found_fn, msg) in enumerate([
+        (L.indeed_pages, "Indeed", X.indeed_found, INDEED_EMPTY),
+        (L.linkedin_pages, "LinkedIn", X.linkedin_found, LINKEDIN_EMPTY),
+    ]):
+        pages = builder(spark, sf_dir).select((F.col("page_id") * 2 + k).alias("page_id"), "url", "html")
+        nodes = shred_pages(pages)
+        found = nodes.select("page_id", found_fn(F.col("url"), F.col("nodes")).alias("total_found"))
+        kept = dedup_role_company(site_jobs(pages, site))
+        o = R.outcomes(pages, found, kept, site, msg)
+        out = o if out is None else out.unionByName(o)
+    return out

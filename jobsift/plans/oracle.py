@@ -636,3 +636,21 @@ EXTENSION_SQL["extension_page_types"] = (
     "SELECT CAST(job_id * 2 + 1 AS BIGINT), 'job', 0, 1 "
     f"FROM ({LISTING_JOBS}) WHERE p_size >= 10"
 )
+
+
+def _site_outcome(rows_sql: str, k: int, site: str, msg: str) -> str:
+    kept = dedup_rc(rows_sql, "page_id, pos")
+    return (
+        f"SELECT CAST(f.page_id * 2 + {k} AS BIGINT) AS page_id, {lit(site)} AS source, coalesce(n, 0) > 0 AS success, "
+        "CAST(f.total_found AS INTEGER) AS total_found, CAST(coalesce(n, 0) AS INTEGER) AS total_new, "
+        f"CASE WHEN coalesce(n, 0) > 0 THEN '' ELSE {lit(msg)} END AS error_message FROM "
+        f"(SELECT s_suppkey AS page_id, count(*) AS total_found FROM ({LISTING_JOBS}) GROUP BY s_suppkey) f "
+        f"LEFT JOIN (SELECT page_id, count(*) AS n FROM ({kept}) GROUP BY page_id) k ON f.page_id = k.page_id"
+    )
+
+
+EXTRACT_SQL["site_outcomes"] = (
+    _site_outcome(card_site_rows("Job posting for ", K.INDEED_CARD_COMPANY, "''"), 0, "Indeed", "No job cards extracted from Indeed page.")
+    + " UNION ALL "
+    + _site_outcome(card_site_rows("Job posting position for ", K.LINKEDIN_CARD_COMPANY, "''"), 1, "LinkedIn", "No job listings extracted from search page.")
+)

@@ -104,3 +104,19 @@ def test_linkedin_f16(spark):
     r = items(spark, html, X.linkedin_jobs, url="https://www.linkedin.com/jobs/search")
     assert (r[0].company, r[0].job_role, r[0].description, r[0].link, r[0].location) == (
         "LinkedIn Hiring Org", "ML Eng", "Job posting position for ML Eng at company.", "https://www.linkedin.com/jobs/view/5", "Remote")
+
+
+def test_routing_forced_and_auto(spark):
+    """O-C9: Auto-Detect routes by URL; a forced source applies one extractor to every page."""
+    from jobsift.operators import route
+    from jobsift.sources.shred import shred
+
+    html = pad('<div class="job_seen_beacon"><h2 class="jobTitle"><span>Dev</span></h2><span class="companyName">Acme</span></div>'
+               '<div class="card"><h3 class="company-name">Globex Corp</h3><span class="title">ops lead</span></div>')
+    pages = pages_df(spark, [(1, "https://www.indeed.com/jobs?q=a", html), (2, "https://other.example/jobs", html)])
+    nodes = shred(pages)
+    auto = {(r.page_id, r.source, r.company) for r in route.run_routed(nodes).collect()}
+    assert auto == {(1, "Indeed", "Acme"), (2, "Generic", "Globex Corp")}
+    forced = {(r.page_id, r.source) for r in route.run_routed(nodes, source="Indeed").collect()}
+    # one shared seen-set: the second page's Indeed row repeats role+company and is dropped
+    assert forced == {(1, "Indeed")}
