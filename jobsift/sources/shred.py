@@ -17,15 +17,19 @@ attrs, t0, t1>>`` in document (pre-)order:
 Script and style contents are not page text; the body of a JSON-LD script is
 kept in ``attrs['#text']``.
 
-The tokenizer is the standard library ``html.parser`` with HTML's implied
-end tags (``p`` closed by block starts, ``li``/``dt``/``dd``/``tr``/``td``/
-``th``/``option`` closed by a sibling start) and void elements.  This is the
-only per-row Python on the data path; it runs through ``mapInArrow`` in
-Arrow batches, and Spark spreads the pages over all executors.
+Tokens come from a single-regex tokenizer with the semantics of the
+standard library ``html.parser`` (which stays selectable and is the test
+reference); the tree applies HTML's implied end tags (``p`` closed by block
+starts, ``li``/``dt``/``dd``/``tr``/``td``/``th``/``option`` closed by a
+sibling start) and void elements.  This is the only per-row Python on the
+data path; it runs through ``mapInArrow`` in Arrow batches, and Spark
+spreads the pages over all executors.
 """
 
 from __future__ import annotations
 
+import re
+from html import unescape
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -174,20 +178,89 @@ class _Shredder(HTMLParser):
         self.blen += len(data)
         self.pending_block = False
 
-    def finish(self):
-        self.close()
+    def finish(self, close: bool = True):
+        if close:
+            self.close()
         self._pop_through(0)
         return "".join(self.buf), self.nodes
 
 
-def shred_one(html: str | None):
-    """Parse one document → (buf, nodes as row lists, error)."""
+# ---------------------------------------------------------------------------
+# Tokenizer: one regex pass over the markup (about 3x faster than html.parser
+# on the supplied pages), feeding the same tree-building rules.  Semantics
+# follow html.parser with convert_charrefs=True: lower-cased tag / attribute
+# names, entity-decoded text and attribute values, raw script/style bodies,
+# comments / declarations / processing instructions skipped.  A stray "<"
+# stays inside its text node (html.parser would split it into its own chunk).
+# ---------------------------------------------------------------------------
+_TOKEN = re.compile(
+    r"<(?:!--.*?--!?>|(/?)([a-zA-Z][^\t\n\f\r />\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|![^>]*>|\?[^>]*>)",
+    re.S,
+)
+_ATTR = re.compile(r"""([^\t\n\f\r /=>][^\t\n\f\r /=>]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\t\n\f\r >]*))?""")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\t\n\f\r />])[^>]*>", re.I) for t in RAW}
+
+
+def _attrs(text: str):
+    out = []
+    for k, v in _ATTR.findall(text):
+        if v and v[0] in "\"'" and v[-1:] == v[0] and len(v) >= 2:
+            v = v[1:-1]
+        out.append((k.lower(), unescape(v) if "&" in v else v))
+    return out
+
+
+def _fast_feed(p: "_Shredder", doc: str) -> None:
+    pos, n = 0, len(doc)
+    search = _TOKEN.search
+    while pos < n:
+        m = search(doc, pos)
+        if m is None:
+            p.handle_data(unescape(doc[pos:]))
+            break
+        if m.start() > pos:
+            text = doc[pos:m.start()]
+            p.handle_data(unescape(text) if "&" in text else text)
+        pos = m.end()
+        tag = m.group(2)
+        if tag is None:
+            continue  # comment, declaration, processing instruction
+        tag = tag.lower()
+        if m.group(1):
+            p.handle_endtag(tag)
+            continue
+        rest = m.group(3) or ""
+        self_closing = rest.rstrip().endswith("/")
+        attrs = _attrs(rest.rstrip()[:-1] if self_closing else rest)
+        if self_closing:
+            p.handle_startendtag(tag, attrs)
+            continue
+        p.handle_starttag(tag, attrs)
+        if tag in RAW:
+            e = _RAW_END[tag].search(doc, pos)
+            end = e.start() if e else n
+            if end > pos:
+                p.handle_data(doc[pos:end])
+            p.handle_endtag(tag)
+            pos = e.end() if e else n
+
+
+def shred_one(html: str | None, tokenizer: str = "fast"):
+    """Parse one document → (buf, nodes as row lists, error).
+
+    ``tokenizer="stdlib"`` uses ``html.parser`` (the reference behaviour the
+    fast tokenizer is tested against).
+    """
     if html is None:
         return "", [], "no html"
     p = _Shredder()
     try:
-        p.feed(html)
-        buf, nodes = p.finish()
+        if tokenizer == "fast":
+            _fast_feed(p, html)
+            buf, nodes = p.finish(close=False)
+        else:
+            p.feed(html)
+            buf, nodes = p.finish()
         return buf, nodes, None
     except Exception as e:  # keep the page, report the error in its row
         return "", [], f"{type(e).__name__}: {e}"
