@@ -310,7 +310,18 @@ def _shred_batches(batches):
         )
 
 
+def _ship_by_value() -> None:
+    """Serialize this module's functions by value: executors then need no
+    ``jobsift`` install (this module holds the only Python that runs there)."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def shred(pages: DataFrame) -> DataFrame:
     """Shred ``pages(page_id, url, html)``; filters on ``pages`` stay below this step."""
+    _ship_by_value()
     cols = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
     return cols.mapInArrow(_shred_batches, SHRED_DDL)
