@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
+from ..session import ensure_checkpoint_dir
 from .report import serial_number
 
 SHEET_HEADERS = [
@@ -138,6 +139,7 @@ def export(jobs: DataFrame, sheet_path: str, json_path: str, variant: str = "she
     ``jobs`` is checkpointed to the shared checkpoint folder first so both
     writes read it once and a lost executor does not recompute extraction.
     """
+    ensure_checkpoint_dir(jobs.sparkSession)
     base = jobs.checkpoint(eager=True)
     sheet_rows = sheet(base, variant=variant)
     write_csv(sheet_rows, sheet_path, SHEET_HEADERS if variant == "sheet" else ENGINE_SHEET_HEADERS, SHEET_COLS)
