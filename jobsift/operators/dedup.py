@@ -38,12 +38,6 @@ def first_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
-def mark_first(df: DataFrame, key: str, order: list[str], name: str = "is_new") -> DataFrame:
-    """Flag instead of drop (outcome counts need both)."""
-    w = Window.partitionBy(key).orderBy(*[F.col(c).asc() for c in order])
-    return df.withColumn(name, F.row_number().over(w) == 1)
-
-
 def cross_run(new: DataFrame, seen: DataFrame, key: str, order: list[str]) -> DataFrame:
     """O-D4: drop keys already in the ``seen`` table, then first per key in this run.
 

@@ -205,7 +205,7 @@ def _naukri_links(url, buf, nodes, anchors, cards_all):
         card_company = F.when(card.isNotNull(), _tc(buf, S.select_one(nodes, LINK_CARD_COMPANY, scope=card))).otherwise(F.lit(""))
         near = _near_company(buf, nodes, a)
         company = F.when(card_company != "", card_company).otherwise(near)
-        return _link(F.when(href.startswith("/"), F.concat(U.origin(url), href)).otherwise(href), company, _tc(buf, a))
+        return _link(U.absolutize(href, url), company, _tc(buf, a))
 
     primary = _distinct_by_url(F.transform(anchors, per_anchor))
     cards = S.select_all(nodes, 'div[class*="cust-job-tuple"], div[class*="sjw__tuple"], div[class*="jobTuple"], section[class*="job"], article[class*="job"]')

@@ -93,3 +93,16 @@ def test_output_name_and_fanout(spark):
     assert [r["Company Name"] for r in sheet] == ["Co1", "Co2", "Co3"]
     docs = spark.read.json(os.path.join(root, "json"))
     assert docs.count() == 3 and "requiredSkills" in docs.columns
+
+
+def test_more_count_distinct_urls_and_parquet(spark):
+    """O-L1 "n more", O-D5 first row per url across pages, Parquet sink read-back."""
+    from jobsift.operators import dedup
+
+    df = jobs(spark, [dict(pos=i, company=f"C{i}") for i in range(13)])
+    assert R.more_count(df).first().more == 3
+    links = spark.createDataFrame([(2, 1, "u1"), (1, 5, "u1"), (1, 6, "u2")], "page_id long, pos int, url string")
+    assert sorted((r.page_id, r.pos, r.url) for r in dedup.distinct_urls(links, ["page_id", "pos"]).collect()) == [(1, 5, "u1"), (1, 6, "u2")]
+    path = os.path.join(tempfile.mkdtemp(prefix="jobsift-pq-"), "jobs")
+    K.write_parquet(df, path)
+    assert spark.read.parquet(path).count() == 13
