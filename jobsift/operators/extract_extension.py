@@ -68,6 +68,19 @@ NAUKRI_SKILLS = [
 ]
 
 
+def stripped_inner_text_sql(root_css: str, boiler_css: str) -> str:
+    """SQL form of :func:`stripped_inner_text` for a page-level root selector."""
+    removed = f"filter(slice(nodes, r.pre + 2, r.last - r.pre), n9 -> {S.matches_sql(boiler_css, 'n9')})"
+    stitched = (
+        f"aggregate({removed}, named_struct('p', r.t0, 'out', ''), "
+        "(acc, n8) -> named_struct('p', greatest(acc.p, n8.t1), 'out', concat(acc.out, "
+        "CASE WHEN n8.t0 > acc.p THEN substring(buf, acc.p + 1, n8.t0 - acc.p) ELSE '' END)), "
+        "acc -> concat(acc.out, substring(buf, acc.p + 1, greatest(r.t1 - acc.p, 0))))"
+    )
+    text = f"regexp_replace(regexp_replace({stitched}, '[\\\\x00\\\\x01]*\\\\x01[\\\\x00\\\\x01]*', chr(10)), '\\\\x00+', '')"
+    return f"get(transform(array({S.node_sql(root_css)}), r -> CASE WHEN r IS NULL THEN '' ELSE {T.js_trim_sql(text)} END), 0)"
+
+
 def stripped_inner_text(buf: Column, nodes: Column, root: Column, boiler_css: str) -> Column:
     """O-H11: ``innerText`` of a clone of ``root`` with boilerplate subtrees removed.
 
@@ -101,9 +114,13 @@ def naukri_job_page(url: Column, buf: Column, nodes: Column) -> Column:
     def fallback_desc():
         css = find_text(buf, nodes, NAUKRI_CSS_DESC)
         main = S.select_one(nodes, MAIN_AREA)
-        main_text = stripped_inner_text(buf, nodes, main, BOILER)
         body = S.select_one(nodes, "body")
-        body_text = F.when(body.isNotNull(), stripped_inner_text(buf, nodes, body, BODY_BOILER)).otherwise(T.js_trim(S.page_inner_text(buf)))
+        if S.is_top_pair(buf, nodes):
+            main_text = F.expr(stripped_inner_text_sql(MAIN_AREA, BOILER))
+            body_text = F.when(body.isNotNull(), F.expr(stripped_inner_text_sql("body", BODY_BOILER))).otherwise(T.js_trim(S.page_inner_text(buf)))
+        else:
+            main_text = stripped_inner_text(buf, nodes, main, BOILER)
+            body_text = F.when(body.isNotNull(), stripped_inner_text(buf, nodes, body, BODY_BOILER)).otherwise(T.js_trim(S.page_inner_text(buf)))
         fb = let(main_text, lambda mt: F.when(main.isNotNull() & (F.length(mt) >= 100), mt).otherwise(body_text))
         return T.choose_description(css, fb)
 
