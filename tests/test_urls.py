@@ -49,3 +49,16 @@ def test_pagination_f20(spark):
     assert got[(rows[2][0], 1)] == "https://www.indeed.com/jobs?q=a&start=10"
     assert got[(rows[2][0], 2)] == "https://www.indeed.com/jobs?q=a&start=20"
     assert got[(rows[3][0], 0)] == "https://x.com/s" and got[(rows[3][0], 1)] is None
+
+
+def test_link_patterns_f10(spark):
+    """O-C14 + O-C15: one href per branch of the pattern rule, and the sample-link filter."""
+    from jobsift.operators import classify as C
+
+    hrefs = ["/job-listings-python-1", "/ai-jobs", "/python-jobs", "/Company/acme", "/about-us", "/a", "#top", "javascript:void(0)", ""]
+    df = spark.createDataFrame([(h,) for h in hrefs], "href string")
+    got = [tuple(r) for r in df.select(C.link_pattern("href"), C.sample_link("href")).collect()]
+    assert got == [
+        ("job-listings", True), ("filter-jobs", True), ("filter-jobs", True), ("company", True), ("other", True),
+        (None, True), (None, False), (None, False), (None, False),
+    ]
