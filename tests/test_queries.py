@@ -14,7 +14,8 @@ SF = "/root/testdata/sf0.001"
 SUBSET = [
     "clean_text", "bullets_base", "dedup_description", "dedup_role_company", "smart_trim", "pagination", "page_links",
     "link_histogram", "extract_indeed", "extract_naukri", "naukri_single", "heuristic_cascade", "export_sheet",
-    "export_json", "enrich_links", "enrich_errors", "upgrade_if_short",
+    "export_json", "enrich_links", "enrich_errors", "upgrade_if_short", "routed_run", "site_outcomes",
+    "extension_page_types", "sql_functions",
 ]
 NAMES = sorted(E.oracle_sql()) if os.environ.get("JOBSIFT_ALL_ORACLES") else SUBSET
 
