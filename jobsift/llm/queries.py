@@ -1,30 +1,80 @@
-"""Registered queries of the subpackage (name → callable(spark, sf_dir)) and their DuckDB SQL."""
+"""Registered queries of the subpackage (name → callable(spark, sf_dir))."""
 
 from __future__ import annotations
 
+import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, simhash
+from . import bpe, chat, exact, licenses, linededup, maintext, packing, pii, quality, simhash
 from .common import table
+from .oracle import ORACLE  # noqa: F401
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents")).select("doc_id", *pii.digest())
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op3_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = chat.format_pairs(chat.neighbours(table(spark, sf_dir, "conversations")))
+    return pairs.select(
+        *[c for c in pairs.columns if not c.endswith("_mask")],
+        chat.mask_text("chosen_mask").alias("chosen_mask"), chat.mask_text("rejected_mask").alias("rejected_mask"),
+    )
+
+
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document: characters, lines, and a digest of the text."""
+    docs = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(
+        "doc_id", F.length(text).cast("long").alias("n_chars"), F.when(text == "", 0).otherwise(F.size(F.split(text, "\n", -1))).cast("long").alias("n_lines"),
+        F.sha2(text, 256).alias("text_sha256"),
+    )
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents")).drop("lang", "source")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op7_exact_dedup, op9_simhash_near_dedup)}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(TOKENIZER)
+    coded = bpe.encode(table(spark, sf_dir, "documents"), path)
+    return coded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(bpe.decode_column("ids", path), 256).alias("decoded_sha256"),
+    )
+
 
-ORACLE = {
-    "op7_exact_dedup": r"""
-        WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS x FROM documents)
-        SELECT doc_id, min(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size,
-               doc_id IS NOT DISTINCT FROM min(doc_id) OVER (PARTITION BY x) AS kept, sha256(x) AS text_sha256
-        FROM t
-    """,
-}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pii, op2_packing, op3_preference_chat, op4_main_text, op5_license_scan, op6_line_dedup, op7_exact_dedup, op8_quality,
+        op9_simhash_near_dedup, op10_bpe,
+    )
+} | {"pipeline": corpus_pipeline.run}

@@ -1,0 +1,21 @@
+import pyarrow.parquet as pq
+import pytest
+from llm_tables import clashing, frame, odd_rows
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def documents():
+    """(doc_id, text, lang, source) rows of the supplied documents."""
+    return [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()]
+
+
+@pytest.fixture(scope="session")
+def odd(spark):
+    return clashing(frame(spark, odd_rows()))
+
+
+@pytest.fixture(scope="session")
+def empty(odd):
+    return odd.where("false")
