@@ -37,10 +37,11 @@ def _hash(*cols: Column, bits: int) -> Column:
 
 def _ranks(distinct: DataFrame, content: list[str], kept: Staged) -> DataFrame | None:
     """(h, content…, r) of the contents that share their hash with another one; None if there are none."""
-    shared = distinct.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    shared = kept.keep(distinct.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
+    if shared.isEmpty():  # as ever with 64 bits: the contents needn't move again
+        return None
     rank = F.row_number().over(Window.partitionBy("h").orderBy(*content)) - 1
-    ranks = kept.keep(distinct.join(shared, "h").withColumn("r", rank.cast("int")), "ranks")
-    return None if ranks.isEmpty() else ranks
+    return kept.keep(distinct.join(shared, "h").withColumn("r", rank.cast("int")), "ranks")
 
 
 def _named(rows: DataFrame, ranks: DataFrame, content: list[str]) -> DataFrame:

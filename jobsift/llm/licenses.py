@@ -63,16 +63,23 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def shingle_hashes(w: str = "w") -> Column:
-    parts = ", ".join(f"{w}[i + {j}]" for j in range(SHINGLE))
-    return F.expr(f"if(size({w}) < {SHINGLE}, array(), transform(sequence(0, size({w}) - {SHINGLE}), i -> xxhash64({parts})))")
+def shingle_hashes(w: Column) -> Column:
+    """Hash of each shingle.  The words are bound by a lambda first: an expression that the optimizer moves
+    into a filter would otherwise split the text again for every shingle."""
+
+    def of(x: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(x) - SHINGLE)
+        each = F.transform(at, lambda i: F.xxhash64(*[F.get(x, i + j) for j in range(SHINGLE)]))
+        return F.when(F.size(x) < SHINGLE, F.array().cast("array<bigint>")).otherwise(each)
+
+    return F.transform(F.array(w), of)[0]
 
 
 def template_table(spark: SparkSession, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """(template, license, t_shingles, n, scale, hashes); templates of under five words have nothing to match."""
     rows = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "template INT, license STRING, text STRING")
     rows = rows.withColumn("w", words(F.col("text"))).where(F.size("w") >= SHINGLE)
-    rows = rows.withColumn("t_shingles", F.array_distinct(shingle_texts("w"))).withColumn("hashes", F.array_distinct(shingle_hashes("w")))
+    rows = rows.withColumn("t_shingles", F.array_distinct(shingle_texts("w"))).withColumn("hashes", F.array_distinct(shingle_hashes(F.col("w"))))
     rows = rows.withColumn("n", F.size("t_shingles"))
     scale = f"if(size(w) = {SHINGLE}, 1, shiftleft(1, length(bin(size(w) - {SHINGLE}))))"  # least power of two >= positions
     return rows.withColumn("scale", F.expr(scale)).drop("text", "w")
@@ -102,8 +109,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataF
     if not by_scale:
         return docs.select("doc_id", F.lit(0).alias("template"), F.lit("").alias("license"), F.lit(0.0).alias("contained"), F.lit(0).alias("first_word")).where("false")
     every = F.array(*[F.lit(x) for x in sorted({x for h in by_scale.values() for x in h})])
-    read = docs.select("doc_id", words(text_or_empty()).alias("w")).withColumn("h", shingle_hashes())
-    read = read.where(F.arrays_overlap("h", every))
+    read = docs.select("doc_id", words(text_or_empty()).alias("w")).where(F.arrays_overlap(shingle_hashes(F.col("w")), every))
+    read = read.withColumn("h", shingle_hashes(F.col("w")))
 
     def windows(scale: int, hashes: list[int]) -> Column:
         """Windows of this scale that hold a shingle of a template of this scale."""
