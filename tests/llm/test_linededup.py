@@ -56,13 +56,13 @@ def variants(seed=3):
     for i in range(40):
         line = list(base)
         line[rng.randrange(60)] = word()
-        rows.append((100 + i, "\n".join([" ".join(line), word(), ""]), "en", "s"))
+        rows.append((1100 + i, "\n".join([" ".join(line), word(), ""]), "en", "s"))
     chain = list(base[::-1])
     for i in range(12):
         chain[5 * i % 60] = word()
-        rows.append((200 + i, " ".join(chain).upper(), "en", "s"))
+        rows.append((1200 + i, " ".join(chain).upper(), "en", "s"))
     half = " ".join(base[:30])
-    rows += [(300 + i, half + " " + " ".join(word() for _ in range(40)), "en", "s") for i in range(40)]
+    rows += [(1300 + i, half + " " + " ".join(word() for _ in range(40)), "en", "s") for i in range(40)]
     return rows
 
 
