@@ -38,7 +38,7 @@ MIN_GROUP = 100
 RATIOS = {
     "symbols": ("n_symbols", 1000, "n_words", 25),
     "dup_lines": ("n_dup_lines", 1000, "n_lines", 120),
-    "repeats": ("n_repeat_words", 1000, "n_words", 60),
+    "repeats": ("n_repeat_words", 1000, "n_words", 80),
     "upper": ("n_upper", 1000, "n_letters", 50),
     "punctuation": ("n_punctuation", 1000, "n_words", 100),
     "word_length": ("word_chars", 100, "n_words", 60),

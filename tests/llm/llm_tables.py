@@ -1,4 +1,7 @@
-"""Odd tables that every operator has to take."""
+"""Tables and fixtures of the operator tests: odd tables that every operator has to take."""
+
+import pyarrow.parquet as pq
+import pytest
 
 #: Columns whose names the operators use inside.
 CLASH = ["h", "t", "row", "key", "part", "names", "fp", "shard", "band", "raw", "ids", "spans", "r", "c", "kept", "component_id"]
@@ -31,3 +34,19 @@ def frame(spark, rows):
 
 def clashing(df):
     return df.selectExpr("*", *[f"'extra' AS {c}" for c in CLASH])
+
+
+@pytest.fixture(scope="session")
+def documents():
+    """(doc_id, text, lang, source) rows of the supplied documents."""
+    return [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()]
+
+
+@pytest.fixture(scope="session")
+def odd(spark):
+    return clashing(frame(spark, odd_rows()))
+
+
+@pytest.fixture(scope="session")
+def empty(odd):
+    return odd.where("false")

@@ -2,7 +2,7 @@ import hashlib
 import re
 
 import pytest
-from llm_tables import frame, odd_rows
+from llm_tables import documents, empty, frame, odd, odd_rows  # noqa: F401
 
 from jobsift.llm.exact import exact_dedup
 

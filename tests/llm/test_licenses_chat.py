@@ -1,4 +1,4 @@
-from llm_tables import frame, odd_rows
+from llm_tables import documents, empty, frame, odd, odd_rows  # noqa: F401
 
 from jobsift.llm import chat, licenses
 

@@ -1,6 +1,6 @@
 import random
 
-from llm_tables import frame, odd_rows
+from llm_tables import documents, empty, frame, odd, odd_rows  # noqa: F401
 
 from jobsift.llm import linededup as ld
 from jobsift.llm.common import Staged

@@ -3,7 +3,7 @@ import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from llm_tables import frame, odd_rows
+from llm_tables import documents, empty, frame, odd, odd_rows  # noqa: F401
 
 from jobsift.llm import pii
 

@@ -3,7 +3,7 @@
 import duckdb
 import public_tokenizers
 import pytest
-from llm_tables import clashing, frame, odd_rows
+from llm_tables import clashing, documents, frame, odd_rows  # noqa: F401
 from test_linededup import rebuilt
 from test_quality import brute as quality_brute
 from test_simhash import brute_components, brute_print

@@ -3,7 +3,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
-from llm_tables import frame, odd_rows
+from llm_tables import documents, empty, frame, odd, odd_rows  # noqa: F401
 
 from jobsift.llm import simhash
 
