@@ -55,6 +55,11 @@ class Staged:
         out._staged = self  # the table's owner lives as long as its frame
         return out
 
+    def adopt(self, derived: DataFrame, stored: DataFrame) -> None:
+        """``derived`` reads nothing but ``stored`` and is dropped with it."""
+        self.paths[id(derived)] = self.paths[id(stored)]
+        derived._staged = (self, stored)
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark._jvm
         for t in tables:

@@ -1,39 +1,25 @@
 """Connected components as a distributed union-find.
 
-Alternating large-star and small-star rounds (Kiveris et al., *Connected
+Alternating small-star and large-star rounds (Kiveris et al., *Connected
 Components in MapReduce and Beyond*, 2014): each round hangs nodes below the
 smallest neighbour seen, until every component is a star around its smallest
-node.  All work is DataFrame aggregations and joins; per-node minima combine
-map-side and the joins read stored tables, so a node with millions of
-neighbours is split over tasks.
+node.  Rounds are logarithmic in practice.
+
+An edge (u, v) has v < u.  The small star of u joins its smaller neighbours to
+the smallest of them.  The large star replaces v by *its* smallest neighbour in
+every edge (u, v); nodes without a smaller neighbour keep their edges, so a
+centre with millions of edges takes part as the wide side of a join only, whose
+two sides are stored tables and which adaptive execution can split.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Staged
 
 
-def _star(edges: DataFrame, kept: Staged, larger: bool) -> DataFrame:
-    """One half round over edges (u, v) with v < u; returns such edges."""
-    ends = edges.union(edges.select(F.col("v"), F.col("u"))) if larger else edges
-    least = kept.keep(ends.groupBy("u").agg(F.min("v").alias("m")), "least")
-    if larger:
-        # neighbours above u move below u's smallest neighbour (or below u)
-        out = (
-            ends.join(least, "u").where(F.col("v") > F.col("u"))
-            .select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-        )
-    else:
-        # smaller neighbours of u, and u itself, move below the smallest of them
-        out = ends.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
-    stored = kept.keep(out.where("u <> v").distinct(), "edges")
-    kept.drop(least)
-    return stored
-
-
 def components(edges: DataFrame, kept: Staged) -> DataFrame:
     """(node, root) of every node with an edge; root is its component's smallest node.
 
@@ -41,22 +27,23 @@ def components(edges: DataFrame, kept: Staged) -> DataFrame:
     null ends are ignored; an empty table gives an empty result.
     """
     a, b = edges.columns
-    edges = (
-        edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    )
-    edges = kept.keep(edges, "edges")
-    sign = F.xxhash64("u", "v").cast("decimal(38,0)")
-    before = None
-    while True:
-        state = edges.agg(F.count("*"), F.sum(sign)).first()
-        if state[0] == 0 or state == before:
-            break
-        before = state
-        large = _star(edges, kept, larger=True)
-        small = _star(large, kept, larger=False)
-        kept.drop(edges, large)
-        edges = small
+    cores = edges.sparkSession.sparkContext.defaultParallelism
+    keep = lambda df, name: kept.keep(df.coalesce(cores), name)  # noqa: E731  one wave of tasks: the tables are small
+    fine = F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
+    edges = keep(edges.where(fine).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    going = not edges.isEmpty()
+    while going:
+        least = F.min("v").over(Window.partitionBy("u"))
+        small = edges.withColumn("m", least).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        small = keep(small.select("e.*").where("u <> v").distinct(), "small")
+        below = keep(small.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m")), "below")
+        large = small.join(below, "v", "left").select("u", F.coalesce("m", "v").alias("v"), F.col("m").isNotNull().alias("moved"))
+        large = keep(large.groupBy("u", "v").agg(F.max("moved").alias("moved")), "large")
+        kept.drop(edges, small, below)
+        edges = large.select("u", "v")
+        kept.adopt(edges, large)
+        state = large.agg(F.count("*").alias("n"), F.count_distinct("u").alias("nodes"), F.coalesce(F.max("moved"), F.lit(False)).alias("moved")).first()
+        going = state.moved or state.n > state.nodes
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

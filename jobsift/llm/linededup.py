@@ -41,6 +41,8 @@ from .components import components
 SHINGLE, SIMILARITY, BANDS, ROWS = 9, 0.8, 10, 4
 #: Bits of the bitmap of band values that two lines share: 8 MB, whatever the corpus.
 BITMAP_BITS = 1 << 26
+#: Lines of a bucket whose parts are compared one by one; larger buckets go through the prefix filter.
+SMALL = 256
 #: Shingles that are hashed at once, so that numpy stays in the cache.
 BLOCK = 1 << 16
 
@@ -48,13 +50,13 @@ _SPACE = " \t\n\x0b\x0c\r"
 
 
 def norm(line: str) -> str:
-    """What is compared of a line: lower case, each run of ASCII white space as one space."""
-    return b" ".join(line.lower().encode("utf-8", "replace").split()).decode()
+    """What is compared of a line: lower case, each run of white space as one space."""
+    return " ".join(line.lower().split())
 
 
 def lines(text: str) -> list[tuple[int, str]]:
     """(number, normalised line) of the lines that have a word."""
-    return [(i, n) for i, x in enumerate(text.split("\n")) if (n := norm(x))]
+    return [(i, n) for i, x in enumerate(text.lower().split("\n")) if (n := " ".join(x.split()))]
 
 
 def key(line: str) -> bytes:
@@ -127,48 +129,65 @@ def _bands(some: list[str]) -> np.ndarray:
 
 # ---- scans of the documents ------------------------------------------------------------
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every line with a word: doc_id, line, key."""
+def _distinct_lines(texts: list[str]) -> dict[str, list[tuple[int, int]]]:
+    """Normalised line → (row, line number) of its places, over the texts of a batch."""
+    found: dict[str, list[tuple[int, int]]] = {}
+    for i, text in enumerate(texts):
+        for number, line in lines(text):
+            found.setdefault(line, []).append((i, number))
+    return found
+
+
+def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per distinct line of a batch: key, 64 bits of it, band values, places (doc_id, line)."""
     for batch in batches:
-        rows, numbers, keys = [], [], []
-        for i, text in enumerate(batch.column("t").to_pylist()):
-            for number, line in lines(text):
-                rows.append(i)
-                numbers.append(number)
-                keys.append(key(line))
+        found = _distinct_lines(batch.column("t").to_pylist())
+        keys = [key(x) for x in found]
+        flat = bands(list(found)).reshape(-1)
+        each = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), pa.array(flat))
+        ends = np.cumsum([0, *map(len, found.values())], dtype=np.int32)
+        rows, numbers = (pa.array([p[i] for ps in found.values() for p in ps], kind) for i, kind in ((0, pa.int64()), (1, pa.int32())))
+        place = pa.StructArray.from_arrays([batch.column("doc_id").take(rows), numbers], names=["doc_id", "line"])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(keys, pa.binary())], names=["doc_id", "line", "key"]
+            [pa.array(keys, pa.binary()), pa.array([_head(k) for k in keys], pa.int64()), each, pa.ListArray.from_arrays(pa.array(ends), place)],
+            names=["key", "h", "bands", "places"],
         )
 
 
-def _distinct_lines(batch: pa.RecordBatch) -> list[str]:
-    return list({line for text in batch.column("t").to_pylist() for _, line in lines(text)})
+def _head(k: bytes) -> int:
+    return int.from_bytes(k[:8], "little", signed=True)
 
 
-def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct lines of a batch: 64 bits of the key, and the band values."""
-    for batch in batches:
-        some = _distinct_lines(batch)
-        flat = bands(some).reshape(-1)
-        h = [int.from_bytes(key(x)[:8], "little", signed=True) for x in some]
-        each = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), each], names=["h", "bands"])
+def _marked(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values & (BITMAP_BITS - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _marked_bands(bits: Broadcast):
+    """mapInArrow function: (key, h, band) of the band values that another line may have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = batch.column("bands")
+            flat = each.flatten().to_numpy(zero_copy_only=False)
+            hit = np.flatnonzero(_marked(bits.value, flat))
+            rows = pa.array(hit // BANDS)
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(rows), batch.column("h").take(rows), pa.array(flat[hit])], names=["key", "h", "band"])
+
+    return run
 
 
-def _candidate_rows(bits: Broadcast):
-    """mapInArrow function: distinct lines with a band value that another line may have."""
+def _marked_texts(bits: Broadcast):
+    """mapInArrow function: distinct lines whose key may be wanted, with their number of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = _distinct_lines(batch)
-            value = bands(some)
-            at = value & (BITMAP_BITS - 1)
-            hit = (bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            rows = np.flatnonzero(hit.any(axis=1)).tolist()
+            some = list(_distinct_lines(batch.column("t").to_pylist()))
+            keys = [key(x) for x in some]
+            rows = np.flatnonzero(_marked(bits.value, np.array([_head(k) for k in keys], np.int64))).tolist()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([key(some[i]) for i in rows], pa.binary()), pa.array([some[i] for i in rows], pa.string()),
-                 pa.array([len(shingles(some[i])) for i in rows], pa.int32()),
-                 pa.array([value[i][hit[i]].tolist() for i in rows], pa.list_(pa.int64()))], names=["key", "t", "size", "bands"],
+                [pa.array([keys[i] for i in rows], pa.binary()), pa.array([some[i] for i in rows], pa.string()), pa.array([len(shingles(some[i])) for i in rows], pa.int32())],
+                names=["key", "t", "size"],
             )
 
     return run
@@ -205,14 +224,15 @@ def length_classes(n: Column) -> Column:
     return F.array(own, own + 1)
 
 
-def prefix_links(rows: list[tuple[bytes, int, str]]) -> Iterator[tuple[bytes, bytes]]:
+def part_links(rows: list[tuple[bytes, int, str]], small: int | None = None) -> Iterator[tuple[bytes, bytes]]:
     """Similar pairs among (key, part, line), enough to join all parts that a pair joins.
 
-    Prefix filter: with the shingles ordered by rarity in the bucket, two sets
-    that are similar share one of their first n - ceil(0.8 n) + 1.
+    Up to ``small`` rows are compared across parts one by one.  More rows go
+    through a prefix filter: with the shingles ordered by rarity in the bucket,
+    two sets that are similar share one of their first n - ceil(0.8 n) + 1.
     """
+    small = SMALL if small is None else small
     sets = [shingles(line) for _, _, line in rows]
-    often = Counter(s for one in sets for s in one)
     part = list(range(len(rows)))
 
     def find(x: int) -> int:
@@ -224,33 +244,44 @@ def prefix_links(rows: list[tuple[bytes, int, str]]) -> Iterator[tuple[bytes, by
     first: dict[int, int] = {}
     for i, (_, p, _) in enumerate(rows):
         part[i] = first.setdefault(p, i)
-    index: dict[str, list[int]] = defaultdict(list)
+    if len(rows) <= small:
+        for i, one in enumerate(sets):
+            for j in range(i):
+                if rows[i][1] != rows[j][1] and find(i) != find(j) and similar(one, sets[j]):
+                    part[max(find(i), find(j))] = min(find(i), find(j))
+                    yield rows[i][0], rows[j][0]
+        return
+    often = Counter(s for one in sets for s in one)
+    index: dict[str, dict[int, list[int]]] = defaultdict(dict)  # by shingle and part: a part's own lines are never compared
     for i, one in enumerate(sets):
         prefix = sorted(one, key=lambda s: (often[s], s))[: len(one) - math.ceil(SIMILARITY * len(one) - 1e-9) + 1]
-        met: set[int] = set()
+        own, met = rows[i][1], set()
         for s in prefix:
-            for j in index[s]:
-                if j not in met:
-                    met.add(j)
-                    if find(i) != find(j) and similar(one, sets[j]):
-                        part[max(find(i), find(j))] = min(find(i), find(j))
-                        yield rows[i][0], rows[j][0]
-            index[s].append(i)
-
-
-def _prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for p, lines_of in index[s].items():
+                if p != own and find(i) != find(first[p]):
+                    for j in lines_of:
+                        if j not in met:
+                            met.add(j)
+                            if similar(one, sets[j]):
+                                part[max(find(i), find(j))] = min(find(i), find(j))
+                                yield rows[i][0], rows[j][0]
+                                break
+            index[s].setdefault(own, []).append(i)
+
+
+def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by bucket (band, class) to the links that join its parts."""
     held, now, out = [], None, []
     for batch in batches:
         columns = [batch.column(c).to_pylist() for c in ("band", "class", "key", "part", "t")]
         for band, cls, k, p, t in zip(*columns, strict=True):
             if (band, cls) != now:
-                out += prefix_links(held)
+                out += part_links(held)
                 held, now = [], (band, cls)
             held.append((k, p, t))
         yield _pairs(out)
         out = []
-    yield _pairs(prefix_links(held))
+    yield _pairs(part_links(held))
 
 
 def _pairs(links) -> pa.RecordBatch:
@@ -258,52 +289,57 @@ def _pairs(links) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
 
-def links(docs: DataFrame, kept: Staged) -> DataFrame:
-    """(node, root): every line that is similar to a different one, by key, with its component."""
-    texts = docs.select(text_or_empty().alias("t"))
-    shared = texts.mapInArrow(_band_rows, "h BIGINT, bands ARRAY<BIGINT>").select("h", F.explode("bands").alias("band"))
-    shared = kept.keep(shared.groupBy("band").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y").select("band"), "shared")
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(shared, "band"))
-    found = texts.mapInArrow(_candidate_rows(bits), "key BINARY, t STRING, size INT, bands ARRAY<BIGINT>").dropDuplicates(["key"])
-    found = kept.keep(found, "candidates")
-    members = found.select("key", F.explode("bands").alias("band")).join(shared, "band")
-    members = kept.keep(members.select("band", "key"), "members")
-    pivots = kept.keep(members.groupBy("band").agg(F.min("key").alias("pivot"), F.count("*").alias("n")), "pivots")
+def links(texts: DataFrame, rows: DataFrame, kept: Staged) -> DataFrame:
+    """(node, root): every line that is similar to a different one, by key, with its component.
+
+    ``rows`` are the stored rows of :func:`_line_rows` for ``texts`` (t).
+    """
+    context = texts.sparkSession.sparkContext
+    shared = rows.select("h", F.explode("bands").alias("band")).groupBy("band").agg(F.min("h").alias("x"), F.max("h").alias("y"))
+    shared = kept.keep(shared.where("x <> y").select("band"), "shared")
+    hot = context.broadcast(_bitmap(shared, "band"))
+    members = rows.select("key", "h", "bands").mapInArrow(_marked_bands(hot), "key BINARY, h BIGINT, band BIGINT").distinct()
+    members = kept.keep(members.join(shared, "band").select("band", "key", "h"), "members")
+    wanted = context.broadcast(_bitmap(members, "h"))
+    text = texts.select("t").mapInArrow(_marked_texts(wanted), "key BINARY, t STRING, size INT").dropDuplicates(["key"])
+    text = kept.keep(text, "texts")
+    pivots = kept.keep(members.groupBy("band").agg(F.min("key").alias("pivot")), "pivots")
     pairs = members.join(pivots, "band").where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
-    text = found.select("key", "t")
-    pairs = pairs.join(text.select(F.col("key").alias("a"), F.col("t").alias("ta")), "a").join(text.select(F.col("key").alias("b"), F.col("t").alias("tb")), "b")
+    pairs = pairs.join(text.select(F.col("key").alias("a"), F.col("t").alias("ta")), "a")
+    pairs = pairs.join(text.select(F.col("key").alias("b"), F.col("t").alias("tb")), "b")
     verified = kept.keep(pairs.select("a", "b", "ta", "tb").mapInArrow(_verified, "a BINARY, b BINARY"), "verified")
     parts = kept.keep(components(verified, kept), "parts")
     # buckets of three or more lines that are still in several parts
     labelled = members.join(parts, members["key"] == parts["node"], "left").select("band", "key", F.coalesce("root", "key").alias("part"))
     labelled = kept.keep(labelled, "labelled")
-    open_ = labelled.groupBy("band").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n")).where("x <> y AND n > 2").select("band")
-    open_ = kept.keep(open_, "open")
+    open_ = labelled.groupBy("band").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n")).where("x <> y AND n > 2")
+    open_ = kept.keep(open_.select("band", "n"), "open")
     if open_.isEmpty():
         return parts
-    rest = labelled.join(open_, "band").join(found.select("key", "t", "size"), "key")
-    rest = rest.withColumn("class", F.explode(length_classes(F.col("size"))))
-    rest = rest.select("band", "class", "key", F.xxhash64("part").alias("part"), "t")
+    rest = labelled.join(open_, "band").join(text, "key")
+    classes = F.when(F.col("n") <= SMALL, F.array(F.lit(0))).otherwise(length_classes(F.col("size")))
+    rest = rest.withColumn("class", F.explode(classes)).select("band", "class", "key", F.xxhash64("part").alias("part"), "t")
     rest = rest.repartition("band", "class").sortWithinPartitions("band", "class", "key")
-    more = kept.keep(rest.mapInArrow(_prefix_rows, "a BINARY, b BINARY"), "more")
+    more = kept.keep(rest.mapInArrow(_bucket_rows, "a BINARY, b BINARY"), "more")
     if more.isEmpty():
         return parts
-    return kept.keep(components(verified.union(more), kept), "parts")
+    return kept.keep(components(parts.union(more), kept), "parts")
 
 
 def dropped_lines(docs: DataFrame, kept: Staged) -> DataFrame:
     """(doc_id, lines): the numbers of the lines that go, for documents that lose any."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", text_or_empty().alias("t")).mapInArrow(_occurrences, f"doc_id {kind}, line INT, key BINARY")
-    rows = kept.keep(rows, "lines")
-    place = F.struct("doc_id", "line")
-    groups = kept.keep(rows.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")), "groups")
-    parts = links(docs, kept)
+    texts = docs.select("doc_id", text_or_empty().alias("t"))
+    schema = f"key BINARY, h BIGINT, bands ARRAY<BIGINT>, places ARRAY<STRUCT<doc_id: {kind}, line: INT>>"
+    rows = kept.keep(texts.mapInArrow(_line_rows, schema), "lines")
+    places = rows.select("key", F.explode("places").alias("place"))
+    groups = kept.keep(places.groupBy("key").agg(F.min("place").alias("first"), F.count("*").alias("n")), "groups")
+    parts = links(texts, rows, kept)
     named = groups.join(parts, groups["key"] == parts["node"], "left").where("n > 1 OR root IS NOT NULL")
     named = kept.keep(named.select("key", "first", F.coalesce("root", "key").alias("root")), "named")
     stays = kept.keep(named.groupBy("root").agg(F.min("first").alias("stays")), "stays")
     named = kept.keep(named.join(stays, "root").select("key", "stays"), "stays_by_key")
-    gone = rows.join(named, "key").where(~place.eqNullSafe(F.col("stays"))).select("doc_id", "line")
+    gone = places.join(named, "key").where(~F.col("place").eqNullSafe(F.col("stays"))).select("place.doc_id", "place.line")
     return kept.keep(gone.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "gone")
 
 
@@ -333,7 +369,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     kept = Staged(docs.sparkSession, "linededup")
     gone = dropped_lines(docs, kept).select(F.col("doc_id").alias("_gone_id"), F.col("lines").alias("_gone"))
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]), "left")
+    # the table grows with the corpus: merged at any size, never broadcast
+    joined = docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["_gone_id"]), "left")
     new = free_name(docs, "_text")
     joined = joined.withColumn(new, without_lines("text", "_gone"))
     size = lambda c: F.when(F.col("_gone").isNull(), docs[c]).otherwise(F.length(new)).cast(docs.schema[c].dataType).alias(c)

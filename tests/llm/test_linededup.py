@@ -102,7 +102,11 @@ def test_prefix_filter_links_what_all_pairs_would():
     lines = [ld.norm(x.split("\n")[0]) for x in lines]
     rng.shuffle(lines)
     rows = [(bytes([i]), i, x) for i, x in enumerate(lines)]
-    links = list(ld.prefix_links(rows))
+    check_links(lines, rows, list(ld.part_links(rows, 0)))
+    check_links(lines, rows, list(ld.part_links(rows, 1000)))
+
+
+def check_links(lines, rows, links):
     assert len(links) < len(rows)
     root = list(range(len(rows)))
 
