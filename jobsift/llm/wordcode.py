@@ -10,15 +10,28 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator
+import re
+import struct
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import tokenizers
 
 #: Words that a worker remembers (about 200 bytes each), and bytes of a text that are split at once.
-MEMO_WORDS, SEGMENT = 400_000, 1 << 20
+MEMO_WORDS, SEGMENT = 700_000, 1 << 20
 _BLOCK = 20_000
 _SPACE = b" \t\n\x0b\x0c\r"
+#: Words of ASCII and Latin-1 letters: lower-casing and NFC change them letter by letter.
+_LATIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+#: A word and the ASCII punctuation behind it (no apostrophe, which begins contractions).
+_TAIL = re.compile(rb"(?s)(.*[^!-/:-@\[-`{-~])([!-&(-/:-@\[-`{-~]+)")
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter for each byte: itself where it prints, else the next one from U+0100 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) if b in prints else chr(256 + rest.index(b)) for b in range(256)}
 
 
 class WordEncoder:
@@ -36,6 +49,13 @@ class WordEncoder:
         self.folds = all(ids(f"x{chr(c)}y") == ids(f"x{chr(c + 32)}y") for c in range(65, 91))
         self.tokens = None if self.tok.decoder else [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size())]
         self.memo: dict[bytes, bytes] = {}
+        self.punctuation = frozenset(bytes([c]) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+        self.model, self.letters = self.tok.model, byte_letters()
+        # the model alone may be asked for a word that is one byte-level pre-token: tried on samples
+        probe = ["the", "zzyzxqj", "éàüß", "ÀÉÖØÞ", "naïveté", "a" * 40, "öffentlichkeit"]
+        self.plain = self.folds and all(
+            [t.id for t in self.model.tokenize(w.lower().encode().decode("latin-1").translate(self.letters))] == ids(w) for w in probe
+        )
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -43,38 +63,33 @@ class WordEncoder:
     def words(self, raw: bytes) -> list[bytes]:
         return (raw.lower() if self.folds else raw).split()
 
-    def learn(self, words: set[bytes]) -> None:
-        """Bring all of ``words`` into the memo."""
-        new = words.difference(self.memo)
+    def learn(self, words: Iterable[bytes]) -> None:
+        """Bring ``words`` into the memo: a word's letters and the punctuation behind it are separate pre-tokens."""
+        new = set(words)
         if len(self.memo) + len(new) > MEMO_WORDS:
             self.memo.clear()
-            new = set(words)
-        # an ASCII letter or digit before a final comma or full stop: the tokenizer cuts there
-        ends = {w for w in new if w[-1:] in (b".", b",") and w[:-1].isalnum()}
-        whole = (new - ends) | ({w[:-1] for w in ends} | {w[-1:] for w in ends}).difference(self.memo)
-        letters, others = [], []
-        for w in whole:
-            (letters if w.decode("utf-8", "replace").isalpha() else others).append(w)
-        for i in range(0, len(letters), _BLOCK):
-            self._bulk(letters[i : i + _BLOCK])
-        self._one_by_one(others)
-        self.memo.update([(w, self.memo[w[:-1]] + self.memo[w[-1:]]) for w in ends])
-
-    def _one_by_one(self, words: list[bytes]) -> None:
-        for i in range(0, len(words), _BLOCK):
-            block = words[i : i + _BLOCK]
-            for w, e in zip(block, self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in block], add_special_tokens=False), strict=True):
-                self.memo[w] = np.array(e.ids, "<u4").tobytes()
-
-    def _bulk(self, words: list[bytes]) -> None:
-        """Words of letters only in one call: each is one pre-token, unless normalising made it more."""
-        e = self.tok.encode(b" ".join(words).decode("utf-8", "replace"), add_special_tokens=False)
-        at = np.array(e.word_ids, np.int64)
-        if not at.size or at[-1] + 1 != len(words) or (np.diff(at) > 1).any():
-            return self._one_by_one(words)
-        ids = np.array(e.ids, "<u4").tobytes()
-        cut = (4 * np.searchsorted(at, np.arange(len(words) + 1))).tolist()
-        self.memo.update([(w, ids[a:b]) for w, a, b in zip(words, cut, cut[1:], strict=False)])
+        ends, whole = [], set()
+        for w in new:
+            m = _TAIL.fullmatch(w) if w[-1:] in self.punctuation else None
+            if m and m[1].decode("utf-8", "replace")[-1].isalnum():
+                ends.append((w, m[1], m[2]))
+                whole.update((m[1], m[2]))
+            else:
+                whole.add(w)
+        others = []
+        for w in whole.difference(self.memo):
+            text = w.decode("utf-8", "replace")
+            if self.plain and _LATIN.fullmatch(text):
+                ids = [t.id for t in self.model.tokenize(text.lower().encode().decode("latin-1").translate(self.letters))]
+                self.memo[w] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                others.append(w)
+        for i in range(0, len(others), _BLOCK):
+            block = others[i : i + _BLOCK]
+            texts = [w.decode("utf-8", "replace") for w in block]
+            for w, e in zip(block, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                self.memo[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        self.memo.update([(w, self.memo[stem] + self.memo[tail]) for w, stem, tail in ends])
 
     def encode_all(self, raws: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text, as the tokenizer's ``encode`` gives them."""
@@ -97,16 +112,21 @@ class WordEncoder:
         return out
 
     def _flush(self, todo: list, out: list[bytes]) -> None:
-        distinct: set[bytes] = set()
-        for _, words in todo:
-            distinct.update(words)
-        self.learn(distinct)
-        for i, words in todo:
-            out[i] = b"".join(map(self.memo.__getitem__, words))
+        """Look the words up, learn what is missing in one go, join."""
+        get = self.memo.get
+        found = [(i, words, list(map(get, words))) for i, words in todo]
+        missing = {w for _, words, ids in found if None in ids for w, x in zip(words, ids, strict=True) if x is None}
+        if missing:
+            self.learn(missing)
+        for i, words, ids in found:
+            if None in ids:
+                ids = [self.memo[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+            out[i] = b"".join(ids)
 
     def _joined(self, words: list[bytes]) -> bytes:
-        self.learn(set(words))
-        return b"".join(map(self.memo.__getitem__, words))
+        out = [b""]
+        self._flush([(0, words)], out)
+        return out[0]
 
     def encode(self, raw: bytes) -> bytes:
         return self.encode_all([raw])[0]
