@@ -8,6 +8,7 @@ has a fixed size and is emptied when full, which changes speed, not ids.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
@@ -21,8 +22,6 @@ import tokenizers
 MEMO_WORDS, SEGMENT = 700_000, 1 << 20
 _BLOCK = 20_000
 _SPACE = b" \t\n\x0b\x0c\r"
-#: Words of ASCII and Latin-1 letters: lower-casing and NFC change them letter by letter.
-_LATIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 #: A word and the ASCII punctuation behind it (no apostrophe, which begins contractions).
 _TAIL = re.compile(rb"(?s)(.*[^!-/:-@\[-`{-~])([!-&(-/:-@\[-`{-~]+)")
 
@@ -34,6 +33,21 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in prints else chr(256 + rest.index(b)) for b in range(256)}
 
 
+class _Memo(dict):
+    """Ids by word; a word that isn't there gives None and is noted, in order."""
+
+    def __init__(self) -> None:
+        self.missed: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> None:
+        self.missed.append(word)
+
+
+def latin(word: str) -> bool:
+    """Only Latin-1 letters that lower-casing and NFC change one by one."""
+    return word.isalpha() and not any(c in word for c in "\xaa\xb5\xba") and max(word) <= "\xff"
+
+
 class WordEncoder:
     """The tokenizer of a ``tokenizers`` JSON text; ids come as little-endian uint32 bytes."""
 
@@ -48,7 +62,7 @@ class WordEncoder:
             raise ValueError("this tokenizer keeps white space; it has no ids by word")
         self.folds = all(ids(f"x{chr(c)}y") == ids(f"x{chr(c + 32)}y") for c in range(65, 91))
         self.tokens = None if self.tok.decoder else [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size())]
-        self.memo: dict[bytes, bytes] = {}
+        self.memo = _Memo()
         self.punctuation = frozenset(bytes([c]) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
         self.model, self.letters = self.tok.model, byte_letters()
         # the model alone may be asked for a word that is one byte-level pre-token: tried on samples
@@ -71,19 +85,23 @@ class WordEncoder:
         ends, whole = [], set()
         for w in new:
             m = _TAIL.fullmatch(w) if w[-1:] in self.punctuation else None
-            if m and m[1].decode("utf-8", "replace")[-1].isalnum():
+            if m and (last := m[1].decode("utf-8", "replace")[-1]).isalnum() and last <= "\xff":  # stays a letter or digit when folded
                 ends.append((w, m[1], m[2]))
                 whole.update((m[1], m[2]))
             else:
                 whole.add(w)
-        others = []
-        for w in whole.difference(self.memo):
-            text = w.decode("utf-8", "replace")
-            if self.plain and _LATIN.fullmatch(text):
-                ids = [t.id for t in self.model.tokenize(text.lower().encode().decode("latin-1").translate(self.letters))]
-                self.memo[w] = struct.pack(f"<{len(ids)}I", *ids)
+        others, tokenize = [], self.model.tokenize
+        for w in whole:
+            if w in self.memo:
+                continue
+            if self.plain and w.isalpha():  # ASCII letters, already folded
+                ids = [t.id for t in tokenize(w.decode())]
+            elif self.plain and latin(text := w.decode("utf-8", "replace")):
+                ids = [t.id for t in tokenize(text.lower().encode().decode("latin-1").translate(self.letters))]
             else:
                 others.append(w)
+                continue
+            self.memo[w] = struct.pack(f"<{len(ids)}I", *ids)
         for i in range(0, len(others), _BLOCK):
             block = others[i : i + _BLOCK]
             texts = [w.decode("utf-8", "replace") for w in block]
@@ -93,6 +111,15 @@ class WordEncoder:
 
     def encode_all(self, raws: list[bytes]) -> list[bytes]:
         """The ids of each UTF-8 text, as the tokenizer's ``encode`` gives them."""
+        collects = gc.isenabled()
+        gc.disable()  # millions of short-lived words without cycles
+        try:
+            return self._encode_all(raws)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode_all(self, raws: list[bytes]) -> list[bytes]:
         out = [b""] * len(raws)
         todo: list[tuple[int, list[list[bytes]]]] = []
         held = 0
@@ -113,14 +140,19 @@ class WordEncoder:
 
     def _flush(self, todo: list, out: list[bytes]) -> None:
         """Look the words up, learn what is missing in one go, join."""
-        get = self.memo.get
-        found = [(i, words, list(map(get, words))) for i, words in todo]
-        missing = {w for _, words, ids in found if None in ids for w, x in zip(words, ids, strict=True) if x is None}
-        if missing:
-            self.learn(missing)
-        for i, words, ids in found:
-            if None in ids:
-                ids = [self.memo[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+        look, missed, found = self.memo.__getitem__, self.memo.missed, []
+        for i, words in todo:
+            ids = list(map(look, words))
+            found.append((i, ids, missed[:]))
+            missed.clear()
+        new = {w for _, _, gaps in found for w in gaps}
+        if new:
+            self.learn(new)
+        for i, ids, gaps in found:
+            at = -1
+            for w in gaps:
+                at = ids.index(None, at + 1)
+                ids[at] = self.memo[w]
             out[i] = b"".join(ids)
 
     def _joined(self, words: list[bytes]) -> bytes:
