@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import DIGIT, nz
+from .text import DIGIT, let, nz
 
 # netloc the way ``urllib.parse.urlsplit`` finds it: after ``scheme:`` and ``//``
 NETLOC_RE = "^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)"
@@ -62,9 +62,9 @@ def is_valid_url(url) -> Column:
 
 
 def is_batch_url(url) -> Column:
-    """O-C7 (batch): a non-null URL that is not ``chrome://`` / ``about:``."""
+    """O-C7 (batch): a non-null URL that is not ``chrome://``, ``edge://`` or ``about:``."""
     u = F.col(url) if isinstance(url, str) else url
-    return u.isNotNull() & (u != "") & ~u.startswith("chrome://") & ~u.startswith("about:")
+    return u.isNotNull() & (u != "") & ~u.startswith("chrome://") & ~u.startswith("edge://") & ~u.startswith("about:")
 
 
 def source_mismatch(url, source) -> Column:
@@ -104,16 +104,62 @@ def absolutize(href, base_url) -> Column:
     return F.when(h.startswith("/"), F.concat(origin(base_url), h)).otherwise(h)
 
 
-def urljoin_base(href, base: str) -> Column:
-    """O-H10 (Indeed rule, ``urljoin(base, href)`` for the common cases)."""
-    h = nz(href)
-    return (
-        F.when(h.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://"), h)
-        .when(h.startswith("//"), F.concat(F.lit(base.split("//")[0]), h))
-        .when(h.startswith("/"), F.concat(F.lit(base.rstrip("/")), h))
-        .when(h == "", F.lit(base))
-        .otherwise(F.concat(F.lit(base.rstrip("/") + "/"), h))
+# RFC 3986, appendix B: scheme, authority, path, query, fragment, each with its delimiter
+PARTS_RE = "^([a-zA-Z][a-zA-Z0-9+.-]*:)?(//[^/?#]*)?([^?#]*)(\\?[^#]*)?(#.*)?$"
+
+
+def _parts(url: Column) -> Column:
+    part = lambda i: F.regexp_extract(url, "(?s)" + PARTS_RE, i)
+    return F.struct(part(1).alias("scheme"), part(2).alias("authority"), part(3).alias("path"), part(4).alias("query"), part(5).alias("fragment"))
+
+
+def remove_dot_segments(path: Column) -> Column:
+    """RFC 3986, 5.2.4, for a path that begins with a slash."""
+    segments = F.split(path, "/", -1)
+    kept = F.aggregate(
+        F.slice(segments, 2, 1 << 30), F.array().cast("array<string>"),
+        lambda done, s: F.when(s == ".", done).when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, s)),
     )
+    closed = F.when(F.element_at(segments, -1).isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+    return F.when(F.instr(path, "/.") > 0, F.concat(F.lit("/"), F.array_join(closed, "/"))).otherwise(path)
+
+
+def resolve(href, base) -> Column:
+    """O-H10: the absolute URL of ``href`` on a page at ``base`` (RFC 3986, 5.2.2).
+
+    An empty href is the page itself; one with a scheme but no authority
+    (``mailto:``, ``javascript:``) stays as it is.
+    """
+    def merged(r, b):
+        directory = F.regexp_extract(b["path"], "(?s)^(.*/)", 1)
+        joined = F.concat(F.when((b["authority"] != "") & (b["path"] == ""), F.lit("/")).otherwise(directory), r["path"])
+        return F.when(joined.startswith("/"), remove_dot_segments(joined)).otherwise(joined)
+
+    def of(x):
+        r, b = x["r"], x["b"]
+        own = F.when(r["path"].startswith("/"), remove_dot_segments(r["path"])).otherwise(r["path"])
+        site = F.concat(b["scheme"], b["authority"])
+        tail = F.concat(r["query"], r["fragment"])
+        return (
+            F.when((r["scheme"] != "") & (r["authority"] == ""), F.concat(r["scheme"], r["path"], tail))
+            .when(r["scheme"] != "", F.concat(r["scheme"], r["authority"], own, tail))
+            .when(r["authority"] != "", F.concat(b["scheme"], r["authority"], own, tail))
+            .when((r["path"] == "") & (r["query"] == ""), F.concat(site, b["path"], b["query"], r["fragment"]))
+            .when(r["path"] == "", F.concat(site, b["path"], tail))
+            .otherwise(F.concat(site, F.when(r["path"].startswith("/"), own).otherwise(merged(r, b)), tail))
+        )
+
+    return let(F.struct(_parts(trim_url(href)).alias("r"), _parts(nz(base)).alias("b")), of)
+
+
+def trim_url(url) -> Column:
+    """Without the white space that browsers ignore around a URL."""
+    return F.regexp_replace(nz(url), "^[\\x00-\\x20]+|[\\x00-\\x20]+$", "")
+
+
+def urljoin_base(href, base: str) -> Column:
+    """O-H10 (Indeed rule): ``href`` against a fixed site."""
+    return resolve(href, F.lit(base))
 
 
 def strip_query(href) -> Column:

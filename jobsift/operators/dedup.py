@@ -32,6 +32,11 @@ def triple_key(company, role, description) -> Column:
     return F.concat_ws("|", T.nz(company), T.nz(role), F.substring(T.nz(description), 1, 100))
 
 
+def page_key(page: str = "page_id", pos: str = "pos") -> Column:
+    """Key of a job that no dedup applies to: single-job pages are appended unchecked."""
+    return F.concat_ws("|", F.lit("P"), F.col(page).cast("string"), F.col(pos).cast("string"))
+
+
 def first_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Keep the first row (by ``order``) of every key value."""
     w = Window.partitionBy(key).orderBy(*[F.col(c).asc() for c in order])

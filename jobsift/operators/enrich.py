@@ -26,20 +26,27 @@ def _pick(item: Column, card: Column, sentinel_prefix: str) -> Column:
     return F.when((i != "") & ~i.startswith(sentinel_prefix), i).when(c != "", c).otherwise(i)
 
 
-def batch(links: DataFrame, job_pages: DataFrame, order=("page_id", "pos")) -> tuple[DataFrame, DataFrame]:
-    """O-J1 + O-J2: ``links(order…, url, company, role)`` ⋈ ``job_pages(url, job fields)``.
+def visited(links: DataFrame, job_pages: DataFrame) -> DataFrame:
+    """Valid links with the best record of their page and an ``outcome``: result, or error.
 
-    ``job_pages`` must hold at most one accepted record per url (use
-    :func:`upgrade_longest` first when a url was captured more than once).
-    Returns (results, errors).
+    A url that was captured more than once keeps its longest description
+    (O-T4), so a link never multiplies.  The grouping has the join's key and
+    adds no shuffle of its own.
     """
     valid = links.where(is_batch_url(F.col("url")))
-    jp = job_pages.select("url", *[F.col(f).alias("j_" + f) for f in RESULT_FIELDS])
-    j = valid.join(jp, "url", "left")
+    records = upgrade_longest(job_pages.select("url", *[c for c in ("page_id",) if c in job_pages.columns], *RESULT_FIELDS), "url", "page_id" if "page_id" in job_pages.columns else None)
+    jp = records.select("url", *[F.col(f).alias("j_" + f) for f in RESULT_FIELDS])
+    fine = F.col("j_source").isNotNull() | (T.nz(F.col("company")) != "")
+    return valid.join(jp, "url", "left").withColumn("outcome", F.when(fine, "result").otherwise("error"))
+
+
+def batch(links: DataFrame, job_pages: DataFrame, order=("page_id", "pos")) -> tuple[DataFrame, DataFrame]:
+    """O-J1 + O-J2: ``links(order…, url, company, role)`` ⋈ ``job_pages(url, job fields)``: (results, errors)."""
+    j = visited(links, job_pages)
     matched = F.col("j_source").isNotNull()
     card_company = T.nz(F.col("company"))
     empty = F.array().cast("array<string>")
-    res = j.where(matched | (card_company != "")).select(
+    res = j.where("outcome = 'result'").select(
         *order, "url",
         F.when(matched, _pick(F.col("j_company"), F.col("company"), "[COMPANY_")).otherwise(card_company).alias("company"),
         F.when(matched, _pick(F.col("j_job_role"), F.col("role"), "[ROLE_")).otherwise(T.nz(F.col("role"))).alias("job_role"),
@@ -50,16 +57,17 @@ def batch(links: DataFrame, job_pages: DataFrame, order=("page_id", "pos")) -> t
         ],
         F.when(matched, T.default_if_empty(T.nz(F.col("j_source")), "batch")).otherwise(F.lit("batch-card-fallback")).alias("source"),
     )
-    errors = j.where(~matched & (card_company == "")).select(*order, "url", F.lit("No data extracted").alias("error"))
+    errors = j.where("outcome = 'error'").select(*order, "url", F.lit("No data extracted").alias("error"))
     return res, errors
 
 
-def upgrade_longest(captures: DataFrame, key: str = "url", order: str = "capture_no") -> DataFrame:
+def upgrade_longest(captures: DataFrame, key: str = "url", order: str | None = "capture_no") -> DataFrame:
     """O-T4 (content-script rule): per key keep the capture with the longest description;
     ties go to the earliest capture.  A partial ``max_by`` per key: map-side combined."""
     cols = [c for c in captures.columns if c != key]
+    earliest = -F.col(order) if order else F.lit(0)
     best = captures.groupBy(key).agg(
-        F.max_by(F.struct(*cols), F.struct(F.length(T.nz(F.col("description"))).alias("n"), (-F.col(order)).alias("o"))).alias("b")
+        F.max_by(F.struct(*cols), F.struct(F.length(T.nz(F.col("description"))).alias("n"), earliest.alias("o"))).alias("b")
     )
     return best.select(key, "b.*")
 

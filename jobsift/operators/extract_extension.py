@@ -174,16 +174,8 @@ NEAR_COMPANY_RE = "(?:at|with|via)\\s+([A-Z][A-Za-z0-9\\s.&-]{2,40}?)(?:\\s+[A-Z
 
 
 def resolve(href: Column, page_url: Column) -> Column:
-    """``a.href``: absolute URL of an href against the page URL."""
-    h = T.nz(href)
-    base_dir = F.regexp_extract(page_url, "^([^?#]*/)", 1)
-    return (
-        F.when(h.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), h)
-        .when(h.startswith("//"), F.concat(F.regexp_extract(page_url, "^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1), h))
-        .when(h.startswith("/"), F.concat(U.origin(page_url), h))
-        .when(h == "", F.lit(""))
-        .otherwise(F.concat(base_dir, h))
-    )
+    """``a.href``: absolute URL of an href against the page URL; '' without one."""
+    return F.when(T.nz(href) == "", F.lit("")).otherwise(U.resolve(href, page_url))
 
 
 def _link(url, company, role) -> Column:

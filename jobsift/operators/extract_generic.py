@@ -214,9 +214,6 @@ def card_items(buf: Column, nodes: Column, custom: dict | None = None) -> Column
         desc_el = S.find(nodes, ["p", "div", "span"], cls_re="description|desc|summary|details|info|about", ignore_case=True, scope=c)
         desc = F.coalesce(F.when(desc_el.isNotNull(), T.clean_text(S.text(buf, desc_el))), F.lit(""))
         found = let(F.when(F.size(els1) > 0, els1).otherwise(els2), auto)
-        auto_item = F.when(found["company"] != "", item(found["company"], T.default_if_empty(found["role"], K.GENERIC_DEFAULT_ROLE), desc))
-        if not custom:
-            return auto_item
 
         def cust(key):
             if key not in custom:
@@ -224,8 +221,17 @@ def card_items(buf: Column, nodes: Column, custom: dict | None = None) -> Column
             el = S.select_one(nodes, custom[key], scope=c)
             return F.coalesce(F.when(el.isNotNull(), T.clean_text(S.text(buf, el))), F.lit(""))
 
-        cc, cr, cd = cust("company"), cust("role"), cust("description")
-        return F.when((cc != "") & (cr != ""), item(cc, cr, cd)).otherwise(auto_item)
+        def filled(v):
+            """Custom values stand; what they leave open is detected.  A detected description replaces a custom one,
+            unless custom company and role make the item by themselves."""
+            company = F.when(v["c"] != "", v["c"]).otherwise(found["company"])
+            role = F.when(v["r"] != "", v["r"]).otherwise(found["role"])
+            detected = F.when(company != "", item(company, T.default_if_empty(role, K.GENERIC_DEFAULT_ROLE), F.when(desc_el.isNotNull(), desc).otherwise(v["d"])))
+            return F.when((v["c"] != "") & (v["r"] != ""), item(v["c"], v["r"], v["d"])).otherwise(detected)
+
+        if custom:
+            return let(F.struct(cust("company").alias("c"), cust("role").alias("r"), cust("description").alias("d")), filled)
+        return F.when(found["company"] != "", item(found["company"], T.default_if_empty(found["role"], K.GENERIC_DEFAULT_ROLE), desc))
 
     return F.filter(F.transform(generic_cards(nodes), per_card), lambda x: x.isNotNull())
 

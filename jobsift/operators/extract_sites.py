@@ -116,6 +116,7 @@ def _single(title, company, desc, d_company, d_role, d_desc, source) -> Column:
             description=T.default_if_empty(d, d_desc),
             description_bullets=T.bullets_or_description(T.bullets_base(d), d),
             source=F.lit(source),
+            single=True,
         )
         return F.when((t != "") | (c != "") | (d != ""), F.array(row)).otherwise(empty_jobs())
 
@@ -131,11 +132,13 @@ def indeed_jobs(url: Column, buf: Column, nodes: Column) -> Column:
     )
 
 
-def indeed_found(url: Column, nodes: Column) -> Column:
-    """total_found: number of cards (1 on the single-page path)."""
-    return F.when(U.is_single_job_url(url, "Indeed"), F.lit(1)).otherwise(
-        let(F.size(indeed_cards(nodes)), lambda n: F.when(n == 0, F.lit(1)).otherwise(n))
-    )
+def indeed_is_single(url: Column, nodes: Column) -> Column:
+    return U.is_single_job_url(url, "Indeed") | (F.size(indeed_cards(nodes)) == 0)
+
+
+def indeed_found(url: Column, buf: Column, nodes: Column) -> Column:
+    """total_found: number of cards; on the single-page path 1 if anything was parsed, else 0."""
+    return F.when(indeed_is_single(url, nodes), F.size(indeed_single(buf, nodes))).otherwise(F.size(indeed_cards(nodes)))
 
 
 # ---------------------------------------------------------------------------
@@ -200,10 +203,12 @@ def linkedin_jobs(url: Column, buf: Column, nodes: Column) -> Column:
     )
 
 
-def linkedin_found(url: Column, nodes: Column) -> Column:
-    return F.when(U.is_single_job_url(url, "LinkedIn"), F.lit(1)).otherwise(
-        let(F.size(linkedin_cards(nodes)), lambda n: F.when(n == 0, F.lit(1)).otherwise(n))
-    )
+def linkedin_is_single(url: Column, nodes: Column) -> Column:
+    return U.is_single_job_url(url, "LinkedIn") | (F.size(linkedin_cards(nodes)) == 0)
+
+
+def linkedin_found(url: Column, buf: Column, nodes: Column) -> Column:
+    return F.when(linkedin_is_single(url, nodes), F.size(linkedin_single(buf, nodes))).otherwise(F.size(linkedin_cards(nodes)))
 
 
 # ---------------------------------------------------------------------------
@@ -275,8 +280,8 @@ def naukri_single(buf: Column, nodes: Column) -> Column:
 
 
 @cached_column
-def naukri_jobs(buf: Column, nodes: Column, prefer: str = "single", max_jobs: int = 50) -> Column:
-    """O-X14: single page first (the reference rule) or cards first; capped at ``max_jobs`` (O-L2)."""
+def naukri_jobs(buf: Column, nodes: Column, prefer: str = "single", max_jobs: int | None = None) -> Column:
+    """O-X14: single page first (the reference rule) or cards first; at most ``max_jobs`` if the caller sets it (O-L2)."""
     cards = F.transform(naukri_cards(nodes), lambda c: naukri_card(buf, nodes, c))
     if prefer == "single":
         out = let(naukri_single(buf, nodes), lambda s: F.when(F.size(s) > 0, s).otherwise(cards))
@@ -284,4 +289,4 @@ def naukri_jobs(buf: Column, nodes: Column, prefer: str = "single", max_jobs: in
         out = let(cards, lambda cs: F.when(F.size(cs) > 0, cs).otherwise(naukri_single(buf, nodes)))
     else:
         raise ValueError("prefer must be 'single' or 'cards'")
-    return F.slice(out, 1, max_jobs)
+    return out if max_jobs is None else F.slice(out, 1, max_jobs)

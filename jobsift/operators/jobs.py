@@ -27,12 +27,13 @@ def empty_strings() -> Column:
 
 
 def job(**fields) -> Column:
-    """A job struct with every field present (absent = '' or [])."""
+    """A job struct with every field present (absent = '' or []); ``single``: it is its page's only job (O-X7, O-X8)."""
     cols = []
     for f in STR_FIELDS:
         cols.append(nz(fields.get(f, F.lit(""))).cast("string").alias(f))
     for f in ARR_FIELDS:
         cols.append(F.coalesce(fields.get(f, empty_strings()), empty_strings()).alias(f))
+    cols.append(F.lit(bool(fields.get("single", False))).alias("single"))
     return F.struct(*cols)
 
 
@@ -52,8 +53,8 @@ def first_nonempty_text(*texts) -> Column:
     return F.coalesce(*[F.nullif(t, F.lit("")) for t in texts], F.lit(""))
 
 
-def explode_jobs(pages: DataFrame, items: Column, extra: list | None = None) -> DataFrame:
-    """``(page_id, url, …)`` + job array → one row per job with 1-based ``pos``."""
+def explode_jobs(pages: DataFrame, items: Column, extra: list | None = None, single: bool = False) -> DataFrame:
+    """``(page_id, url, …)`` + job array → one row per job with 1-based ``pos`` (and ``single``, for dedup)."""
     keep = ["page_id", "url"] + (extra or [])
     # posexplode_outer: no inferred ``size(items) > 0`` filter, so the
     # extraction expression is evaluated once per page
@@ -61,7 +62,7 @@ def explode_jobs(pages: DataFrame, items: Column, extra: list | None = None) ->
     return exploded.select(
         "page_id", (F.col("_p") + 1).cast("int").alias("pos"), "url",
         *[F.col("_j")[f].alias(f) for f in STR_FIELDS[:3] + ARR_FIELDS + STR_FIELDS[3:]],
-        *(extra or []),
+        *(extra or []), *([F.col("_j")["single"].alias("single")] if single else []),
     )
 
 

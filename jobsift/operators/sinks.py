@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
-from ..session import ensure_checkpoint_dir
+from ..session import store
 from .report import serial_number
 
 SHEET_HEADERS = [
@@ -136,11 +136,10 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def export(jobs: DataFrame, sheet_path: str, json_path: str, variant: str = "sheet") -> dict:
     """O-K4 fan-out: write the sheet (as CSV) and the JSON documents from one ``jobs`` input.
 
-    ``jobs`` is checkpointed to the shared checkpoint folder first so both
-    writes read it once and a lost executor does not recompute extraction.
+    ``jobs`` is stored in the shared folder once; both writes and the row
+    count (from parquet footers) read it there.
     """
-    ensure_checkpoint_dir(jobs.sparkSession)
-    base = jobs.checkpoint(eager=True)
+    base = store(jobs, "jobs")
     sheet_rows = sheet(base, variant=variant)
     write_csv(sheet_rows, sheet_path, SHEET_HEADERS if variant == "sheet" else ENGINE_SHEET_HEADERS, SHEET_COLS)
     docs = json_docs(base, variant)

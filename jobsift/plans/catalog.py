@@ -41,6 +41,7 @@ QUERIES = {
     "usable_blocked": pq.q_usable_blocked,
     "page_headings": pq.q_page_headings,
     "page_links": pq.q_page_links,
+    "resolve_links": pq.q_resolve_links,
     "link_histogram": pq.q_link_histogram,
     "link_sample": pq.q_link_sample,
     "page_type": pq.q_page_type,
@@ -54,12 +55,14 @@ QUERIES = {
     "extract_cards": gq.q_extract_cards,
     "extract_text_patterns": gq.q_extract_text_patterns,
     "heuristic_cascade": gq.q_heuristic_cascade,
+    "custom_selectors": gq.q_custom_selectors,
     "summary": rq.q_summary,
     "outcomes": rq.q_outcomes,
     "preview": rq.q_preview,
     "export_sheet": rq.q_export_sheet,
     "export_csv": rq.q_export_csv,
     "export_json": rq.q_export_json,
+    "serial_lineitem": rq.q_serial_lineitem,
     "naukri_links": eq.q_naukri_links,
     "generic_links": eq.q_generic_links,
     "script_links": eq.q_script_links,
@@ -69,6 +72,8 @@ QUERIES = {
     "enrich_errors": eq.q_enrich_errors,
     "extension_page_types": eq.q_extension_page_types,
     "stream_dedup": sq.q_stream_dedup,
+    "stream_pages": sq.q_stream_pages,
+    "stream_status": sq.q_stream_status,
     "upgrade_longest": sq.q_upgrade_longest,
     "stream_upgrade": sq.q_stream_upgrade,
     "upgrade_if_short": sq.q_upgrade_if_short,

@@ -30,9 +30,9 @@ def q_script_links(spark, sf_dir):
     return _links(shred_pages(L.naukri_pages(spark, sf_dir)), lambda u, b, n: X.script_links(b, n))
 
 
-def job_page_records(spark, sf_dir):
-    """Content script over every crawled job page; accepted records only (one per url)."""
-    nodes = shred_pages(L.naukri_job_pages(spark, sf_dir))
+def job_page_records(spark, sf_dir, crawled_only: bool = False):
+    """Content script over every job page; accepted records only."""
+    nodes = shred_pages(L.naukri_job_pages(spark, sf_dir, crawled_only))
     scraped = nodes.select("page_id", "url", X.scrape_page(F.col(U), F.col(B), F.col(N), with_links=False).alias("r"))
     rec = scraped.select("page_id", "url", "r.page_type", F.explode_outer("r.data").alias("d")).where(F.col("d").isNotNull())
     return rec.select("page_id", "url", "page_type", "d.*").drop("link")
@@ -56,7 +56,7 @@ def q_script_job_page(spark, sf_dir):
 
 def _batch(spark, sf_dir):
     links = _links(shred_pages(L.naukri_pages(spark, sf_dir)), X.naukri_links)
-    return E.batch(links, job_page_records(spark, sf_dir))
+    return E.batch(links, job_page_records(spark, sf_dir, crawled_only=True))
 
 
 RESULT_COLS = ["page_id", "pos", "url", "company", "job_role", "description", "description_bullets", "skills", "education",

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import dedup
 from ..operators import extract_sites as X
+from ..operators import report as R
 from ..operators.jobs import explode_jobs, flat
 from ..sources import listings as L
-from ..sources.pages import shred_pages
+from ..sources.pages import shred_pages, usable_nodes
 
 
 
@@ -20,16 +21,17 @@ def site_jobs(pages, site: str, **opts):
     elif site == "LinkedIn":
         items = X.linkedin_jobs(U, B, N)
     elif site == "Naukri":
+        nodes = usable_nodes(nodes)
         items = X.naukri_jobs(B, N, **opts)
     else:
         raise ValueError(site)
-    return explode_jobs(nodes, items)
+    return explode_jobs(nodes, items, single=True)
 
 
 def dedup_role_company(jobs):
-    """O-D1 over a whole run: first (page_id, pos) per fingerprint(job_role + company)."""
-    keyed = jobs.withColumn("fp", dedup.role_company_key("job_role", "company"))
-    return dedup.first_per_key(keyed, "fp", ["page_id", "pos"]).drop("fp")
+    """O-D1 over a whole run: first (page_id, pos) per fingerprint(job_role + company); single-job pages stay."""
+    key = F.when(F.col("single"), dedup.page_key()).otherwise(F.concat(F.lit("F|"), dedup.role_company_key("job_role", "company")))
+    return dedup.first_per_key(jobs.withColumn("fp", key), "fp", ["page_id", "pos"]).drop("fp", "single")
 
 
 def q_extract_indeed(spark, sf_dir):
@@ -57,23 +59,30 @@ def q_naukri_single(spark, sf_dir):
     return flat(jobs, NAUKRI_COLS)
 
 
+# fixed values
 INDEED_EMPTY = "No job cards extracted from Indeed page."
 LINKEDIN_EMPTY = "No job listings extracted from search page."
+INDEED_UNPARSED = "Could not parse job details from Indeed viewjob page."
+LINKEDIN_UNPARSED = "Could not parse job details from single LinkedIn page."
 
 
-def q_site_outcomes(spark, sf_dir):
-    """O-A2 for the Indeed and LinkedIn runs: cards found, rows kept after the run-wide dedup."""
-    from ..operators import report as R
+def site_outcomes(pages, site: str):
+    """O-A2 of an Indeed or LinkedIn run: cards found, rows kept after the run-wide dedup."""
+    found_fn, single_fn, empty, unparsed = {
+        "Indeed": (X.indeed_found, X.indeed_is_single, INDEED_EMPTY, INDEED_UNPARSED),
+        "LinkedIn": (X.linkedin_found, X.linkedin_is_single, LINKEDIN_EMPTY, LINKEDIN_UNPARSED),
+    }[site]
+    nodes = shred_pages(pages)
+    url, buf, tree = F.col("url"), F.col("buf"), F.col("nodes")
+    found = nodes.select("page_id", found_fn(url, buf, tree).alias("total_found"), single_fn(url, tree).alias("single"))
+    return R.outcomes(R.unread(nodes), found, dedup_role_company(site_jobs(pages, site)), site, empty, unparsed)
 
+
+def q_site_outcomes(spark, sf_dir):
+    """The Indeed and LinkedIn runs over their listing pages."""
     out = None
-    for k, (builder, site, found_fn, msg) in enumerate([
-        (L.indeed_pages, "Indeed", X.indeed_found, INDEED_EMPTY),
-        (L.linkedin_pages, "LinkedIn", X.linkedin_found, LINKEDIN_EMPTY),
-    ]):
+    for k, (builder, site) in enumerate([(L.indeed_pages, "Indeed"), (L.linkedin_pages, "LinkedIn")]):
         pages = builder(spark, sf_dir).select((F.col("page_id") * 2 + k).alias("page_id"), "url", "html")
-        nodes = shred_pages(pages)
-        found = nodes.select("page_id", found_fn(F.col("url"), F.col("nodes")).alias("total_found"))
-        kept = dedup_role_company(site_jobs(pages, site))
-        o = R.outcomes(pages, found, kept, site, msg)
+        o = site_outcomes(pages, site)
         out = o if out is None else out.unionByName(o)
     return out

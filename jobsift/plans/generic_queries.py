@@ -40,3 +40,8 @@ def q_extract_text_patterns(spark, sf_dir):
 
 def q_heuristic_cascade(spark, sf_dir):
     return flat(generic_run(L.mixed_pages(spark, sf_dir)), OUT)
+
+
+def q_custom_selectors(spark, sf_dir):
+    """O-H12: custom values stand, detection fills what they leave open."""
+    return flat(generic_run(L.custom_card_pages(spark, sf_dir), ("cards",), L.CUSTOM_SELECTORS), OUT)

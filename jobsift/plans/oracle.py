@@ -197,7 +197,8 @@ TEXT_SQL = {
     "looks_like_company": (
         f"SELECT id, probe, {looks_like_company('probe')} AS is_company FROM ("
         "SELECT 's' || CAST(s_suppkey AS VARCHAR) AS id, s_name AS probe FROM supplier UNION ALL "
-        f"SELECT 'd' || CAST(doc_id AS VARCHAR) AS id, {clean('substring(text, 1, 30)')} AS probe FROM documents)"
+        f"SELECT 'd' || CAST(doc_id AS VARCHAR) || '.' || CAST(i AS VARCHAR) AS id, {clean('x[i]')} AS probe FROM "
+        "(SELECT doc_id, x, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)))"
     ),
     "location_lookup": f"SELECT doc_id, {location_lookup('text')} AS location FROM documents",
     "experience": f"SELECT doc_id, {experience('text')} AS experience FROM documents",
@@ -210,7 +211,7 @@ TEXT_SQL = {
         f"{labelled('t', INDUSTRY_RE2)} AS industry FROM (SELECT doc_id, {LABELLED_INPUT} AS t FROM documents)"
     ),
     "slug_snippet": (
-        f"SELECT doc_id, {slug('source', 'scraped')} AS company_slug, {slug('substring(text, 1, 40)', 'job')} AS role_slug, "
+        f"SELECT doc_id, {slug('source', 'scraped')} AS company_slug, {slug('text', 'job')} AS role_slug, "
         f"{snippet('text')} AS snippet FROM documents"
     ),
 }
@@ -244,7 +245,7 @@ def page_url_sql(u: str, s: str) -> str:
     )
 
 
-USABLE_PAGES = "(SELECT * FROM pages WHERE html IS NOT NULL AND length(html) >= 500)"
+USABLE_PAGES = "(SELECT * FROM pages WHERE html IS NOT NULL)"
 PAGE_LINKS = (
     "SELECT page_id, CAST(unnest(generate_series(1, len(h))) AS INTEGER) AS pos, unnest(h) AS href, unnest(t) AS link_text FROM ("
     f"SELECT page_id, list_transform(regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1), lambda x: {decode('x')}) AS h, "
@@ -257,6 +258,23 @@ LINK_PATTERN = (
 )
 
 
+_SITE = "regexp_extract(url, '^[a-z]+://[^/?#]*')"
+_PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
+_DIR = f"{_SITE} || coalesce(nullif(regexp_extract({_PATH}, '^.*/'), ''), '/')"
+_UP = f"{_SITE} || regexp_replace(coalesce(nullif(regexp_extract({_PATH}, '^.*/'), ''), '/'), '[^/]+/$', '')"
+RESOLVED = [  # one expression per form of plans.page_queries.LINK_FORMS
+    f"{_SITE} || '/' || x", f"{_DIR} || x", f"{_UP} || x", f"{_SITE} || {_PATH} || '?' || x",
+    "regexp_extract(url, '^[^#]*') || '#' || x", "'mailto:' || x", "regexp_extract(url, '^[a-z]+:') || '//other.example.com/' || x",
+    f"{_DIR} || x", "regexp_extract(url, '^[^#]*')", "'https://other.example.com/b/' || x",
+]
+RESOLVE_LINKS = (
+    "SELECT page_id, pos, CAST(form - 1 AS INTEGER) AS form, CASE form "
+    + " ".join(f"WHEN {i + 1} THEN {e}" for i, e in enumerate(RESOLVED))
+    + f" END AS resolved FROM (SELECT l.page_id, pos, url, regexp_replace(href, '^/', '') AS x, unnest(range(1, {len(RESOLVED) + 1})) AS form "
+    f"FROM ({PAGE_LINKS}) l JOIN pages USING (page_id))"
+)
+
+
 def first_tag_text(tag: str) -> str:
     inner = f"regexp_extract(html, '(?s)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>', 1)"
     return clean(decode(f"regexp_replace({inner}, '<[^>]*>', '', 'g')"))
@@ -275,7 +293,7 @@ GENERIC_IS_JOB = (
 PAGE_SQL = {
     "url_source": (
         f"SELECT page_id, {source_sql('url')} AS source, (starts_with(coalesce(url, ''), 'http://') OR starts_with(coalesce(url, ''), 'https://')) AS valid, "
-        "(url IS NOT NULL AND url <> '' AND NOT starts_with(url, 'chrome://') AND NOT starts_with(url, 'about:')) AS batch_ok, "
+        "(url IS NOT NULL AND url <> '' AND NOT starts_with(url, 'chrome://') AND NOT starts_with(url, 'edge://') AND NOT starts_with(url, 'about:')) AS batch_ok, "
         "NOT contains(lower(coalesce(url, '')), 'indeed.com') AS indeed_mismatch FROM pages"
     ),
     "url_domain": (
@@ -300,6 +318,7 @@ PAGE_SQL = {
     ),
     "page_headings": f"SELECT page_id, {first_tag_text('title')} AS title, {first_tag_text('h1')} AS h1 FROM {USABLE_PAGES}",
     "page_links": PAGE_LINKS,
+    "resolve_links": RESOLVE_LINKS,
     "link_histogram": (
         f"SELECT pattern, CAST(count(*) AS BIGINT) AS n FROM (SELECT {LINK_PATTERN} AS pattern FROM ({PAGE_LINKS})) "
         "WHERE pattern IS NOT NULL GROUP BY pattern ORDER BY n DESC, pattern"
@@ -424,7 +443,15 @@ TABLE_ITEMS = lambda reg=None: _items(clean("company"), clean("role"), clean(DES
 CARD_ITEMS = lambda reg=None: _items(clean("company"), clean("role"), clean(DESC), "p_type <> 'SMALL'", region=reg)
 TEXT_ITEMS = lambda reg=None: _items(clean("replace(company, '#', ' ')"), clean("role"), "''", region=reg)
 
+CUSTOM_ITEMS = _items(
+    f"CASE WHEN p_size % 3 <> 0 THEN {clean("('Custom ' || company)")} ELSE {clean('company')} END",
+    f"CASE WHEN p_size % 2 = 0 THEN {clean("('Custom ' || role)")} ELSE {clean('role')} END",
+    f"CASE WHEN p_size % 3 <> 0 AND p_size % 2 = 0 THEN {clean("('Custom ' || p_brand)")} ELSE {clean(DESC)} END",
+    "(p_size % 3 <> 0 OR p_type <> 'SMALL')",
+)
+
 GENERIC_SQL = {
+    "custom_selectors": generic_post(CUSTOM_ITEMS),
     "extract_jsonld": generic_post(JSONLD_ITEMS()),
     "extract_tables": generic_post(TABLE_ITEMS()),
     "extract_cards": generic_post(CARD_ITEMS()),
@@ -513,12 +540,13 @@ JOB_PAGE_ROWS = (
     f"nation || ', ' || {NAUKRI_PLACE} AS location, CAST(p_size // 10 AS VARCHAR) || '-' || CAST(p_size // 10 + 3 AS VARCHAR) || ' Yrs' AS experience, "
     "'Graduate - ' || lower(p_type) AS education, 'Full Time, Permanent' AS employment_type, 'Engineering - Hardware' AS department, "
     "upper(substring(p_type, 1, 1)) || lower(substring(p_type, 2)) || ' Goods' AS industry, '' AS highlights, 'naukri-job-page' AS source "
-    f"FROM (SELECT *, {JOB_DESC} AS d FROM ({LISTING_JOBS})) WHERE p_size >= 10"
+    f"FROM (SELECT *, {JOB_DESC} AS d FROM ({LISTING_JOBS}))"
 )
+CRAWLED_JOB_PAGE_ROWS = f"{JOB_PAGE_ROWS} WHERE p_size >= 10"  # the pages that the enrichment batch finds
 NAUKRI_LINKS = _link_rows("https://www.naukri.com/job-listings-r-", CARD_COMPANY)
 BATCH_JOIN = (
     f"SELECT l.page_id, l.pos, l.url, l.company AS card_company, l.role AS card_role, j.* EXCLUDE (page_id, url) "
-    f"FROM ({NAUKRI_LINKS}) l LEFT JOIN ({JOB_PAGE_ROWS}) j ON l.url = j.url"
+    f"FROM ({NAUKRI_LINKS}) l LEFT JOIN ({CRAWLED_JOB_PAGE_ROWS}) j ON l.url = j.url"
 )
 
 EXTENSION_SQL = {
@@ -531,7 +559,7 @@ EXTENSION_SQL = {
     ),
     "script_job_page": (
         "SELECT CAST(job_id AS BIGINT) AS page_id, CASE WHEN p_type = 'LARGE' THEN '[MISSING]' ELSE substring(company, 1, 100) END AS company, "
-        f"substring(role, 1, 120) AS role, 0 AS desc_len, p_brand || lower(p_type) AS skills FROM ({LISTING_JOBS}) WHERE p_size >= 10"
+        f"substring(role, 1, 120) AS role, 0 AS desc_len, p_brand || lower(p_type) AS skills FROM ({LISTING_JOBS})"
     ),
     "enrich_links": (
         "SELECT page_id, pos, url, "
@@ -634,7 +662,7 @@ EXTENSION_SQL["extension_page_types"] = (
     "SELECT CAST(s_suppkey * 2 AS BIGINT) AS page_id, 'listing-with-links' AS page_type, CAST(count(*) AS INTEGER) AS n_links, 0 AS n_data "
     f"FROM ({LISTING_JOBS}) GROUP BY s_suppkey UNION ALL "
     "SELECT CAST(job_id * 2 + 1 AS BIGINT), 'job', 0, 1 "
-    f"FROM ({LISTING_JOBS}) WHERE p_size >= 10"
+    f"FROM ({LISTING_JOBS})"
 )
 
 
@@ -654,3 +682,8 @@ EXTRACT_SQL["site_outcomes"] = (
     + " UNION ALL "
     + _site_outcome(card_site_rows("Job posting position for ", K.LINKEDIN_CARD_COMPANY, "''"), 1, "LinkedIn", "No job listings extracted from search page.")
 )
+
+_LINE = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
+REPORT_SQL["serial_lineitem"] = f"SELECT {_LINE}, row_number() OVER (ORDER BY {_LINE}) AS s_no FROM lineitem"
+STREAM_SQL["stream_pages"] = PAGE_SQL["page_headings"]
+STREAM_SQL["stream_status"] = f"SELECT {source_sql('url')} AS source, count(*) AS n FROM pages GROUP BY 1"

@@ -59,7 +59,10 @@ def _nodes(spark, sf_dir):
 
 
 def q_page_headings(spark, sf_dir):
-    n = _nodes(spark, sf_dir)
+    return page_headings(_nodes(spark, sf_dir))
+
+
+def page_headings(n):
     return n.select(
         "page_id",
         T.clean_text(S.text(F.col("buf"), S.select_one(F.col("nodes"), "title"))).alias("title"),
@@ -80,6 +83,19 @@ def q_page_links(spark, sf_dir):
     return page_links(_nodes(spark, sf_dir))
 
 
+#: Forms of a link made of every supplied one (``x``: without its leading slash).
+LINK_FORMS = ["/{x}", "{x}", "../{x}", "?{x}", "#{x}", "mailto:{x}", "//other.example.com/{x}", "./a/../{x}", "", "https://other.example.com/b/./{x}"]
+
+
+def q_resolve_links(spark, sf_dir):
+    """O-H10 over all links of all pages, in every form that an href can have."""
+    links = page_links(_nodes(spark, sf_dir)).join(table_pages(spark, sf_dir).select("page_id", "url"), "page_id")
+    x = F.regexp_replace("href", "^/", "")
+    forms = F.array(*[F.replace(F.lit(f), F.lit("{x}"), x) for f in LINK_FORMS])
+    each = links.select("page_id", "pos", "url", F.posexplode(forms).alias("form", "href"))
+    return each.select("page_id", "pos", "form", U.resolve("href", "url").alias("resolved"))
+
+
 def q_link_histogram(spark, sf_dir):
     """O-C14 + O-A5: link-pattern counts, most common first."""
     links = page_links(_nodes(spark, sf_dir))

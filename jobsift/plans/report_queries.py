@@ -8,10 +8,12 @@ from ..operators import extract_generic as G
 from ..operators import report as R
 from ..operators import sinks as K
 from ..operators.jobs import explode_jobs
+from ..session import read_table
 from ..sources import listings as L
 from ..sources.pages import shred_pages
 from .generic_queries import generic_run
 
+LINE_COLUMNS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 NO_DATA = "Could not automatically detect company/job data on this page. Try using the 'Custom CSS Selectors' option in Advanced Settings."
 
 
@@ -48,6 +50,12 @@ def q_export_json(spark, sf_dir):
     return docs.withColumn("requiredSkills", F.array_join("requiredSkills", "|"))
 
 
+def q_serial_lineitem(spark, sf_dir):
+    """O-W1 over a table with no unique key: all its columns order it, so equal rows are alike."""
+    rows = read_table(spark, sf_dir, "lineitem").select(*LINE_COLUMNS)
+    return R.serial_number(rows, LINE_COLUMNS)
+
+
 def flagship(spark, sf_dir):
     """Listing pages → shred → strategy cascade → post-processing → dedup → 8-column sheet."""
     return K.sheet(_run(spark, sf_dir))

@@ -10,6 +10,8 @@ from ..session import read_table
 from ..streaming import stream as ST
 from . import extension_queries as XQ
 from . import extract_queries as SQ
+from . import page_queries as PQ
+from ..functions import urls as URL
 from ..sources import listings as L
 
 
@@ -19,7 +21,7 @@ def _docs(spark, sf_dir):
 
 def q_stream_dedup(spark, sf_dir):
     """O-T1/O-T2: documents streamed through the dedup state; the set of surviving keys."""
-    return ST.stream_dedup_documents(spark, _docs(spark, sf_dir), name="stream_dedup_keys").select("fp").distinct()
+    return ST.stream_dedup_documents(spark, f"{sf_dir}/documents.parquet", _docs(spark, sf_dir).schema).select("fp").distinct()
 
 
 def q_upgrade_longest(spark, sf_dir):
@@ -30,7 +32,19 @@ def q_upgrade_longest(spark, sf_dir):
 
 def q_stream_upgrade(spark, sf_dir):
     """O-T4 (streaming, update-mode aggregation) — same answer as the batch rule."""
-    return ST.stream_upgrade_documents(spark, _docs(spark, sf_dir), name="stream_upgrade_best").select("url", "capture_no")
+    return ST.stream_upgrade_documents(spark, f"{sf_dir}/documents.parquet", _docs(spark, sf_dir).schema).select("url", "capture_no")
+
+
+def q_stream_pages(spark, sf_dir):
+    """O-T1: the crawl streamed through the shredder and the heading selectors into files."""
+    pages = ST.table_stream(spark, f"{sf_dir}/pages.parquet", ST.PAGES_DDL)
+    return ST.drain_append(PQ.page_headings(ST.stream_nodes(pages)), "stream_pages")
+
+
+def q_stream_status(spark, sf_dir):
+    """O-T3: running page counts per detected source."""
+    pages = ST.table_stream(spark, f"{sf_dir}/pages.parquet", ST.PAGES_DDL)
+    return ST.drain_upsert(ST.running_status(pages.select(URL.detect_source("url").alias("source"))), ["source"], "stream_status")
 
 
 def q_upgrade_if_short(spark, sf_dir):
@@ -52,5 +66,4 @@ def q_sites_summary(spark, sf_dir):
 def q_batch_status(spark, sf_dir):
     """O-A6 for the extension batch over the Naukri listing links."""
     links = XQ._links(XQ.shred_pages(L.naukri_pages(spark, sf_dir)), XQ.X.naukri_links)
-    res, err = E.batch(links, XQ.job_page_records(spark, sf_dir))
-    return R.batch_status(res, err, links)
+    return R.batch_status(E.visited(links, XQ.job_page_records(spark, sf_dir, crawled_only=True)))

@@ -92,9 +92,10 @@ def q_skills_tag(spark, sf_dir):
 
 
 def q_looks_like_company(spark, sf_dir):
-    """O-S9 on supplier names and on the first 30 characters of every document."""
+    """O-S9 on supplier names and on every line of every document."""
     s = read_table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("probe"))
-    d = _docs(spark, sf_dir).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), T.clean_text(F.substring("text", 1, 30)).alias("probe"))
+    lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    d = lines.select(F.concat_ws(".", F.concat(F.lit("d"), F.col("doc_id").cast("string")), (F.col("i") + 1).cast("string")).alias("id"), T.clean_text("line").alias("probe"))
     u = s.unionByName(d)
     return u.select("id", "probe", T.looks_like_company("probe").alias("is_company"))
 
@@ -139,7 +140,7 @@ def q_slug_snippet(spark, sf_dir):
     return d.select(
         "doc_id",
         T.slug("source", "scraped").alias("company_slug"),
-        T.slug(F.substring("text", 1, 40), "job").alias("role_slug"),
+        T.slug("text", "job").alias("role_slug"),
         T.snippet("text").alias("snippet"),
     )
 

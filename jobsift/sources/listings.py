@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..session import read_table
+from .pages import spread
 
 
 def esc(c) -> Column:
@@ -76,16 +77,7 @@ def _pages(jobs: DataFrame, card: Column, url: Column, head: str = "", tail: str
         F.lit(wrap[1] + tail + "</body></html>"),
     )
     out = grouped.select(F.col("s_suppkey").cast("bigint").alias("page_id"), "url", html.alias("html"))
-    return _spread_pages(out)
-
-
-def _spread_pages(pages: DataFrame) -> DataFrame:
-    """Give the CPU-heavy page set at least two tasks per core: an explicit
-    partition count, which AQE does not coalesce away for small inputs."""
-    spark = pages.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return pages.repartition(max(2 * par, shuffle))
+    return spread(out)
 
 
 def indeed_pages(spark, sf_dir) -> DataFrame:
@@ -208,6 +200,21 @@ def _generic_card() -> Column:
     )
 
 
+CUSTOM_SELECTORS = {"company": "em.cc", "role": "em.cr", "description": "em.cd"}
+
+
+def custom_card_pages(spark, sf_dir) -> DataFrame:
+    """Generic cards whose elements for custom selectors are complete, partly there or missing, by ``p_size``."""
+    em = lambda cls, value: F.concat(F.lit(f'<em class="{cls}">Custom '), value, F.lit("</em>"))
+    inside = F.concat(
+        F.when(F.col("p_size") % 3 != 0, em("cc", esc("company"))).otherwise(F.lit("")),
+        F.when(F.col("p_size") % 2 == 0, em("cr", esc("role"))).otherwise(F.lit("")), em("cd", esc("p_brand")),
+    )
+    card = F.concat(F.substring_index(_generic_card(), "</div>", 1), inside, F.lit("</div>"))
+    url = F.concat(F.lit("https://www.example-jobs.com/custom/"), F.col("s_suppkey").cast("string"))
+    return _pages(job_rows(spark, sf_dir), card, url, wrap=("<section>", "</section>"))
+
+
 def _text_card() -> Column:
     return F.concat(F.lit("<p>Join "), esc(F.replace(F.col("company"), F.lit("#"), F.lit(" "))), F.lit(" as a "), esc("role"), F.lit(". </p>"))
 
@@ -236,9 +243,14 @@ def job_page_url(prefix: str = "https://www.naukri.com/job-listings-r-") -> Colu
     return F.concat(F.lit(prefix), F.col("job_id").cast("string"))
 
 
-def naukri_job_pages(spark, sf_dir) -> DataFrame:
-    """One crawled Naukri job page per part with ``p_size >= 10`` (``LARGE`` parts omit the company)."""
-    j = job_rows(spark, sf_dir).where(has_job_page())
+def naukri_job_pages(spark, sf_dir, crawled_only: bool = False) -> DataFrame:
+    """One Naukri job page per part (``LARGE`` parts omit the company).
+
+    ``crawled_only`` leaves out the pages that a batch of links doesn't find,
+    so that enrichment has links with and without a page.
+    """
+    j = job_rows(spark, sf_dir)
+    j = j.where(has_job_page()) if crawled_only else j
     company = F.when(F.col("p_type") == "LARGE", F.lit("")).otherwise(
         F.concat(F.lit('<a class="jd-header-title-company" href="/c-jobs-careers-'), F.col("s_suppkey").cast("string"), F.lit('">'), esc("company"), F.lit("</a>"))
     )
@@ -255,7 +267,7 @@ def naukri_job_pages(spark, sf_dir) -> DataFrame:
         F.lit('<div class="other-details"><div>Employment Type: Full Time, Permanent</div><div>Department: Engineering - Hardware</div>'),
         F.lit("<div>Industry Type: "), F.initcap(F.col("p_type")), F.lit(" Goods</div></div></body></html>"),
     )
-    return _spread_pages(j.select(F.col("job_id").cast("bigint").alias("page_id"), job_page_url().alias("url"), html.alias("html")))
+    return spread(j.select(F.col("job_id").cast("bigint").alias("page_id"), job_page_url().alias("url"), html.alias("html")))
 
 
 def generic_link_pages(spark, sf_dir) -> DataFrame:

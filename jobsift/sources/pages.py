@@ -1,8 +1,8 @@
 """O-C1 page scan and the shredded-node table.
 
-Pages are read column-pruned (``page_id, url, html``); URL and length rules
-run *before* the shredder so the parquet scan and the Python step see only
-usable pages.  At scale the shredded table is written once (silver) and
+Pages are read column-pruned (``page_id, url, html``).  Every page is
+shredded; the length rule belongs to the Naukri engine and reads the node
+table's ``html_len``.  At scale the shredded table is written once (silver) and
 every extractor reads it back: the Python step never re-runs per query.
 """
 
@@ -13,7 +13,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.classify import usable
+from ..operators.classify import MIN_USABLE_HTML
+from ..session import SCAN_PARTITIONS
 from .shred import shred
 
 
@@ -31,31 +32,29 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return df.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
 
 
-def spread(pages: DataFrame) -> DataFrame:
-    """Spread few large files over the cluster before the CPU-heavy shred.
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal scanned rows over as many partitions as the session's ``SCAN_PARTITIONS`` says.
 
-    Parsing and extraction cost CPU per byte, so a crawl stored in fewer
-    splits than the cluster has cores would run on a few cores.  Only then is
-    the input repartitioned (a shuffle bounded by that small split count);
-    a large crawl already arrives in thousands of splits and is left alone.
+    Parsing and extraction cost CPU per byte, and a parquet row group can't be
+    split by the scan.  Whoever reads a few large row groups sets the number;
+    unset, as on a large crawl, rows stay where they were read.
     """
-    par = pages.sparkSession.sparkContext.defaultParallelism
-    if pages.rdd.getNumPartitions() < par:
-        return pages.repartition(2 * par)
-    return pages
+    n = rows.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return rows.repartition(int(n)) if n else rows
 
 
 def table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(read_pages(spark, os.path.join(sf_dir, "pages.parquet")))
 
 
-def usable_pages(pages: DataFrame) -> DataFrame:
-    """O-C2 before shredding."""
-    return pages.where(usable("html"))
+def usable_nodes(nodes: DataFrame) -> DataFrame:
+    """O-C2, a rule of the Naukri engine only: pages of at least 500 characters."""
+    return nodes.where(F.col("html_len") >= MIN_USABLE_HTML)
 
 
 def shred_pages(pages: DataFrame) -> DataFrame:
-    return shred(usable_pages(pages))
+    """Every page, whatever its length; a page that can't be read keeps a row with its ``shred_error``."""
+    return shred(pages)
 
 
 def write_nodes(nodes: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -69,7 +68,7 @@ def read_nodes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def shred_to_silver(pages: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
-    """Job 1 of a run: URL / length rules → shred → parquet; returns the stored table.
+    """Job 1 of a run: shred → parquet; returns the stored table.
 
     Extractors then read ``path`` (column-pruned to ``url, buf, nodes``), so
     the Python step runs once per page however many extractors follow, and a

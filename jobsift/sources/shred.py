@@ -39,7 +39,7 @@ NODE_DDL = (
     "pre INT, last INT, parent INT, depth INT, sib INT, tag STRING, cls STRING, "
     "attrs MAP<STRING, STRING>, t0 INT, t1 INT"
 )
-SHRED_DDL = f"page_id BIGINT, url STRING, buf STRING, nodes ARRAY<STRUCT<{NODE_DDL}>>, shred_error STRING"
+SHRED_DDL = f"page_id BIGINT, url STRING, buf STRING, nodes ARRAY<STRUCT<{NODE_DDL}>>, shred_error STRING, html_len INT"
 
 TEXT_SEP = "\u0000"
 BLOCK_SEP = "\u0001"
@@ -194,11 +194,12 @@ class _Shredder(HTMLParser):
 # stays inside its text node (html.parser would split it into its own chunk).
 # ---------------------------------------------------------------------------
 _TOKEN = re.compile(
-    r"<(?:!--.*?--!?>|(/?)([a-zA-Z][^\t\n\f\r />\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|![^>]*>|\?[^>]*>)",
+    r"<(?:!--.*?--!?>|(/?)([a-zA-Z][^\t\n\f\r />\x00]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|![^>]*+>|\?[^>]*+>)",
     re.S,
 )
+_OPENS = re.compile(r"<(?:/?[a-zA-Z]|!|\?)")
 _ATTR = re.compile(r"""([^\t\n\f\r /=>][^\t\n\f\r /=>]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\t\n\f\r >]*))?""")
-_RAW_END = {t: re.compile(rf"</{t}(?=[\t\n\f\r />])[^>]*>", re.I) for t in RAW}
+_RAW_END = {t: re.compile(rf"</{t}(?=[\t\n\f\r />])", re.I) for t in RAW}
 
 
 def _attrs(text: str):
@@ -211,17 +212,23 @@ def _attrs(text: str):
 
 
 def _fast_feed(p: "_Shredder", doc: str) -> None:
-    pos, n = 0, len(doc)
-    search = _TOKEN.search
+    """One forward pass: markup that never closes (a quote, comment or tag left open) runs to the end of
+    the page, as in the HTML standard, so no text is read twice and hostile pages cost no more than others."""
+    pos, at, n = 0, 0, len(doc)
     while pos < n:
-        m = search(doc, pos)
+        at = doc.find("<", at)
+        m = _TOKEN.match(doc, at) if at >= 0 else None
         if m is None:
-            p.handle_data(unescape(doc[pos:]))
+            if at >= 0 and not _OPENS.match(doc, at):
+                at += 1  # a "<" in running text
+                continue
+            text = doc[pos:at] if at >= 0 else doc[pos:]
+            p.handle_data(unescape(text) if "&" in text else text)
             break
-        if m.start() > pos:
-            text = doc[pos:m.start()]
+        if at > pos:
+            text = doc[pos:at]
             p.handle_data(unescape(text) if "&" in text else text)
-        pos = m.end()
+        pos = at = m.end()
         tag = m.group(2)
         if tag is None:
             continue  # comment, declaration, processing instruction
@@ -238,11 +245,12 @@ def _fast_feed(p: "_Shredder", doc: str) -> None:
         p.handle_starttag(tag, attrs)
         if tag in RAW:
             e = _RAW_END[tag].search(doc, pos)
-            end = e.start() if e else n
+            close = doc.find(">", e.end()) if e else -1
+            end = e.start() if close >= 0 else n
             if end > pos:
                 p.handle_data(doc[pos:end])
             p.handle_endtag(tag)
-            pos = e.end() if e else n
+            pos = at = close + 1 if close >= 0 else n
 
 
 def shred_one(html: str | None, tokenizer: str = "fast"):
@@ -305,8 +313,9 @@ def _shred_batches(batches):
         structs = pa.StructArray.from_arrays(children, fields=list(node_type))
         nodes_arr = pa.ListArray.from_arrays(pa.array(loff, pa.int32()), structs)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), pa.array(bufs, pa.string()), nodes_arr, pa.array(errs, pa.string())],
-            names=["page_id", "url", "buf", "nodes", "shred_error"],
+            [batch.column("page_id"), batch.column("url"), pa.array(bufs, pa.string()), nodes_arr, pa.array(errs, pa.string()),
+             pa.array([len(x or "") for x in d["html"]], pa.int32())],
+            names=["page_id", "url", "buf", "nodes", "shred_error", "html_len"],
         )
 
 

@@ -11,8 +11,8 @@
 * O-T4 re-extraction upgrade: per url keep the capture with the longest
   description — a streaming ``max_by`` aggregation in update mode.
 
-Landing and checkpoint folders live under the session's shared
-``spark.checkpoint.dir``; nothing is written to a machine-local path.
+Results end in parquet files and state in RocksDB; result and checkpoint
+folders live under the session's shared ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import text as T
 from ..operators import dedup
@@ -29,6 +30,7 @@ from ..session import ensure_checkpoint_dir
 from ..sources.shred import shred
 
 PAGES_DDL = "page_id BIGINT, url STRING, html STRING"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -43,8 +45,8 @@ def read_page_stream(spark: SparkSession, landing: str, max_files: int = 64) ->
 
 
 def stream_nodes(pages: DataFrame) -> DataFrame:
-    """Shred a page stream (usable pages only)."""
-    return shred(pages.where(F.col("html").isNotNull() & (F.length("html") >= 500)))
+    """Shred a page stream."""
+    return shred(pages)
 
 
 def stream_dedup(rows: DataFrame, key: str, event_time: str | None = None, horizon: str | None = None) -> DataFrame:
@@ -73,38 +75,65 @@ def stream_upgrade(captures: DataFrame, key: str, order: str, cols: list[str]) -
     return best.select(key, "b.*")
 
 
-def run_available(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None):
-    """Drain everything available now into a memory table ``name``; returns the finished query."""
+def rocksdb_state(spark: SparkSession) -> None:
+    """Keep streaming state in RocksDB files (checkpointed to shared storage), not in executor heap."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
+def table_stream(spark: SparkSession, path: str, schema, max_files: int = 64) -> DataFrame:
+    """A parquet table as a stream of its files.
+
+    A stream takes a folder or a pattern; as a pattern, a table may also be a
+    single file.
+    """
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
+def drain_append(df: DataFrame, name: str, checkpoint: str | None = None, out: str | None = None) -> DataFrame:
+    """Run an append stream over everything available now into parquet files; returns them as a table."""
     spark = df.sparkSession
-    ckpt = checkpoint or shared_path(spark, f"ckpt-{name}")
-    q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return q
+    rocksdb_state(spark)
+    out = out or shared_path(spark, f"out-{name}")
+    query = (df.writeStream.format("parquet").outputMode("append").option("path", out)
+             .option("checkpointLocation", checkpoint or shared_path(spark, f"ckpt-{name}")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)
 
 
-def land_documents(spark: SparkSession, docs: DataFrame, files: int = 8) -> str:
-    """Write ``docs`` as several parquet files into a fresh shared landing folder."""
-    path = shared_path(spark, "landing-docs")
-    docs.repartition(files).write.parquet(path)
-    return path
+def drain_upsert(df: DataFrame, keys: list[str], name: str, checkpoint: str | None = None, out: str | None = None) -> DataFrame:
+    """Run an update-mode aggregation over everything available now; returns each key's last row.
 
+    Every micro-batch adds the rows that it changed as a folder of its own
+    (a retried batch overwrites its folder), so nothing passes the driver; the
+    last row per key is a map-side ``max_by`` over the batch number.
+    """
+    spark = df.sparkSession
+    rocksdb_state(spark)
+    out = out or shared_path(spark, f"out-{name}")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-def stream_dedup_documents(spark: SparkSession, docs: DataFrame, name: str = "stream_dedup") -> DataFrame:
+    query = (df.writeStream.outputMode("update").foreachBatch(write)
+             .option("checkpointLocation", checkpoint or shared_path(spark, f"ckpt-{name}")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    changes = spark.read.schema(StructType([*df.schema.fields, StructField("batch", LongType())])).parquet(out)
+    rest = [c for c in df.columns if c not in keys]
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
+    return last.select(*keys, "last.*").select(*df.columns)
+
+
+def stream_dedup_documents(spark: SparkSession, path: str, schema, name: str = "stream_dedup", max_files: int = 64) -> DataFrame:
     """Documents streamed through the O-D2 key and O-T2 dedup; the result is the set of keys."""
-    landing = land_documents(spark, docs)
-    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(landing)
-    keyed = stream.select(
+    keyed = table_stream(spark, path, schema, max_files).select(
         "doc_id", dedup.description_key(T.py_strip(T.nz(F.col("text"))), F.col("source")).alias("fp")
     )
-    run_available(stream_dedup(keyed, "fp"), name)
-    return spark.table(name)
+    return drain_append(stream_dedup(keyed, "fp"), name)
 
 
-def stream_upgrade_documents(spark: SparkSession, docs: DataFrame, name: str = "stream_upgrade") -> DataFrame:
+def stream_upgrade_documents(spark: SparkSession, path: str, schema, name: str = "stream_upgrade", max_files: int = 64) -> DataFrame:
     """O-T4 on documents: captures of one ``source`` compete, the longest text wins."""
-    landing = land_documents(spark, docs)
-    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(landing)
-    caps = stream.select(F.col("source").alias("url"), F.col("doc_id").alias("capture_no"), F.col("text").alias("description"))
-    run_available(stream_upgrade(caps, "url", "capture_no", ["capture_no", "description"]), name, mode="complete")
-    return spark.table(name)
+    caps = table_stream(spark, path, schema, max_files).select(
+        F.col("source").alias("url"), F.col("doc_id").alias("capture_no"), F.col("text").alias("description")
+    )
+    return drain_upsert(stream_upgrade(caps, "url", "capture_no", ["capture_no", "description"]), ["url"], name)

@@ -42,6 +42,22 @@ def test_serial_number_many_partitions(spark):
     assert [s for *_, s in got] == list(range(1, 5001))
 
 
+def test_serial_number_keeps_wide_rows(spark):
+    """Adaptive execution coalesces partitions; rows, numbers and order stay whole."""
+    n = 300_000
+    df = spark.range(n).select(F.col("id"), F.sha2(F.col("id").cast("string"), 512).alias("wide"), F.repeat(F.lit("x"), 300).alias("more"))
+    out = R.serial_number(df.repartition(16), ["id"])
+    got = out.agg(F.count("*"), F.count_distinct("s_no"), F.min("s_no"), F.max("s_no"), F.count_if(F.col("s_no") != F.col("id") + 1)).first()
+    assert tuple(got) == (n, n, 1, n, 0)
+
+
+def test_no_local_folder_on_a_cluster():
+    from jobsift.session import is_local
+
+    assert is_local("local") and is_local("local[8]")
+    assert not is_local("local-cluster[3,2,3000]") and not is_local("yarn") and not is_local("spark://host:7077")
+
+
 def test_json_last_wins_f21(spark):
     df = jobs(spark, [
         dict(pos=1, company="Acme Inc", job_role="Dev", description="first"),

@@ -7,19 +7,29 @@ from jobsift.operators import dedup
 from jobsift.streaming import stream as ST
 
 
+DOCS = "/root/testdata/sf0.001/documents.parquet"
+
+
+def documents(spark, files=4):
+    """The documents and a folder that holds them in several files."""
+    docs = spark.read.parquet(DOCS).select("doc_id", "text", "lang", "source")
+    path = ST.shared_path(spark, "landing")
+    docs.repartition(files).write.parquet(path)
+    return docs, path
+
+
 def test_stream_dedup_equals_batch_keys(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source")
-    streamed = {r.fp for r in ST.stream_dedup_documents(spark, docs, name="t_stream_dedup").collect()}
+    docs, path = documents(spark)
+    streamed = {r.fp for r in ST.stream_dedup_documents(spark, path, docs.schema, max_files=1).collect()}
     batch = {r.fp for r in docs.select(dedup.description_key(T.py_strip(T.nz(F.col("text"))), F.col("source")).alias("fp")).distinct().collect()}
     assert streamed == batch and len(streamed) > 0
 
 
 def test_stream_upgrade(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source")
-    got = {r.url: r.capture_no for r in ST.stream_upgrade_documents(spark, docs, name="t_stream_upgrade").collect()}
-    rows = docs.collect()
+    docs, path = documents(spark)
+    got = {r.url: r.capture_no for r in ST.stream_upgrade_documents(spark, path, docs.schema, max_files=1).collect()}
     want = {}
-    for r in sorted(rows, key=lambda r: r.doc_id):
+    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
         n = len(r.text or "")
         if r.source not in want or n > want[r.source][0]:
             want[r.source] = (n, r.doc_id)
@@ -37,22 +47,21 @@ def test_page_stream_extracts(spark):
     pages.repartition(3).write.parquet(landing)
     nodes = ST.stream_nodes(ST.read_page_stream(spark, landing, max_files=1))
     jobs = explode_jobs(nodes, G.generic_jobs(G.heuristic_items(F.col("buf"), F.col("nodes"))))
-    ST.run_available(jobs.select("page_id", "pos", "company"), "t_page_stream")
-    streamed = spark.table("t_page_stream").count()
-    batch_nodes = ST.stream_nodes(pages)
-    batch = explode_jobs(batch_nodes, G.generic_jobs(G.heuristic_items(F.col("buf"), F.col("nodes")))).count()
+    streamed = ST.drain_append(jobs.select("page_id", "pos", "company"), "t_page_stream").count()
+    batch = explode_jobs(ST.stream_nodes(pages), G.generic_jobs(G.heuristic_items(F.col("buf"), F.col("nodes")))).count()
     assert streamed == batch > 0
 
 
-def test_running_status_complete_mode(spark):
-    """O-T3: running counts per source over a stream."""
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source")
-    landing = ST.land_documents(spark, docs, files=4)
-    stream = spark.readStream.schema(docs.schema).parquet(landing)
-    ST.run_available(ST.running_status(stream, "lang"), "t_status", mode="complete")
-    got = {r.lang: r.n for r in spark.table("t_status").collect()}
+def test_running_status_over_several_batches_and_a_restart(spark):
+    """O-T3: running counts per language; a second run goes on from the state of the first."""
+    docs, path = documents(spark)
+    checkpoint, out = ST.shared_path(spark, "ckpt"), ST.shared_path(spark, "out")
+    status = lambda: ST.drain_upsert(
+        ST.running_status(ST.table_stream(spark, path, docs.schema, 1), "lang"), ["lang"], "t_status", checkpoint, out)
     want = {r.lang: r["count"] for r in docs.groupBy("lang").count().collect()}
-    assert got == want
+    assert {r.lang: r.n for r in status().collect()} == want
+    docs.write.mode("append").parquet(path)
+    assert {r.lang: r.n for r in status().collect()} == {k: 2 * v for k, v in want.items()}
 
 
 def test_cross_run_seen_table(spark):
