@@ -23,7 +23,7 @@ QUALITY = rf"""
     win AS (SELECT row, i, hash(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS t, count(*) OVER (PARTITION BY row, w[i], w[i + 1], w[i + 2]) AS n
             FROM g WHERE i + 2 <= len(w)),
     rep AS (SELECT row, count(DISTINCT i + j) AS n FROM win, (SELECT unnest([0, 1, 2]) AS j) WHERE n > 1 GROUP BY row),
-    l AS (SELECT row, list_filter(string_split(x, chr(10)), y -> regexp_matches(y, '[^\x20\x09-\x0D]')) AS l FROM d),
+    l AS (SELECT row, list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) AS l FROM d),
     f AS (
         SELECT row, doc_id, lang, source, len(w) AS n_words, length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
             length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS n_symbols,
@@ -63,9 +63,9 @@ QUALITY = rf"""
 """
 
 _turn = lambda t: f"'{chat.OPEN}' || coalesce({t}.role, '') || chr(10) || coalesce({t}.text, '') || '<|im_end|>' || chr(10)"
-_render = lambda x: f"coalesce(array_to_string(list_transform({x}, t -> {_turn('t')}), ''), '')"
+_render = lambda x: f"coalesce(array_to_string(list_transform({x}, lambda t: {_turn('t')}), ''), '')"
 _mask = lambda x: (
-    f"coalesce(array_to_string(list_transform({x}, t -> (length('{chat.OPEN}') + length(coalesce(t.role, '')) + 1)::VARCHAR || '-,'"
+    f"coalesce(array_to_string(list_transform({x}, lambda t: (length('{chat.OPEN}') + length(coalesce(t.role, '')) + 1)::VARCHAR || '-,'"
     f" || (length(coalesce(t.text, '')) + 11)::VARCHAR || CASE WHEN coalesce(t.role, '') = '{chat.TRAINED}' THEN '+' ELSE '-' END), ','), '')"
 )
 
@@ -75,7 +75,7 @@ CHAT = f"""
         coalesce(list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (chosen), []) AS c,
         coalesce(list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (NOT chosen), []) AS r
         FROM t GROUP BY pair_id),
-    k AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(c), len(r)) + 1), i -> c[i] IS DISTINCT FROM r[i])) - 1, least(len(c), len(r))) AS k FROM p)
+    k AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(c), len(r)) + 1), lambda i: c[i] IS DISTINCT FROM r[i])) - 1, least(len(c), len(r))) AS k FROM p)
     SELECT pair_id, k::INTEGER AS prompt_turns, len(c)::INTEGER AS chosen_turns, len(r)::INTEGER AS rejected_turns,
         {_render("c[1:k]")} AS prompt, {_render("c[k + 1:]")} AS chosen, {_render("r[k + 1:]")} AS rejected,
         {_mask("c[k + 1:]")} AS chosen_mask, {_mask("r[k + 1:]")} AS rejected_mask
