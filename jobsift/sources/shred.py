@@ -29,6 +29,7 @@ spreads the pages over all executors.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from html import unescape
 from html.parser import HTMLParser
 
@@ -197,7 +198,9 @@ _TOKEN = re.compile(
     r"<(?:!--.*?--!?>|(/?)([a-zA-Z][^\t\n\f\r />\x00]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|![^>]*+>|\?[^>]*+>)",
     re.S,
 )
-_OPENS = re.compile(r"<(?:/?[a-zA-Z]|!|\?)")
+_PLAIN = re.compile(_TOKEN.pattern.replace("!--.*?--!?>|", "", 1), re.S)  # where no comment can end any more
+_NAME = re.compile(r"</?[a-zA-Z][^\t\n\f\r />\x00]*+")
+_SPECIAL = re.compile("[\"'>]")
 _ATTR = re.compile(r"""([^\t\n\f\r /=>][^\t\n\f\r /=>]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\t\n\f\r >]*))?""")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\t\n\f\r />])", re.I) for t in RAW}
 
@@ -211,20 +214,48 @@ def _attrs(text: str):
     return out
 
 
+def _closing(doc: str):
+    """A test whether the tag that begins at a position ever closes outside quotes.
+
+    Where a tag closes depends on the next quote or ">" only, so one pass from
+    the right gives the answer for all of them.
+    """
+    places = [m.start() for m in _SPECIAL.finditer(doc)]
+    closes = [False] * (len(places) + 1)
+    following: dict[str, int] = {}
+    for i in range(len(places) - 1, -1, -1):
+        c = doc[places[i]]
+        if c == ">":
+            closes[i] = True
+        else:
+            closes[i] = c in following and closes[following[c] + 1]
+            following[c] = i
+
+    def test(at: int) -> bool:
+        name = _NAME.match(doc, at)
+        return name is None or closes[bisect_left(places, name.end())]
+
+    return test
+
+
 def _fast_feed(p: "_Shredder", doc: str) -> None:
-    """One forward pass: markup that never closes (a quote, comment or tag left open) runs to the end of
-    the page, as in the HTML standard, so no text is read twice and hostile pages cost no more than others."""
+    """One forward pass.  A "<" whose tag never closes is text; hostile pages (quotes, comments, tags left
+    open) cost no more than others, because no attempt that must fail is made twice."""
     pos, at, n = 0, 0, len(doc)
+    last_end, last_comment, closing = doc.rfind(">"), max(doc.rfind("-->"), doc.rfind("--!>")), None
     while pos < n:
         at = doc.find("<", at)
-        m = _TOKEN.match(doc, at) if at >= 0 else None
-        if m is None:
-            if at >= 0 and not _OPENS.match(doc, at):
-                at += 1  # a "<" in running text
-                continue
-            text = doc[pos:at] if at >= 0 else doc[pos:]
-            p.handle_data(unescape(text) if "&" in text else text)
+        if at < 0 or at > last_end:
+            p.handle_data(unescape(doc[pos:]))
             break
+        m = None
+        if closing is None or closing(at):
+            m = (_TOKEN if at + 4 <= last_comment else _PLAIN).match(doc, at)
+        if m is None:
+            if closing is None and _NAME.match(doc, at):
+                closing = _closing(doc)
+            at += 1
+            continue
         if at > pos:
             text = doc[pos:at]
             p.handle_data(unescape(text) if "&" in text else text)
