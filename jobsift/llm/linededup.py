@@ -22,6 +22,7 @@ and the documents once, when they meet the numbers of their dropped lines.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import math
 from collections import Counter, defaultdict
@@ -37,12 +38,12 @@ from .common import Staged, free_name, text_or_empty
 from .components import components
 
 #: Characters of a shingle (nine, so that long lines of one language don't share most of theirs),
-#: least similarity, and the signature: a pair at 0.8 shares a band with probability 0.995, at 0.85 with 0.9994.
-SHINGLE, SIMILARITY, BANDS, ROWS = 9, 0.8, 10, 4
+#: least similarity, and the signature: a pair at 0.8 shares a band with probability 0.992, at 0.85 with 0.9986.
+SHINGLE, SIMILARITY, BANDS, ROWS = 9, 0.8, 9, 4
 #: Bits of the bitmap of band values that two lines share: 8 MB, whatever the corpus.
 BITMAP_BITS = 1 << 26
-#: Lines of a bucket whose parts are compared one by one; larger buckets go through the prefix filter.
-SMALL = 256
+#: Pairs between a bucket's parts, per line, up to which they are compared one by one; beyond, by prefix filter.
+DIRECT = 64
 #: Shingles that are hashed at once, so that numpy stays in the cache.
 BLOCK = 1 << 16
 
@@ -50,13 +51,31 @@ _SPACE = " \t\n\x0b\x0c\r"
 
 
 def norm(line: str) -> str:
-    """What is compared of a line: lower case, each run of white space as one space."""
-    return " ".join(line.lower().split())
+    """What is compared of a line: lower case, each run of ASCII white space as one space."""
+    return b" ".join(line.lower().encode("utf-8", "replace").split()).decode()
 
 
 def lines(text: str) -> list[tuple[int, str]]:
     """(number, normalised line) of the lines that have a word."""
-    return [(i, n) for i, x in enumerate(text.lower().split("\n")) if (n := " ".join(x.split()))]
+    text = text.lower()
+    if any(c in text for c in ("  ", "\t", "\r", "\x0b", "\x0c")):
+        return [(i, n) for i, x in enumerate(text.split("\n")) if (n := norm(x))]
+    return [(i, n) for i, x in enumerate(text.split("\n")) if (n := x.strip(" "))]
+
+
+def uncollected(scan):
+    """A scan of batches without collector runs: it makes millions of small objects and no cycles."""
+
+    def run(batches):
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            yield from scan(batches)
+        finally:
+            if collects:
+                gc.enable()
+
+    return run
 
 
 def key(line: str) -> bytes:
@@ -224,14 +243,14 @@ def length_classes(n: Column) -> Column:
     return F.array(own, own + 1)
 
 
-def part_links(rows: list[tuple[bytes, int, str]], small: int | None = None) -> Iterator[tuple[bytes, bytes]]:
+def part_links(rows: list[tuple[bytes, int, str]], direct: int = DIRECT) -> Iterator[tuple[bytes, bytes]]:
     """Similar pairs among (key, part, line), enough to join all parts that a pair joins.
 
-    Up to ``small`` rows are compared across parts one by one.  More rows go
-    through a prefix filter: with the shingles ordered by rarity in the bucket,
-    two sets that are similar share one of their first n - ceil(0.8 n) + 1.
+    Rows of one part are never compared.  Few pairs of other rows (a large part
+    and some outsiders) are compared one by one, many through a prefix filter:
+    with the shingles ordered by rarity in the bucket, two sets that are similar
+    share one of their first n - ceil(0.8 n) + 1.
     """
-    small = SMALL if small is None else small
     sets = [shingles(line) for _, _, line in rows]
     part = list(range(len(rows)))
 
@@ -244,12 +263,19 @@ def part_links(rows: list[tuple[bytes, int, str]], small: int | None = None) ->
     first: dict[int, int] = {}
     for i, (_, p, _) in enumerate(rows):
         part[i] = first.setdefault(p, i)
-    if len(rows) <= small:
-        for i, one in enumerate(sets):
-            for j in range(i):
-                if rows[i][1] != rows[j][1] and find(i) != find(j) and similar(one, sets[j]):
-                    part[max(find(i), find(j))] = min(find(i), find(j))
-                    yield rows[i][0], rows[j][0]
+    members: dict[int, list[int]] = defaultdict(list)
+    for i, (_, p, _) in enumerate(rows):
+        members[p].append(i)
+    if (len(rows) ** 2 - sum(len(m) ** 2 for m in members.values())) // 2 <= direct * len(rows):
+        by_size = sorted(members, key=lambda p: len(members[p]))
+        for a, p in enumerate(by_size):
+            for i in members[p]:
+                for q in by_size[a + 1 :]:
+                    if find(i) != find(first[q]):
+                        j = next((j for j in members[q] if similar(sets[i], sets[j])), None)
+                        if j is not None:
+                            part[max(find(i), find(j))] = min(find(i), find(j))
+                            yield rows[i][0], rows[j][0]
         return
     often = Counter(s for one in sets for s in one)
     index: dict[str, dict[int, list[int]]] = defaultdict(dict)  # by shingle and part: a part's own lines are never compared
@@ -301,37 +327,52 @@ def links(texts: DataFrame, rows: DataFrame, kept: Staged) -> DataFrame:
     members = rows.select("key", "h", "bands").mapInArrow(_marked_bands(hot), "key BINARY, h BIGINT, band BIGINT").distinct()
     members = kept.keep(members.join(shared, "band").select("band", "key", "h"), "members")
     wanted = context.broadcast(_bitmap(members, "h"))
-    text = texts.select("t").mapInArrow(_marked_texts(wanted), "key BINARY, t STRING, size INT").dropDuplicates(["key"])
+    text = texts.select("t").mapInArrow(uncollected(_marked_texts(wanted)), "key BINARY, t STRING, size INT").dropDuplicates(["key"])
     text = kept.keep(text, "texts")
     pivots = kept.keep(members.groupBy("band").agg(F.min("key").alias("pivot")), "pivots")
     pairs = members.join(pivots, "band").where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
-    pairs = pairs.join(text.select(F.col("key").alias("a"), F.col("t").alias("ta")), "a")
-    pairs = pairs.join(text.select(F.col("key").alias("b"), F.col("t").alias("tb")), "b")
-    verified = kept.keep(pairs.select("a", "b", "ta", "tb").mapInArrow(_verified, "a BINARY, b BINARY"), "verified")
+    pairs = kept.keep(pairs, "pairs")  # key > pivot
+    verified = kept.keep(_verify(pairs, text), "verified")
     parts = kept.keep(components(verified, kept), "parts")
     # buckets of three or more lines that are still in several parts
     labelled = members.join(parts, members["key"] == parts["node"], "left").select("band", "key", F.coalesce("root", "key").alias("part"))
     labelled = kept.keep(labelled, "labelled")
-    open_ = labelled.groupBy("band").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n")).where("x <> y AND n > 2")
-    open_ = kept.keep(open_.select("band", "n"), "open")
+    sizes = labelled.groupBy("band", "part").agg(F.count("*").alias("m")).groupBy("band").agg(
+        F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("q"), F.max_by("part", "m").alias("main"))
+    open_ = kept.keep(sizes.where("n > 2 AND q < n * n").select("band", "main", F.expr(f"(n * n - q) div 2 > {DIRECT} * n").alias("heavy")), "open")
     if open_.isEmpty():
         return parts
-    rest = labelled.join(open_, "band").join(text, "key")
-    classes = F.when(F.col("n") <= SMALL, F.array(F.lit(0))).otherwise(length_classes(F.col("size")))
-    rest = rest.withColumn("class", F.explode(classes)).select("band", "class", "key", F.xxhash64("part").alias("part"), "t")
-    rest = rest.repartition("band", "class").sortWithinPartitions("band", "class", "key")
-    more = kept.keep(rest.mapInArrow(_bucket_rows, "a BINARY, b BINARY"), "more")
+    rest = kept.keep(labelled.join(open_, "band"), "rest")
+    # few pairs between parts: those of the lines outside the largest part, each pair once over all buckets
+    light = rest.where("NOT heavy")
+    lone = light.where("part <> main").select("band", F.col("key").alias("a"), F.col("part").alias("pa"))
+    other = light.select("band", F.col("key").alias("b"), F.col("part").alias("pb"), "main")
+    some = lone.join(other, "band").where("pa <> pb AND (pb = main OR a < b)").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    light_links = kept.keep(_verify(some.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), text), "light")
+    # many: within the bucket, by length class
+    heavy = rest.where("heavy").join(text, "key").withColumn("class", F.explode(length_classes(F.col("size"))))
+    heavy = heavy.select("band", "class", "key", F.xxhash64("part").alias("part"), "t")
+    heavy = heavy.repartition("band", "class").sortWithinPartitions("band", "class", "key")
+    heavy_links = kept.keep(heavy.mapInArrow(uncollected(_bucket_rows), "a BINARY, b BINARY"), "heavy")
+    more = light_links.union(heavy_links)
     if more.isEmpty():
         return parts
     return kept.keep(components(parts.union(more), kept), "parts")
 
 
+def _verify(pairs: DataFrame, text: DataFrame) -> DataFrame:
+    """The pairs (a, b) of keys whose lines are similar; sets of too different sizes can't be."""
+    ta, tb = (text.select(F.col("key").alias(x), F.col("t").alias(f"t{x}"), F.col("size").alias(f"s{x}")) for x in "ab")
+    near = pairs.join(ta, "a").join(tb, "b").where(f"10 * least(sa, sb) >= {round(10 * SIMILARITY)} * greatest(sa, sb)")
+    return near.select("a", "b", "ta", "tb").mapInArrow(uncollected(_verified), "a BINARY, b BINARY")
+
+
 def dropped_lines(docs: DataFrame, kept: Staged) -> DataFrame:
     """(doc_id, lines): the numbers of the lines that go, for documents that lose any."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", text_or_empty().alias("t"))
     schema = f"key BINARY, h BIGINT, bands ARRAY<BIGINT>, places ARRAY<STRUCT<doc_id: {kind}, line: INT>>"
-    rows = kept.keep(texts.mapInArrow(_line_rows, schema), "lines")
+    rows = kept.keep(texts.mapInArrow(uncollected(_line_rows), schema), "lines")
     places = rows.select("key", F.explode("places").alias("place"))
     groups = kept.keep(places.groupBy("key").agg(F.min("place").alias("first"), F.count("*").alias("n")), "groups")
     parts = links(texts, rows, kept)
