@@ -38,8 +38,8 @@ from .common import Staged, free_name, text_or_empty
 from .components import components
 
 #: Characters of a shingle (nine, so that long lines of one language don't share most of theirs),
-#: least similarity, and the signature: a pair at 0.8 shares a band with probability 0.992, at 0.85 with 0.9986.
-SHINGLE, SIMILARITY, BANDS, ROWS = 9, 0.8, 9, 4
+#: least similarity, and the signature: a pair at 0.8 shares a band with probability 0.998, at 0.85 with 0.9998.
+SHINGLE, SIMILARITY, BANDS, ROWS = 9, 0.8, 12, 4
 #: Bits of the bitmap of band values that two lines share: 8 MB, whatever the corpus.
 BITMAP_BITS = 1 << 26
 #: Pairs between a bucket's parts, per line, up to which they are compared one by one; beyond, by prefix filter.

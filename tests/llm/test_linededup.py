@@ -96,6 +96,18 @@ def test_pairs_at_the_threshold_share_a_band():
     assert met >= 0.98 * n
 
 
+def test_few_pairs_at_the_threshold_miss_every_band():
+    assert (1 - ld.SIMILARITY**ld.ROWS) ** ld.BANDS < 0.002
+    rng, n, texts = random.Random(8), 4000, []
+    for _ in range(n):  # 200 shingles of 250 are shared
+        core = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(208))
+        texts += [core + "".join(rng.choice("ABCDEFGHIJ") for _ in range(25)), core + "".join(rng.choice("KLMNOPQRST") for _ in range(25))]
+    assert all(ld.similar(ld.shingles(a), ld.shingles(b)) for a, b in zip(texts[::2], texts[1::2], strict=True))
+    b = ld.bands(texts)
+    missed = int((~(b[::2] == b[1::2]).any(axis=1)).sum())
+    assert missed < 0.004 * n
+
+
 def test_prefix_filter_links_what_all_pairs_would():
     rng = random.Random(11)
     lines = [x for _, x, *_ in variants(9)]
