@@ -9,12 +9,15 @@ main element, else the body is the region of the main text.
 What a site repeats without saying so is found by counting: every element
 subtree in the region is hashed, hashes are counted per host in Spark, and
 subtrees that recur across many pages of their host are deleted.  A subtree
-counts once per *different surrounding* (the blocks before and after it), and
-a host's pages count once per different text, so that thousands of copies of
-one page never make its own paragraphs look like a template.
-
-Counting moves three 64-bit hashes per element, combined map-side; pages meet
-their hashes again only if the crawl has templates at all, in joins over
+counts once per *different page*, so that thousands of copies of one page never
+make its own paragraphs look like a template.  What recurs is only a candidate:
+pages that differ in nothing but candidates count as one when the candidates
+are counted again, so that an article copied under changing templates stays.
+An article that many pages of a host repeat beside text of their own can't be
+told from a template and goes.
+
+Counting moves two 64-bit hashes per element, combined map-side; pages meet
+their hashes again only if the crawl has candidates at all, in joins over
 stored tables that adaptive execution can split at a hot host.
 """
 
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import Staged, text_or_empty
 
-#: A subtree is a template if it stands in at least MANY surroundings and in SHARE of the host's pages.
+#: A subtree is a template if it stands in at least MANY different pages and in SHARE of the host's.
 MANY, SHARE = 20, 0.5
 
 # FIXED VALUES: element names (HTML Living Standard) and the names that sites give their furniture.
@@ -235,8 +238,8 @@ def _hash(x: str) -> int:
     return int.from_bytes(hashlib.blake2b(x.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def subtrees(page: Page) -> list[tuple[int, int, int, int]]:
-    """(hash, surrounding, first block, block after the last) of each element.
+def subtrees(page: Page) -> list[tuple[int, int, int]]:
+    """(hash, first block, block after the last) of each element.
 
     A subtree's hash comes from prefix hashes over its blocks' hashes, so deep
     nesting costs no more than flat pages.
@@ -249,18 +252,19 @@ def subtrees(page: Page) -> list[tuple[int, int, int, int]]:
     out = []
     for tag, a, z in page.elements:
         inner = (prefix[z] - prefix[a] * power[z - a]) % _PRIME
-        around = (own[a - 1] if a else 0, own[z] if z < len(own) else 0)
-        out.append((_hash(f"{tag} {z - a} {inner}"), _hash(f"{around[0]} {around[1]}"), a, z))
+        out.append((_hash(f"{tag} {z - a} {inner}"), a, z))
     return out
 
 
 def main_text(page: str, templates: set[int] | frozenset[int] = frozenset()) -> str:
     """The blocks of the region that no template subtree covers, one per line."""
     found = parse(page)
-    if not templates:
-        return "\n".join(found.blocks)
+    return _uncovered(found, subtrees(found) if templates else [], templates)
+
+
+def _uncovered(found: Page, trees: list[tuple[int, int, int]], templates: set[int] | frozenset[int]) -> str:
     cover = [0] * (len(found.blocks) + 1)
-    for h, _, a, z in subtrees(found):
+    for h, a, z in trees:
         if h in templates:
             cover[a] += 1
             cover[z] -= 1
@@ -280,21 +284,32 @@ def host(url: str = "url") -> Column:
 
 
 def _subtree_column(page: Column) -> Column:
-    kind = "struct<page:bigint,trees:array<struct<tree:bigint,around:bigint>>>"
-
-    @F.arrow_udf(kind)
+    @F.arrow_udf("struct<page:bigint,trees:array<bigint>>")
     def run(pages: pa.Array) -> pa.Array:
         rows = []
         for x in pages.to_pylist():
             found = parse(x)
-            seen = {(h, around) for h, around, _, _ in subtrees(found)}
-            rows.append({"page": _hash("\n".join(found.blocks)), "trees": [{"tree": h, "around": a} for h, a in sorted(seen)]})
-        tree = pa.struct([("tree", pa.int64()), ("around", pa.int64())])
-        return pa.array(rows, pa.struct([("page", pa.int64()), ("trees", pa.list_(tree))]))
+            rows.append({"page": _hash("\n".join(found.blocks)), "trees": sorted({h for h, _, _ in subtrees(found)})})
+        return pa.array(rows, pa.struct([("page", pa.int64()), ("trees", pa.list_(pa.int64()))]))
 
     return run(page)
 
 
+def _rest_column(page: Column, candidates: Column) -> Column:
+    """Hash of what the candidates leave of a page, and those that the page has."""
+
+    @F.arrow_udf("struct<rest:bigint,trees:array<bigint>>")
+    def run(pages: pa.Array, lists: pa.Array) -> pa.Array:
+        rows = []
+        for x, some in zip(pages.to_pylist(), lists.to_pylist(), strict=True):
+            found, some = parse(x), frozenset(some)
+            trees = subtrees(found)
+            rows.append({"rest": _hash(_uncovered(found, trees, some)), "trees": sorted(some.intersection(h for h, _, _ in trees))})
+        return pa.array(rows, pa.struct([("rest", pa.int64()), ("trees", pa.list_(pa.int64()))]))
+
+    return run(page, candidates)
+
+
 def _text_column(page: Column, templates: Column) -> Column:
     @F.arrow_udf("string")
     def run(pages: pa.Array, lists: pa.Array) -> pa.Array:
@@ -303,13 +318,19 @@ def _text_column(page: Column, templates: Column) -> Column:
     return run(page, templates)
 
 
-def templates(trees: DataFrame, many: int = MANY, share: float = SHARE) -> DataFrame:
-    """(host, tree) of the template subtrees; ``trees`` has (host, page, tree, around)."""
+def candidates(trees: DataFrame, many: int = MANY, share: float = SHARE) -> DataFrame:
+    """(host, tree) of the subtrees in enough different pages; ``trees`` has (host, page, tree)."""
     pages = trees.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    seen = trees.select("host", "tree", "around").distinct().groupBy("host", "tree").agg(F.count("*").alias("n")).where(F.col("n") >= many)
+    seen = trees.select("host", "tree", "page").distinct().groupBy("host", "tree").agg(F.count("*").alias("n")).where(F.col("n") >= many)
     return seen.join(pages, "host").where(F.col("n") >= share * F.col("pages")).select("host", "tree")
 
 
+def templates(rests: DataFrame, many: int = MANY) -> DataFrame:
+    """(host, tree) of the candidates that ``many`` pages have which differ in more than candidates; ``rests`` has (host, rest, trees)."""
+    seen = rests.select("host", F.explode("trees").alias("tree"), "rest").distinct()
+    return seen.groupBy("host", "tree").agg(F.count("*").alias("n")).where(F.col("n") >= many).select("host", "tree")
+
+
 def extract(pages: DataFrame, many: int = MANY, share: float = SHARE) -> DataFrame:
     """(page_id, url, text) for every row of ``pages``.
 
@@ -321,11 +342,19 @@ def extract(pages: DataFrame, many: int = MANY, share: float = SHARE) -> DataFra
     kept = Staged(pages.sparkSession, "maintext")
     rows = pages.select("page_id", "url", host().alias("host"), text_or_empty("html").alias("html"))
     trees = rows.select("page_id", "host", _subtree_column(F.col("html")).alias("s"))
-    trees = kept.keep(trees.select("page_id", "host", "s.page", F.explode("s.trees").alias("t")).select("page_id", "host", "page", "t.tree", "t.around"), "trees")
-    found = kept.keep(templates(trees, many, share), "templates")
+    trees = kept.keep(trees.select("page_id", "host", "s.page", F.explode("s.trees").alias("tree")), "trees")
+    maybe = kept.keep(candidates(trees, many, share), "candidates")
+    plain = rows.select("page_id", "url", _text_column(F.col("html"), F.lit(None).cast("array<bigint>")).alias("text"))
+    if maybe.isEmpty():
+        return plain
+    hits = trees.select("page_id", "host", "tree").distinct().join(maybe, ["host", "tree"])
+    some = kept.keep(hits.groupBy("page_id", "host").agg(F.collect_set("tree").alias("gone")), "hits")
+    same = rows["page_id"].eqNullSafe(some["page_id"]) & (rows["host"] == some["host"])
+    rests = rows.join(some, same).select(rows["host"], _rest_column(rows["html"], F.col("gone")).alias("r"))
+    found = kept.keep(templates(rests.select("host", "r.*"), many), "templates")
     if found.isEmpty():
-        return rows.select("page_id", "url", _text_column(F.col("html"), F.lit(None).cast("array<bigint>")).alias("text"))
-    hits = trees.select("page_id", "host", "tree").distinct().join(found, ["host", "tree"])
+        return plain
+    hits = some.select("page_id", "host", F.explode("gone").alias("tree")).join(found, ["host", "tree"])
     hits = kept.keep(hits.groupBy("page_id", "host").agg(F.collect_set("tree").alias("gone")), "hits")
     same = rows["page_id"].eqNullSafe(hits["page_id"]) & (rows["host"] == hits["host"])
     return rows.join(hits, same, "left").select(rows["page_id"], rows["url"], _text_column(rows["html"], F.col("gone")).alias("text"))

@@ -88,3 +88,32 @@ def test_templates_are_counted_per_host(spark):
     assert got[300] == {"no host"} and got[301] == got[None] == got[302] == {""}
     assert len(got) == len({r[0] for r in rows})
     assert mt.extract(df.where("false")).count() == 0
+
+
+def extracted(spark, rows):
+    df = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")
+    return {r.page_id: r.text for r in mt.extract(df).collect()}
+
+
+def test_runs_of_sibling_templates_go(spark):
+    """One to three unnamed blocks in a row, at the top and at the bottom; a paragraph beside them that often repeats stays."""
+    rows, want = [], {}
+    for k in (1, 2, 3):
+        for i in range(40):
+            top, bottom = ("".join(f"<div>{where} {j} of the site</div>" for j in range(k)) for where in ("Above", "Below"))
+            page = 100 * k + i
+            rows.append((page, f"http://run{k}.example/{i}", f"<body>{top}<p>Section {i % 4}</p><p>Text {i}</p><p>End {i % 4}</p>{bottom}</body>"))
+            want[page] = f"Section {i % 4}\nText {i}\nEnd {i % 4}"
+    assert extracted(spark, rows) == want
+
+
+def test_an_article_copied_under_changing_templates_stays(spark):
+    rows, want = [], {}
+    for i in range(32):
+        some = "".join(f"<div>Part {j}</div>" for j in range(5) if i >> j & 1)
+        rows.append((i, f"http://d.example/{i}", f"<body><p>One article</p><p>copied often</p>{some}</body>"))
+        want[i] = "One article\ncopied often"
+    for i in range(32, 52):
+        rows.append((i, f"http://d.example/{i}", f"<body><p>Own text {i}</p>{''.join(f'<div>Part {j}</div>' for j in range(5))}</body>"))
+        want[i] = f"Own text {i}"
+    assert extracted(spark, rows) == want
