@@ -5,8 +5,9 @@ lines are grouped by a 128-bit content hash first.  Different lines are
 compared through shingles of ``SHINGLE`` characters: MinHash signatures of
 ``BANDS`` bands of ``ROWS`` values find candidates, exact Jaccard similarity of
 the shingle sets decides, a distributed union-find joins what is similar, and
-of each component the line that stands first (smallest doc_id, then line
-number) stays.
+of each component the line that stands first (smallest doc_id, then row, then
+line number) stays.  A row's number is stored with it once, so that rows without
+id or with the same one are documents of their own.
 
 Candidates without all pairs: in every band bucket each line is verified
 against the bucket's smallest line only.  Where the components found so far
@@ -17,7 +18,8 @@ costs thousands of comparisons.
 
 What moves: hashes of lines and bands; the texts of lines that share a band
 with another line (a bitmap of fixed size tells the scan which these may be);
-and the documents once, when they meet the numbers of their dropped lines.
+and the documents twice, when their rows are numbered and when they meet the
+numbers of their dropped lines.
 """
 
 from __future__ import annotations
@@ -158,7 +160,7 @@ def _distinct_lines(texts: list[str]) -> dict[str, list[tuple[int, int]]]:
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per distinct line of a batch: key, 64 bits of it, band values, places (doc_id, line)."""
+    """A row per distinct line of a batch: key, 64 bits of it, band values, places (doc_id, row, line)."""
     for batch in batches:
         found = _distinct_lines(batch.column("t").to_pylist())
         keys = [key(x) for x in found]
@@ -166,7 +168,7 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), pa.array(flat))
         ends = np.cumsum([0, *map(len, found.values())], dtype=np.int32)
         rows, numbers = (pa.array([p[i] for ps in found.values() for p in ps], kind) for i, kind in ((0, pa.int64()), (1, pa.int32())))
-        place = pa.StructArray.from_arrays([batch.column("doc_id").take(rows), numbers], names=["doc_id", "line"])
+        place = pa.StructArray.from_arrays([batch.column("doc_id").take(rows), batch.column("row").take(rows), numbers], names=["doc_id", "row", "line"])
         yield pa.RecordBatch.from_arrays(
             [pa.array(keys, pa.binary()), pa.array([_head(k) for k in keys], pa.int64()), each, pa.ListArray.from_arrays(pa.array(ends), place)],
             names=["key", "h", "bands", "places"],
@@ -326,6 +328,7 @@ def links(texts: DataFrame, rows: DataFrame, kept: Staged) -> DataFrame:
     hot = context.broadcast(_bitmap(shared, "band"))
     members = rows.select("key", "h", "bands").mapInArrow(_marked_bands(hot), "key BINARY, h BIGINT, band BIGINT").distinct()
     members = kept.keep(members.join(shared, "band").select("band", "key", "h"), "members")
+    kept.drop(shared)
     wanted = context.broadcast(_bitmap(members, "h"))
     text = texts.select("t").mapInArrow(uncollected(_marked_texts(wanted)), "key BINARY, t STRING, size INT").dropDuplicates(["key"])
     text = kept.keep(text, "texts")
@@ -334,15 +337,18 @@ def links(texts: DataFrame, rows: DataFrame, kept: Staged) -> DataFrame:
     pairs = kept.keep(pairs, "pairs")  # key > pivot
     verified = kept.keep(_verify(pairs, text), "verified")
     parts = kept.keep(components(verified, kept), "parts")
+    kept.drop(pivots, verified)
     # buckets of three or more lines that are still in several parts
     labelled = members.join(parts, members["key"] == parts["node"], "left").select("band", "key", F.coalesce("root", "key").alias("part"))
     labelled = kept.keep(labelled, "labelled")
+    kept.drop(members)
     sizes = labelled.groupBy("band", "part").agg(F.count("*").alias("m")).groupBy("band").agg(
         F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("q"), F.max_by("part", "m").alias("main"))
     open_ = kept.keep(sizes.where("n > 2 AND q < n * n").select("band", "main", F.expr(f"(n * n - q) div 2 > {DIRECT} * n").alias("heavy")), "open")
     if open_.isEmpty():
         return parts
     rest = kept.keep(labelled.join(open_, "band"), "rest")
+    kept.drop(labelled)
     # few pairs between parts: those of the lines outside the largest part, each pair once over all buckets
     light = rest.where("NOT heavy")
     lone = light.where("part <> main").select("band", F.col("key").alias("a"), F.col("part").alias("pa"))
@@ -354,6 +360,7 @@ def links(texts: DataFrame, rows: DataFrame, kept: Staged) -> DataFrame:
     heavy = heavy.select("band", "class", "key", F.xxhash64("part").alias("part"), "t")
     heavy = heavy.repartition("band", "class").sortWithinPartitions("band", "class", "key")
     heavy_links = kept.keep(heavy.mapInArrow(uncollected(_bucket_rows), "a BINARY, b BINARY"), "heavy")
+    kept.drop(rest, pairs, text)
     more = light_links.union(heavy_links)
     if more.isEmpty():
         return parts
@@ -368,10 +375,10 @@ def _verify(pairs: DataFrame, text: DataFrame) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, kept: Staged) -> DataFrame:
-    """(doc_id, lines): the numbers of the lines that go, for documents that lose any."""
+    """(row, lines): the numbers of the lines that go, for rows that lose any; ``docs`` has doc_id, row, text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", text_or_empty().alias("t"))
-    schema = f"key BINARY, h BIGINT, bands ARRAY<BIGINT>, places ARRAY<STRUCT<doc_id: {kind}, line: INT>>"
+    texts = docs.select("doc_id", "row", text_or_empty().alias("t"))
+    schema = f"key BINARY, h BIGINT, bands ARRAY<BIGINT>, places ARRAY<STRUCT<doc_id: {kind}, row: BIGINT, line: INT>>"
     rows = kept.keep(texts.mapInArrow(uncollected(_line_rows), schema), "lines")
     places = rows.select("key", F.explode("places").alias("place"))
     groups = kept.keep(places.groupBy("key").agg(F.min("place").alias("first"), F.count("*").alias("n")), "groups")
@@ -380,8 +387,8 @@ def dropped_lines(docs: DataFrame, kept: Staged) -> DataFrame:
     named = kept.keep(named.select("key", "first", F.coalesce("root", "key").alias("root")), "named")
     stays = kept.keep(named.groupBy("root").agg(F.min("first").alias("stays")), "stays")
     named = kept.keep(named.join(stays, "root").select("key", "stays"), "stays_by_key")
-    gone = places.join(named, "key").where(~F.col("place").eqNullSafe(F.col("stays"))).select("place.doc_id", "place.line")
-    return kept.keep(gone.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "gone")
+    gone = places.join(named, "key").where(~F.col("place").eqNullSafe(F.col("stays"))).select("place.row", "place.line")
+    return kept.keep(gone.groupBy("row").agg(F.collect_set("line").alias("lines")), "gone")
 
 
 def without_lines(text: str, gone: str) -> Column:
@@ -405,14 +412,17 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     Every row stays, also one that loses all its lines (its text is then
     empty); null texts stay null and blank lines are never repeats.  Rows that
-    repeat a doc_id are one document: a line of the same number stays or goes
-    in all of them; null ids likewise.  An empty table gives an empty table.
+    repeat a doc_id or have none are judged one by one: of equal rows the first
+    keeps its lines.  An empty table gives an empty table.
     """
     kept = Staged(docs.sparkSession, "linededup")
-    gone = dropped_lines(docs, kept).select(F.col("doc_id").alias("_gone_id"), F.col("lines").alias("_gone"))
+    row = free_name(docs, "_row")
+    rows = kept.keep(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    gone = dropped_lines(rows.select("doc_id", F.col(row).alias("row"), "text"), kept)
+    gone = gone.select(F.col("row").alias("_gone_row"), F.col("lines").alias("_gone"))
     # the table grows with the corpus: merged at any size, never broadcast
-    joined = docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["_gone_id"]), "left")
+    joined = rows.join(gone.hint("merge"), rows[row] == gone["_gone_row"], "left")
     new = free_name(docs, "_text")
     joined = joined.withColumn(new, without_lines("text", "_gone"))
-    size = lambda c: F.when(F.col("_gone").isNull(), docs[c]).otherwise(F.length(new)).cast(docs.schema[c].dataType).alias(c)
-    return joined.select(*[F.col(new).alias(c) if c == "text" else size(c) if c == "n_chars" else docs[c] for c in docs.columns])
+    size = lambda c: F.when(F.col("_gone").isNull(), rows[c]).otherwise(F.length(new)).cast(docs.schema[c].dataType).alias(c)
+    return joined.select(*[F.col(new).alias(c) if c == "text" else size(c) if c == "n_chars" else rows[c] for c in docs.columns])

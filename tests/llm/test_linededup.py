@@ -79,6 +79,15 @@ def test_odd_table(odd):
         assert r.n_chars == (None if r.text is None else len(r.text))
 
 
+def test_rows_without_id_or_with_the_same_are_documents_of_their_own(spark):
+    line = lambda name: f"only {name} has a line of these words about {name * 5}"
+    copied = "a line that several rows repeat word by word, with no change at all"
+    rows = [(None, f"{copied}\n{line('ann')}", "en", "s"), (None, f"{line('bob')}\n{copied}", "en", "s"), (None, f"{copied}\n{line('cid')}", "en", "s")]
+    rows += [(7, f"{copied}\n{line('dan')}", "en", "s"), (7, f"{line('eve')}\n{copied}", "en", "s"), (7, line("eve"), "en", "s")]
+    texts = [t for _, t in found(ld.dedup_lines(frame(spark, rows).coalesce(1)))]
+    assert sorted(texts) == sorted([rows[0][1], line("bob"), line("cid"), line("dan"), line("eve"), ""])
+
+
 def test_empty(empty):
     assert ld.dedup_lines(empty).count() == 0
 
