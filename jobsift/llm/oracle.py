@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, quality
+from . import chat, licenses, merkle, quality, ranked
 
 EXACT = r"""
     WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS x FROM documents)
@@ -101,4 +101,61 @@ LICENSES = rf"""
     FROM m WHERE found * 10 >= n * 8 GROUP BY doc_id, template
 """
 
-ORACLE = {"op3_preference_chat": CHAT, "op5_license_scan": LICENSES, "op7_exact_dedup": EXACT, "op8_quality": QUALITY}
+_part = lambda x: f"coalesce(strlen(({x})::VARCHAR)::VARCHAR || ':' || ({x})::VARCHAR, '-')"
+_leaf = lambda n_chars: "sha256(" + " || ".join(_part(n_chars if c == "n_chars" else c) for c in merkle.FIELDS) + ")"
+#: CRC-32 bit by bit: DuckDB has no function for it.
+_crc = """
+    list_reduce(list_transform(range(strlen(doc_id::VARCHAR)), lambda i: ascii(substr(doc_id::VARCHAR, i::INTEGER + 1, 1))::UBIGINT),
+        lambda c, b: list_reduce(range(8)::UBIGINT[], lambda x, i: xor(x >> 1, 3988292384::UBIGINT * (x & 1)), xor(c, b)), 4294967295::UBIGINT)
+"""
+#: One level of every tree: a list of digests per group; "path" collects each position's sibling with its side.
+_levels = lambda start: f"""
+    SELECT 0 AS level, g, l FROM {start}
+    UNION ALL
+    SELECT level + 1, g, list_transform(range(0, len(l), 2), lambda i: sha256(l[i + 1] || coalesce(l[i + 2], ''))) FROM {{0}} WHERE len(l) > 1
+"""
+_step = "CASE WHEN (({p} >> v.level) & 1) = 1 THEN 'L' ELSE 'R' END || coalesce(l[xor(({p} >> v.level), 1) + 1], '')"
+_fold = "list_reduce(steps, lambda a, s: sha256(CASE WHEN s[1] = 'L' THEN s[2:] || a ELSE a || s[2:] END), {0})"
+
+MERKLE = f"""
+    WITH RECURSIVE d AS (SELECT doc_id, lang, {_leaf("n_chars")} AS leaf,
+            CASE WHEN coalesce((xor({_crc}, 4294967295::UBIGINT)) % {merkle.TAMPER} = 0, false) THEN {_leaf("n_chars::HUGEINT + 1")} ELSE {_leaf("n_chars")} END AS shown FROM documents),
+    p AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g,
+            row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+    low AS (SELECT g, list(leaf ORDER BY pos) AS l FROM p GROUP BY g),
+    up AS ({_levels("low").format("up")}),
+    sub AS (SELECT g, l[1] AS subroot FROM up WHERE len(l) = 1),
+    high AS (SELECT 0 AS g, list(subroot ORDER BY g) AS l FROM sub),
+    top AS ({_levels("high").format("top")}),
+    a AS (SELECT p.g, pos, list({_step.format(p="pos")} ORDER BY v.level) AS steps FROM p JOIN up v ON v.g = p.g AND len(v.l) > 1 GROUP BY ALL),
+    b AS (SELECT sub.g, list({_step.format(p="sub.g")} ORDER BY v.level) AS steps FROM sub JOIN top v ON len(v.l) > 1 GROUP BY ALL),
+    f AS (SELECT p.*, subroot, (SELECT l[1] FROM top WHERE len(l) = 1) AS root, list_concat(coalesce(a.steps, []), coalesce(b.steps, [])) AS steps
+        FROM p JOIN sub USING (g) LEFT JOIN a ON a.g = p.g AND a.pos = p.pos LEFT JOIN b ON b.g = p.g)
+    SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(steps, lambda s: s[2:]), ''), '')) AS proof_sha256,
+        {_fold.format("shown")} AS folded_root, {_fold.format("shown")} = root AS verified
+    FROM f
+"""
+
+_TERMS = (
+    "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    r" '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+)
+RANKED = f"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS w FROM documents),
+    k AS (SELECT row, doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+    s AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM k),
+    tf AS (SELECT row, t, count(*) AS tf FROM (SELECT row, unnest(w) AS t FROM d) GROUP BY ALL),
+    df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+    i AS (SELECT DISTINCT ask, item_id, t FROM (SELECT ask, item_id, unnest(w) AS t FROM (SELECT row_number() OVER () AS ask, item_id, {_TERMS} AS w FROM benchmark))),
+    p AS (SELECT ask, item_id, k.row, k.doc_id,
+            floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 8 * (100 - {ranked.LENGTH_WEIGHT} + ({ranked.LENGTH_WEIGHT} * n * n_docs) // n_terms))) AS x
+        FROM i JOIN df USING (t) JOIN tf USING (t) JOIN k ON k.row = tf.row, s),
+    r AS (SELECT ask, item_id, doc_id, sum(x)::BIGINT AS score FROM p GROUP BY ask, item_id, row, doc_id),
+    o AS (SELECT *, row_number() OVER (PARTITION BY ask ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM r WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM o WHERE rank <= {ranked.TOP}
+"""
+
+ORACLE = {
+    "op3_preference_chat": CHAT, "op5_license_scan": LICENSES, "op7_exact_dedup": EXACT, "op8_quality": QUALITY,
+    "op11_merkle_manifest": MERKLE, "op12_ranked_search": RANKED,
+}

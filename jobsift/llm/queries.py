@@ -7,11 +7,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, licenses, linededup, maintext, packing, pii, quality, simhash
+from . import bpe, chat, exact, licenses, linededup, maintext, merkle, packing, pii, quality, ranked, simhash, tokencount
 from .common import table
 from .oracle import ORACLE  # noqa: F401
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,10 +72,27 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    proofs = merkle.manifest(table(spark, sf_dir, "documents"), {"tampered": merkle.tampered()})
+    checked = merkle.verify(proofs)
+    return checked.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole counts, and where to cut for the limit: both from the stored prefix counts."""
+    counts = tokencount.prefix_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER))
+    within = tokencount.longest_within(tokencount.LIMIT)
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > tokencount.LIMIT).alias("over_limit"), within.alias("chars_within_limit"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_pii, op2_packing, op3_preference_chat, op4_main_text, op5_license_scan, op6_line_dedup, op7_exact_dedup, op8_quality,
-        op9_simhash_near_dedup, op10_bpe,
+        op9_simhash_near_dedup, op10_bpe, op11_merkle_manifest, op12_ranked_search, op13_token_counts,
     )
 } | {"pipeline": corpus_pipeline.run}
