@@ -276,6 +276,16 @@ def split_skills(x) -> Column:
     return F.filter(F.transform(F.split(nz(x), ",", -1), py_strip), lambda s: s != "")
 
 
+def skills_list(x, text: bool) -> Column:
+    """O-S15: a list as it is, one string split at commas; null is the empty list."""
+    return split_skills(x) if text else F.coalesce(_c(x), F.array().cast("array<string>"))
+
+
+def csv_escape(x) -> Column:
+    """O-S19: quoted, with quotes doubled, if the value holds a comma, quote, CR or LF; NULL → ''."""
+    return let(nz(x), lambda v: F.when(v.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v))
+
+
 def bullet_lines(arr: Column) -> Column:
     """O-S16: ``• x`` per item joined by newline."""
     return F.array_join(F.transform(arr, lambda b: F.concat(F.lit("• "), b)), "\n")
@@ -304,8 +314,8 @@ def export_description(desc: Column, bullets: Column, role: Column, company: Col
     )
 
 
-def output_name(sources: Column) -> Column:
-    """O-S20: ``jobs_<sources>_<yyyyMMdd_HHmmss>`` with sources kept to alnum, space, '_' and '-'."""
+def output_name(sources: Column, at: Column | None = None) -> Column:
+    """O-S20: ``jobs_<sources>_<yyyyMMdd_HHmmss>`` with sources kept to alnum, space, '_' and '-'; ``at``: now by default."""
     clean = py_strip(F.regexp_replace(nz(sources), "[^\\p{L}\\p{N} _-]", ""))
-    ts = F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss")
-    return F.when(clean == "", F.concat(F.lit("jobs_scraped_"), ts)).otherwise(F.concat(F.lit("jobs_"), clean, F.lit("_"), ts))
+    ts = F.date_format(F.current_timestamp() if at is None else at, "yyyyMMdd_HHmmss")
+    return let(clean, lambda c: F.when(c == "", F.concat(F.lit("jobs_scraped_"), ts)).otherwise(F.concat(F.lit("jobs_"), c, F.lit("_"), ts)))

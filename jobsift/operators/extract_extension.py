@@ -8,6 +8,9 @@ follow the DOM definitions: ``textContent`` (all text, trimmed) and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from .memo import cached_column
 
 from pyspark.sql import Column
@@ -317,27 +320,63 @@ def script_job_page(buf: Column, nodes: Column) -> Column:
     )
 
 
-@cached_column
+@dataclass(frozen=True)
+class SiteRules:
+    """O-E2: what the content script knows of a site; Column functions of (url, buf, nodes).
+
+    ``host`` is a part of the host name; the rules without one hold for all other hosts.
+    """
+
+    is_listing: Callable[[Column, Column, Column], Column]
+    is_job: Callable[[Column, Column, Column], Column]
+    links: Callable[[Column, Column, Column], Column]
+    job_page: Callable[[Column, Column, Column], Column]
+    host: str | None = None
+
+
+SITES: dict[str, SiteRules] = {
+    "naukri": SiteRules(
+        lambda url, buf, nodes: C.naukri_is_listing(nodes, url), lambda url, buf, nodes: C.naukri_is_job(nodes, url), naukri_links, naukri_job_page, "naukri.com",
+    ),
+    "generic": SiteRules(
+        lambda url, buf, nodes: C.generic_is_listing(nodes), lambda url, buf, nodes: C.generic_is_job(nodes), generic_links, generic_job_page,
+    ),
+}
+
+
+def register_site(name: str, rules: SiteRules) -> None:
+    """Add a site, or replace its rules; of several hosts that match, the site registered first wins."""
+    if (rules.host is None) != (name == "generic"):
+        raise ValueError("only the generic rules have no host")
+    SITES[name] = rules
+
+
 def scrape_page(url: Column, buf: Column, nodes: Column, with_links: bool = True) -> Column:
-    """The content script on one page: page type, accepted job data, job links (O-C13).
+    """The content script on one page: page type, accepted job data, job links (O-C13), by the rules of its site.
 
     ``with_links=False`` leaves link extraction out of the expression (for
     runs that only keep job data); a listing page then reports ``listing``.
     """
-    site = C.extension_site(url)
-    empty = F.filter(F.array(_link(F.lit(""), F.lit(""), F.lit(""))), lambda x: F.lit(False))
-    links = (F.when(site == "naukri", naukri_links(url, buf, nodes)).otherwise(generic_links(url, buf, nodes))
-             if with_links else empty)
-    is_job = F.when(site == "naukri", C.naukri_is_job(nodes, url)).otherwise(C.generic_is_job(nodes))
-    is_listing = F.when(site == "naukri", C.naukri_is_listing(nodes, url)).otherwise(C.generic_is_listing(nodes))
-    data = F.when(site == "naukri", naukri_job_page(url, buf, nodes)).otherwise(generic_job_page(url, buf, nodes))
-    empty_links = F.filter(F.array(_link(F.lit(""), F.lit(""), F.lit(""))), lambda x: F.lit(False))
+    return _scrape_page(url, buf, nodes, with_links, tuple(SITES.values()))
+
+
+@cached_column
+def _scrape_page(url: Column, buf: Column, nodes: Column, with_links: bool, sites: tuple[SiteRules, ...]) -> Column:
+    def of_site(rule: str) -> Column:
+        out = getattr(next(s for s in sites if s.host is None), rule)(url, buf, nodes)
+        for s in reversed([s for s in sites if s.host is not None]):
+            out = F.when(U.host_contains(url, s.host), getattr(s, rule)(url, buf, nodes)).otherwise(out)
+        return out
+
+    none = F.filter(F.array(_link(F.lit(""), F.lit(""), F.lit(""))), lambda x: F.lit(False))
+    data = of_site("job_page")
+    no_data = F.filter(F.array(data), lambda x: F.lit(False))
     return (
-        F.when(is_job, let(data, lambda d: F.struct(
+        F.when(of_site("is_job"), let(data, lambda d: F.struct(
             F.lit("job").alias("page_type"), F.when(accepted(d), F.array(d)).otherwise(F.filter(F.array(d), lambda x: F.lit(False))).alias("data"),
-            empty_links.alias("links"))))
-        .when(is_listing, let(links, lambda ls: F.struct(
+            none.alias("links"))))
+        .when(of_site("is_listing"), let(of_site("links") if with_links else none, lambda ls: F.struct(
             F.when(F.size(ls) > 0, F.lit("listing-with-links")).otherwise(F.lit("listing")).alias("page_type"),
-            F.filter(F.array(data), lambda x: F.lit(False)).alias("data"), ls.alias("links"))))
-        .otherwise(F.struct(F.lit("unknown").alias("page_type"), F.filter(F.array(data), lambda x: F.lit(False)).alias("data"), empty_links.alias("links")))
+            no_data.alias("data"), ls.alias("links"))))
+        .otherwise(F.struct(F.lit("unknown").alias("page_type"), no_data.alias("data"), none.alias("links")))
     )

@@ -7,6 +7,8 @@ mixed crawl is processed in a single pass with no per-source scans.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from .memo import cached_column
 
 from pyspark.sql import Column, DataFrame
@@ -28,11 +30,36 @@ REGISTRY = {
 }
 
 
-@cached_column
+#: Sources beyond the built-in detection: name → predicate over the url, tried in order before it.
+DETECT: dict[str, Callable[[Column], Column]] = {}
+
+
+def register_extractor(name: str, extract: Callable, matches: Callable[[Column], Column] | None = None) -> None:
+    """O-E1: add a source (or replace one): its extractor (url, buf, nodes, custom) → array of jobs,
+    and for a new source the urls that Auto-Detect sends to it."""
+    REGISTRY[name] = extract
+    if matches is not None:
+        DETECT[name] = matches
+
+
+def detect(url: Column) -> Column:
+    """O-C4 with the registered sources in front."""
+    out = U.detect_source(url)
+    for name, matches in reversed(DETECT.items()):
+        out = F.when(matches(url), F.lit(name)).otherwise(out)
+    return out
+
+
 def routed_items(url: Column, buf: Column, nodes: Column, source: Column, custom: dict | None = None) -> Column:
-    out = REGISTRY["Generic"](url, buf, nodes, custom)
-    for name in ("Naukri", "LinkedIn", "Indeed"):
-        out = F.when(source == name, REGISTRY[name](url, buf, nodes)).otherwise(out)
+    return _routed_items(url, buf, nodes, source, custom, tuple(REGISTRY.items()))
+
+
+@cached_column
+def _routed_items(url: Column, buf: Column, nodes: Column, source: Column, custom: dict | None, registry: tuple) -> Column:
+    out = dict(registry)["Generic"](url, buf, nodes, custom)
+    for name, extract in reversed(registry):
+        if name != "Generic":
+            out = F.when(source == name, extract(url, buf, nodes)).otherwise(out)
     return out
 
 
@@ -47,7 +74,7 @@ def run_routed(nodes: DataFrame, source: str = "Auto-Detect", max_jobs: int | No
     (O-L2) limits the jobs of a page if the caller sets it; ``custom`` maps
     company, role and description to CSS selectors for generic cards (O-H12).
     """
-    src = U.detect_source("url") if source == "Auto-Detect" else F.lit(source)
+    src = detect(F.col("url")) if source == "Auto-Detect" else F.lit(source)
     routed = nodes.withColumn("route", src)
     items = routed_items(F.col("url"), F.col("buf"), F.col("nodes"), F.col("route"), custom)
     rejected = (F.col("route") == "Naukri") & (F.col("html_len") < MIN_USABLE_HTML)  # O-C2

@@ -35,6 +35,12 @@ def _skill_lines(skills: Column) -> Column:
     return T.bullet_lines(kept)
 
 
+def listed(jobs: DataFrame) -> DataFrame:
+    """O-S15: skills as a list, also where the jobs carry one comma-separated string."""
+    text = jobs.schema["skills"].dataType.typeName() in ("string", "varchar", "char")
+    return jobs.withColumn("skills", T.skills_list("skills", text))
+
+
 def sheet_row(variant: str = "sheet") -> list[Column]:
     """O-P1 (``sheet``) / O-P1b (``engine``) cell expressions, without S.No."""
     d, b, sk = T.nz(F.col("description")), F.col("description_bullets"), F.col("skills")
@@ -63,14 +69,14 @@ def sheet_row(variant: str = "sheet") -> list[Column]:
 
 def sheet(jobs: DataFrame, order=("page_id", "pos"), variant: str = "sheet") -> DataFrame:
     """O-P1 / O-P1b + O-W1: the 8-column sheet with serial numbers in run order."""
-    rows = jobs.select(*order, *sheet_row(variant))
+    rows = listed(jobs).select(*order, *sheet_row(variant))
     return serial_number(rows, list(order)).select(*SHEET_COLS, *order)
 
 
 def csv_rows(jobs: DataFrame, order=("page_id", "pos")) -> DataFrame:
     """O-P2: the extension's 10-column CSV rows."""
     d, b, sk = T.nz(F.col("description")), F.col("description_bullets"), F.col("skills")
-    rows = jobs.select(
+    rows = listed(jobs).select(
         *order,
         T.nz(F.col("company")).alias("company_name"), T.nz(F.col("job_role")).alias("job_role"),
         F.when(F.size(b) > 0, T.bullet_lines(b)).otherwise(d).alias("job_description"),
@@ -100,7 +106,7 @@ def json_docs(jobs: DataFrame, variant: str = "sheet", order=("page_id", "pos"))
         skills = F.when(F.size(F.col("skills")) > 0, F.col("skills")).otherwise(T.lit_array(K.SKILLS_DEFAULT_ENGINE))
         out_company, out_role = company, role
         url = T.default_if_empty(T.nz(F.col("link")), K.JSON_URL)
-    docs = jobs.select(
+    docs = listed(jobs).select(
         *order,
         F.concat(F.lit("scraped-"), c_slug, F.lit("-"), r_slug).alias("id"),
         F.concat(c_slug, F.lit("_"), r_slug, F.lit(".json")).alias("file_name"),
@@ -133,15 +139,26 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
+def export_report(jobs: DataFrame, asked: DataFrame, key: str = "source") -> DataFrame:
+    """O-K3: per asked source its rows and whether a file is written (not for an empty one)."""
+    counts = jobs.groupBy(key).agg(F.count("*").alias("rows"))
+    rows = F.coalesce("rows", F.lit(0))
+    return asked.select(key).distinct().join(counts, key, "left").select(key, rows.alias("rows"), (rows > 0).alias("written"))
+
+
 def export(jobs: DataFrame, sheet_path: str, json_path: str, variant: str = "sheet") -> dict:
     """O-K4 fan-out: write the sheet (as CSV) and the JSON documents from one ``jobs`` input.
 
     ``jobs`` is stored in the shared folder once; both writes and the row
-    count (from parquet footers) read it there.
+    count (from parquet footers) read it there.  O-K3: where there is nothing
+    to export, nothing is written.
     """
     base = store(jobs, "jobs")
+    n = base.count()
+    if n == 0:
+        return {"rows": 0}
     sheet_rows = sheet(base, variant=variant)
     write_csv(sheet_rows, sheet_path, SHEET_HEADERS if variant == "sheet" else ENGINE_SHEET_HEADERS, SHEET_COLS)
     docs = json_docs(base, variant)
     write_json(docs, json_path)
-    return {"rows": base.count()}
+    return {"rows": n}

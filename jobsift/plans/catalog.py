@@ -6,6 +6,7 @@ import functools
 
 from ..session import tune
 
+from . import detail_queries as dq
 from . import extension_queries as eq
 from . import extract_queries as xq
 from . import generic_queries as gq
@@ -14,6 +15,7 @@ from . import report_queries as rq
 from . import routed_queries as oq
 from . import stream_queries as sq
 from . import text_queries as tq
+from .detail_oracle import DETAIL_SQL
 from .oracle import EXTENSION_SQL, EXTRACT_SQL, GENERIC_SQL, PAGE_SQL, REPORT_SQL, ROUTED_SQL, STREAM_SQL, TEXT_SQL
 
 QUERIES = {
@@ -82,10 +84,20 @@ QUERIES = {
     "routed_run": oq.q_routed_run,
     "export_sheet_engine": oq.q_export_sheet_engine,
     "export_json_engine": oq.q_export_json_engine,
+    "indeed_single": dq.q_indeed_single,
+    "linkedin_single": dq.q_linkedin_single,
+    "page_body_text": dq.q_page_body_text,
+    "description_choice": dq.q_description_choice,
+    "skills_split": dq.q_skills_split,
+    "export_skills_text": dq.q_export_skills_text,
+    "csv_fields": dq.q_csv_fields,
+    "output_names": dq.q_output_names,
+    "export_report": dq.q_export_report,
+    "sql_text_functions": dq.q_sql_text_functions,
 }
 
 
-ORACLE = {**TEXT_SQL, **PAGE_SQL, **EXTRACT_SQL, **GENERIC_SQL, **REPORT_SQL, **EXTENSION_SQL, **STREAM_SQL, **ROUTED_SQL}
+ORACLE = {**TEXT_SQL, **PAGE_SQL, **EXTRACT_SQL, **GENERIC_SQL, **REPORT_SQL, **EXTENSION_SQL, **STREAM_SQL, **ROUTED_SQL, **DETAIL_SQL}
 
 
 def _tuned(fn):

@@ -279,3 +279,66 @@ def generic_link_pages(spark, sf_dir) -> DataFrame:
     )
     url = F.concat(F.lit("https://careers.example.com/openings/"), F.col("s_suppkey").cast("string"))
     return _pages(j, card, url, wrap=("<section>", "</section>"))
+
+
+def _sentences() -> list[Column]:
+    """The three statements of a job description, as HTML."""
+    return [
+        F.concat(F.lit("Build "), F.lower(F.col("p_type")), F.lit(" products for the "), esc("p_brand"), F.lit(" line.")),
+        F.concat(F.lit("Own size "), F.col("p_size").cast("string"), F.lit(" assemblies end to end")),
+        F.concat(F.lit("Work with the "), esc("nation"), F.lit(" team every week")),
+    ]
+
+
+def _element(open_tag: str, inner: Column, close: str) -> Column:
+    return F.concat(F.lit(open_tag), inner, F.lit(close))
+
+
+def _whole(j: DataFrame, url: Column, *parts: Column) -> DataFrame:
+    html = F.concat(F.lit("<!DOCTYPE html><html><head><title>Job</title></head><body>"), *parts, F.lit("</body></html>"))
+    return spread(j.select(F.col("job_id").cast("bigint").alias("page_id"), url.alias("url"), html.alias("html")))
+
+
+def single_job_pages(spark, sf_dir, site: str) -> DataFrame:
+    """One Indeed or LinkedIn job page per part.
+
+    By ``p_size`` the title stands in the first, second or last place of its
+    cascade or is missing, and so does the description; ``SMALL`` parts name no
+    company.  Some pages hold none of the three.
+    """
+    j = job_rows(spark, sf_dir)
+    a, b, c = _sentences()
+    body = F.concat(F.lit("<p>"), a, F.lit("</p><ul><li>"), b, F.lit("</li><li>"), c, F.lit("</li></ul>"))
+    if site == "Indeed":
+        titles = ['<h1 class="jobsearch-JobInfoHeader-title">', '<h1 class="x-JobInfoHeader-y">', "<h1>"]
+        company = _element('<div data-testid="inlineHeader-companyName">', esc("company"), "</div>")
+        texts = [("<div id=\"jobDescriptionText\">", "</div>"), ("<div class=\"jobsearch-JobComponent-description\">", "</div>")]
+        url = job_page_url("https://www.indeed.com/viewjob?jk=")
+    elif site == "LinkedIn":
+        titles = ['<h1 class="top-card-layout__title">', '<h1 class="x-title">', "<h1>"]
+        company = F.when(F.col("p_size") % 2 == 0, _element('<a class="topcard__org-name-link">', esc("company"), "</a>")).otherwise(
+            _element('<span class="topcard__flavor">', esc("company"), "</span>"))
+        texts = [("<div class=\"show-more-less-html__markup\">", "</div>"), ("<section class=\"x-description\">", "</section>")]
+        url = job_page_url("https://www.linkedin.com/jobs/view/")
+    else:
+        raise ValueError(site)
+    title = F.lit("")
+    for k, tag in enumerate(titles):
+        title = F.when(F.col("p_size") % 5 == k + 1, _element(tag, esc("role"), "</h1>")).otherwise(title)
+    text = F.lit("")
+    for k, (tag, close) in enumerate(texts):
+        text = F.when(F.col("p_size") % 3 == k, _element(tag, body, close)).otherwise(text)
+    return _whole(j, url, title, F.when(no_company(), F.lit("")).otherwise(company), text)
+
+
+def framed_pages(spark, sf_dir) -> DataFrame:
+    """Job texts inside a site's furniture, some of it inside the main area."""
+    j = job_rows(spark, sf_dir)
+    a, b, c = _sentences()
+    return _whole(
+        j, job_page_url("https://careers.example.org/framed/"),
+        F.lit('<header>Our jobs</header><nav><a href="/">Home</a></nav><main><div class="breadcrumb">Home / Jobs</div><p>'), a,
+        F.lit('</p><div class="recommended">Similar jobs</div><p>'), b,
+        F.lit('</p><script>var page = 1;</script></main><div class="site-sidebar">Adverts</div><p>'), c,
+        F.lit('</p><div class="pagination">1 2 3</div><footer>Imprint</footer>'),
+    )
