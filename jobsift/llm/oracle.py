@@ -12,10 +12,14 @@ EXACT = r"""
 """
 
 _bucket = lambda v: f"CASE WHEN {v} < 64 THEN {v} ELSE ({v} >> (length(bin({v})) - 6)) << (length(bin({v})) - 6) END"
-_ratio = lambda k: f"CASE WHEN {quality.RATIOS[k][2]} > 0 THEN ({quality.RATIOS[k][0]} * {quality.RATIOS[k][1]}) // {quality.RATIOS[k][2]} ELSE 0 END"
+_ratio = lambda k, off=0: (
+    f"CASE WHEN {quality.RATIOS[k][2]} > 0 THEN (greatest({quality.RATIOS[k][0]} - {off}, 0) * {quality.RATIOS[k][1]}) // {quality.RATIOS[k][2]} ELSE 0 END"
+)
 _name = "CASE level WHEN 2 THEN lang END"
 _punctuation = "".join(rf"\x{c:02x}" for c in quality._PUNCTUATION)
 
+_square = lambda t: f"(least({t}.total, {quality.MOST})::BIGINT * least({t}.total, {quality.MOST})::BIGINT)"
+
 QUALITY = rf"""
     WITH d AS (SELECT row_number() OVER () AS row, doc_id, lang, source, coalesce(text, '') AS x FROM documents),
     w AS (SELECT row, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w FROM d),
@@ -32,7 +36,8 @@ QUALITY = rf"""
             length(x) - length(regexp_replace(x, '[A-Z]', '', 'g')) AS n_upper,
             length(x) - length(regexp_replace(x, '[{_punctuation}]', '', 'g')) AS n_punctuation
         FROM d JOIN w USING (row) JOIN l USING (row) LEFT JOIN rep USING (row)),
-    r AS (SELECT lang, source, unnest([{", ".join(f"{{'ratio': '{k}', 'v': {_ratio(k)}}}" for k in quality.RATIOS)}]) AS r FROM f WHERE n_words > 0),
+    r AS (SELECT lang, source, unnest([{", ".join(f"{{'ratio': '{k}', 'v': {_ratio(k)}}}" for k in quality.RATIOS)}]) AS r FROM f
+        WHERE n_words >= {quality.MIN_WORDS} AND 100 * n_repeat_words <= {quality.MAX_REPEAT} * n_words),
     b AS (SELECT lang, source, r.ratio AS ratio, {_bucket("r.v")} AS bucket FROM r),
     s AS (
         SELECT level, CASE WHEN level > 0 THEN lang END AS lang, CASE WHEN level > 1 THEN source END AS source, ratio, bucket, count(*) AS n
@@ -40,15 +45,12 @@ QUALITY = rf"""
     u AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, ratio ORDER BY bucket) AS upto,
                  sum(n) OVER (PARTITION BY level, lang, source, ratio) AS total FROM s),
     q AS (SELECT level, lang, source, ratio, max(total) AS total,
-                 min(bucket) FILTER (upto * 100 >= total * 25) AS q25, min(bucket) FILTER (upto * 100 >= total * 50) AS q50,
-                 min(bucket) FILTER (upto * 100 >= total * 75) AS q75 FROM u GROUP BY level, lang, source, ratio),
-    z AS (SELECT *, CASE ratio {" ".join(f"WHEN '{k}' THEN {v[3]}" for k, v in quality.RATIOS.items())} END AS low FROM q),
-    c AS (SELECT level, lang, source, ratio, total, q50 + {quality.REACH} * greatest(q50 - q25, low) AS high,
-                 q50 - {quality.REACH} * greatest(q75 - q50, low) AS least FROM z),
+                 min(bucket) FILTER (upto * 100 >= total * {100 - quality.UPPER}) AS lower, min(bucket) FILTER (upto * 100 >= total * 50) AS middle,
+                 min(bucket) FILTER (upto * 100 >= total * {quality.UPPER}) AS upper FROM u GROUP BY level, lang, source, ratio),
+    c AS (SELECT level, lang, source, ratio, total, upper + {quality.REACH} * greatest(upper - middle, upper // 32, 1) AS high,
+                 greatest(lower - {quality.REACH} * greatest(middle - lower, upper // 32, 1), 0) AS least FROM q),
     t AS (
-        SELECT o.lang, o.source, o.ratio,
-            CASE WHEN o.total >= {quality.MIN_GROUP} THEN o.high WHEN p.total >= {quality.MIN_GROUP} THEN p.high ELSE a.high END AS high,
-            CASE WHEN o.total >= {quality.MIN_GROUP} THEN o.least WHEN p.total >= {quality.MIN_GROUP} THEN p.least ELSE a.least END AS least
+        SELECT o.lang, o.source, o.ratio, {", ".join(f"({_square('o')} * o.{x} + {quality.PRIOR**2} * (({_square('p')} * p.{x} + {quality.PRIOR**2} * a.{x}) // ({_square('p')} + {quality.PRIOR**2}))) // ({_square('o')} + {quality.PRIOR**2}) AS {x}" for x in ("high", "least"))}
         FROM c o JOIN c p ON p.level = 1 AND p.lang IS NOT DISTINCT FROM o.lang AND p.ratio = o.ratio
         JOIN c a ON a.level = 0 AND a.ratio = o.ratio WHERE o.level = 2),
     wide AS (
@@ -57,7 +59,7 @@ QUALITY = rf"""
     SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_letters, n_upper, n_punctuation,
         n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT} * n_words AS base_failed,
         coalesce(NOT (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT} * n_words)
-            AND {" AND ".join(f"({_ratio(k)}) <= high_{k}" for k in quality.RATIOS)}
+            AND {" AND ".join(f"({_ratio(k, quality.TOLERANCE.get(k, 0))}) <= high_{k}" for k in quality.RATIOS)}
             AND ({_ratio("word_length")}) >= low_word_length, false) AS kept
     FROM f LEFT JOIN wide ON wide.lang IS NOT DISTINCT FROM f.lang AND wide.source IS NOT DISTINCT FROM f.source
 """

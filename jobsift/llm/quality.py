@@ -6,16 +6,23 @@ language and source: a sketch is the number of documents per bucket of a
 high-dynamic-range histogram (exact below 64, then 32 buckets per power of
 two, so quantiles err by at most 1/32).  Sketches merge by adding counts —
 Spark's map-side aggregation — and the result depends neither on order nor on
-partitioning.  A source with few documents takes its language's sketch, which
-is the merge of the language's sources, and a small language the merge of all.
-
-The threshold of a ratio is ``median + REACH * max(median - lower quartile,
-floor)``: it looks at the clean side of the distribution only, so junk can
-make up nearly half of a source without moving it.  Average word length also
-has the mirrored lower threshold.  Thresholds are one row per (language,
-source) and come back to the documents by a join, which is broadcast only if
-adaptive execution sees that the table is small, and split otherwise where a
-source is hot.
+partitioning; the sketch of a language is the merge of its sources', that of
+the corpus the merge of all.  Documents that fail the contract's fixed rules
+are in no sketch.
+
+The threshold of a ratio lies beyond the upper part of its distribution:
+``q85 + REACH * max(q85 - median, q85 / 32, 1)``, so up to a seventh of a group may
+be junk without moving it, and the resolution of the sketch is the only floor.
+Average word length also has the mirrored lower threshold.  The threshold of a
+source with n documents is the mean of its own, weighted n², and its language's,
+weighted ``PRIOR``²; a language's is blended with the corpus' in the same way.  A ratio of counts that are zero almost everywhere has a
+threshold near zero, so single counts need a tolerance: two symbols, two
+repeated lines and the forty words of a line of twenty that stands twice are taken off before a
+document is compared (``TOLERANCE``); they don't grow with the text.
+
+Thresholds are one row per (language, source) and come back to the documents by
+a join, which is broadcast only if adaptive execution sees that the table is
+small, and split otherwise where a source is hot.
 """
 
 from __future__ import annotations
@@ -29,20 +36,24 @@ from .common import Staged, free_name, text_or_empty
 #: The contract's symbol characters, and its two fixed rules.
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT = 50, 50
-#: Distance of a threshold from the median, in spreads of the clean side.
-REACH = 6
-#: Documents that a sketch needs before its quantiles are used; below, its parent's are.
-MIN_GROUP = 100
-
-#: Ratio → (numerator, factor, denominator, smallest spread).
+#: The quantile (percent) and its distance from the median, in which the threshold's distance beyond it is measured.
+UPPER, REACH = 85, 8
+#: Documents that a parent's threshold counts for.
+PRIOR = 100
+#: Documents from which on a group's weight stays the same (its parent's share is then under 1e-8): squares stay in 64 bits.
+MOST = 1_000_000
+
+#: Ratio → (numerator, factor, denominator).
 RATIOS = {
-    "symbols": ("n_symbols", 1000, "n_words", 25),
-    "dup_lines": ("n_dup_lines", 1000, "n_lines", 120),
-    "repeats": ("n_repeat_words", 1000, "n_words", 80),
-    "upper": ("n_upper", 1000, "n_letters", 50),
-    "punctuation": ("n_punctuation", 1000, "n_words", 100),
-    "word_length": ("word_chars", 100, "n_words", 60),
+    "symbols": ("n_symbols", 1000, "n_words"),
+    "dup_lines": ("n_dup_lines", 1000, "n_lines"),
+    "repeats": ("n_repeat_words", 1000, "n_words"),
+    "upper": ("n_upper", 1000, "n_letters"),
+    "punctuation": ("n_punctuation", 1000, "n_words"),
+    "word_length": ("word_chars", 100, "n_words"),
 }
+#: Counts that are taken off a numerator before a document is compared with a threshold.
+TOLERANCE = {"symbols": 2, "dup_lines": 2, "repeats": 40}
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_punctuation"]
 
 _UPPER = bytes(range(65, 91))
@@ -96,9 +107,9 @@ def counts_column(text: str = "text") -> Column:
     return run(text_or_empty(text))
 
 
-def ratio(name: str, at: str = "") -> Column:
-    above, factor, below, _ = RATIOS[name]
-    return F.expr(f"if({at}{below} > 0, ({at}{above} * {factor}) div {at}{below}, 0L)")
+def ratio(name: str, at: str = "", tolerance: int = 0) -> Column:
+    above, factor, below = RATIOS[name]
+    return F.expr(f"if({at}{below} > 0, (greatest({at}{above} - {tolerance}, 0L) * {factor}) div {at}{below}, 0L)")
 
 
 def base_failed(at: str = "") -> Column:
@@ -112,15 +123,15 @@ def bucket(value: Column) -> Column:
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """(lang, source, ratio, bucket, n) over rows with the counts of documents that have a word."""
+    """(lang, source, ratio, bucket, n) over rows with counts, of the documents that pass the fixed rules."""
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("ratio"), bucket(ratio(k)).alias("bucket")) for k in RATIOS]))
     return (
-        rows.where("n_words > 0").select("lang", "source", each.alias("r"))
+        rows.where(~base_failed()).select("lang", "source", each.alias("r"))
         .groupBy("lang", "source", "r.ratio", "r.bucket").agg(F.count("*").alias("n"))
     )
 
 
-def thresholds(sketch: DataFrame, reach: int = REACH, min_group: int = MIN_GROUP) -> DataFrame:
+def thresholds(sketch: DataFrame, reach: int = REACH, prior: int = PRIOR) -> DataFrame:
     """One row per (lang, source): ``high_<ratio>`` for each ratio and ``low_word_length``."""
     merged = [
         sketch.withColumn("level", F.lit(2)),
@@ -133,34 +144,36 @@ def thresholds(sketch: DataFrame, reach: int = REACH, min_group: int = MIN_GROUP
     group = Window.partitionBy(*key)
     every = every.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("total", F.sum("n").over(group))
     at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("total") * q, F.col("bucket")))
-    cuts = every.groupBy(*key).agg(F.max("total").alias("total"), at(25).alias("q25"), at(50).alias("q50"), at(75).alias("q75"))
-    floor = F.element_at(F.create_map(*[F.lit(x) for k, r in RATIOS.items() for x in (k, r[3])]), F.col("ratio"))
+    cuts = every.groupBy(*key).agg(F.max("total").alias("total"), at(100 - UPPER).alias("lower"), at(50).alias("middle"), at(UPPER).alias("upper"))
+    spread = lambda a, b: reach * F.greatest(F.col(a) - F.col(b), F.expr("upper div 32"), F.lit(1))
     cuts = cuts.select(
-        *key, "total", (F.col("q50") + reach * F.greatest(F.col("q50") - F.col("q25"), floor)).alias("high"),
-        (F.col("q50") - reach * F.greatest(F.col("q75") - F.col("q50"), floor)).alias("low"),
+        *key, "total", (F.col("upper") + spread("upper", "middle")).alias("high"), F.greatest(F.col("lower") - spread("middle", "lower"), F.lit(0)).alias("low"),
     )
+    names = [f"high_{k}" for k in RATIOS] + ["low_word_length"]
     wide = cuts.groupBy("level", "lang", "source").agg(
         F.max("total").alias("total"), *[F.max(F.when(F.col("ratio") == k, F.col("high"))).alias(f"high_{k}") for k in RATIOS],
         F.max(F.when(F.col("ratio") == "word_length", F.col("low"))).alias("low_word_length"),
     )
-    names = [f"high_{k}" for k in RATIOS] + ["low_word_length"]
-    packed = wide.select("level", "lang", "source", "total", F.struct(*names).alias("t"))
-    own = packed.where("level = 2").alias("own")
-    lang, every = packed.where("level = 1").alias("up"), packed.where("level = 0").alias("top")
-    chosen = F.when(F.col("own.total") >= min_group, F.col("own.t")).when(F.col("up.total") >= min_group, F.col("up.t")).otherwise(F.col("top.t"))
-    out = own.join(lang, F.col("own.lang").eqNullSafe(F.col("up.lang"))).join(every, F.col("top.level") == F.col("own.level") - 2)
-    return out.select(F.col("own.lang").alias("lang"), F.col("own.source").alias("source"), chosen.alias("t")).select("lang", "source", "t.*")
+    own, up, top = (wide.where(F.col("level") == n).alias(x) for n, x in ((2, "own"), (1, "up"), (0, "top")))
+
+    def blended(name: str) -> Column:
+        square = lambda at: f"(least({at}.total, {MOST}) * least({at}.total, {MOST}))"
+        language = f"(({square('up')} * up.{name} + {prior**2} * top.{name}) div ({square('up')} + {prior**2}))"
+        return F.expr(f"({square('own')} * own.{name} + {prior**2} * {language}) div ({square('own')} + {prior**2})").alias(name)
+
+    out = own.join(up, F.col("own.lang").eqNullSafe(F.col("up.lang"))).join(top, F.col("top.level") == F.col("own.level") - 2)
+    return out.select("own.lang", "own.source", *map(blended, names))
 
 
 def passes(at: str = "", limits: str = "") -> Column:
     """The verdict: the contract's fixed rules, then every ratio within its thresholds."""
     fine = ~base_failed(at)
     for k in RATIOS:
-        fine = fine & (ratio(k, at) <= F.col(f"{limits}high_{k}"))
+        fine = fine & (ratio(k, at, TOLERANCE.get(k, 0)) <= F.col(f"{limits}high_{k}"))
     return F.coalesce(fine & (ratio("word_length", at) >= F.col(f"{limits}low_word_length")), F.lit(False))
 
 
-def quality(docs: DataFrame, reach: int = REACH, min_group: int = MIN_GROUP) -> DataFrame:
+def quality(docs: DataFrame, reach: int = REACH, prior: int = PRIOR) -> DataFrame:
     """One row per row of ``docs``: doc_id, lang, source, the counts, base_failed, kept.
 
     A null text has no words and fails; a null language or source is a group of
@@ -170,21 +183,21 @@ def quality(docs: DataFrame, reach: int = REACH, min_group: int = MIN_GROUP) ->
     kept = Staged(docs.sparkSession, "quality")
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), counts_column().alias("c"))
     rows = kept.keep(rows.select("doc_id", "lang", "source", "c.*"), "counts")
-    limits = kept.keep(thresholds(kept.keep(sketches(rows), "sketch"), reach, min_group), "limits")
+    limits = kept.keep(thresholds(kept.keep(sketches(rows), "sketch"), reach, prior), "limits")
     same = rows["lang"].eqNullSafe(limits["lang"]) & rows["source"].eqNullSafe(limits["source"])
     return rows.join(limits, same, "left").select(
         rows["doc_id"], rows["lang"], rows["source"], *COUNTS, base_failed().alias("base_failed"), passes().alias("kept")
     )
 
 
-def keep_good(docs: DataFrame, reach: int = REACH, min_group: int = MIN_GROUP) -> DataFrame:
+def keep_good(docs: DataFrame, reach: int = REACH, prior: int = PRIOR) -> DataFrame:
     """The rows of ``docs`` that pass, with their columns as they are.
 
     The verdict is made on the row itself, so null and repeated ids need no care.
     """
     kept = Staged(docs.sparkSession, "quality")
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), counts_column().alias("c"))
-    limits = kept.keep(thresholds(kept.keep(sketches(rows.select("lang", "source", "c.*")), "sketch"), reach, min_group), "limits")
+    limits = kept.keep(thresholds(kept.keep(sketches(rows.select("lang", "source", "c.*")), "sketch"), reach, prior), "limits")
     limits = limits.select(*[F.col(c).alias(f"_limit_{c}") for c in limits.columns])
     c = free_name(docs, "_counts")
     marked = docs.withColumn(c, counts_column())

@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_stages(spark, documents):
     library = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.TOKENIZER))
-    kept = {r[0] for r in quality_brute(documents, quality.REACH, quality.MIN_GROUP) if r[-1]}
+    kept = {r[0] for r in quality_brute(documents, quality.REACH, quality.PRIOR) if r[-1]}
     rows = [r for r in documents if r[0] in kept]
     texts = dict(rebuilt(rows))
     near = brute_components([(i, brute_print(x)) for i, x in texts.items()])
@@ -40,7 +40,7 @@ def test_stages_take_odd_and_empty_tables(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.sql(queries.ORACLE[name])
     got = queries.QUERIES[name](spark, SF)
