@@ -9,11 +9,14 @@ its Column arguments and the active SparkContext.
 from __future__ import annotations
 
 import functools
+from collections import OrderedDict
 
 from pyspark import SparkContext
 from pyspark.sql import Column
 
-_CACHE: dict = {}
+#: Columns kept, the ones used last; an extractor's tree takes a few hundred kilobytes in the JVM.
+KEPT = 256
+_CACHE: OrderedDict = OrderedDict()
 
 
 def _key_part(v):
@@ -39,6 +42,10 @@ def cached_column(fn):
         if hit is None:
             hit = fn(*args, **kwargs)
             _CACHE[key] = hit
+            if len(_CACHE) > KEPT:
+                _CACHE.popitem(last=False)
+        else:
+            _CACHE.move_to_end(key)
         return hit
 
     return wrapper

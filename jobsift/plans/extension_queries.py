@@ -8,7 +8,7 @@ from ..operators import enrich as E
 from ..operators import extract_extension as X
 from ..operators.jobs import flat
 from ..sources import listings as L
-from ..sources.pages import shred_pages
+from ..sources.pages import shred_once, shred_pages
 
 B, N, U = "buf", "nodes", "url"
 
@@ -77,6 +77,6 @@ def q_extension_page_types(spark, sf_dir):
     """O-C11 + O-C13: the content script's page type on Naukri listing pages and job pages."""
     listing = L.naukri_pages(spark, sf_dir).select((F.col("page_id") * 2).alias("page_id"), "url", "html")
     jobs = L.naukri_job_pages(spark, sf_dir).select((F.col("page_id") * 2 + 1).alias("page_id"), "url", "html")
-    nodes = shred_pages(listing.unionByName(jobs))
+    nodes = shred_once(listing.unionByName(jobs))
     r = nodes.select("page_id", X.scrape_page(F.col(U), F.col(B), F.col(N)).alias("r"))
     return r.select("page_id", "r.page_type", F.size("r.links").cast("int").alias("n_links"), F.size("r.data").cast("int").alias("n_data"))

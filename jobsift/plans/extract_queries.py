@@ -9,12 +9,15 @@ from ..operators import extract_sites as X
 from ..operators import report as R
 from ..operators.jobs import explode_jobs, flat
 from ..sources import listings as L
-from ..sources.pages import shred_pages, usable_nodes
+from ..sources.pages import shred_once, shred_pages, usable_nodes
 
 
 
 def site_jobs(pages, site: str, **opts):
-    nodes = shred_pages(pages)
+    return site_jobs_nodes(shred_pages(pages), site, **opts)
+
+
+def site_jobs_nodes(nodes, site: str, **opts):
     B, N, U = F.col("buf"), F.col("nodes"), F.col("url")
     if site == "Indeed":
         items = X.indeed_jobs(U, B, N)
@@ -72,10 +75,10 @@ def site_outcomes(pages, site: str):
         "Indeed": (X.indeed_found, X.indeed_is_single, INDEED_EMPTY, INDEED_UNPARSED),
         "LinkedIn": (X.linkedin_found, X.linkedin_is_single, LINKEDIN_EMPTY, LINKEDIN_UNPARSED),
     }[site]
-    nodes = shred_pages(pages)
+    nodes = shred_once(pages)
     url, buf, tree = F.col("url"), F.col("buf"), F.col("nodes")
     found = nodes.select("page_id", found_fn(url, buf, tree).alias("total_found"), single_fn(url, tree).alias("single"))
-    return R.outcomes(R.unread(nodes), found, dedup_role_company(site_jobs(pages, site)), site, empty, unparsed)
+    return R.outcomes(R.unread(nodes), found, dedup_role_company(site_jobs_nodes(nodes, site)), site, empty, unparsed)
 
 
 def q_site_outcomes(spark, sf_dir):

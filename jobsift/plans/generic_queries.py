@@ -15,7 +15,10 @@ OUT = ["page_id", "pos", "company", "job_role", "description", "description_bull
 
 def generic_run(pages, strategies=G.STRATEGIES, custom=None):
     """GenericScraper over a set of pages: cascade → post-processing → run-wide O-D2 dedup."""
-    nodes = shred_pages(pages)
+    return generic_run_nodes(shred_pages(pages), strategies, custom)
+
+
+def generic_run_nodes(nodes, strategies=G.STRATEGIES, custom=None):
     items = G.heuristic_items(F.col("buf"), F.col("nodes"), custom, strategies)
     jobs = explode_jobs(nodes, G.generic_jobs(items))
     keyed = jobs.withColumn("fp", dedup.description_key("description", "company"))

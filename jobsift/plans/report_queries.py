@@ -10,8 +10,8 @@ from ..operators import sinks as K
 from ..operators.jobs import explode_jobs
 from ..session import read_table
 from ..sources import listings as L
-from ..sources.pages import shred_pages
-from .generic_queries import generic_run
+from ..sources.pages import shred_once
+from .generic_queries import generic_run, generic_run_nodes
 
 LINE_COLUMNS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 NO_DATA = "Could not automatically detect company/job data on this page. Try using the 'Custom CSS Selectors' option in Advanced Settings."
@@ -28,9 +28,9 @@ def q_summary(spark, sf_dir):
 def q_outcomes(spark, sf_dir):
     """O-A2: found = items of the winning strategy, new = rows left after post-processing and dedup."""
     pages = L.mixed_pages(spark, sf_dir)
-    nodes = shred_pages(pages)
+    nodes = shred_once(pages)
     found = nodes.select("page_id", F.size(G.heuristic_items(F.col("buf"), F.col("nodes"))).alias("total_found"))
-    return R.outcomes(pages, found, generic_run(pages), "Generic", NO_DATA)
+    return R.outcomes(nodes.select("page_id"), found, generic_run_nodes(nodes), "Generic", NO_DATA)
 
 
 def q_preview(spark, sf_dir):

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.classify import MIN_USABLE_HTML
-from ..session import SCAN_PARTITIONS
+from ..session import SCAN_PARTITIONS, store
 from .shred import shred
 
 
@@ -57,6 +57,11 @@ def shred_pages(pages: DataFrame) -> DataFrame:
     return shred(pages)
 
 
+def shred_once(pages: DataFrame) -> DataFrame:
+    """The node table, stored in the shared folder: queries with several branches parse each page once."""
+    return store(shred_pages(pages), "nodes")
+
+
 def write_nodes(nodes: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Persist the silver node table; readers get column pruning on ``buf``/``nodes``."""
     nodes.write.mode(mode).parquet(path)

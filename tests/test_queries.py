@@ -15,7 +15,8 @@ SUBSET = [
     "clean_text", "bullets_base", "dedup_description", "dedup_role_company", "smart_trim", "pagination", "page_links",
     "link_histogram", "extract_indeed", "extract_naukri", "naukri_single", "heuristic_cascade", "export_sheet",
     "export_json", "enrich_links", "enrich_errors", "upgrade_if_short", "routed_run", "site_outcomes",
-    "extension_page_types", "sql_functions",
+    "extension_page_types", "sql_functions", "indeed_single", "page_body_text", "description_choice", "export_skills_text",
+    "csv_fields", "output_names", "export_report", "sql_text_functions", "outcomes",
 ]
 NAMES = sorted(E.oracle_sql()) if os.environ.get("JOBSIFT_ALL_ORACLES") else SUBSET
 
