@@ -2,7 +2,11 @@
 
 Lines with a word are compared without regard to case and white space.  Equal
 lines are grouped by a 128-bit content hash first.  Different lines are
-compared through shingles of ``SHINGLE`` characters: MinHash signatures of
+compared through character shingles: of five where both have fewer than 150
+characters, so that one changed word or number leaves a short line similar, of
+nine where both have 120 or more, so that long lines of one language don't
+share most of theirs (``VIEWS``; lines of 120 to 149 are compared in both ways
+and similar if either says so).  MinHash signatures of
 ``BANDS`` bands of ``ROWS`` values find candidates, exact Jaccard similarity of
 the shingle sets decides, a distributed union-find joins what is similar, and
 of each component the line that stands first (smallest doc_id, then row, then
@@ -32,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,9 +44,11 @@ from pyspark.sql import functions as F
 from .common import Staged, free_name, text_or_empty
 from .components import components
 
-#: Characters of a shingle (nine, so that long lines of one language don't share most of theirs),
-#: least similarity, and the signature: a pair at 0.8 shares a band with probability 0.998, at 0.85 with 0.9998.
-SHINGLE, SIMILARITY, BANDS, ROWS = 9, 0.8, 12, 4
+#: Ways to compare lines: characters of a shingle (a power of two and one), least length, length below.
+#: Two lines of which one is below 120 and the other 150 or more have too different numbers of shingles.
+VIEWS = ((5, 0, 150), (9, 120, 1 << 62))
+#: Least similarity, and the signature: a pair at 0.8 shares a band with probability 0.998, at 0.85 with 0.9998.
+SIMILARITY, BANDS, ROWS = 0.8, 12, 4
 #: Bits of the bitmap of band values that two lines share: 8 MB, whatever the corpus.
 BITMAP_BITS = 1 << 26
 #: Pairs between a bucket's parts, per line, up to which they are compared one by one; beyond, by prefix filter.
@@ -84,9 +91,19 @@ def key(line: str) -> bytes:
     return hashlib.blake2b(line.encode(), digest_size=16).digest()
 
 
-def shingles(line: str) -> set[str]:
-    """A line's character shingles; a shorter line is its own shingle."""
-    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+def shingles(line: str, k: int) -> set[str]:
+    """A line's shingles of ``k`` characters; a shorter line is its own shingle."""
+    return {line[i : i + k] for i in range(max(1, len(line) - k + 1))}
+
+
+def in_view(n: int, view: int) -> bool:
+    """Whether a line of ``n`` characters is compared in this way."""
+    return VIEWS[view][1] <= n < VIEWS[view][2]
+
+
+def alike(a: str, b: str) -> bool:
+    """Whether two lines are similar in a view that holds both."""
+    return any(in_view(len(a), v) and in_view(len(b), v) and similar(shingles(a, k), shingles(b, k)) for v, (k, *_) in enumerate(VIEWS))
 
 
 def similar(a: set[str], b: set[str]) -> bool:
@@ -106,34 +123,35 @@ _XOR = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32).tolist()
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def bands(some: list[str]) -> np.ndarray:
-    """The band values (signed 64-bit) of each line, shape (lines, BANDS)."""
+def bands(some: list[str], view: int) -> np.ndarray:
+    """The band values (signed 64-bit, the lowest bit names the view) of each line, shape (lines, BANDS)."""
     out = np.empty((len(some), BANDS), np.int64)
     begin, size = 0, 0
     for i, line in enumerate(some):
         size += len(line)
         if size >= BLOCK or i == len(some) - 1:
-            out[begin : i + 1] = _bands(some[begin : i + 1])
+            out[begin : i + 1] = _bands(some[begin : i + 1], view)
             begin, size = i + 1, 0
     return out
 
 
-def _bands(some: list[str]) -> np.ndarray:
-    some = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in some]
+def _bands(some: list[str], view: int) -> np.ndarray:
+    k = VIEWS[view][0]
+    some = [x if len(x) >= k else x.ljust(k, "\0") for x in some]
     c = np.frombuffer("".join(some).encode("utf-32-le"), np.uint32)
     h, power = c * np.uint32(0x85EBCA6B) + np.uint32(0x27D4EB2F), 0x9E3779B1
-    for span in (1, 2, 4):  # doubles the span up to 8 characters, then one more makes 9
+    for span in (1 << j for j in range((k - 1).bit_length() - 1)):  # doubles the span up to k - 1 characters, then comes one more
         h = h[:-span] * np.uint32(power) + h[span:]
         power = power * power % (1 << 32)
-    h = h[:-1] * np.uint32(0x9E3779B1) + c[8:] * np.uint32(0xC2B2AE35)
+    h = h[:-1] * np.uint32(0x9E3779B1) + c[k - 1 :] * np.uint32(0xC2B2AE35)
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
     h ^= h >> np.uint32(13)
     length = np.fromiter(map(len, some), np.int64, len(some))
-    own = length - SHINGLE + 1
+    own = length - k + 1
     ends = np.cumsum(length)
-    fits = np.ones(len(h) + SHINGLE, bool)  # shingles that don't run over a line's end
-    for back in range(1, SHINGLE):
+    fits = np.ones(len(h) + k, bool)  # shingles that don't run over a line's end
+    for back in range(1, k):
         fits[ends - back] = False
     h = h[fits[: len(h)]]
     starts = np.cumsum(own) - own
@@ -144,10 +162,23 @@ def _bands(some: list[str]) -> np.ndarray:
             least = np.minimum.reduceat((h ^ np.uint32(_XOR[i])) * np.uint32(_ODD[i]), starts)
             value = (value ^ least) * _MIX
             value ^= value >> np.uint64(29)
-        out[:, band] = value.view(np.int64)
+        out[:, band] = (value >> np.uint64(1) << np.uint64(1) | np.uint64(view)).view(np.int64)
     return out
 
 
+def _band_lists(some: list[str]) -> pa.ListArray:
+    """The band values of each line in all its views."""
+    length = np.fromiter(map(len, some), np.int64, len(some))
+    rows, values = [], []
+    for view, (_, least, below) in enumerate(VIEWS):
+        own = np.flatnonzero((length >= least) & (length < below))
+        rows.append(np.repeat(own, BANDS))
+        values.append(bands([some[i] for i in own.tolist()], view).reshape(-1))
+    rows, values = np.concatenate(rows), np.concatenate(values)
+    ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(some)))])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values[np.argsort(rows, kind="stable")]))
+
+
 # ---- scans of the documents ------------------------------------------------------------
 
 def _distinct_lines(texts: list[str]) -> dict[str, list[tuple[int, int]]]:
@@ -164,8 +195,7 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = _distinct_lines(batch.column("t").to_pylist())
         keys = [key(x) for x in found]
-        flat = bands(list(found)).reshape(-1)
-        each = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), pa.array(flat))
+        each = _band_lists(list(found))
         ends = np.cumsum([0, *map(len, found.values())], dtype=np.int32)
         rows, numbers = (pa.array([p[i] for ps in found.values() for p in ps], kind) for i, kind in ((0, pa.int64()), (1, pa.int32())))
         place = pa.StructArray.from_arrays([batch.column("doc_id").take(rows), batch.column("row").take(rows), numbers], names=["doc_id", "row", "line"])
@@ -192,23 +222,23 @@ def _marked_bands(bits: Broadcast):
             each = batch.column("bands")
             flat = each.flatten().to_numpy(zero_copy_only=False)
             hit = np.flatnonzero(_marked(bits.value, flat))
-            rows = pa.array(hit // BANDS)
+            rows = pc.list_parent_indices(each).take(pa.array(hit))
             yield pa.RecordBatch.from_arrays([batch.column("key").take(rows), batch.column("h").take(rows), pa.array(flat[hit])], names=["key", "h", "band"])
 
     return run
 
 
 def _marked_texts(bits: Broadcast):
-    """mapInArrow function: distinct lines whose key may be wanted, with their number of shingles."""
+    """mapInArrow function: distinct lines whose key may be wanted, with their numbers of shingles (by view, null outside)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             some = list(_distinct_lines(batch.column("t").to_pylist()))
             keys = [key(x) for x in some]
             rows = np.flatnonzero(_marked(bits.value, np.array([_head(k) for k in keys], np.int64))).tolist()
+            sizes = [pa.array([len(shingles(some[i], k)) if in_view(len(some[i]), v) else None for i in rows], pa.int32()) for v, (k, *_) in enumerate(VIEWS)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([keys[i] for i in rows], pa.binary()), pa.array([some[i] for i in rows], pa.string()), pa.array([len(shingles(some[i])) for i in rows], pa.int32())],
-                names=["key", "t", "size"],
+                [pa.array([keys[i] for i in rows], pa.binary()), pa.array([some[i] for i in rows], pa.string()), *sizes], names=["key", "t", "size0", "size1"],
             )
 
     return run
@@ -228,13 +258,13 @@ def _bitmap(values: DataFrame, column: str) -> np.ndarray:
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) of keys whose lines (ta, tb) are similar."""
-    last, of_last = None, set()
+    last, of_last = None, {}
     for batch in batches:
         keep = []
         for i, (ta, tb) in enumerate(zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)):
             if tb != last:
-                last, of_last = tb, shingles(tb)
-            if similar(shingles(ta), of_last):
+                last, of_last = tb, {v: shingles(tb, k) for v, (k, *_) in enumerate(VIEWS) if in_view(len(tb), v)}
+            if any(in_view(len(ta), v) and similar(shingles(ta, VIEWS[v][0]), own) for v, own in of_last.items()):
                 keep.append(i)
         yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], names=["a", "b"])
 
@@ -245,15 +275,15 @@ def length_classes(n: Column) -> Column:
     return F.array(own, own + 1)
 
 
-def part_links(rows: list[tuple[bytes, int, str]], direct: int = DIRECT) -> Iterator[tuple[bytes, bytes]]:
-    """Similar pairs among (key, part, line), enough to join all parts that a pair joins.
+def part_links(rows: list[tuple[bytes, int, str]], k: int, direct: int = DIRECT) -> Iterator[tuple[bytes, bytes]]:
+    """Similar pairs, by shingles of ``k``, among (key, part, line), enough to join all parts that a pair joins.
 
     Rows of one part are never compared.  Few pairs of other rows (a large part
     and some outsiders) are compared one by one, many through a prefix filter:
     with the shingles ordered by rarity in the bucket, two sets that are similar
     share one of their first n - ceil(0.8 n) + 1.
     """
-    sets = [shingles(line) for _, _, line in rows]
+    sets = [shingles(line, k) for _, _, line in rows]
     part = list(range(len(rows)))
 
     def find(x: int) -> int:
@@ -304,12 +334,12 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [batch.column(c).to_pylist() for c in ("band", "class", "key", "part", "t")]
         for band, cls, k, p, t in zip(*columns, strict=True):
             if (band, cls) != now:
-                out += part_links(held)
+                out += part_links(held, VIEWS[now[0] & 1][0] if now else 0)
                 held, now = [], (band, cls)
             held.append((k, p, t))
         yield _pairs(out)
         out = []
-    yield _pairs(part_links(held))
+    yield _pairs(part_links(held, VIEWS[now[0] & 1][0] if now else 0))
 
 
 def _pairs(links) -> pa.RecordBatch:
@@ -330,7 +360,7 @@ def links(texts: DataFrame, rows: DataFrame, kept: Staged) -> DataFrame:
     members = kept.keep(members.join(shared, "band").select("band", "key", "h"), "members")
     kept.drop(shared)
     wanted = context.broadcast(_bitmap(members, "h"))
-    text = texts.select("t").mapInArrow(uncollected(_marked_texts(wanted)), "key BINARY, t STRING, size INT").dropDuplicates(["key"])
+    text = texts.select("t").mapInArrow(uncollected(_marked_texts(wanted)), "key BINARY, t STRING, size0 INT, size1 INT").dropDuplicates(["key"])
     text = kept.keep(text, "texts")
     pivots = kept.keep(members.groupBy("band").agg(F.min("key").alias("pivot")), "pivots")
     pairs = members.join(pivots, "band").where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
@@ -356,7 +386,8 @@ def links(texts: DataFrame, rows: DataFrame, kept: Staged) -> DataFrame:
     some = lone.join(other, "band").where("pa <> pb AND (pb = main OR a < b)").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     light_links = kept.keep(_verify(some.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), text), "light")
     # many: within the bucket, by length class
-    heavy = rest.where("heavy").join(text, "key").withColumn("class", F.explode(length_classes(F.col("size"))))
+    size = F.when(F.col("band").bitwiseAND(1) == 0, F.col("size0")).otherwise(F.col("size1"))
+    heavy = rest.where("heavy").join(text, "key").withColumn("class", F.explode(length_classes(size)))
     heavy = heavy.select("band", "class", "key", F.xxhash64("part").alias("part"), "t")
     heavy = heavy.repartition("band", "class").sortWithinPartitions("band", "class", "key")
     heavy_links = kept.keep(heavy.mapInArrow(uncollected(_bucket_rows), "a BINARY, b BINARY"), "heavy")
@@ -369,8 +400,10 @@ def links(texts: DataFrame, rows: DataFrame, kept: Staged) -> DataFrame:
 
 def _verify(pairs: DataFrame, text: DataFrame) -> DataFrame:
     """The pairs (a, b) of keys whose lines are similar; sets of too different sizes can't be."""
-    ta, tb = (text.select(F.col("key").alias(x), F.col("t").alias(f"t{x}"), F.col("size").alias(f"s{x}")) for x in "ab")
-    near = pairs.join(ta, "a").join(tb, "b").where(f"10 * least(sa, sb) >= {round(10 * SIMILARITY)} * greatest(sa, sb)")
+    ta, tb = (text.select(F.col("key").alias(x), F.col("t").alias(f"t{x}"), F.col("size0").alias(f"s{x}0"), F.col("size1").alias(f"s{x}1")) for x in "ab")
+    # least and greatest pass over nulls: both sizes have to be there
+    close = [f"sa{v} IS NOT NULL AND sb{v} IS NOT NULL AND 10 * least(sa{v}, sb{v}) >= {round(10 * SIMILARITY)} * greatest(sa{v}, sb{v})" for v in range(len(VIEWS))]
+    near = pairs.join(ta, "a").join(tb, "b").where(" OR ".join(f"({x})" for x in close))
     return near.select("a", "b", "ta", "tb").mapInArrow(uncollected(_verified), "a BINARY, b BINARY")
 
 
