@@ -54,12 +54,19 @@ def format_pairs(turns: DataFrame) -> DataFrame:
     null turns come first); null roles and texts render as empty ones and equal
     only each other.  A pair with one side has no common prefix and an empty
     other side; two equal conversations are all prompt.  Rows without pair_id
-    form one pair.  An empty table gives an empty table; further columns are
-    not read.
+    belong to no pair and are left out.  An empty table gives an empty table;
+    further columns are not read.
     """
-    one = F.struct("turn", "role", "text")
-    side = lambda wanted: F.sort_array(F.collect_list(F.when(F.col("chosen") == F.lit(wanted), one)))
-    pairs = turns.groupBy("pair_id").agg(side(True).alias("c"), side(False).alias("r"))
+    pairs = turns.where(F.col("pair_id").isNotNull()).groupBy("pair_id")
+    return format_sides(pairs.agg(_sorted_turns(F.col("chosen")).alias("c"), _sorted_turns(~F.col("chosen")).alias("r")))
+
+
+def _sorted_turns(wanted: Column) -> Column:
+    return F.sort_array(F.collect_list(F.when(wanted, F.struct("turn", "role", "text"))))
+
+
+def format_sides(pairs: DataFrame) -> DataFrame:
+    """As :func:`format_pairs`, of rows (pair_id, c, r) that hold the turns of both sides in order."""
     pairs = pairs.withColumn("k", common_prefix("c", "r"))
     rest = lambda x: F.expr(f"slice({x}, k + 1, greatest(size({x}) - k, 0))")
     return pairs.select(
@@ -70,11 +77,27 @@ def format_pairs(turns: DataFrame) -> DataFrame:
     )
 
 
-def neighbours(conversations: DataFrame) -> DataFrame:
-    """Pairs for a table without preferences: conversations 2k (chosen) and 2k + 1 (rejected)."""
-    return conversations.select(
-        F.expr("shiftright(cast(conv_id as bigint), 1)").alias("pair_id"), F.expr("coalesce(cast(conv_id as bigint) & 1, 0) = 0").alias("chosen"), "turn", "role", "text"
-    )
+def swapped_replies(conversations: DataFrame) -> DataFrame:
+    """Pairs (pair_id, c, r) for a table without preferences, one per conversation with a reply.
+
+    Chosen is a conversation up to its last reply, rejected the same turns with
+    the last reply of its neighbour (conv_id 2k for 2k + 1 and the reverse) in
+    that place, or nothing if the neighbour has none.  Both stand in one row of
+    one grouping.  Rows without conv_id belong to no conversation and are left
+    out.
+    """
+    rows = conversations.where(F.col("conv_id").isNotNull()).withColumn("conv_id", F.col("conv_id").cast("long"))
+    odd = F.col("conv_id").bitwiseAND(1) == 1
+    both = rows.groupBy(F.shiftright("conv_id", 1).alias("k")).agg(_sorted_turns(~odd).alias("t0"), _sorted_turns(odd).alias("t1"))
+    last = lambda t: F.expr(f"array_max(filter(sequence(0, greatest(size({t}) - 1, 0)), i -> get({t}, i).role = '{TRAINED}'))")
+    both = both.withColumn("l0", last("t0")).withColumn("l1", last("t1"))
+
+    def pair(own: int) -> Column:
+        t, at, other = f"t{own}", f"l{own}", f"if(l{1 - own} IS NULL, array(), array(get(t{1 - own}, l{1 - own})))"
+        return F.when(F.col(at).isNotNull(), F.struct(
+            (F.col("k") * 2 + own).alias("pair_id"), F.expr(f"slice({t}, 1, {at} + 1)").alias("c"), F.expr(f"concat(slice({t}, 1, {at}), {other})").alias("r")))
+
+    return both.select(F.explode(F.array(pair(0), pair(1))).alias("p")).where("p IS NOT NULL").select("p.*")
 
 
 def mask_text(runs: str) -> Column:

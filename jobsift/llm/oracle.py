@@ -72,11 +72,11 @@ _mask = lambda x: (
 )
 
 CHAT = f"""
-    WITH t AS (SELECT conv_id >> 1 AS pair_id, coalesce(conv_id & 1, 0) = 0 AS chosen, turn, role, text FROM conversations),
-    p AS (SELECT pair_id,
-        coalesce(list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (chosen), []) AS c,
-        coalesce(list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (NOT chosen), []) AS r
-        FROM t GROUP BY pair_id),
+    WITH g AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS t
+        FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+    l AS (SELECT *, list_max(list_filter(range(1, len(t) + 1), lambda i: t[i].role = '{chat.TRAINED}')) AS last FROM g),
+    p AS (SELECT a.conv_id AS pair_id, a.t[1:a.last] AS c, list_concat(a.t[1:a.last - 1], CASE WHEN b.last IS NULL THEN [] ELSE [b.t[b.last]] END) AS r
+        FROM l a LEFT JOIN l b ON b.conv_id = xor(a.conv_id, 1) WHERE a.last IS NOT NULL),
     k AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(c), len(r)) + 1), lambda i: c[i] IS DISTINCT FROM r[i])) - 1, least(len(c), len(r))) AS k FROM p)
     SELECT pair_id, k::INTEGER AS prompt_turns, len(c)::INTEGER AS chosen_turns, len(r)::INTEGER AS rejected_turns,
         {_render("c[1:k]")} AS prompt, {_render("c[k + 1:]")} AS chosen, {_render("r[k + 1:]")} AS rejected,

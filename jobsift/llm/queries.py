@@ -25,7 +25,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = chat.format_pairs(chat.neighbours(table(spark, sf_dir, "conversations")))
+    pairs = chat.format_sides(chat.swapped_replies(table(spark, sf_dir, "conversations")))
     return pairs.select(
         *[c for c in pairs.columns if not c.endswith("_mask")],
         chat.mask_text("chosen_mask").alias("chosen_mask"), chat.mask_text("rejected_mask").alias("rejected_mask"),

@@ -67,6 +67,8 @@ def test_native(spark, documents):
 def brute_pairs(rows):
     pairs = {}
     for p, chosen, turn, role, text in rows:
+        if p is None:
+            continue
         pairs.setdefault(p, ([], []))[0 if chosen else 1].append((turn, role, text))
     out = []
     none_first = lambda t: tuple((x is not None, x if x is not None else 0) for x in t)
@@ -101,3 +103,28 @@ def test_chat(spark):
     assert chat.format_pairs(df.where("false")).count() == 0
     plan = got._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_pairs_from_conversations(spark):
+    """Own reply against the neighbour's, behind the same prompt."""
+    talks = {
+        0: [("user", "q0"), ("assistant", "a0"), ("user", "more"), ("assistant", "b0"), ("user", "bye")],
+        1: [("user", "q1"), ("assistant", "a1")],
+        2: [("user", "nobody answers")],
+        3: [("assistant", "a3")],
+        5: [("user", "q5"), ("assistant", None)],
+        6: [("user", "same"), ("assistant", "same")],
+        7: [("user", "other"), ("assistant", "same")],
+    }
+    rows = [(i, n, *t) for i, talk in talks.items() for n, t in enumerate(talk)] + [(None, 0, "user", "lost"), (None, 1, "assistant", "lost")] * 50
+    df = spark.createDataFrame(rows, "conv_id BIGINT, turn BIGINT, role STRING, text STRING").selectExpr("*", "1 AS k", "2 AS t0", "3 AS l1")
+    got = {r.pair_id: r for r in chat.format_sides(chat.swapped_replies(df)).collect()}
+    show = lambda *turns: "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in turns)
+    assert set(got) == {0, 1, 3, 5, 6, 7}
+    assert (got[0].prompt, got[0].chosen, got[0].rejected) == (show(*talks[0][:3]), show(("assistant", "b0")), show(("assistant", "a1")))
+    assert (got[1].prompt, got[1].chosen, got[1].rejected) == (show(("user", "q1")), show(("assistant", "a1")), show(("assistant", "b0")))
+    assert (got[3].prompt_turns, got[3].chosen, got[3].rejected) == (0, show(("assistant", "a3")), "")
+    assert (got[5].chosen, got[5].rejected) == (show(("assistant", "")), "")
+    assert (got[6].prompt, got[6].chosen, got[6].rejected) == (show(*talks[6]), "", "")  # equal replies are all prompt
+    assert [r.trained for r in got[0].chosen_mask] == [False, True]
+    assert chat.swapped_replies(df.where("false")).count() == 0
