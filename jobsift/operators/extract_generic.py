@@ -44,10 +44,20 @@ def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
-def _vstr(v: Column, path: str) -> Column:
-    """String at ``path`` (only when it *is* a string), else ''."""
-    sub = F.try_variant_get(v, path, "variant")
-    return F.when(_kind(sub) == "STRING", F.try_variant_get(v, path, "string")).otherwise(F.lit(""))
+def _vtext(v: Column, path: str) -> Column:
+    """The string at ``path``; '' if it is missing or an empty value; NULL for any other value, which is no text."""
+    kind, text = _kind(F.try_variant_get(v, path, "variant")), F.try_variant_get(v, path, "string")
+    blank = kind.isNull() | (kind == "VOID") | text.isin("0", "0.0", "false", "[]", "{}")
+    return F.when(kind == "STRING", text).when(F.coalesce(blank, F.lit(False)), F.lit("")).otherwise(F.lit(None).cast("string"))
+
+
+def _found(company, role, desc) -> Column:
+    """An item whose values may be no text: it counts as found and gives no job."""
+    return F.struct(company.alias("company"), role.alias("role"), desc.alias("description"))
+
+
+def _given(x: Column) -> Column:
+    return x.isNull() | (x != "")
 
 
 def _type_has(v: Column, word: str, exact_names=()) -> Column:
@@ -65,8 +75,8 @@ def _type_has(v: Column, word: str, exact_names=()) -> Column:
 def _jsonld_item(v: Column) -> Column:
     """Items of one JSON-LD object (several for an ItemList)."""
     ho = F.try_variant_get(v, "$.hiringOrganization", "variant")
-    company_jp = F.when(_kind(ho).startswith("OBJECT"), _vstr(ho, "$.name")).when(_kind(ho) == "STRING", F.try_variant_get(ho, "$", "string")).otherwise(F.lit(""))
-    desc_jp = F.coalesce(F.nullif(_vstr(v, "$.description"), F.lit("")), _vstr(v, "$.responsibilities"))
+    company_jp = F.when(_kind(ho).startswith("OBJECT"), _vtext(ho, "$.name")).when(_kind(ho) == "STRING", F.try_variant_get(ho, "$", "string")).otherwise(F.lit(""))
+    desc_jp = let(_vtext(v, "$.description"), lambda d: F.when(d == "", _vtext(v, "$.responsibilities")).otherwise(d))
     is_job = _type_has(v, "JobPosting")
     is_org = _type_has(v, "Organization", exact_names=("Corporation", "Company", "LocalBusiness"))
     is_list = _type_has(v, "ListItem") | _type_has(v, "ItemList")
@@ -74,16 +84,16 @@ def _jsonld_item(v: Column) -> Column:
     listed = F.filter(
         F.transform(
             F.filter(elements, lambda e: _kind(e).startswith("OBJECT")),
-            lambda e: let(F.coalesce(F.try_variant_get(e, "$.item", "variant"), e), lambda d: item(_vstr(d, "$.name"), F.lit(K.JSONLD_LIST_ROLE), F.lit(""))),
+            lambda e: let(F.coalesce(F.try_variant_get(e, "$.item", "variant"), e), lambda d: _found(_vtext(d, "$.name"), F.lit(K.JSONLD_LIST_ROLE), F.lit(""))),
         ),
-        lambda x: x["company"] != "",
+        lambda x: _given(x["company"]),
     )
     single = (
-        F.when(is_job, F.array(item(company_jp, _vstr(v, "$.title"), desc_jp)))
-        .when(is_org, F.array(item(_vstr(v, "$.name"), F.lit(K.JSONLD_ORG_ROLE), F.lit(""))))
+        F.when(is_job, F.array(_found(company_jp, _vtext(v, "$.title"), desc_jp)))
+        .when(is_org, F.array(_found(_vtext(v, "$.name"), F.lit(K.JSONLD_ORG_ROLE), F.lit(""))))
         .otherwise(_no_items())
     )
-    kept = F.filter(single, lambda x: (x["company"] != "") & (x["role"] != ""))
+    kept = F.filter(single, lambda x: _given(x["company"]) & _given(x["role"]))
     return F.when(~is_job & ~is_org & is_list, listed).otherwise(kept)
 
 
@@ -283,14 +293,14 @@ def heuristic_items(buf: Column, nodes: Column, custom: dict | None = None, stra
 
 @cached_column
 def generic_jobs(items: Column) -> Column:
-    """O-X6 per item: strip, drop short / navigation companies, defaults and bullets.
+    """O-X6 per item: strip, drop short / navigation companies and items with a value that is no text, defaults and bullets.
 
     Each job carries ``dedup_key`` (description[:100] or company) for the
     run-wide O-D2 dedup.
     """
     def one(x):
         company, role, desc = T.py_strip(x["company"]), T.py_strip(x["role"]), T.py_strip(x["description"])
-        keep = (F.length(company) >= 2) & ~F.array_contains(T.lit_array(K.GENERIC_REJECTED_COMPANIES), F.lower(company))
+        keep = (F.length(company) >= 2) & role.isNotNull() & desc.isNotNull() & ~F.array_contains(T.lit_array(K.GENERIC_REJECTED_COMPANIES), F.lower(company))
         bullets = F.when(desc != "", T.bullets_base(desc)).otherwise(F.array().cast("array<string>"))
         return F.when(keep, job(
             company=company, job_role=T.default_if_empty(role, K.GENERIC_DEFAULT_ROLE), description=desc,

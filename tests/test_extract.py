@@ -35,6 +35,22 @@ def test_jsonld_f11(spark):
     assert got == [("Acme", "Dev", "D1"), ("Beta", "Ops", ""), ("Gamma", "Company", ""), ("Delta", "Listed Company", ""), ("Eps", "Listed Company", "")]
 
 
+def test_jsonld_values_that_are_no_text(spark):
+    """Such items count as found and give no job; empty values of any kind are missing."""
+    one = lambda fields: '<script type="application/ld+json">{"@type":"JobPosting",' + fields + "}</script>"
+    html = (
+        one('"title":"A","hiringOrganization":"Acme","description":{"text":"x"}') + one('"title":"B","hiringOrganization":"Acme","description":[],"responsibilities":"Do B"')
+        + one('"title":"C","hiringOrganization":"Acme","description":null,"responsibilities":["x"]') + one('"title":7,"hiringOrganization":"Acme"')
+        + one('"title":"E","hiringOrganization":{"name":12}') + one('"title":"F","hiringOrganization":"Acme","description":0') + one('"title":false,"hiringOrganization":"Acme"')
+    )
+    found = items(spark, html, lambda u, b, n: G.jsonld_items(n))
+    assert [(r.company, r.role, r.description) for r in found] == [
+        ("Acme", "A", None), ("Acme", "B", "Do B"), ("Acme", "C", None), ("Acme", None, ""), (None, "E", ""), ("Acme", "F", ""),
+    ]
+    jobs = items(spark, html, lambda u, b, n: G.generic_jobs(G.heuristic_items(b, n)))
+    assert [(r.job_role, r.description) for r in jobs] == [("B", "Do B"), ("F", "")]
+
+
 def test_tables_f12(spark):
     html = (
         "<table><thead><tr><th>Company Name</th><th>Role</th><th>Employer name</th><th>About</th></tr></thead>"
