@@ -15,10 +15,12 @@ The threshold of a ratio lies beyond the upper part of its distribution:
 be junk without moving it, and the resolution of the sketch is the only floor.
 Average word length also has the mirrored lower threshold.  The threshold of a
 source with n documents is the mean of its own, weighted n², and its language's,
-weighted ``PRIOR``²; a language's is blended with the corpus' in the same way.  A ratio of counts that are zero almost everywhere has a
-threshold near zero, so single counts need a tolerance: two symbols, two
-repeated lines and the forty words of a line of twenty that stands twice are taken off before a
-document is compared (``TOLERANCE``); they don't grow with the text.
+weighted ``PRIOR``²; a language's is blended with the corpus' in the same way.
+
+A ratio of counts that are zero almost everywhere has a threshold near zero, so
+single counts need a tolerance: two symbols, two repeated lines and the forty
+words of a line of twenty that stands twice are taken off before a document is
+compared (``TOLERANCE``); they don't grow with the text.
 
 Thresholds are one row per (language, source) and come back to the documents by
 a join, which is broadcast only if adaptive execution sees that the table is
