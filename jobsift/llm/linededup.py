@@ -16,9 +16,14 @@ id or with the same one are documents of their own.
 Candidates without all pairs: in every band bucket each line is verified
 against the bucket's smallest line only.  Where the components found so far
 leave a bucket of three or more lines in several parts, the lines of different
-parts are joined exactly, by a prefix filter over the bucket's rarest shingles
-and by length class, so no link is lost and a group of thousands of copies
-costs thousands of comparisons.
+parts are joined exactly, so no link is lost and a group of thousands of copies
+costs thousands of comparisons.  Few such pairs are compared one by one.  A
+bucket with many is dealt into the lists of a prefix filter, spread over the
+cluster: with shingles ordered by rarity, two similar lines share one of their
+first n - ceil(0.8 n) + 1, so lines that have only common shingles in common
+part ways.  A list is treated as a bucket was (smallest line first, then few
+pairs); what still has many pairs is dealt into blocks of a bounded number of
+shingles, of which every two meet in a task.
 
 What moves: hashes of lines and bands; the texts of lines that share a band
 with another line (a bitmap of fixed size tells the scan which these may be);
@@ -53,6 +58,10 @@ SIMILARITY, BANDS, ROWS = 0.8, 12, 4
 BITMAP_BITS = 1 << 26
 #: Pairs between a bucket's parts, per line, up to which they are compared one by one; beyond, by prefix filter.
 DIRECT = 64
+#: Slots of the shingle counts that order prefixes: 1 MB to the tasks, whatever the corpus.
+SLOTS = 1 << 20
+#: Shingles of a block; a task holds the shingle sets of two.
+BLOCK_SHINGLES = 1 << 20
 #: Shingles that are hashed at once, so that numpy stays in the cache.
 BLOCK = 1 << 16
 
@@ -135,8 +144,8 @@ def bands(some: list[str], view: int) -> np.ndarray:
     return out
 
 
-def _bands(some: list[str], view: int) -> np.ndarray:
-    k = VIEWS[view][0]
+def _hashes(some: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit hashes of all shingles of ``k`` characters, line after line, and where each line's begin."""
     some = [x if len(x) >= k else x.ljust(k, "\0") for x in some]
     c = np.frombuffer("".join(some).encode("utf-32-le"), np.uint32)
     h, power = c * np.uint32(0x85EBCA6B) + np.uint32(0x27D4EB2F), 0x9E3779B1
@@ -153,8 +162,11 @@ def _bands(some: list[str], view: int) -> np.ndarray:
     fits = np.ones(len(h) + k, bool)  # shingles that don't run over a line's end
     for back in range(1, k):
         fits[ends - back] = False
-    h = h[fits[: len(h)]]
-    starts = np.cumsum(own) - own
+    return h[fits[: len(h)]], np.cumsum(own) - own
+
+
+def _bands(some: list[str], view: int) -> np.ndarray:
+    h, starts = _hashes(some, VIEWS[view][0])
     out = np.empty((len(some), BANDS), np.int64)
     for band in range(BANDS):
         value = np.full(len(some), band + 1, np.uint64)
@@ -215,7 +227,7 @@ def _marked(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _marked_bands(bits: Broadcast):
-    """mapInArrow function: (key, h, band) of the band values that another line may have."""
+    """mapInArrow function: (key, h, bucket) of the band values that another line may have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,7 +235,7 @@ def _marked_bands(bits: Broadcast):
             flat = each.flatten().to_numpy(zero_copy_only=False)
             hit = np.flatnonzero(_marked(bits.value, flat))
             rows = pc.list_parent_indices(each).take(pa.array(hit))
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(rows), batch.column("h").take(rows), pa.array(flat[hit])], names=["key", "h", "band"])
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(rows), batch.column("h").take(rows), pa.array(flat[hit])], names=["key", "h", "bucket"])
 
     return run
 
@@ -254,6 +266,54 @@ def _bitmap(values: DataFrame, column: str) -> np.ndarray:
     return out
 
 
+# ---- prefix filter ---------------------------------------------------------------------
+
+def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slot, n): the shingles of a batch's lines (t) by their hash modulo ``SLOTS``."""
+    for batch in batches:
+        some = batch.column("t").to_pylist()
+        of_view = [_hashes(own, k)[0] for v, (k, *_) in enumerate(VIEWS) if (own := [x for x in some if in_view(len(x), v)])]
+        slot, n = np.unique(np.concatenate([np.empty(0, np.uint32), *of_view]) % np.uint32(SLOTS), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n.astype(np.int64))], names=["slot", "n"])
+
+
+def _rarity(text: DataFrame) -> np.ndarray:
+    """The logarithm, in eighths, of each slot's count; at most ``SLOTS`` rows of five bytes reach the driver."""
+    counts = text.select("t").mapInArrow(_shingle_counts, "slot INT, n BIGINT").groupBy("slot").agg(F.sum("n").alias("n"))
+    at = counts.select("slot", F.floor(8 * F.log2("n")).cast("short").alias("r")).toArrow()
+    out = np.zeros(SLOTS, np.int16)
+    out[at.column("slot").to_numpy()] = at.column("r").to_numpy()
+    return out
+
+
+def _prefix_lists(rarity: Broadcast):
+    """mapInArrow function: lines with the bands of their heavy buckets to (bucket, key) of a list per band and prefix shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some, of = batch.column("t").to_pylist(), batch.column("buckets").to_pylist()
+            rows, lists = [], []
+            for view, (k, *_) in enumerate(VIEWS):
+                own = [(i, values) for i, each in enumerate(of) if (values := [b for b in each if b & 1 == view])]
+                if not own:
+                    continue
+                h, starts = _hashes([some[i] for i, _ in own], k)
+                sizes = batch.column(f"size{view}").to_pylist()
+                for (i, values), one in zip(own, np.split(h, starts[1:]), strict=True):
+                    one = np.unique(one)  # two shingles of one hash only lengthen the prefix
+                    least = sizes[i] - math.ceil(SIMILARITY * sizes[i] - 1e-9) + 1
+                    prefix = one[np.lexsort((one, rarity.value[one % np.uint32(SLOTS)]))[:least]].astype(np.uint64)
+                    for b in values:
+                        x = (np.uint64(b & (1 << 64) - 1) ^ prefix * _MIX) * _MIX
+                        lists.append((x ^ x >> np.uint64(32)) >> np.uint64(1) << np.uint64(1) | np.uint64(view))
+                        rows.append(np.full(len(x), i))
+            at = pa.array(np.concatenate([np.empty(0, np.int64), *rows]).astype(np.int64))
+            bucket = np.concatenate([np.empty(0, np.uint64), *lists]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column("key").take(at), batch.column("part").take(at)], names=["bucket", "key", "part"])
+
+    return run
+
+
 # ---- verification ----------------------------------------------------------------------
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,12 +329,6 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], names=["a", "b"])
 
 
-def length_classes(n: Column) -> Column:
-    """The classes in which a line with n distinct shingles meets all lines of 0.8 to 1.25 times as many."""
-    own = F.floor(F.log(n.cast("double")) / F.lit(math.log(1 / SIMILARITY) * 1.001)).cast("int")
-    return F.array(own, own + 1)
-
-
 def part_links(rows: list[tuple[bytes, int, str]], k: int, direct: int = DIRECT) -> Iterator[tuple[bytes, bytes]]:
     """Similar pairs, by shingles of ``k``, among (key, part, line), enough to join all parts that a pair joins.
 
@@ -327,15 +381,15 @@ def part_links(rows: list[tuple[bytes, int, str]], k: int, direct: int = DIRECT)
             index[s].setdefault(own, []).append(i)
 
 
-def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket (band, class) to the links that join its parts."""
+def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by list and two of its blocks (bucket, i, j) to the links that join their parts."""
     held, now, out = [], None, []
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("band", "class", "key", "part", "t")]
-        for band, cls, k, p, t in zip(*columns, strict=True):
-            if (band, cls) != now:
+        columns = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "key", "part", "t")]
+        for bucket, i, j, k, p, t in zip(*columns, strict=True):
+            if (bucket, i, j) != now:
                 out += part_links(held, VIEWS[now[0] & 1][0] if now else 0)
-                held, now = [], (band, cls)
+                held, now = [], (bucket, i, j)
             held.append((k, p, t))
         yield _pairs(out)
         out = []
@@ -353,49 +407,93 @@ def links(texts: DataFrame, rows: DataFrame, kept: Staged) -> DataFrame:
     ``rows`` are the stored rows of :func:`_line_rows` for ``texts`` (t).
     """
     context = texts.sparkSession.sparkContext
-    shared = rows.select("h", F.explode("bands").alias("band")).groupBy("band").agg(F.min("h").alias("x"), F.max("h").alias("y"))
-    shared = kept.keep(shared.where("x <> y").select("band"), "shared")
-    hot = context.broadcast(_bitmap(shared, "band"))
-    members = rows.select("key", "h", "bands").mapInArrow(_marked_bands(hot), "key BINARY, h BIGINT, band BIGINT").distinct()
-    members = kept.keep(members.join(shared, "band").select("band", "key", "h"), "members")
+    shared = rows.select("h", F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.min("h").alias("x"), F.max("h").alias("y"))
+    shared = kept.keep(shared.where("x <> y").select("bucket"), "shared")
+    hot = context.broadcast(_bitmap(shared, "bucket"))
+    members = rows.select("key", "h", "bands").mapInArrow(_marked_bands(hot), "key BINARY, h BIGINT, bucket BIGINT").distinct()
+    members = kept.keep(members.join(shared, "bucket").select("bucket", "key", "h"), "members")
     kept.drop(shared)
     wanted = context.broadcast(_bitmap(members, "h"))
     text = texts.select("t").mapInArrow(uncollected(_marked_texts(wanted)), "key BINARY, t STRING, size0 INT, size1 INT").dropDuplicates(["key"])
     text = kept.keep(text, "texts")
-    pivots = kept.keep(members.groupBy("band").agg(F.min("key").alias("pivot")), "pivots")
-    pairs = members.join(pivots, "band").where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
+    pivots = kept.keep(members.groupBy("bucket").agg(F.min("key").alias("pivot")), "pivots")
+    pairs = members.join(pivots, "bucket").where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
     pairs = kept.keep(pairs, "pairs")  # key > pivot
     verified = kept.keep(_verify(pairs, text), "verified")
     parts = kept.keep(components(verified, kept), "parts")
     kept.drop(pivots, verified)
-    # buckets of three or more lines that are still in several parts
-    labelled = members.join(parts, members["key"] == parts["node"], "left").select("band", "key", F.coalesce("root", "key").alias("part"))
-    labelled = kept.keep(labelled, "labelled")
+    rest = _in_parts(members, parts, kept)
     kept.drop(members)
-    sizes = labelled.groupBy("band", "part").agg(F.count("*").alias("m")).groupBy("band").agg(
-        F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("q"), F.max_by("part", "m").alias("main"))
-    open_ = kept.keep(sizes.where("n > 2 AND q < n * n").select("band", "main", F.expr(f"(n * n - q) div 2 > {DIRECT} * n").alias("heavy")), "open")
-    if open_.isEmpty():
+    if rest.isEmpty():
         return parts
-    rest = kept.keep(labelled.join(open_, "band"), "rest")
-    kept.drop(labelled)
-    # few pairs between parts: those of the lines outside the largest part, each pair once over all buckets
-    light = rest.where("NOT heavy")
-    lone = light.where("part <> main").select("band", F.col("key").alias("a"), F.col("part").alias("pa"))
-    other = light.select("band", F.col("key").alias("b"), F.col("part").alias("pb"), "main")
-    some = lone.join(other, "band").where("pa <> pb AND (pb = main OR a < b)").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    light_links = kept.keep(_verify(some.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), text), "light")
-    # many: within the bucket, by length class
-    size = F.when(F.col("band").bitwiseAND(1) == 0, F.col("size0")).otherwise(F.col("size1"))
-    heavy = rest.where("heavy").join(text, "key").withColumn("class", F.explode(length_classes(size)))
-    heavy = heavy.select("band", "class", "key", F.xxhash64("part").alias("part"), "t")
-    heavy = heavy.repartition("band", "class").sortWithinPartitions("band", "class", "key")
-    heavy_links = kept.keep(heavy.mapInArrow(uncollected(_bucket_rows), "a BINARY, b BINARY"), "heavy")
+    more = kept.keep(_light_links(rest, pairs, text), "light")
+    heavy = rest.where("heavy")
+    if not heavy.isEmpty():
+        lists = kept.keep(prefix_lists(heavy, text, kept), "lists")
+        kept.drop(rest)
+        pivots = kept.keep(lists.groupBy("bucket").agg(F.min(F.struct("key", "part")).alias("pivot")), "pivots")
+        first = lists.join(pivots, "bucket").where("part <> pivot.part").select(F.col("key").alias("a"), F.col("pivot.key").alias("b")).distinct()
+        first = kept.keep(first.join(pairs, ["a", "b"], "left_anti"), "first")
+        found = kept.keep(_verify(first, text), "found")
+        parts = kept.keep(components(parts.union(more).union(found), kept), "parts")
+        rest = _in_parts(lists, parts, kept)
+        kept.drop(lists, pivots)
+        more = _light_links(rest, pairs.union(first), text).union(_block_links(rest.where("heavy"), text))
+        more = kept.keep(more, "light")
     kept.drop(rest, pairs, text)
-    more = light_links.union(heavy_links)
-    if more.isEmpty():
-        return parts
-    return kept.keep(components(parts.union(more), kept), "parts")
+    return parts if more.isEmpty() else kept.keep(components(parts.union(more), kept), "parts")
+
+
+def _in_parts(members: DataFrame, parts: DataFrame, kept: Staged) -> DataFrame:
+    """(bucket, key, part, main, heavy) of the buckets of three or more lines that are in several parts.
+
+    ``main`` is the largest part; a heavy bucket has more pairs of different parts than ``DIRECT`` a line.
+    """
+    labelled = members.join(parts, members["key"] == parts["node"], "left").select("bucket", "key", F.coalesce("root", "key").alias("part"))
+    labelled = kept.keep(labelled, "labelled")
+    sizes = labelled.groupBy("bucket", "part").agg(F.count("*").alias("m")).groupBy("bucket").agg(
+        F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("q"), F.max_by("part", "m").alias("main"))
+    open_ = kept.keep(sizes.where("n > 2 AND q < n * n").select("bucket", "main", F.expr(f"(n * n - q) div 2 > {DIRECT} * n").alias("heavy")), "open")
+    rest = kept.keep(labelled.join(open_, "bucket"), "rest")
+    kept.drop(labelled, open_)
+    return rest
+
+
+def _light_links(rest: DataFrame, seen: DataFrame, text: DataFrame) -> DataFrame:
+    """Similar pairs between the parts of buckets that aren't heavy: those of the lines outside the
+    largest part, each pair once over all buckets and none that was ``seen``."""
+    light = rest.where("NOT heavy")
+    lone = light.where("part <> main").select("bucket", F.col("key").alias("a"), F.col("part").alias("pa"))
+    other = light.select("bucket", F.col("key").alias("b"), F.col("part").alias("pb"), "main")
+    some = lone.join(other, "bucket").where("pa <> pb AND (pb = main OR a < b)").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return _verify(some.join(seen, ["a", "b"], "left_anti"), text)
+
+
+def prefix_lists(heavy: DataFrame, text: DataFrame, kept: Staged) -> DataFrame:
+    """(bucket, key, part): a list per heavy bucket and prefix shingle, of the lines that have both.
+
+    Two similar lines of a bucket share a list.  Any order of the shingles, the
+    same for all lines, will do; rare ones first make short lists.
+    """
+    lines_of = heavy.groupBy("key").agg(F.first("part").alias("part"), F.collect_list("bucket").alias("buckets"))
+    lines_of = kept.keep(lines_of.join(text, "key"), "heavy")
+    rarity = text.sparkSession.sparkContext.broadcast(_rarity(lines_of))
+    return lines_of.mapInArrow(_prefix_lists(rarity), "bucket BIGINT, key BINARY, part BINARY")
+
+
+def _block_links(heavy: DataFrame, text: DataFrame) -> DataFrame:
+    """Links that join the parts of heavy lists, by blocks of ``BLOCK_SHINGLES`` of which every two meet in a task."""
+    size = F.when(F.col("bucket").bitwiseAND(1) == 0, F.col("size0")).otherwise(F.col("size1"))
+    sized = heavy.join(text, "key").select("bucket", "key", "t", F.xxhash64("part").alias("part"), size.alias("size"))
+    count = sized.groupBy("bucket").agg(F.expr(f"sum(size) div {BLOCK_SHINGLES} + 1").alias("blocks"))
+    own = F.pmod(F.xxhash64("key"), F.col("blocks"))
+    met = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))).otherwise(
+        F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: x != F.col("own")),
+                    lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j"))))
+    dealt = sized.join(count, "bucket").withColumn("own", own).select("bucket", F.explode(met).alias("at"), "key", "part", "t")
+    dealt = dealt.select("bucket", "at.i", "at.j", "key", "part", "t")
+    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "key")
+    return dealt.mapInArrow(uncollected(_block_rows), "a BINARY, b BINARY")
 
 
 def _verify(pairs: DataFrame, text: DataFrame) -> DataFrame:

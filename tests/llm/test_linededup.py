@@ -1,5 +1,9 @@
 import random
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from llm_tables import documents, empty, frame, odd, odd_rows  # noqa: F401
 
 from jobsift.llm import linededup as ld
@@ -72,6 +76,44 @@ def test_documents_and_variants(spark, documents):
     assert found(ld.dedup_lines(frame(spark, rows))) == rebuilt(rows)
 
 
+@pytest.mark.parametrize("block", [300, 1 << 20])
+def test_heavy_buckets_go_through_lists_and_blocks(spark, documents, monkeypatch, block):
+    rows = documents[:40] + variants() + short_variants()
+    expected, blocks = rebuilt(rows), []
+    monkeypatch.setattr(ld, "DIRECT", 0)  # a single pair between parts makes a bucket heavy
+    monkeypatch.setattr(ld, "BLOCK_SHINGLES", block)
+    dealt = ld._block_links
+    monkeypatch.setattr(ld, "_block_links", lambda heavy, text: blocks.append(heavy.count()) or dealt(heavy, text))
+    assert found(ld.dedup_lines(frame(spark, rows))) == expected
+    assert blocks
+
+
+def test_similar_lines_share_a_prefix_list():
+    some = [ld.norm(x.split("\n")[0]) for _, x, *_ in variants(4) + short_variants(4)]
+    some = [x for x in dict.fromkeys(some) if x]
+    counts = pa.Table.from_batches(list(ld._shingle_counts([pa.record_batch([pa.array(some)], names=["t"])]))).to_pydict()
+    rarity = np.zeros(ld.SLOTS, np.int16)
+    rarity[counts["slot"]] = (8 * np.log2(counts["n"])).astype(np.int16)
+    sizes = [[len(ld.shingles(x, k)) if ld.in_view(len(x), v) else None for x in some] for v, (k, *_) in enumerate(ld.VIEWS)]
+    keys = [i.to_bytes(4) for i in range(len(some))]
+    buckets = [[b for v in range(2) if sizes[v][i] is not None for b in (v - 8, 16 + v)] for i in range(len(some))]
+    batch = pa.record_batch([pa.array(keys), pa.array(keys), pa.array(some), *[pa.array(s, pa.int32()) for s in sizes], pa.array(buckets)], names=["key", "part", "t", "size0", "size1", "buckets"])
+    (out,) = ld._prefix_lists(SimpleNamespace(value=rarity))([batch])
+    lists, met, similar = {}, set(), 0
+    for b, k in zip(out["bucket"].to_pylist(), out["key"].to_pylist(), strict=True):
+        lists.setdefault(b, []).append(int.from_bytes(k))
+    for b, of in lists.items():
+        met.update((i, j, b & 1) for i in of for j in of)
+    for v, (k, *_) in enumerate(ld.VIEWS):
+        for i, x in enumerate(some):
+            for j in range(i):
+                if sizes[v][i] and sizes[v][j] and ld.similar(ld.shingles(x, k), ld.shingles(some[j], k)):
+                    similar += 1
+                    assert (i, j, v) in met
+    assert similar > 100
+    assert len(lists) % 2 == 0 and len(met) < len(some) ** 2
+
+
 def test_odd_table(odd):
     got = ld.dedup_lines(odd)
     assert got.columns == odd.columns
