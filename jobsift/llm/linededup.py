@@ -18,12 +18,13 @@ against the bucket's smallest line only.  Where the components found so far
 leave a bucket of three or more lines in several parts, the lines of different
 parts are joined exactly, so no link is lost and a group of thousands of copies
 costs thousands of comparisons.  Few such pairs are compared one by one.  A
-bucket with many is dealt into the lists of a prefix filter, spread over the
-cluster: with shingles ordered by rarity, two similar lines share one of their
-first n - ceil(0.8 n) + 1, so lines that have only common shingles in common
-part ways.  A list is treated as a bucket was (smallest line first, then few
-pairs); what still has many pairs is dealt into blocks of a bounded number of
-shingles, of which every two meet in a task.
+bucket with many is dealt into blocks of a bounded number of shingles, of which
+every two meet in a task.  A bucket of so many blocks that this would copy its
+lines more often than a prefix filter does (``LISTED``) is first dealt into that
+filter's lists, spread over the cluster: with shingles ordered by rarity, two
+similar lines share one of their first n - ceil(0.8 n) + 1, so lines that have
+only common shingles in common part ways.  A list is treated as a bucket was:
+smallest line first, then few pairs, then blocks.
 
 What moves: hashes of lines and bands; the texts of lines that share a band
 with another line (a bitmap of fixed size tells the scan which these may be);
@@ -61,7 +62,9 @@ DIRECT = 64
 #: Slots of the shingle counts that order prefixes: 1 MB to the tasks, whatever the corpus.
 SLOTS = 1 << 20
 #: Shingles of a block; a task holds the shingle sets of two.
-BLOCK_SHINGLES = 1 << 20
+BLOCK_SHINGLES = 1 << 18
+#: Blocks beyond which a bucket goes through prefix lists: about as many as a line of 150 characters has prefix shingles.
+LISTED = 32
 #: Shingles that are hashed at once, so that numpy stays in the cache.
 BLOCK = 1 << 16
 
@@ -426,10 +429,11 @@ def links(texts: DataFrame, rows: DataFrame, kept: Staged) -> DataFrame:
     kept.drop(members)
     if rest.isEmpty():
         return parts
-    more = kept.keep(_light_links(rest, pairs, text), "light")
-    heavy = rest.where("heavy")
-    if not heavy.isEmpty():
-        lists = kept.keep(prefix_lists(heavy, text, kept), "lists")
+    heavy = kept.keep(_in_blocks(rest, text), "heavy")
+    more = kept.keep(_light_links(rest, pairs, text).union(_block_links(heavy.where(f"blocks <= {LISTED}"), text)), "more")
+    large = heavy.where(f"blocks > {LISTED}")
+    if not large.isEmpty():
+        lists = kept.keep(prefix_lists(large, text, kept), "lists")
         kept.drop(rest)
         pivots = kept.keep(lists.groupBy("bucket").agg(F.min(F.struct("key", "part")).alias("pivot")), "pivots")
         first = lists.join(pivots, "bucket").where("part <> pivot.part").select(F.col("key").alias("a"), F.col("pivot.key").alias("b")).distinct()
@@ -438,8 +442,8 @@ def links(texts: DataFrame, rows: DataFrame, kept: Staged) -> DataFrame:
         parts = kept.keep(components(parts.union(more).union(found), kept), "parts")
         rest = _in_parts(lists, parts, kept)
         kept.drop(lists, pivots)
-        more = _light_links(rest, pairs.union(first), text).union(_block_links(rest.where("heavy"), text))
-        more = kept.keep(more, "light")
+        more = _light_links(rest, pairs.union(first), text).union(_block_links(_in_blocks(rest, text), text))
+        more = kept.keep(more, "more")
     kept.drop(rest, pairs, text)
     return parts if more.isEmpty() else kept.keep(components(parts.union(more), kept), "parts")
 
@@ -459,6 +463,14 @@ def _in_parts(members: DataFrame, parts: DataFrame, kept: Staged) -> DataFrame:
     return rest
 
 
+def _in_blocks(rest: DataFrame, text: DataFrame) -> DataFrame:
+    """(bucket, key, part, blocks) of heavy buckets; a bucket has a block for every ``BLOCK_SHINGLES`` shingles."""
+    heavy = rest.where("heavy").select("bucket", "key", F.xxhash64("part").alias("part"))
+    size = F.when(F.col("bucket").bitwiseAND(1) == 0, F.col("size0")).otherwise(F.col("size1"))
+    sized = heavy.join(text.select("key", "size0", "size1"), "key").withColumn("size", size)
+    return heavy.join(sized.groupBy("bucket").agg(F.expr(f"sum(size) div {BLOCK_SHINGLES} + 1").alias("blocks")), "bucket")
+
+
 def _light_links(rest: DataFrame, seen: DataFrame, text: DataFrame) -> DataFrame:
     """Similar pairs between the parts of buckets that aren't heavy: those of the lines outside the
     largest part, each pair once over all buckets and none that was ``seen``."""
@@ -476,21 +488,18 @@ def prefix_lists(heavy: DataFrame, text: DataFrame, kept: Staged) -> DataFrame:
     same for all lines, will do; rare ones first make short lists.
     """
     lines_of = heavy.groupBy("key").agg(F.first("part").alias("part"), F.collect_list("bucket").alias("buckets"))
-    lines_of = kept.keep(lines_of.join(text, "key"), "heavy")
+    lines_of = kept.keep(lines_of.join(text, "key"), "listed")
     rarity = text.sparkSession.sparkContext.broadcast(_rarity(lines_of))
-    return lines_of.mapInArrow(_prefix_lists(rarity), "bucket BIGINT, key BINARY, part BINARY")
+    return lines_of.mapInArrow(_prefix_lists(rarity), "bucket BIGINT, key BINARY, part BIGINT")
 
 
 def _block_links(heavy: DataFrame, text: DataFrame) -> DataFrame:
-    """Links that join the parts of heavy lists, by blocks of ``BLOCK_SHINGLES`` of which every two meet in a task."""
-    size = F.when(F.col("bucket").bitwiseAND(1) == 0, F.col("size0")).otherwise(F.col("size1"))
-    sized = heavy.join(text, "key").select("bucket", "key", "t", F.xxhash64("part").alias("part"), size.alias("size"))
-    count = sized.groupBy("bucket").agg(F.expr(f"sum(size) div {BLOCK_SHINGLES} + 1").alias("blocks"))
+    """Links that join the parts of heavy buckets or lists, every two blocks in a task."""
     own = F.pmod(F.xxhash64("key"), F.col("blocks"))
     met = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))).otherwise(
         F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: x != F.col("own")),
                     lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j"))))
-    dealt = sized.join(count, "bucket").withColumn("own", own).select("bucket", F.explode(met).alias("at"), "key", "part", "t")
+    dealt = heavy.join(text.select("key", "t"), "key").withColumn("own", own).select("bucket", F.explode(met).alias("at"), "key", "part", "t")
     dealt = dealt.select("bucket", "at.i", "at.j", "key", "part", "t")
     dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "key")
     return dealt.mapInArrow(uncollected(_block_rows), "a BINARY, b BINARY")

@@ -76,12 +76,13 @@ def test_documents_and_variants(spark, documents):
     assert found(ld.dedup_lines(frame(spark, rows))) == rebuilt(rows)
 
 
-@pytest.mark.parametrize("block", [300, 1 << 20])
-def test_heavy_buckets_go_through_lists_and_blocks(spark, documents, monkeypatch, block):
+@pytest.mark.parametrize(("block", "listed"), [(300, 0), (1 << 20, 0), (2000, 1 << 20)])
+def test_heavy_buckets_go_through_lists_and_blocks(spark, documents, monkeypatch, block, listed):
     rows = documents[:40] + variants() + short_variants()
     expected, blocks = rebuilt(rows), []
     monkeypatch.setattr(ld, "DIRECT", 0)  # a single pair between parts makes a bucket heavy
     monkeypatch.setattr(ld, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(ld, "LISTED", listed)
     dealt = ld._block_links
     monkeypatch.setattr(ld, "_block_links", lambda heavy, text: blocks.append(heavy.count()) or dealt(heavy, text))
     assert found(ld.dedup_lines(frame(spark, rows))) == expected
