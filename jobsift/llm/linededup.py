@@ -37,7 +37,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,6 +61,8 @@ BITMAP_BITS = 1 << 26
 DIRECT = 64
 #: Slots of the shingle counts that order prefixes: 1 MB to the tasks, whatever the corpus.
 SLOTS = 1 << 20
+#: Sets that a prefix may find up to which they are compared one by one; beyond, by counting.
+COUNTED = 8
 #: Shingles of a block; a task holds the shingle sets of two.
 BLOCK_SHINGLES = 1 << 18
 #: Blocks beyond which a bucket goes through prefix lists: about as many as a line of 150 characters has prefix shingles.
@@ -338,7 +340,8 @@ def part_links(rows: list[tuple[bytes, int, str]], k: int, direct: int = DIRECT)
     Rows of one part are never compared.  Few pairs of other rows (a large part
     and some outsiders) are compared one by one, many through a prefix filter:
     with the shingles ordered by rarity in the bucket, two sets that are similar
-    share one of their first n - ceil(0.8 n) + 1.
+    share one of their first n - ceil(0.8 n) + 1, and of what that finds the
+    shared shingles are counted.
     """
     sets = [shingles(line, k) for _, _, line in rows]
     part = list(range(len(rows)))
@@ -366,22 +369,53 @@ def part_links(rows: list[tuple[bytes, int, str]], k: int, direct: int = DIRECT)
                             part[max(find(i), find(j))] = min(find(i), find(j))
                             yield rows[i][0], rows[j][0]
         return
-    often = Counter(s for one in sets for s in one)
-    index: dict[str, dict[int, list[int]]] = defaultdict(dict)  # by shingle and part: a part's own lines are never compared
-    for i, one in enumerate(sets):
-        prefix = sorted(one, key=lambda s: (often[s], s))[: len(one) - math.ceil(SIMILARITY * len(one) - 1e-9) + 1]
-        own, met = rows[i][1], set()
-        for s in prefix:
-            for p, lines_of in index[s].items():
-                if p != own and find(i) != find(first[p]):
-                    for j in lines_of:
-                        if j not in met:
-                            met.add(j)
-                            if similar(one, sets[j]):
-                                part[max(find(i), find(j))] = min(find(i), find(j))
-                                yield rows[i][0], rows[j][0]
-                                break
-            index[s].setdefault(own, []).append(i)
+    yield from ((rows[i][0], rows[j][0]) for i, j in _counted_links(sets, np.array(part)))
+
+
+def _counted_links(sets: list[set[str]], label: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Similar pairs of sets with different labels, enough to join all labels that a pair joins.
+
+    A set's prefix finds which earlier sets can be similar; where they are many,
+    one pass over the postings of all its shingles counts what it shares with
+    each of them.
+    """
+    ids: dict[str, int] = {}
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat = np.fromiter((ids.setdefault(s, len(ids)) for one in sets for s in one), np.int64, int(sizes.sum()))
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    flat = flat[np.lexsort((flat, np.bincount(flat)[flat], owner))]  # each set's shingles, rare ones first
+    ends = np.cumsum(sizes)
+    least = round(10 * SIMILARITY)
+    prefix = np.arange(len(flat)) - np.repeat(ends - sizes, sizes) <= np.repeat(sizes - -(-least * sizes // 10), sizes)
+    every, first = _postings(flat, owner), _postings(flat[prefix], owner[prefix])
+    first_ends = np.cumsum(np.bincount(owner[prefix], minlength=len(sets)))
+    for i in range(1, len(sets)):
+        met = np.unique(_earlier(first, first_ends[i - 1], first_ends[i]))
+        met = met[label[met] != label[i]]
+        if len(met) > COUNTED:
+            both = np.bincount(_earlier(every, ends[i - 1], ends[i]), minlength=len(sets))[met]
+            met = met[10 * both >= least * (sizes[i] + sizes[met] - both)]
+        else:
+            met = np.array([j for j in met.tolist() if similar(sets[i], sets[j])], np.int64)
+        while len(met):
+            yield i, int(met[0])
+            label[label == label[met[0]]] = label[i]
+            met = met[label[met] != label[i]]
+
+
+def _postings(flat: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each entry (shingle, set) where the earlier sets with its shingle begin and end in the third array."""
+    by = np.argsort(flat, kind="stable")
+    end = np.empty(len(flat), np.int64)
+    end[by] = np.arange(len(flat))
+    return np.searchsorted(flat[by], flat), end, owner[by]
+
+
+def _earlier(postings: tuple[np.ndarray, np.ndarray, np.ndarray], begin: int, end: int) -> np.ndarray:
+    """The earlier sets that share a shingle with the entries from ``begin`` to ``end``, once per shingle."""
+    low, high, sets = postings[0][begin:end], postings[1][begin:end], postings[2]
+    n = high - low
+    return sets[np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)]
 
 
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -171,6 +171,39 @@ def test_prefix_filter_links_what_all_pairs_would():
     check_links(lines, rows, list(ld.part_links(rows, 9, 10**9)))
 
 
+def test_links_of_parts_join_what_a_pair_joins(monkeypatch):
+    """Lines of some common texts with few to many changes, in parts of their own or of several lines."""
+    for seed in range(40):
+        rng = random.Random(seed)
+        k, n = rng.choice([5, 9]), rng.randint(1, 90)
+        base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(1, 90))) for _ in range(rng.randint(1, 6))]
+        rows = []
+        for i in range(n):
+            line = list(rng.choice(base))
+            for _ in range(rng.randint(0, 6)):
+                line[rng.randrange(len(line))] = rng.choice("xyzuvw")
+            rows.append((bytes([i]), rng.randint(0, n if seed % 2 else 5), "".join(line)))
+        sets = [ld.shingles(x, k) for *_, x in rows]
+        alike = [(i, j) for i in range(n) for j in range(i) if rows[i][1] != rows[j][1] and ld.similar(sets[i], sets[j])]
+        want = joined_parts(rows, alike)
+        for counted in (0, 3, 10**9):
+            monkeypatch.setattr(ld, "COUNTED", counted)
+            for direct in (0, 10**9):
+                got = [(a[0], b[0]) for a, b in ld.part_links(rows, k, direct)]
+                assert {(max(x), min(x)) for x in got} <= set(alike)
+                assert joined_parts(rows, got) == want
+    assert list(ld.part_links([], 5, 0)) == []
+
+
+def joined_parts(rows, pairs):
+    """The parts of (key, part, line) after the pairs, by row number, have joined theirs."""
+    groups = {p: {p} for _, p, _ in rows}
+    for i, j in pairs:
+        one = groups[rows[i][1]] | groups[rows[j][1]]
+        groups.update(dict.fromkeys(one, one))
+    return {frozenset(x) for x in groups.values()}
+
+
 def check_links(lines, rows, links):
     assert len(links) < len(rows)
     root = list(range(len(rows)))
