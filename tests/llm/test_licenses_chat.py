@@ -59,6 +59,17 @@ def test_licenses(spark, documents, odd, empty):
     assert found(licenses.scan(odd, shared)) == brute_scan(odd_rows(), shared)
 
 
+def test_versions_and_parts(spark):
+    """Of two versions the one that is there is contained whole; a part is found in the whole, not the other way round."""
+    at = {name: max((t for n, t in licenses.TEMPLATES if n == name), key=len) for name in ("GPL-2.0", "GPL-3.0", "BSD-2-Clause", "BSD-3-Clause")}
+    rows = [(i, f"before it {text} and after", "en", "s") for i, text in enumerate(at.values())]
+    got = {}
+    for r in licenses.scan(frame(spark, rows)).collect():
+        got.setdefault(r.doc_id, {})[r.license] = r.contained
+    assert got[0]["GPL-2.0"] == 1.0 > got[0]["GPL-3.0"] and got[1]["GPL-3.0"] == 1.0 > got[1]["GPL-2.0"]
+    assert set(got[2]) == {"BSD-2-Clause"} and set(got[3]) == {"BSD-2-Clause", "BSD-3-Clause"}
+
+
 def test_native(spark, documents):
     plan = licenses.scan(frame(spark, documents))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
