@@ -16,6 +16,23 @@ from .. import constants as K
 WS = K.PY_WS
 JWS = K.JS_WS
 DIGIT = "\\p{Nd}"  # Python ``\d`` on str patterns is Unicode Nd
+PY_WS_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+JS_WS_CHARS = "".join(map(chr, [*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
+
+
+def _quick(ws: str) -> str:
+    """The same class, with most characters that are no white space turned down by one range test."""
+    return f"[\\x00-\\x20\\x7f-\\xa0\\u1680-\\uffff&&{ws}]"
+
+
+def _runs(ws: str) -> str:
+    """Runs of white space other than one blank (which a collapse leaves as it is)."""
+    return f"{_quick('[' + ws + '&&[^ ]]')}{ws}*| {_quick(ws)}+"
+
+
+WS_RUNS, JWS_RUNS = _runs(WS), _runs(JWS)
+#: Characters that begin no bullet, line break or number: most of a text, turned down at once.
+NO_SPLIT = "(?![:-~ -,./\\u00c0-\\u052f\\u4e00-\\u9fff])"
 
 
 def _c(x) -> Column:
@@ -43,12 +60,16 @@ def nz(x) -> Column:
 
 def py_strip(x) -> Column:
     """Python ``str.strip()`` (Unicode whitespace)."""
-    return F.regexp_replace(_c(x), f"^{WS}+|{WS}+$", "")
+    return F.trim(_c(x), F.lit(PY_WS_CHARS))
+
+
+_JS_ENDS = f"^{JWS}+|{JWS}+$"
+NEL = "\x85"  # a line terminator to Java's ``$``, no white space to JavaScript
 
 
 def js_trim(x) -> Column:
-    """JavaScript ``String.prototype.trim``."""
-    return F.regexp_replace(_c(x), f"^{JWS}+|{JWS}+$", "")
+    """JavaScript ``String.prototype.trim`` (white space before a closing NEL goes too)."""
+    return let(_c(x), lambda v: F.when(v.endswith(NEL), F.regexp_replace(v, _JS_ENDS, "")).otherwise(F.trim(v, F.lit(JS_WS_CHARS))))
 
 
 def sql_re(pattern: str) -> str:
@@ -56,12 +77,21 @@ def sql_re(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def let_sql(value: str, var: str, body: str) -> str:
+    """:func:`let` as SQL text."""
+    return f"get(transform(array({value}), {var} -> {body}), 0)"
+
+
 def clean_sql(x: str) -> str:
-    return f"trim(regexp_replace(coalesce({x}, ''), {sql_re(WS + '+')}, ' '))"
+    return f"trim(regexp_replace(coalesce({x}, ''), {sql_re(WS_RUNS)}, ' '))"
+
+
+def strip_sql(x: str) -> str:
+    return f"btrim({x}, '{PY_WS_CHARS}')"
 
 
 def js_trim_sql(x: str) -> str:
-    return f"regexp_replace({x}, {sql_re('^' + JWS + '+|' + JWS + '+$')}, '')"
+    return let_sql(x, "w0", f"CASE WHEN endswith(w0, '{NEL}') THEN regexp_replace(w0, {sql_re(_JS_ENDS)}, '') ELSE btrim(w0, '{JS_WS_CHARS}') END")
 
 
 # --------------------------------------------------------------------------
@@ -69,12 +99,12 @@ def js_trim_sql(x: str) -> str:
 # --------------------------------------------------------------------------
 def clean_text(x) -> Column:
     """Collapse every whitespace run to one space and strip; NULL → ''."""
-    return F.trim(F.regexp_replace(nz(x), f"{WS}+", " "))
+    return F.trim(F.regexp_replace(nz(x), WS_RUNS, " "))
 
 
 def js_clean(x) -> Column:
     """``s.replace(/\\s+/g, ' ').trim()`` in JavaScript."""
-    return F.trim(F.regexp_replace(nz(x), f"{JWS}+", " "))
+    return F.trim(F.regexp_replace(nz(x), JWS_RUNS, " "))
 
 
 # --------------------------------------------------------------------------
@@ -83,7 +113,7 @@ def js_clean(x) -> Column:
 def _split_pattern(chars: str, chars_ws: bool, newline: str, digit: str) -> str:
     cls = "[" + chars + "]"
     head = f"{cls}{WS}*" if chars_ws else cls
-    return f"{head}|{newline}|(?:{digit}+[.)]){WS if digit == DIGIT else JWS}*"
+    return f"{NO_SPLIT}(?:{head}|{newline}|(?:{digit}+[.)]){WS if digit == DIGIT else JWS}*)"
 
 
 BASE_SPLIT = _split_pattern(K.BULLET_CHARS_BASE, True, "\\n+", DIGIT)
@@ -132,7 +162,7 @@ def bullets_ext(x) -> Column:
 # --------------------------------------------------------------------------
 def fingerprint(x) -> Column:
     """Lower-case, strip, collapse whitespace, first 100 characters."""
-    return F.substring(F.regexp_replace(py_strip(F.lower(nz(x))), f"{WS}+", " "), 1, 100)
+    return F.substring(F.regexp_replace(py_strip(F.lower(nz(x))), WS_RUNS, " "), 1, 100)
 
 
 # --------------------------------------------------------------------------

@@ -134,3 +134,35 @@ def test_export_helpers(spark):
     got = [x[0] for x in df.select(T.export_description(F.col("d"), F.col("b"), F.col("r"), F.col("c"))).collect()]
     assert got == ["x\ny", "R position at C.", "D"]
     assert one(spark, T.split_skills("t"), " a, ,b ,") == ["a", "b"]
+
+
+def test_trims_and_splits_equal_their_plain_patterns(spark):
+    import random
+    import re
+
+    r = random.Random(3)
+    some = [*T.PY_WS_CHARS, *T.JS_WS_CHARS, "\x85", "a", "Bc", "ä", "日", "😀", ".", "•", "·", "-", "–", "1.", "٣)", "\n\n", "x y z", "9", "<b>"]
+    rows = [("".join(r.choice(some) for _ in range(r.randint(0, 12))),) for _ in range(1500)] + [(None,), ("",), ("a \x85",), (" \x85",), ("a\r\n",)]
+    df = spark.createDataFrame(rows, "t string")
+    plain = lambda p: p.removeprefix(T.NO_SPLIT)
+    ends = lambda ws: F.regexp_replace("t", f"^{ws}+|{ws}+$", "")
+    pairs = [
+        (T.py_strip("t"), ends(T.WS)), (F.expr(T.strip_sql("t")), ends(T.WS)), (T.js_trim("t"), ends(T.JWS)), (F.expr(T.js_trim_sql("t")), ends(T.JWS)),
+        (T.clean_text("t"), F.trim(F.regexp_replace(T.nz("t"), f"{T.WS}+", " "))), (F.expr(T.clean_sql("t")), T.clean_text("t")),
+        (T.js_clean("t"), F.trim(F.regexp_replace(T.nz("t"), f"{T.JWS}+", " "))),
+        *[(F.split("t", p, -1), F.split("t", plain(p), -1)) for p in (T.BASE_SPLIT, T.ENGINE_SPLIT, T.EXT_SPLIT)],
+    ]
+    assert all(re.match(r"\(\?!", p) for p in (T.BASE_SPLIT, T.ENGINE_SPLIT, T.EXT_SPLIT))
+    for i, (quick, slow) in enumerate(pairs):
+        assert df.where(~quick.eqNullSafe(slow)).count() == 0, i
+
+
+def test_sql_functions_lower_a_text_once_per_rule(spark):
+    from jobsift.functions.sql import FUNCTIONS, register_sql_functions
+
+    register_sql_functions(spark)
+    plan = spark.sql(
+        "SELECT jobsift_skills(t) AS a, jobsift_location(t) AS b, jobsift_looks_like_company(t) AS c FROM VALUES ('x') AS v(t)"
+    )._jdf.queryExecution().analyzed().toString()
+    assert "instr(lower(" not in plan and "instr(regexp_replace(lower(" not in plan  # not once per word of a list
+    assert FUNCTIONS["jobsift_bullets"][2].count(T.sql_re(T.BASE_SPLIT)) == 1
