@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..session import read_table
-from .pages import spread
+from .pages import dealt
 
 
 def esc(c) -> Column:
@@ -67,7 +67,7 @@ def no_company() -> Column:
 
 
 def _pages(jobs: DataFrame, card: Column, url: Column, head: str = "", tail: str = "", wrap=("<div class=\"results\">", "</div>")) -> DataFrame:
-    cards = jobs.select("s_suppkey", "job_id", card.alias("card"), url.alias("url"))
+    cards = dealt(jobs, "s_suppkey").select("s_suppkey", "job_id", card.alias("card"), url.alias("url"))
     grouped = cards.groupBy("s_suppkey").agg(
         F.first("url").alias("url"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("job_id", "card"))), lambda x: x["card"]), "").alias("body"),
@@ -76,8 +76,7 @@ def _pages(jobs: DataFrame, card: Column, url: Column, head: str = "", tail: str
         F.lit("<!DOCTYPE html><html><head><title>Jobs</title></head><body>" + head + wrap[0]), F.col("body"),
         F.lit(wrap[1] + tail + "</body></html>"),
     )
-    out = grouped.select(F.col("s_suppkey").cast("bigint").alias("page_id"), "url", html.alias("html"))
-    return spread(out)
+    return grouped.select(F.col("s_suppkey").cast("bigint").alias("page_id"), "url", html.alias("html"))
 
 
 def indeed_pages(spark, sf_dir) -> DataFrame:
@@ -267,7 +266,7 @@ def naukri_job_pages(spark, sf_dir, crawled_only: bool = False) -> DataFrame:
         F.lit('<div class="other-details"><div>Employment Type: Full Time, Permanent</div><div>Department: Engineering - Hardware</div>'),
         F.lit("<div>Industry Type: "), F.initcap(F.col("p_type")), F.lit(" Goods</div></div></body></html>"),
     )
-    return spread(j.select(F.col("job_id").cast("bigint").alias("page_id"), job_page_url().alias("url"), html.alias("html")))
+    return dealt(j).select(F.col("job_id").cast("bigint").alias("page_id"), job_page_url().alias("url"), html.alias("html"))
 
 
 def generic_link_pages(spark, sf_dir) -> DataFrame:
@@ -296,7 +295,7 @@ def _element(open_tag: str, inner: Column, close: str) -> Column:
 
 def _whole(j: DataFrame, url: Column, *parts: Column) -> DataFrame:
     html = F.concat(F.lit("<!DOCTYPE html><html><head><title>Job</title></head><body>"), *parts, F.lit("</body></html>"))
-    return spread(j.select(F.col("job_id").cast("bigint").alias("page_id"), url.alias("url"), html.alias("html")))
+    return dealt(j).select(F.col("job_id").cast("bigint").alias("page_id"), url.alias("url"), html.alias("html"))
 
 
 def single_job_pages(spark, sf_dir, site: str) -> DataFrame:

@@ -43,6 +43,18 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(int(n)) if n else rows
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Deal the rows from which pages are built over the whole cluster, at random or by ``keys``.
+
+    A short row becomes a page whose parsing costs a thousand times its scan, so
+    neither the file splits nor the sizes that adaptive execution sees tell how many
+    tasks the pages need.
+    """
+    spark = rows.sparkSession
+    n = spark.conf.get(SCAN_PARTITIONS, None) or max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(int(n), *keys)
+
+
 def table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(read_pages(spark, os.path.join(sf_dir, "pages.parquet")))
 

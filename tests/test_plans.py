@@ -34,3 +34,20 @@ def test_text_queries_no_python(spark):
         p = plan(E.queries()[name](spark, "/root/testdata/sf0.001"))
         assert "EvalPython" not in p and "MapInArrow" not in p, name
         assert "ReadSchema" in p
+
+
+def test_built_pages_are_dealt_over_the_cluster(spark):
+    """The tables that pages are built from are one small file each: one task without dealing."""
+    from jobsift.session import SCAN_PARTITIONS
+    from jobsift.sources import listings as L
+
+    sf = "/root/testdata/sf0.001"
+    before = spark.conf.get(SCAN_PARTITIONS)
+    spark.conf.unset(SCAN_PARTITIONS)
+    try:
+        pages = [L.naukri_job_pages(spark, sf), L.single_job_pages(spark, sf, "LinkedIn"), L.framed_pages(spark, sf), L.mixed_pages(spark, sf), L.naukri_pages(spark, sf)]
+        for p in pages:
+            assert p.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+            assert p.count() == p.select("page_id").distinct().count() > 0
+    finally:
+        spark.conf.set(SCAN_PARTITIONS, before)
