@@ -22,7 +22,7 @@ from ..functions import urls as U
 from ..functions.text import let
 from . import classify as C
 from . import select as S
-from .jobs import first_nonempty_text, job
+from .jobs import empty_jobs, first_nonempty_text, job
 
 
 def _tc(buf: Column, n: Column) -> Column:
@@ -216,7 +216,7 @@ def _naukri_links(url, buf, nodes, anchors, cards_all):
                    lambda anc: F.get(anc, F.size(anc) - 1))
         card_company = F.when(card.isNotNull(), _tc(buf, S.select_one(nodes, LINK_CARD_COMPANY, scope=card))).otherwise(F.lit(""))
         near = _near_company(buf, nodes, a)
-        company = F.when(card_company != "", card_company).otherwise(near)
+        company = let(card_company, lambda c: F.when(c != "", c).otherwise(near))
         return _link(U.absolutize(href, url), company, _tc(buf, a))
 
     primary = _distinct_by_url(F.transform(anchors, per_anchor))
@@ -241,8 +241,7 @@ def _near_company(buf: Column, nodes: Column, a: Column) -> Column:
         p = F.get(nodes, p["parent"])
         parents.append(p)
     for anc in reversed(parents):
-        t = F.coalesce(S.text(buf, anc), F.lit(""))
-        hit = F.when(anc.isNotNull() & t.rlike(NEAR_COMPANY_RE), T.js_trim(F.regexp_extract(t, NEAR_COMPANY_RE, 1)))
+        hit = let(S.text(buf, anc), lambda t: F.when(t.rlike(NEAR_COMPANY_RE), T.js_trim(F.regexp_extract(t, NEAR_COMPANY_RE, 1))))
         out = F.coalesce(hit, out)
     return out
 
@@ -304,7 +303,7 @@ def script_links(buf: Column, nodes: Column) -> Column:
 def script_job_page(buf: Column, nodes: Column) -> Column:
     """O-X22: company[:100], role[:120], description length, first 15 skills; '[MISSING]' defaults."""
     def first_el(sels, n):
-        vals = [F.when(S.select_one(nodes, s).isNotNull(), F.substring(T.py_strip(S.text(buf, S.select_one(nodes, s))), 1, n)) for s in sels]
+        vals = [F.substring(T.py_strip(S.text(buf, S.select_one(nodes, s))), 1, n) for s in sels]  # NULL without a match
         return F.coalesce(*vals, F.lit(""))
 
     company = first_el([".jd-header-title-company", 'a[class*="company"]', '[class*="company-name"]'], 100)
@@ -370,7 +369,7 @@ def _scrape_page(url: Column, buf: Column, nodes: Column, with_links: bool, site
 
     none = F.filter(F.array(_link(F.lit(""), F.lit(""), F.lit(""))), lambda x: F.lit(False))
     data = of_site("job_page")
-    no_data = F.filter(F.array(data), lambda x: F.lit(False))
+    no_data = empty_jobs()  # not made from ``data``: that would extract the record of every page that is no job
     return (
         F.when(of_site("is_job"), let(data, lambda d: F.struct(
             F.lit("job").alias("page_type"), F.when(accepted(d), F.array(d)).otherwise(F.filter(F.array(d), lambda x: F.lit(False))).alias("data"),

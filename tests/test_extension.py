@@ -82,3 +82,9 @@ def test_upgrade_rules(spark):
     assert best == {"u": 2, "v": 2}
     batch = {r.url: r.capture_no for r in E.upgrade_if_short(caps).collect()}
     assert batch == {"u": 2, "v": 1}
+
+
+def test_a_page_that_is_no_job_is_not_extracted_as_one(spark):
+    """The empty job data of listings and unknown pages is a constant, not a record made and thrown away."""
+    made = str(X.scrape_page(F.col("url"), F.col("buf"), F.col("nodes")))
+    assert made.count("naukri-job-page") == 1 and made.count("generic-job-page") == 1
