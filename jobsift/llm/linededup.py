@@ -67,6 +67,10 @@ COUNTED = 8
 BLOCK_SHINGLES = 1 << 18
 #: Blocks beyond which a bucket goes through prefix lists: about as many as a line of 150 characters has prefix shingles.
 LISTED = 32
+#: Bits of a line's sketch, by which most pairs are turned down before their shingle sets are built.
+SKETCH_BITS = 1 << 12
+#: Lines for which there is a slot of band values, and values that a scan holds before it sends them.
+SLOT_LINES, SENT = 1 << 17, 1 << 21
 #: Shingles that are hashed at once, so that numpy stays in the cache.
 BLOCK = 1 << 16
 
@@ -198,32 +202,105 @@ def _band_lists(some: list[str]) -> pa.ListArray:
 
 # ---- scans of the documents ------------------------------------------------------------
 
-def _distinct_lines(texts: list[str]) -> dict[str, list[tuple[int, int]]]:
-    """Normalised line → (row, line number) of its places, over the texts of a batch."""
-    found: dict[str, list[tuple[int, int]]] = {}
-    for i, text in enumerate(texts):
-        for number, line in lines(text):
-            found.setdefault(line, []).append((i, number))
-    return found
-
-
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per distinct line of a batch: key, 64 bits of it, band values, places (doc_id, row, line)."""
+    """A row per line: key and place (doc_id, row, line); the first row of a line in its batch has its length and band values too."""
     for batch in batches:
-        found = _distinct_lines(batch.column("t").to_pylist())
-        keys = [key(x) for x in found]
-        each = _band_lists(list(found))
-        ends = np.cumsum([0, *map(len, found.values())], dtype=np.int32)
-        rows, numbers = (pa.array([p[i] for ps in found.values() for p in ps], kind) for i, kind in ((0, pa.int64()), (1, pa.int32())))
-        place = pa.StructArray.from_arrays([batch.column("doc_id").take(rows), batch.column("row").take(rows), numbers], names=["doc_id", "row", "line"])
+        found: dict[str, int] = {}
+        which, numbers, count = [], [], []
+        for text in batch.column("t").to_pylist():
+            own = lines(text)
+            which += [found.setdefault(line, len(found)) for _, line in own]
+            numbers += [number for number, _ in own]
+            count.append(len(own))
+        some = list(found)
+        of = np.array(which, np.int64)
+        _, first = np.unique(of, return_index=True)
+        at = np.full(len(of), -1)  # where a row's band values are
+        at[first] = np.arange(len(some))
+        at = pa.array(at, mask=at < 0)
+        rows = pa.array(np.repeat(np.arange(len(count)), count))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.binary()), pa.array([_head(k) for k in keys], pa.int64()), each, pa.ListArray.from_arrays(pa.array(ends), place)],
-            names=["key", "h", "bands", "places"],
+            [pa.array([key(x) for x in some], pa.binary()).take(pa.array(of)), pa.array([len(x) for x in some], pa.int32()).take(at), _packed(_band_lists(some)).take(at),
+             batch.column("doc_id").take(rows), batch.column("row").take(rows), pa.array(numbers, pa.int32())],
+            names=["key", "n", "bands", "doc_id", "row", "line"],
         )
 
 
-def _head(k: bytes) -> int:
-    return int.from_bytes(k[:8], "little", signed=True)
+def _packed(values: pa.ListArray) -> pa.BinaryArray:
+    """The lists' 64-bit values as bytes."""
+    ends = values.offsets.to_numpy().astype(np.int32) * np.int32(8)
+    return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(ends), pa.py_buffer(values.values.to_numpy())])
+
+
+def _unpacked(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All 64-bit values of a column of bytes, and the row of each."""
+    each = values.to_pylist()
+    n = np.array([len(x or b"") // 8 for x in each], np.int64)
+    return np.frombuffer(b"".join(x for x in each if x), np.int64), np.repeat(np.arange(len(each)), n)
+
+
+def _heads(keys: pa.Array) -> np.ndarray:
+    """The first 64 bits of each key."""
+    return np.frombuffer(b"".join(keys.to_pylist()), np.int64)[::2]
+
+
+def _sent(slots: int):
+    """mapInArrow function: a partition's band values with the least and greatest head of their lines, and the heads
+    of its lines (twice if they come again), in a row per slot; equal values have one slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            values, at = _unpacked(batch.column("bands"))
+            head = _heads(batch.column("key"))
+            held.append((values, head[at], head))
+            size += len(values) + len(head)
+            if size >= SENT:
+                yield _slot_rows(held, slots)
+                held, size = [], 0
+        if held:
+            yield _slot_rows(held, slots)
+
+    return run
+
+
+def _slot_rows(held: list[tuple[np.ndarray, ...]], slots: int) -> pa.RecordBatch:
+    values, of, head = (np.concatenate(x) for x in zip(*held, strict=True))
+    values, least, most = _extremes(values, of, of)
+    again = np.flatnonzero(least != most)
+    values, of = np.concatenate([values, values[again]]), np.concatenate([least, most[again]])
+    head, n = np.unique(head, return_counts=True)
+    head = np.concatenate([head, head[n > 1]])
+    columns, full = [], np.zeros(slots, bool)
+    for by, those in ((values, (values, of)), (head, (head,))):
+        slot = (by.view(np.uint64) >> np.uint64(20)) % np.uint64(slots)
+        order = np.argsort(slot, kind="stable")
+        n = np.bincount(slot.astype(np.int64), minlength=slots)
+        full |= n > 0
+        ends = (np.concatenate([[0], np.cumsum(n)]) * 8).astype(np.int32)
+        columns += [pa.Array.from_buffers(pa.binary(), slots, [None, pa.py_buffer(ends), pa.py_buffer(x[order])]) for x in those]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(slots, dtype=np.int32)), *columns], names=["slot", "values", "of", "heads"])
+    return batch.take(pa.array(np.flatnonzero(full)))
+
+
+def _extremes(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different values, with the least of ``low`` and the greatest of ``high`` of each."""
+    if not len(values):
+        return values, low, high
+    order = np.argsort(values)
+    values = values[order]
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    return values[first], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
+
+
+def _shared_values(slot: pa.Table) -> pa.Table:
+    """A slot's band values that different lines have, with the least head of these, and (least null) the heads that come more than once."""
+    values, of, head = (np.frombuffer(b"".join(slot.column(c).to_pylist()), np.int64) for c in ("values", "of", "heads"))
+    values, least, most = _extremes(values, of, of)
+    shared = least != most
+    head, n = np.unique(head, return_counts=True)
+    value = np.concatenate([values[shared], head[n > 1]])
+    return pa.table({"value": value, "least": pa.array(np.concatenate([least[shared], head[n > 1]]), mask=np.arange(len(value)) >= shared.sum())})
 
 
 def _marked(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -232,35 +309,47 @@ def _marked(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _marked_bands(bits: Broadcast):
-    """mapInArrow function: (key, h, bucket) of the band values that another line may have."""
+    """mapInArrow function: (bucket, key, h, n) of the band values that another line may have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = batch.column("bands")
-            flat = each.flatten().to_numpy(zero_copy_only=False)
-            hit = np.flatnonzero(_marked(bits.value, flat))
-            rows = pc.list_parent_indices(each).take(pa.array(hit))
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(rows), batch.column("h").take(rows), pa.array(flat[hit])], names=["key", "h", "bucket"])
+            values, at = _unpacked(batch.column("bands"))
+            hit = np.flatnonzero(_marked(bits.value, values))
+            rows = pa.array(at[hit])
+            key = batch.column("key").take(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(values[hit]), key, pa.array(_heads(key)), batch.column("n").take(rows)], names=["bucket", "key", "h", "n"])
 
     return run
 
 
 def _marked_texts(bits: Broadcast):
-    """mapInArrow function: distinct lines whose key may be wanted, with their numbers of shingles (by view, null outside)."""
+    """mapInArrow function: distinct lines whose key may be wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = list(dict.fromkeys(line for t in batch.column("t").to_pylist() for _, line in lines(t)))
+            keys = pa.array([key(x) for x in some], pa.binary())
+            rows = pa.array(np.flatnonzero(_marked(bits.value, _heads(keys))))
+            yield pa.RecordBatch.from_arrays([keys.take(rows), pa.array(some, pa.string()).take(rows)], names=["key", "t"])
+
+    return run
+
+
+def _marked_places(bits: Broadcast):
+    """mapInArrow function: the rows of lines whose key may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = list(_distinct_lines(batch.column("t").to_pylist()))
-            keys = [key(x) for x in some]
-            rows = np.flatnonzero(_marked(bits.value, np.array([_head(k) for k in keys], np.int64))).tolist()
-            sizes = [pa.array([len(shingles(some[i], k)) if in_view(len(some[i]), v) else None for i in rows], pa.int32()) for v, (k, *_) in enumerate(VIEWS)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([keys[i] for i in rows], pa.binary()), pa.array([some[i] for i in rows], pa.string()), *sizes], names=["key", "t", "size0", "size1"],
-            )
+            yield batch.take(pa.array(np.flatnonzero(_marked(bits.value, _heads(batch.column("key"))))))
 
     return run
 
 
+def _key_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_heads(batch.column("node")))], names=["h"])
+
+
 def _bitmap(values: DataFrame, column: str) -> np.ndarray:
     """One bit per value modulo ``BITMAP_BITS``; at most 2,048 rows of 4 KB reach the driver."""
     at = F.pmod(F.col(column), F.lit(BITMAP_BITS)) + 1
@@ -273,6 +362,15 @@ def _bitmap(values: DataFrame, column: str) -> np.ndarray:
 
 # ---- prefix filter ---------------------------------------------------------------------
 
+def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines (t) with their numbers of shingles (by view, null outside)."""
+    for batch in batches:
+        some = batch.column("t").to_pylist()
+        for v, (k, *_) in enumerate(VIEWS):
+            batch = batch.append_column(f"size{v}", pa.array([len(shingles(x, k)) if in_view(len(x), v) else None for x in some], pa.int32()))
+        yield batch
+
+
 def _shingle_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(slot, n): the shingles of a batch's lines (t) by their hash modulo ``SLOTS``."""
     for batch in batches:
@@ -292,7 +390,7 @@ def _rarity(text: DataFrame) -> np.ndarray:
 
 
 def _prefix_lists(rarity: Broadcast):
-    """mapInArrow function: lines with the bands of their heavy buckets to (bucket, key) of a list per band and prefix shingle."""
+    """mapInArrow function: lines with the bands of their heavy buckets to (bucket, key, n, part) of a list per band and prefix shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,23 +412,45 @@ def _prefix_lists(rarity: Broadcast):
                         rows.append(np.full(len(x), i))
             at = pa.array(np.concatenate([np.empty(0, np.int64), *rows]).astype(np.int64))
             bucket = np.concatenate([np.empty(0, np.uint64), *lists]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column("key").take(at), batch.column("part").take(at)], names=["bucket", "key", "part"])
+            length = pa.array([len(x) for x in some], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column("key").take(at), length.take(at), batch.column("part").take(at)], names=["bucket", "key", "n", "part"])
 
     return run
 
 
 # ---- verification ----------------------------------------------------------------------
 
+def _sketches(some: list[str], view: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's shingles as bits by their hash, packed, and how many shingles it has at most; none outside the view."""
+    bits, most = np.zeros((len(some), SKETCH_BITS // 64), np.uint64), np.zeros(len(some), np.int64)
+    own = [i for i, x in enumerate(some) if in_view(len(x), view)]
+    if own:
+        h, starts = _hashes([some[i] for i in own], VIEWS[view][0])
+        n = np.diff(np.append(starts, len(h)))
+        each = np.zeros((len(own), SKETCH_BITS), bool)
+        each.reshape(-1)[np.repeat(np.arange(len(own)) * SKETCH_BITS, n) + h % np.uint32(SKETCH_BITS)] = True
+        bits[own], most[own] = np.packbits(each, axis=1).view(np.uint64), n
+    return bits, most
+
+
+def may_be_similar(ta: list[str], tb: list[str]) -> np.ndarray:
+    """Which pairs of lines can be similar: a bit that only one of two lines has is a shingle that only one has,
+    and of similar lines these are at most (1 - s) / (1 + s) of the shingles of both."""
+    ids: dict[str, int] = {}
+    a, b = (np.array([ids.setdefault(x, len(ids)) for x in t], np.int64) for t in (ta, tb))
+    may, some, least = np.zeros(len(a), bool), list(ids), round(10 * SIMILARITY)
+    for view in range(len(VIEWS)):
+        bits, most = _sketches(some, view)
+        apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+        may |= (most[a] > 0) & (most[b] > 0) & ((10 + least) * apart <= (10 - least) * (most[a] + most[b]))
+    return may
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) of keys whose lines (ta, tb) are similar."""
-    last, of_last = None, {}
     for batch in batches:
-        keep = []
-        for i, (ta, tb) in enumerate(zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)):
-            if tb != last:
-                last, of_last = tb, {v: shingles(tb, k) for v, (k, *_) in enumerate(VIEWS) if in_view(len(tb), v)}
-            if any(in_view(len(ta), v) and similar(shingles(ta, VIEWS[v][0]), own) for v, own in of_last.items()):
-                keep.append(i)
+        ta, tb = (batch.column(c).to_pylist() for c in ("ta", "tb"))
+        keep = [i for i in np.flatnonzero(may_be_similar(ta, tb)).tolist() if alike(ta[i], tb[i])]
         yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], names=["a", "b"])
 
 
@@ -438,24 +558,30 @@ def _pairs(links) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
 
-def links(texts: DataFrame, rows: DataFrame, kept: Staged) -> DataFrame:
+def shared_values(rows: DataFrame, kept: Staged) -> DataFrame:
+    """(value, least): the band values that different lines have, with the least head of these, and, without it,
+    the heads of the keys that stand in several rows of :func:`_line_rows`."""
+    slots = 256 + rows.count() // SLOT_LINES
+    sent = rows.select("key", "bands").mapInArrow(_sent(slots), "slot INT, values BINARY, of BINARY, heads BINARY")
+    return kept.keep(sent.groupBy("slot").applyInArrow(_shared_values, "value BIGINT, least BIGINT"), "shared")
+
+
+def links(texts: DataFrame, rows: DataFrame, shared: DataFrame, kept: Staged) -> DataFrame:
     """(node, root): every line that is similar to a different one, by key, with its component.
 
-    ``rows`` are the stored rows of :func:`_line_rows` for ``texts`` (t).
+    ``rows`` are the stored rows of :func:`_line_rows` for ``texts`` (t), ``shared`` is of :func:`shared_values`.
     """
     context = texts.sparkSession.sparkContext
-    shared = rows.select("h", F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.min("h").alias("x"), F.max("h").alias("y"))
-    shared = kept.keep(shared.where("x <> y").select("bucket"), "shared")
+    shared = shared.where("least IS NOT NULL").select(F.col("value").alias("bucket"), "least")
     hot = context.broadcast(_bitmap(shared, "bucket"))
-    members = rows.select("key", "h", "bands").mapInArrow(_marked_bands(hot), "key BINARY, h BIGINT, bucket BIGINT").distinct()
-    members = kept.keep(members.join(shared, "bucket").select("bucket", "key", "h"), "members")
-    kept.drop(shared)
+    members = rows.where("bands IS NOT NULL").select("key", "n", "bands").mapInArrow(_marked_bands(hot), "bucket BIGINT, key BINARY, h BIGINT, n INT").distinct()
+    members = kept.keep(members.join(shared, "bucket").select("bucket", "key", "h", "n", (F.col("h") == F.col("least")).alias("pivot")), "members")
     wanted = context.broadcast(_bitmap(members, "h"))
-    text = texts.select("t").mapInArrow(uncollected(_marked_texts(wanted)), "key BINARY, t STRING, size0 INT, size1 INT").dropDuplicates(["key"])
+    text = texts.select("t").mapInArrow(uncollected(_marked_texts(wanted)), "key BINARY, t STRING").dropDuplicates(["key"])
     text = kept.keep(text, "texts")
-    pivots = kept.keep(members.groupBy("bucket").agg(F.min("key").alias("pivot")), "pivots")
-    pairs = members.join(pivots, "bucket").where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
-    pairs = kept.keep(pairs, "pairs")  # key > pivot
+    pivots = kept.keep(members.where("pivot").select("bucket", F.col("key").alias("first")), "pivots")
+    pairs = members.join(pivots, "bucket").where("key <> first").select(F.greatest("key", "first").alias("a"), F.least("key", "first").alias("b")).distinct()
+    pairs = kept.keep(pairs, "pairs")
     verified = kept.keep(_verify(pairs, text), "verified")
     parts = kept.keep(components(verified, kept), "parts")
     kept.drop(pivots, verified)
@@ -463,7 +589,7 @@ def links(texts: DataFrame, rows: DataFrame, kept: Staged) -> DataFrame:
     kept.drop(members)
     if rest.isEmpty():
         return parts
-    heavy = kept.keep(_in_blocks(rest, text), "heavy")
+    heavy = kept.keep(_in_blocks(rest), "heavy")
     more = kept.keep(_light_links(rest, pairs, text).union(_block_links(heavy.where(f"blocks <= {LISTED}"), text)), "more")
     large = heavy.where(f"blocks > {LISTED}")
     if not large.isEmpty():
@@ -476,33 +602,31 @@ def links(texts: DataFrame, rows: DataFrame, kept: Staged) -> DataFrame:
         parts = kept.keep(components(parts.union(more).union(found), kept), "parts")
         rest = _in_parts(lists, parts, kept)
         kept.drop(lists, pivots)
-        more = _light_links(rest, pairs.union(first), text).union(_block_links(_in_blocks(rest, text), text))
+        more = _light_links(rest, pairs.union(first), text).union(_block_links(_in_blocks(rest), text))
         more = kept.keep(more, "more")
     kept.drop(rest, pairs, text)
     return parts if more.isEmpty() else kept.keep(components(parts.union(more), kept), "parts")
 
 
 def _in_parts(members: DataFrame, parts: DataFrame, kept: Staged) -> DataFrame:
-    """(bucket, key, part, main, heavy) of the buckets of three or more lines that are in several parts.
+    """(bucket, key, n, part, main, heavy) of the buckets of three or more lines that are in several parts.
 
-    ``main`` is the largest part; a heavy bucket has more pairs of different parts than ``DIRECT`` a line.
+    ``part`` is a hash of the part's root, ``main`` the largest part; a heavy bucket has more pairs of different parts than ``DIRECT`` a line.
     """
-    labelled = members.join(parts, members["key"] == parts["node"], "left").select("bucket", "key", F.coalesce("root", "key").alias("part"))
+    labelled = members.join(parts, members["key"] == parts["node"], "left").select("bucket", "key", "n", F.xxhash64(F.coalesce("root", "key")).alias("part"))
     labelled = kept.keep(labelled, "labelled")
     sizes = labelled.groupBy("bucket", "part").agg(F.count("*").alias("m")).groupBy("bucket").agg(
-        F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("q"), F.max_by("part", "m").alias("main"))
-    open_ = kept.keep(sizes.where("n > 2 AND q < n * n").select("bucket", "main", F.expr(f"(n * n - q) div 2 > {DIRECT} * n").alias("heavy")), "open")
+        F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("q"), F.max_by("part", "m").alias("main"))
+    open_ = kept.keep(sizes.where("`all` > 2 AND q < `all` * `all`").select("bucket", "main", F.expr(f"(`all` * `all` - q) div 2 > {DIRECT} * `all`").alias("heavy")), "open")
     rest = kept.keep(labelled.join(open_, "bucket"), "rest")
     kept.drop(labelled, open_)
     return rest
 
 
-def _in_blocks(rest: DataFrame, text: DataFrame) -> DataFrame:
-    """(bucket, key, part, blocks) of heavy buckets; a bucket has a block for every ``BLOCK_SHINGLES`` shingles."""
-    heavy = rest.where("heavy").select("bucket", "key", F.xxhash64("part").alias("part"))
-    size = F.when(F.col("bucket").bitwiseAND(1) == 0, F.col("size0")).otherwise(F.col("size1"))
-    sized = heavy.join(text.select("key", "size0", "size1"), "key").withColumn("size", size)
-    return heavy.join(sized.groupBy("bucket").agg(F.expr(f"sum(size) div {BLOCK_SHINGLES} + 1").alias("blocks")), "bucket")
+def _in_blocks(rest: DataFrame) -> DataFrame:
+    """(bucket, key, n, part, blocks) of heavy buckets; a bucket has a block for every ``BLOCK_SHINGLES`` characters, so shingles at most."""
+    heavy = rest.where("heavy").select("bucket", "key", "n", "part")
+    return heavy.join(heavy.groupBy("bucket").agg(F.expr(f"sum(n) div {BLOCK_SHINGLES} + 1").alias("blocks")), "bucket")
 
 
 def _light_links(rest: DataFrame, seen: DataFrame, text: DataFrame) -> DataFrame:
@@ -516,15 +640,16 @@ def _light_links(rest: DataFrame, seen: DataFrame, text: DataFrame) -> DataFrame
 
 
 def prefix_lists(heavy: DataFrame, text: DataFrame, kept: Staged) -> DataFrame:
-    """(bucket, key, part): a list per heavy bucket and prefix shingle, of the lines that have both.
+    """(bucket, key, n, part): a list per heavy bucket and prefix shingle, of the lines that have both.
 
     Two similar lines of a bucket share a list.  Any order of the shingles, the
     same for all lines, will do; rare ones first make short lists.
     """
     lines_of = heavy.groupBy("key").agg(F.first("part").alias("part"), F.collect_list("bucket").alias("buckets"))
-    lines_of = kept.keep(lines_of.join(text, "key"), "listed")
+    lines_of = lines_of.join(text, "key").select("key", "part", "t", "buckets")
+    lines_of = kept.keep(lines_of.mapInArrow(uncollected(_sized), "key BINARY, part BIGINT, t STRING, buckets ARRAY<BIGINT>, size0 INT, size1 INT"), "listed")
     rarity = text.sparkSession.sparkContext.broadcast(_rarity(lines_of))
-    return lines_of.mapInArrow(_prefix_lists(rarity), "bucket BIGINT, key BINARY, part BIGINT")
+    return lines_of.mapInArrow(_prefix_lists(rarity), "bucket BIGINT, key BINARY, n INT, part BIGINT")
 
 
 def _block_links(heavy: DataFrame, text: DataFrame) -> DataFrame:
@@ -540,28 +665,28 @@ def _block_links(heavy: DataFrame, text: DataFrame) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, text: DataFrame) -> DataFrame:
-    """The pairs (a, b) of keys whose lines are similar; sets of too different sizes can't be."""
-    ta, tb = (text.select(F.col("key").alias(x), F.col("t").alias(f"t{x}"), F.col("size0").alias(f"s{x}0"), F.col("size1").alias(f"s{x}1")) for x in "ab")
-    # least and greatest pass over nulls: both sizes have to be there
-    close = [f"sa{v} IS NOT NULL AND sb{v} IS NOT NULL AND 10 * least(sa{v}, sb{v}) >= {round(10 * SIMILARITY)} * greatest(sa{v}, sb{v})" for v in range(len(VIEWS))]
-    near = pairs.join(ta, "a").join(tb, "b").where(" OR ".join(f"({x})" for x in close))
-    return near.select("a", "b", "ta", "tb").mapInArrow(uncollected(_verified), "a BINARY, b BINARY")
+    """The pairs (a, b) of keys whose lines are similar."""
+    ta, tb = (text.select(F.col("key").alias(x), F.col("t").alias(f"t{x}")) for x in "ab")
+    return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(uncollected(_verified), "a BINARY, b BINARY")
 
 
 def dropped_lines(docs: DataFrame, kept: Staged) -> DataFrame:
     """(row, lines): the numbers of the lines that go, for rows that lose any; ``docs`` has doc_id, row, text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    place = f"doc_id {kind}, row BIGINT, line INT"
     texts = docs.select("doc_id", "row", text_or_empty().alias("t"))
-    schema = f"key BINARY, h BIGINT, bands ARRAY<BIGINT>, places ARRAY<STRUCT<doc_id: {kind}, row: BIGINT, line: INT>>"
-    rows = kept.keep(texts.mapInArrow(uncollected(_line_rows), schema), "lines")
-    places = rows.select("key", F.explode("places").alias("place"))
-    groups = kept.keep(places.groupBy("key").agg(F.min("place").alias("first"), F.count("*").alias("n")), "groups")
-    parts = links(texts, rows, kept)
-    named = groups.join(parts, groups["key"] == parts["node"], "left").where("n > 1 OR root IS NOT NULL")
-    named = kept.keep(named.select("key", "first", F.coalesce("root", "key").alias("root")), "named")
-    stays = kept.keep(named.groupBy("root").agg(F.min("first").alias("stays")), "stays")
-    named = kept.keep(named.join(stays, "root").select("key", "stays"), "stays_by_key")
-    gone = places.join(named, "key").where(~F.col("place").eqNullSafe(F.col("stays"))).select("place.row", "place.line")
+    rows = kept.keep(texts.mapInArrow(uncollected(_line_rows), f"key BINARY, n INT, bands BINARY, {place}"), "lines")
+    shared = shared_values(rows, kept)
+    parts = links(texts, rows, shared, kept)
+    # places of lines that come again or are similar to others: all others stay
+    repeated = _bitmap(shared.where("least IS NULL"), "value") | _bitmap(parts.select("node").mapInArrow(_key_heads, "h BIGINT"), "h")
+    wanted = docs.sparkSession.sparkContext.broadcast(repeated)
+    places = rows.select("key", "doc_id", "row", "line").mapInArrow(_marked_places(wanted), f"key BINARY, {place}")
+    places = places.join(parts, places["key"] == parts["node"], "left")
+    places = kept.keep(places.select(F.coalesce("root", "key").alias("root"), F.struct("doc_id", "row", "line").alias("place")), "places")
+    kept.drop(rows, shared)
+    stays = kept.keep(places.groupBy("root").agg(F.min("place").alias("stays"), F.count("*").alias("n")).where("n > 1").drop("n"), "stays")
+    gone = places.join(stays, "root").where(~F.col("place").eqNullSafe(F.col("stays"))).select("place.row", "place.line")
     return kept.keep(gone.groupBy("row").agg(F.collect_set("line").alias("lines")), "gone")
 
 
