@@ -47,7 +47,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staged, free_name, text_or_empty
+from .common import Staged, batch_rows, free_name, text_or_empty
 from .components import components
 
 #: Ways to compare lines: characters of a shingle (a power of two and one), least length, length below.
@@ -71,6 +71,8 @@ LISTED = 32
 SKETCH_BITS = 1 << 12
 #: Lines for which there is a slot of band values, and values that a scan holds before it sends them.
 SLOT_LINES, SENT = 1 << 17, 1 << 21
+#: Rows of a batch where rows are a line's hashes, without its text.
+NARROW = 1 << 13
 #: Shingles that are hashed at once, so that numpy stays in the cache.
 BLOCK = 1 << 16
 
@@ -176,12 +178,13 @@ def _hashes(some: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _bands(some: list[str], view: int) -> np.ndarray:
     h, starts = _hashes(some, VIEWS[view][0])
-    out = np.empty((len(some), BANDS), np.int64)
+    out, mixed = np.empty((len(some), BANDS), np.int64), np.empty_like(h)
     for band in range(BANDS):
         value = np.full(len(some), band + 1, np.uint64)
         for i in range(band * ROWS, (band + 1) * ROWS):
-            least = np.minimum.reduceat((h ^ np.uint32(_XOR[i])) * np.uint32(_ODD[i]), starts)
-            value = (value ^ least) * _MIX
+            np.bitwise_xor(h, np.uint32(_XOR[i]), out=mixed)
+            np.multiply(mixed, np.uint32(_ODD[i]), out=mixed)
+            value = (value ^ np.minimum.reduceat(mixed, starts)) * _MIX
             value ^= value >> np.uint64(29)
         out[:, band] = (value >> np.uint64(1) << np.uint64(1) | np.uint64(view)).view(np.int64)
     return out
@@ -446,11 +449,65 @@ def may_be_similar(ta: list[str], tb: list[str]) -> np.ndarray:
     return may
 
 
+def alike_pairs(ta: list[str], tb: list[str]) -> list[bool]:
+    """:func:`alike` of each pair of lines."""
+    out = [False] * len(ta)
+    for view, (k, *_) in enumerate(VIEWS):
+        own = [i for i, (a, b) in enumerate(zip(ta, tb, strict=True)) if not out[i] and in_view(len(a), view) and in_view(len(b), view)]
+        for i, yes in zip(own, _similar_pairs([ta[i] for i in own], [tb[i] for i in own], k), strict=True):
+            out[i] = yes
+    return out
+
+
+def _similar_pairs(ta: list[str], tb: list[str], k: int) -> list[bool]:
+    """Exact test of each pair by shingles of ``k`` as sorted numbers; sets of strings where lines are shorter or have too many letters."""
+    if not ta:
+        return []
+    some = list(dict.fromkeys(ta + tb))
+    codes = _codes(some, k) if min(map(len, some)) >= k else None
+    if codes is None:
+        if len(ta) == 1:
+            return [similar(shingles(ta[0], k), shingles(tb[0], k))]
+        half = len(ta) // 2
+        return _similar_pairs(ta[:half], tb[:half], k) + _similar_pairs(ta[half:], tb[half:], k)
+    of, least, out = dict(zip(some, codes, strict=True)), round(10 * SIMILARITY), []
+    for a, b in zip(ta, tb, strict=True):
+        x, y = of[a], of[b]
+        all_ = np.concatenate((x, y))
+        all_.sort()
+        both = int(np.count_nonzero(all_[1:] == all_[:-1]))
+        out.append(10 * both >= least * (len(x) + len(y) - both))
+    return out
+
+
+def _codes(some: list[str], k: int) -> list[np.ndarray] | None:
+    """Each line's different shingles as sorted numbers, one number per shingle; None if 64 bits don't hold ``k`` of the letters."""
+    c = np.frombuffer("".join(some).encode("utf-32-le"), np.uint32)
+    there = np.zeros(int(c.max()) + 1, bool)
+    there[c] = True
+    bits = max(1, int(there.sum() - 1).bit_length())
+    if bits * k > 64:
+        return None
+    c = (np.cumsum(there) - 1).astype(np.uint64)[c]
+    code = c
+    for span in (1 << j for j in range((k - 1).bit_length() - 1)):
+        code = code[:-span] << np.uint64(bits * span) | code[span:]
+    code = code[:-1] << np.uint64(bits) | c[k - 1 :]
+    out, begin = [], 0
+    for x in some:
+        own = np.sort(code[begin : begin + len(x) - k + 1])
+        out.append(own[np.concatenate(([True], own[1:] != own[:-1]))])
+        begin += len(x)
+    return out
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) of keys whose lines (ta, tb) are similar."""
     for batch in batches:
         ta, tb = (batch.column(c).to_pylist() for c in ("ta", "tb"))
-        keep = [i for i in np.flatnonzero(may_be_similar(ta, tb)).tolist() if alike(ta[i], tb[i])]
+        keep = np.flatnonzero(may_be_similar(ta, tb)).tolist()
+        found = alike_pairs([ta[i] for i in keep], [tb[i] for i in keep])
+        keep = [i for i, yes in zip(keep, found, strict=True) if yes]
         yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], names=["a", "b"])
 
 
@@ -563,7 +620,8 @@ def shared_values(rows: DataFrame, kept: Staged) -> DataFrame:
     the heads of the keys that stand in several rows of :func:`_line_rows`."""
     slots = 256 + rows.count() // SLOT_LINES
     sent = rows.select("key", "bands").mapInArrow(_sent(slots), "slot INT, values BINARY, of BINARY, heads BINARY")
-    return kept.keep(sent.groupBy("slot").applyInArrow(_shared_values, "value BIGINT, least BIGINT"), "shared")
+    with batch_rows(rows.sparkSession, NARROW):
+        return kept.keep(sent.groupBy("slot").applyInArrow(_shared_values, "value BIGINT, least BIGINT"), "shared")
 
 
 def links(texts: DataFrame, rows: DataFrame, shared: DataFrame, kept: Staged) -> DataFrame:
@@ -574,8 +632,10 @@ def links(texts: DataFrame, rows: DataFrame, shared: DataFrame, kept: Staged) ->
     context = texts.sparkSession.sparkContext
     shared = shared.where("least IS NOT NULL").select(F.col("value").alias("bucket"), "least")
     hot = context.broadcast(_bitmap(shared, "bucket"))
-    members = rows.where("bands IS NOT NULL").select("key", "n", "bands").mapInArrow(_marked_bands(hot), "bucket BIGINT, key BINARY, h BIGINT, n INT").distinct()
-    members = kept.keep(members.join(shared, "bucket").select("bucket", "key", "h", "n", (F.col("h") == F.col("least")).alias("pivot")), "members")
+    members = rows.where("bands IS NOT NULL").select("key", "n", "bands").mapInArrow(_marked_bands(hot), "bucket BIGINT, key BINARY, h BIGINT, n INT")
+    members = members.join(shared, "bucket").select("bucket", "key", "h", "n", (F.col("h") == F.col("least")).alias("pivot")).distinct()
+    with batch_rows(texts.sparkSession, NARROW):
+        members = kept.keep(members, "members")
     wanted = context.broadcast(_bitmap(members, "h"))
     text = texts.select("t").mapInArrow(uncollected(_marked_texts(wanted)), "key BINARY, t STRING").dropDuplicates(["key"])
     text = kept.keep(text, "texts")
@@ -683,7 +743,8 @@ def dropped_lines(docs: DataFrame, kept: Staged) -> DataFrame:
     wanted = docs.sparkSession.sparkContext.broadcast(repeated)
     places = rows.select("key", "doc_id", "row", "line").mapInArrow(_marked_places(wanted), f"key BINARY, {place}")
     places = places.join(parts, places["key"] == parts["node"], "left")
-    places = kept.keep(places.select(F.coalesce("root", "key").alias("root"), F.struct("doc_id", "row", "line").alias("place")), "places")
+    with batch_rows(docs.sparkSession, NARROW):
+        places = kept.keep(places.select(F.coalesce("root", "key").alias("root"), F.struct("doc_id", "row", "line").alias("place")), "places")
     kept.drop(rows, shared)
     stays = kept.keep(places.groupBy("root").agg(F.min("place").alias("stays"), F.count("*").alias("n")).where("n > 1").drop("n"), "stays")
     gone = places.join(stays, "root").where(~F.col("place").eqNullSafe(F.col("stays"))).select("place.row", "place.line")
