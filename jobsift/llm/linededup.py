@@ -70,7 +70,7 @@ LISTED = 32
 #: Bits of a line's sketch, by which most pairs are turned down before their shingle sets are built.
 SKETCH_BITS = 1 << 12
 #: Lines for which there is a slot of band values, and values that a scan holds before it sends them.
-SLOT_LINES, SENT = 1 << 17, 1 << 21
+SLOT_LINES, SENT = 1 << 14, 1 << 21
 #: Rows of a batch where rows are a line's hashes, without its text.
 NARROW = 1 << 13
 #: Shingles that are hashed at once, so that numpy stays in the cache.
@@ -618,7 +618,7 @@ def _pairs(links) -> pa.RecordBatch:
 def shared_values(rows: DataFrame, kept: Staged) -> DataFrame:
     """(value, least): the band values that different lines have, with the least head of these, and, without it,
     the heads of the keys that stand in several rows of :func:`_line_rows`."""
-    slots = 256 + rows.count() // SLOT_LINES
+    slots = 1024 + rows.count() // SLOT_LINES
     sent = rows.select("key", "bands").mapInArrow(_sent(slots), "slot INT, values BINARY, of BINARY, heads BINARY")
     with batch_rows(rows.sparkSession, NARROW):
         return kept.keep(sent.groupBy("slot").applyInArrow(_shared_values, "value BIGINT, least BIGINT"), "shared")

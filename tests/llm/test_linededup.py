@@ -252,3 +252,65 @@ def test_band_lists_by_length():
     assert [len(x) for x in each] == [12, 24, 12 if len(some[2]) >= 150 else 24, 12, 12]
     assert [sorted({b & 1 for b in x}) for x in each] == [[0], [0, 1], [1], [1], [0]]
     assert ld._band_lists([]).to_pylist() == []
+
+
+def edited_pairs(n=1500, seed=11):
+    rng, pairs = random.Random(seed), []
+    letters = ["ab", "abcdefghij ", "abcdefghijklmnopqrstuvwxyzäöüß0123456789 ,.", "".join(map(chr, range(0x4E00, 0x5200))), "a\0"]
+    for _ in range(n):
+        some = rng.choice(letters)
+        a = [rng.choice(some) for _ in range(rng.choice([1, 3, 4, 5, 8, 9, 50, 119, 120, 149, 150, 400]))]
+        b = list(a)
+        for _ in range(rng.choice([0, 1, 2, 3, 8])):
+            b[rng.randrange(len(b))] = rng.choice(some)
+        pairs.append(("".join(a), "".join(b) + "".join(rng.choice(some) for _ in range(rng.choice([0, 0, 1, 5])))))
+    return pairs
+
+
+def test_pairs_in_batches_are_judged_as_one_by_one():
+    pairs = edited_pairs()
+    want = [ld.alike(a, b) for a, b in pairs]
+    got, may = [], []
+    for i in range(0, len(pairs), 100):
+        ta, tb = map(list, zip(*pairs[i : i + 100], strict=True))
+        got += ld.alike_pairs(ta, tb)
+        may += ld.may_be_similar(ta, tb).tolist()
+    assert got == want
+    assert 100 < sum(want) < len(want) - 100
+    assert not any(w and not m for w, m in zip(want, may, strict=True))
+    assert sum(may) < 1.2 * sum(want)
+
+
+def test_no_shingle_sets_for_pairs_that_are_far_apart(monkeypatch):
+    rng, made = random.Random(12), []
+    ta, tb = ([" ".join(f"{rng.randrange(10**6):x}" for _ in range(60)) for _ in range(50)] for _ in "ab")
+    plain = ld.shingles
+    monkeypatch.setattr(ld, "shingles", lambda line, k: made.append(line) or plain(line, k))
+    keys = pa.array([i.to_bytes(16) for i in range(50)], pa.binary())
+    (out,) = ld._verified([pa.record_batch([keys, keys, pa.array(ta), pa.array(tb)], names=["a", "b", "ta", "tb"])])
+    assert out.num_rows == 0 and not made
+
+
+def test_shared_values_by_slots(monkeypatch):
+    rng, slots = random.Random(13), 7
+    monkeypatch.setattr(ld, "SENT", 50)  # several rows of a slot from one scan
+    lines = [(ld.key(str(i)), [rng.randrange(-40, 40) for _ in range(3)]) for i in range(40)]
+    rows = [(k, v) for k, v in lines for _ in range(rng.choice([1, 1, 2]))] + [(lines[0][0], None)] * 3
+    rng.shuffle(rows)
+    packed = [None if v is None else np.array(v, np.int64).tobytes() for _, v in rows]
+    batches = [pa.record_batch([pa.array([k for k, _ in rows[i : i + 10]], pa.binary()), pa.array(packed[i : i + 10], pa.binary())], names=["key", "bands"]) for i in range(0, len(rows), 10)]
+    sent = pa.Table.from_batches(list(ld._sent(slots)(batches))).to_pylist()
+    assert len(sent) > slots
+    got = []
+    for slot in range(slots):
+        if own := [x for x in sent if x["slot"] == slot]:
+            got += ld._shared_values(pa.Table.from_pylist(own)).to_pylist()
+    head = lambda k: int.from_bytes(k[:8], "little", signed=True)
+    holders = {}
+    for k, v in rows:
+        for x in v or ():
+            holders.setdefault(x, set()).add(head(k))
+    want = [(x, min(of)) for x, of in holders.items() if len(of) > 1]
+    want += [(head(k), None) for k in {k for k, _ in rows} if sum(k == other for other, _ in rows) > 1]
+    key = lambda x: (x[1] is None, x[0])
+    assert sorted(((x["value"], x["least"]) for x in got), key=key) == sorted(want, key=key)
